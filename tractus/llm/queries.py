@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op9
 from .common import table
 from .langid import op6
+from .quality import OP3_SQL, op3
 from .secrets import op7
+from .urlfilter import OP2_SQL, op2
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -15,9 +17,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES = {
+    "op2_url_filter": lambda spark, sf: op2(table(spark, sf, "pages")),
+    "op3_quality_rules": lambda spark, sf: op3(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: op7(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL}
