@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9
 from .common import table
+from .decontam import OP1_SQL, op1
 from .langid import op6
 from .quality import OP3_SQL, op3
 from .secrets import op7
@@ -17,6 +18,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES = {
+    "op1_decontamination": lambda spark, sf: op1(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op2_url_filter": lambda spark, sf: op2(table(spark, sf, "pages")),
     "op3_quality_rules": lambda spark, sf: op3(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
@@ -24,4 +26,4 @@ QUERIES = {
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL}
