@@ -9,6 +9,7 @@ from .langid import op6
 from .quality import OP3_SQL, op3
 from .secrets import op7
 from .urlfilter import OP2_SQL, op2
+from .warc import OP10_SQL, op10
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: op7(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
+    "op10_warc": lambda spark, sf: op10(table(spark, sf, "pages")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_warc": OP10_SQL}
