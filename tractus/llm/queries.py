@@ -6,6 +6,7 @@ from .bpe import op9
 from .common import table
 from .decontam import OP1_SQL, op1
 from .langid import op6
+from .lm import op4
 from .quality import OP3_SQL, op3
 from .secrets import op7
 from .urlfilter import OP2_SQL, op2
@@ -22,6 +23,7 @@ QUERIES = {
     "op1_decontamination": lambda spark, sf: op1(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op2_url_filter": lambda spark, sf: op2(table(spark, sf, "pages")),
     "op3_quality_rules": lambda spark, sf: op3(table(spark, sf, "documents")),
+    "op4_lm_score": lambda spark, sf: op4(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: op7(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
