@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9
 from .common import table
 from .decontam import OP1_SQL, op1
+from .jaccard import op8
 from .langid import op6
 from .lm import op4
 from .quality import OP3_SQL, op3
@@ -26,6 +27,7 @@ QUERIES = {
     "op4_lm_score": lambda spark, sf: op4(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: op7(table(spark, sf, "documents")),
+    "op8_jaccard_join": lambda spark, sf: op8(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
     "op10_warc": lambda spark, sf: op10(table(spark, sf, "pages")),
 }
