@@ -10,6 +10,7 @@ from .langid import op6
 from .lm import op4
 from .quality import OP3_SQL, op3
 from .secrets import op7
+from .substring import op5
 from .urlfilter import OP2_SQL, op2
 from .warc import OP10_SQL, op10
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op2_url_filter": lambda spark, sf: op2(table(spark, sf, "pages")),
     "op3_quality_rules": lambda spark, sf: op3(table(spark, sf, "documents")),
     "op4_lm_score": lambda spark, sf: op4(table(spark, sf, "documents")),
+    "op5_suffix_dedup": lambda spark, sf: op5(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: op6(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: op7(table(spark, sf, "documents")),
     "op8_jaccard_join": lambda spark, sf: op8(table(spark, sf, "documents")),
