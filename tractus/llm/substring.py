@@ -164,9 +164,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
     distinct = written(distinct, "distinct")
     answers = written(_sorted(slim, distinct, length), "covered")
     # A segment's answer goes to all its places; blocks of one name may answer for one segment more than once.
-    flat = again.join(answers, ["h", "g"]).select("k", "th", F.transform("spans", lambda x: x + F.col("a")).alias("s")).groupBy("k", "th").agg(F.flatten(F.collect_list("s")).alias("_flat"))
+    flat = again.join(answers, ["h", "g"]).select("k", "th", F.transform("spans", lambda x: x + F.col("a")).alias("s")).groupBy(F.col("k").alias("_k"), F.col("th").alias("_t")).agg(F.flatten(F.collect_list("s")).alias("_flat"))
     names = docs.columns
-    both = docs.withColumn("_th", F.xxhash64(text)).join(flat, (F.col("_th") == F.col("th")) & F.col(key).eqNullSafe(F.col("k")), "left").select(*[F.col(f"`{c}`") for c in names], "_flat")
+    both = docs.withColumn("_th", F.xxhash64(text)).join(flat, (F.col("_th") == F.col("_t")) & F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left").select(*[F.col(f"`{c}`") for c in names], "_flat")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
