@@ -150,7 +150,7 @@ def test_language_model(spark):
     spelling = lm.Spelling(*np.unique(lm.spelled(list(counts))[0], return_counts=True), seed=1)
     out = [i for i, r in rows.items() if r.held_out]
     alone = sum(math.log10(p) for i in out for p in spelling.probabilities(*lm.spelled(split[i])))
-    assert sum(rows[i].score for i in out) > 0.8 * alone
+    assert sum(rows[i].score for i in out) > alone
 
 
 def test_predictive_probabilities_sum_to_one():
