@@ -154,6 +154,7 @@ def bootscan(states: np.ndarray, o: Options, variable: Variable | None = None) -
 PATTERNS = np.array([[0, 0, 0, 0, 0, 0], [0, 4, 6, 7, 1, 1], [0, 12, 2, 8, 2, 2], [0, 13, 9, 3, 3, 3], [0, 10, 14, 5, 5, 5], [0, 15, 11, 11, 11, 11]])
 #: Patterns that support the pairs 12, 13, 23.
 SUPPORT = ((2, 8, 12), (3, 9, 13), (5, 10, 14))
+BACKS = np.array([[p in s for p in range(16)] for s in SUPPORT], np.int16)
 
 
 def relation(states: np.ndarray) -> np.ndarray:
@@ -171,14 +172,24 @@ def patterns(states: np.ndarray, outlier: np.ndarray) -> np.ndarray:
 
 
 def permuted(p: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Vertical permutation: a pattern becomes another one of its class, as the draw says."""
-    out = np.where((p >= 2) & (p <= 7), 2 + (draws - 1) % 6, np.where((p >= 8) & (p <= 10), 8 + (draws - 1) % 3, np.where((p >= 11) & (p <= 14), 11 + (draws - 1) % 4, p)))
-    return np.where((out == 11) | (out == 15), 0, out)
+    """Vertical permutation: a pattern becomes another one of its class, as the draw (1 to 12) says."""
+    return MOVED[p, draws]
+
+
+def _moved(p: int, draw: int) -> int:
+    for low, high in ((2, 7), (8, 10), (11, 14)):
+        if low <= p <= high:
+            p = low + (draw - 1) % (high - low + 1)
+            break
+    return 0 if p in (11, 15) else p
+
+
+MOVED = np.array([[_moved(p, d) for d in range(13)] for p in range(16)], np.int8)
 
 
 def z_scores(p: np.ndarray, permutations: int, prefix: np.ndarray) -> np.ndarray:
     """Of the support for each pair: against permutations, 0 without support or variance."""
-    count = lambda a: np.stack([np.isin(a, s).sum(axis=-1) for s in SUPPORT])
+    count = lambda a: BACKS[:, a].sum(axis=-1)
     n = len(p)
     draws = prefix[(np.arange(permutations)[:, None] * n + np.arange(n)) % len(prefix)]
     seen, null = count(p), count(permuted(p[None, :], draws))
@@ -196,7 +207,7 @@ def siscan(states: np.ndarray, o: Options, variable: Variable | None = None, out
         top = np.where(states[0] == states[1], states[0], np.where(states[1] == states[2], states[1], states[2]))
         outlier = np.where(top > 0, top % 4 + 1, 0)
     p, prefix = patterns(states, outlier), vertical_prefix(4096, o.seed)
-    overall = int(np.stack([np.isin(p, s).sum() for s in SUPPORT]).argmax())
+    overall = int(BACKS[:, p].sum(axis=-1).argmax())
     starts = range(0, length - o.sis_window, o.sis_step)
     best = []
     for s in starts:

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators import breakpoints, masking, scan, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
+from ..operators.kernels.common import Options
+from ..ship import ensure
 from ..sources import alignments as A
+from ..sources import project, readers
 from . import oracle
 
 T = R.TRIPLET
@@ -234,6 +238,70 @@ def fragments(s, sf):
     return _text(E.fragments(_seqs(s, sf), _tracts(s, sf), 5), "dataset_id", "origin", "event_id")
 
 
+def _options() -> Options:
+    """Windows for alignments of 64 sites."""
+    return Options(tests=1, cutoff=0.01, rdp_window=10, maxchi_window=20, chimaera_window=16, boot_window=16, boot_step=4, boot_replicates=50, sis_window=16, sis_step=4, sis_permutations=50)
+
+
+def _planted(s, sf):
+    """Row 2 of each data set becomes a mosaic: row 1 from site 17 to 40, row 0 elsewhere."""
+    seqs = _seqs(s, sf).select("dataset_id", "seq_id", "states")
+    parent = lambda i, n: seqs.filter(F.col("seq_id") == i).select("dataset_id", F.col("states").alias(n))
+    rows = seqs.join(parent(0, "p0"), "dataset_id").join(parent(1, "p1"), "dataset_id")
+    mixed = F.zip_with("p0", "p1", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    mixed = F.transform(mixed, lambda p, i: F.when((i >= 16) & (i < 40), p["y"]).otherwise(p["x"]))
+    return rows.withColumn("states", F.when(F.col("seq_id") == 2, mixed).otherwise(F.col("states"))).drop("p0", "p1")
+
+
+def _scan(method):
+    return lambda s, sf: scan.scan(_planted(s, sf), _options(), (method,))
+
+
+def auto_mask(s, sf):
+    return masking.auto_mask(_seqs(s, sf))
+
+
+def event_trees(s, sf):
+    return trees.trees(_identity(s, sf).select("dataset_id", "s1", "s2", stats.jukes_cantor(F.col("valid"), F.col("valid") - F.col("same")).alias("distance")))
+
+
+def breakpoint_ranges(s, sf):
+    """The model of each event's triplet."""
+    ensure(s)
+    seqs = _seqs(s, sf)
+    e = _events(s, sf).select("event_id", *T)
+    for n in ("a", "b", "c"):
+        e = e.join(seqs.select("dataset_id", F.col("seq_id").alias(n), F.col("states").alias(f"s_{n}")), ["dataset_id", n])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            d = b.to_pydict()
+            rows = [(i, r["position"], r["range_0.995"][0], r["range_0.995"][1]) for i, *x in zip(d["event_id"], d["s_a"], d["s_b"], d["s_c"]) for r in breakpoints.ranges(np.array(x, np.int8))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2, 3)]], names=["event_id", "position", "low", "high"])
+
+    return e.select("event_id", "s_a", "s_b", "s_c").mapInArrow(run, "event_id long, position int, low int, high int")
+
+
+def readers_roundtrip(s, sf):
+    """Each data set as FASTA text, parsed again."""
+    row = F.struct("seq_id", F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit("\n"), E.as_text(F.col("states"))).alias("r"))
+    texts = _seqs(s, sf).groupBy("dataset_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("dataset_id", F.array_join(F.col("rows.r"), "\n").alias("text"))
+    out = readers.parse_texts(texts, "dataset_id", "text")
+    return out.select(F.col("path").cast("long").alias("dataset_id"), "seq_id", "name", F.col("seq").alias("sequence"))
+
+
+def project_roundtrip(s, sf):
+    """Rows of each data set as a JSON document and back."""
+    rows = _seqs(s, sf).select("dataset_id", "seq_id", F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("name"), E.as_text(F.col("states")).alias("seq"))
+    docs = rows.groupBy("dataset_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq_id", "name", "seq")))).alias("json"))
+    parsed = F.from_json("json", "array<struct<seq_id:int,name:string,seq:string,row_state:string>>")
+    back = docs.select("dataset_id", F.inline(parsed))
+    return back.select("dataset_id", "seq_id", "name", F.col("seq").alias("sequence"), F.coalesce("row_state", F.lit(project.ADDED[2]["row_state"])).alias("row_state"))
+
+
 def queries():
     keep = ("dataset_id", "seq_id")
     out = {
@@ -298,7 +366,14 @@ def queries():
         "enabled_fasta": enabled_fasta,
         "fragments": fragments,
         "scalar_functions": scalar_functions,
+        "readers_roundtrip": readers_roundtrip,
+        "project_roundtrip": project_roundtrip,
+        "auto_mask": auto_mask,
+        "event_trees": event_trees,
+        "breakpoint_ranges": breakpoint_ranges,
+        "cyclic_scan": lambda s, sf: scan.cyclic_scan(_planted(s, sf), _options(), ("RDP", "3SEQ")),
     }
+    out |= {f"scan_{m.lower().replace('3seq', 'threeseq')}": _scan(m) for m in E.METHOD_ORDER}
     return out
 
 

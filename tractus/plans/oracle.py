@@ -176,6 +176,8 @@ def sql() -> dict[str, str]:
         "enabled_fasta": w(CELLS, "SELECT dataset_id, seq_id, " + FASTA + " AS sequence FROM cells JOIN counts USING (dataset_id, seq_id) WHERE valid_sites >= 61 GROUP BY dataset_id, seq_id"),
         "fragments": w(EVENTS + ', f AS (SELECT s.dataset_id, s.seq_id AS origin, ev.event_id, ' + FASTA.replace("st + 1", f"CASE WHEN {_tract('s.pos', 'ev.begin', 'ev.' + chr(34) + 'end' + chr(34))} THEN st ELSE 0 END + 1").replace("ORDER BY pos", "ORDER BY s.pos") + ' AS sequence FROM cells s JOIN ev ON ev.dataset_id = s.dataset_id AND ev.recombinant = s.seq_id GROUP BY ALL)', "SELECT dataset_id, origin, min(event_id) AS event_id, sequence FROM f WHERE length(replace(sequence, '-', '')) >= 5 GROUP BY dataset_id, origin, sequence"),
         "flagship": w(RICH + ", n AS (SELECT dataset_id, a, b, c, count(*) AS rich_sites, count(*) FILTER (cat = 0) AS n12, count(*) FILTER (cat = 1) AS n13, count(*) FILTER (cat = 2) AS n23 FROM rich GROUP BY ALL), k AS (SELECT *, CASE WHEN n12 >= n13 AND n12 >= n23 THEN '12' WHEN n13 >= n23 THEN '13' ELSE '23' END AS top, (greatest(n12, n13, n23) - least(n12, n13, n23)) / rich_sites AS contrast FROM n)", "SELECT dataset_id, a, b, c, rich_sites, top, round(contrast, 6) AS contrast FROM k QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY contrast DESC, rich_sites DESC, a, b, c) <= 10"),
+        "readers_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence FROM cells GROUP BY dataset_id, seq_id"),
+        "project_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence, 'enabled' AS row_state FROM cells GROUP BY dataset_id, seq_id"),
         "scalar_functions": f"SELECT l_orderkey, l_linenumber, round({_tail('z')}, 9) AS tail, round(CASE WHEN q + r > 0 AND 100 - q - r > 0 THEN pow(q * (50.0 - r) - (50.0 - q) * r, 2) * 2.0 / (50.0 * (q + r) * (100.0 - q - r)) ELSE 0.0 END, 6) AS chi, round(least(1.0, p * 120), 9) AS bonferroni, round(1 - pow(1 - p, 120), 9) AS sidak, round(round_even(h, 0), 1) AS half_even FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 6.0 AS z, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS r, CAST(l_linenumber AS DOUBLE) / 100.0 AS p, CAST(l_quantity AS DOUBLE) / 4.0 AS h FROM lineitem)",
     }
     return out
