@@ -4,11 +4,12 @@
    documents have a shingle of each hash slot. The global order is (magnitude of the slot's count, hash): rare shingles
    first. Any such order gives the same links; the sketch only decides how few candidates there are.
 2. Classes. Documents with equal sets are one class from here on.
-3. Candidates. Sets with Jaccard similarity t share a token of their prefixes of n - ceil(t n) + 1 tokens. Tokens that
-   only one class has in its prefix go. What is left ties classes into clusters (connected components), which are only
-   a way to bring candidates together: no link leaves a cluster.
-4. Join. A cluster's sets meet in one task, or, where they have more than UNIT_SHINGLES shingles, in one task for each
-   two of its blocks. There the sets form a trie; a set is matched with the trie's candidates by one walk that shares
+3. Candidates. Two sets with Jaccard similarity t share l tokens of their prefixes of n - ceil(t n) + l tokens; l is half
+   of n - ceil(t n), so a class stays only where about a third of its prefix is in other prefixes, which a common
+   passage or line does not bring about. Each token that two remaining classes have has a hub, the smallest of them; a
+   class goes once to each hub of its tokens, so two classes with a common token meet at its hub.
+4. Join. A hub's sets meet in one task, or, where they have more than UNIT_SHINGLES shingles, in one task for each two
+   of its blocks. There the sets form a trie; a set is matched with the trie's candidates by one walk that shares
    the overlaps of common beginnings and leaves a subtree when the remaining lengths cannot reach the similarity.
    A link between two sets that are connected already need not be looked at, so a task gives a spanning forest of its
    links, never all pairs.
@@ -22,6 +23,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from .graph import components
 
 SHINGLE, PERCENT = 3, 90
 #: Slots of the sketch of shingle frequencies (2 ** SLOT_BITS), shingles of sets that meet in one task.
-SLOT_BITS, UNIT_SHINGLES = 18, 1_000_000
+SLOT_BITS, UNIT_SHINGLES = 22, 1_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -40,6 +42,15 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-n * percent // 100) + 1
 
 
+def extra(n, percent: int = PERCENT):
+    """The number l of tokens that the prefixes of two similar sets, the smaller one of n tokens, share at least."""
+    return max(1, (n - -(-n * percent // 100)) // 2)
+
+
+def long_prefix(n, percent: int = PERCENT):
+    return n - -(-n * percent // 100) + extra(n, percent)
+
+
 class Shingler:
     def __init__(self, k: int = SHINGLE, seed: int = 0):
         self.k, self.seed = k, seed
@@ -67,9 +78,13 @@ def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(58)) | (hashes & np.uint64((1 << 58) - 1)))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.tobytes(), 1)
+
+
 def frequencies(docs: DataFrame, text: str, shingle: int, seed: int) -> np.ndarray:
     """Magnitudes of the slots' counts over all documents: 2 ** SLOT_BITS bytes, whatever the input."""
-    slots, part = 1 << SLOT_BITS, 1 << 12
+    slots, part = 1 << SLOT_BITS, 1 << 17
 
     def run(batches):
         own, counts = Shingler(shingle, seed), np.zeros(slots, np.int64)
@@ -77,12 +92,12 @@ def frequencies(docs: DataFrame, text: str, shingle: int, seed: int) -> np.ndarr
             for t in b.column(0).to_pylist():
                 np.add.at(counts, (own.set(t) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
         used = [i for i in range(slots // part) if counts[i * part : (i + 1) * part].any()]
-        yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "n": pa.array([counts[i * part : (i + 1) * part].tobytes() for i in used], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "n": pa.array([_packed(counts[i * part : (i + 1) * part]) for i in used], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(part, np.int64)
         for x in table.column("n").to_pylist():
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(zstandard.decompress(x), np.int64)
         return pa.table({"i": table.column("i")[:1], "n": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
     levels = np.zeros(slots, np.uint8)
@@ -237,7 +252,7 @@ def _classes(docs: DataFrame, text: str, key: str, levels, shingle: int, percent
                 n.append(len(s))
                 lo.append(signed(d & ((1 << 64) - 1)))
                 hi.append(signed(d >> 64))
-                prefix.append(keys[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
+                prefix.append(keys[: long_prefix(len(s), percent) if len(s) else 0].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=[key, "th", "n", "lo", "hi", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -263,9 +278,19 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
         # A class goes by half of its hash; another seed where two classes share it.
         if not classes.groupBy("c").count().filter("count > 1").limit(1).count():
             break
-    tokens = classes.select("c", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("c").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    near = components(tokens.join(hubs, "token").filter("c <> hub").select("hub", "c").distinct(), "hub", "c")
+    tokens = classes.select("c", "n", F.explode("prefix").alias("token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    shared = written(tokens.join(several, "token"), "tokens")
+    # A partner has at least t n tokens, and so shares the l of that size at least.
+    least = F.ceil(F.col("n") * percent / 100)
+    need = F.greatest(F.lit(1), F.floor((least - F.ceil(least * percent / 100)) / 2))
+    left = shared
+    for _ in range(2):  # classes that go leave fewer shared tokens to the others
+        stay = left.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= need).select("c")
+        left = left.join(stay, "c")
+        left = written(left.join(left.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "token"), "tokens")
+    hubs = left.groupBy("token").agg(F.min("c").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    near = left.select("c", "token").join(hubs, "token").select("hub", "c").distinct()
     links = written(_joined(docs, classes, near, text, key, levels, shingle, percent, seed), "links")
     comp = components(links, "x", "y")
     named = classes.select("c", "n", "k").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -278,7 +303,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
 def _joined(docs, classes, near, text, key, levels, shingle, percent, seed) -> DataFrame:
     """x, y: links between classes, a spanning forest of each task."""
     spark = docs.sparkSession
-    members = near.select(F.col("node").alias("c"), F.col("component").alias("cluster")).join(classes.drop("prefix"), "c")
+    members = written(near.withColumnRenamed("hub", "cluster").join(classes.drop("prefix"), "c"), "members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     units = max(1, -(-total // UNIT_SHINGLES))
@@ -288,19 +313,21 @@ def _joined(docs, classes, near, text, key, levels, shingle, percent, seed) -> D
     several = F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("block")), lambda j: F.concat_ws("/", F.lit("b"), F.col("cluster"), F.least("block", j), F.greatest("block", j)))
     one = F.array(F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(units))))
     placed = placed.withColumn("block", block).withColumn("units", F.when(F.col("nb") > 1, several).otherwise(one))
-    want = placed.select("c", "cluster", F.col("k").alias("wk"), F.col("th").alias("wth"), "units")
+    # A text goes to a task once, whatever the number of its hubs there.
+    each = placed.select("c", "cluster", F.col("k").alias("wk"), F.col("th").alias("wth"), F.explode("units").alias("unit"))
+    want = each.groupBy("c", "wk", "wth", "unit").agg(F.collect_set("cluster").alias("clusters"))
     texts = docs.withColumn("th", F.xxhash64(text)).join(want, (F.col("th") == F.col("wth")) & F.col(key).eqNullSafe(F.col("wk")))
-    rows = texts.select(F.explode("units").alias("unit"), "cluster", "c", F.col(text).alias("t"))
+    rows = texts.select("unit", "clusters", "c", F.col(text).alias("t"))
     known = spark.sparkContext.broadcast(levels)
 
     def run(table: pa.Table) -> pa.Table:
         own = Shingler(shingle, seed)
         groups: dict[int, dict[int, np.ndarray]] = {}
         for chunk in table.to_batches(1000):
-            for cluster, c, t in zip(*(chunk.column(n).to_pylist() for n in ("cluster", "c", "t"))):
-                held = groups.setdefault(cluster, {})
-                if c not in held:
-                    held[c] = ordered(own.set(t), known.value)
+            for clusters, c, t in zip(*(chunk.column(n).to_pylist() for n in ("clusters", "c", "t"))):
+                keys = ordered(own.set(t), known.value)
+                for cluster in clusters:
+                    groups.setdefault(cluster, {})[c] = keys
         x, y = [], []
         for held in groups.values():
             ids = sorted(held)
