@@ -1,5 +1,6 @@
 """Values against brute force, an exact round trip, or held-out accuracy."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -166,7 +167,7 @@ def test_warc_segments(spark, tmp_path):
     rows += [(100 + i, "http://y/", rows[5][2]) for i in range(4)]
     path = str(tmp_path / "w")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment=700)
-    text = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     assert b"WARC-Type: continuation" in text
     back = {int(x.page_id): x for x in warc.read(spark, path).collect()}
     assert len(back) == len(rows)

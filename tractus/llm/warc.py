@@ -4,7 +4,8 @@ Writing: the payload becomes an HTTP response, framed in chunks (RFC 9112). A re
 segment size is written as a first segment and continuation records, which carry the origin's id and their number; the
 last one has the total length. Of records with equal payloads the one with the smallest page id is a response, the
 others are revisits with headers only. Spark's own text writer puts the records into files: each row is one record and
-the line separator is the two line ends that close a record. It writes to whatever store the shared folder is in.
+the line separator is the two line ends that close a record; files are compressed. It writes to whatever store the
+shared folder is in.
 
 Reading: files are parsed record by record by their Content-Length. Continuation records are grouped by origin id,
 ordered by segment number, their total length is verified, and the joined block is decoded.
@@ -13,6 +14,7 @@ ordered by segment number, their total length is verified, and the joined block
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -116,11 +118,13 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
                     yield pa.RecordBatch.from_arrays([pa.array(made[i : i + 64], pa.binary())], schema=schema)
 
     out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes):
-    """(fields, block) of each record of an archive."""
+    """(fields, block) of each record of an archive, compressed or not."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         if content[at : at + 5] != b"WARC/":
