@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = sign(now)
     while before[0]:
-        now = written(_small_star(_large_star(now)), "edges")
+        old, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(old)
         after = sign(now)
         if after == before:
             break

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, signed, written
+from .common import Memo, bounded_batches, discard, signed, written
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -287,11 +287,13 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     left = shared
     for _ in range(2):  # classes that go leave fewer shared tokens to the others
         stay = left.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= need).select("c")
-        left = left.join(stay, "c")
-        left = written(left.join(left.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "token"), "tokens")
+        kept = left.join(stay, "c")
+        old, left = left, written(kept.join(kept.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "token"), "tokens")
+        discard(old)
     hubs = left.groupBy("token").agg(F.min("c").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
     near = left.select("c", "token").join(hubs, "token").select("hub", "c").distinct()
     links = written(_joined(docs, classes, near, text, key, levels, shingle, percent, seed), "links")
+    discard(left)
     comp = components(links, "x", "y")
     named = classes.select("c", "n", "k").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("k").alias("component_id"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches, signed, written
+from .common import arrow_schema, bounded_batches, discard, signed, written
 from .suffix import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 200, 24
@@ -160,9 +160,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
     found = written(slim.filter(F.octet_length("t") >= length).mapInArrow(cut, f"k {kind}, th long, a int, n int, h long, g long, x boolean"), "segments")
     several = found.groupBy("h").agg(F.count("*").alias("m"), F.max("x").alias("x")).filter("m > 1 OR x").select("h")
     again = written(found.drop("x").join(several, "h"), "repeated")
+    discard(found)
     distinct = again.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("th", "k", "a", "n")).alias("r")).select("h", "g", "m", F.col("r.th").alias("th"), F.col("r.k").alias("k"), F.col("r.a").alias("a"), F.col("r.n").alias("n"))
     distinct = written(distinct, "distinct")
     answers = written(_sorted(slim, distinct, length), "covered")
+    discard(distinct)
     # A segment's answer goes to all its places; blocks of one name may answer for one segment more than once.
     flat = again.join(answers, ["h", "g"]).select("k", "th", F.transform("spans", lambda x: x + F.col("a")).alias("s")).groupBy(F.col("k").alias("_k"), F.col("th").alias("_t")).agg(F.flatten(F.collect_list("s")).alias("_flat"))
     names = docs.columns
