@@ -135,3 +135,15 @@ def test_scan_does_not_depend_on_partitions(spark):
     assert got[0] == got[1] and got[0]
     events = scan.cyclic_scan(df, Options()).collect()
     assert events and events[0].round == 1
+
+
+@pytest.mark.parametrize("method", ["RDP", "GENECONV", "BootScan", "MaxChi", "CHIMAERA", "SISCAN", "3SEQ"])
+def test_recheck_and_plot(method):
+    from tractus.operators.kernels import review
+
+    states, o = mosaic(), Options(boot_window=100, sis_window=100, sis_step=10)
+    p = review.recheck(method, states, 300, 600, o)
+    assert 0 <= p <= 1 and (method == "SISCAN" or p < 1e-3)
+    assert review.recheck(method, np.ones((3, 50), np.int8), 5, 20, o) == 1.0
+    pos, values = review.plot(method, states, o)
+    assert values.shape == (3, len(pos)) and len(pos) > 10 and np.isfinite(values).all()

@@ -87,3 +87,13 @@ def test_role_votes(spark):
     r = E.role_votes(df).first()
     # 8 to role 0; 18 halved between 0 and 1; 20 to role 2
     assert (r.role, r.points) == (2, 20.0) and r.confidence == pytest.approx((20 - 17) / 46)
+
+
+def test_siegmund_column_is_near_the_kernel(spark):
+    from pyspark.sql import functions as F
+
+    from tractus.operators.kernels import threeseq
+
+    df = spark.createDataFrame([(60, 80, 40), (100, 90, 35), (30, 30, 12)], "p int, m int, d int")
+    for r in df.select("*", stats.siegmund(F.col("p"), F.col("m"), F.col("d")).alias("v")).collect():
+        assert r.v == pytest.approx(threeseq.siegmund(r.p, r.m, r.d), rel=1e-3, abs=1e-9)

@@ -202,3 +202,98 @@ def prior_erasures(events: DataFrame, length: int, window: int) -> DataFrame:
 
 def span(length: int) -> Column:
     return tract_span(F.col("begin"), F.col("end"), F.lit(length))
+
+
+# ---- evidence and views -----------------------------------------------------
+
+
+def chi_only(supports: DataFrame, signals: DataFrame) -> DataFrame:
+    """Events that no method but MaxChi and CHIMAERA supports."""
+    rows = supports.join(signals.select("dataset_id", "signal_id", "method"), ["dataset_id", "signal_id"])
+    return rows.groupBy("event_id").agg((F.count_if(~F.col("method").isin("MaxChi", "CHIMAERA")) == 0).alias("chi_only"))
+
+
+def role_hypotheses(events: DataFrame) -> DataFrame:
+    """Each member of an event's triplet in turn as the recombinant, the other two as parents in order."""
+    h = lambda i, r, p, q: F.struct(F.lit(i).alias("hypothesis"), F.col(r).alias("recombinant"), F.col(p).alias("parent1"), F.col(q).alias("parent2"))
+    return events.select("event_id", F.inline(F.array(h(0, "a", "b", "c"), h(1, "b", "a", "c"), h(2, "c", "a", "b"))))
+
+
+def masked_followup(states: DataFrame, events: DataFrame) -> DataFrame:
+    """Masked rows against the parents of each event of their data set."""
+    kept = F.filter(F.array("a", "b", "c"), lambda x: x != F.col("recombinant"))
+    e = events.select("dataset_id", "event_id", "recombinant", kept.alias("p"))
+    rows = states.filter("row_state = 'masked'").select("dataset_id", "seq_id").join(e, "dataset_id")
+    return rows.filter("seq_id <> recombinant AND NOT array_contains(p, seq_id)").select("event_id", "seq_id", F.col("p")[0].alias("parent1"), F.col("p")[1].alias("parent2"))
+
+
+def _regions(length: int, flank: int) -> Column:
+    """Regions of a site: inside or outside the tract, and within the flanks of either breakpoint (circular)."""
+    n, inner = F.lit(length), in_tract(F.col("pos"), F.col("begin"), F.col("end"))
+    near = lambda d, name: F.when(F.pmod(d, n) < flank, name)
+    names = F.array(
+        F.when(inner, "in").otherwise("out"),
+        near(F.col("begin") - 1 - F.col("pos"), "begin_left"),
+        near(F.col("pos") - F.col("begin"), "begin_right"),
+        near(F.col("end") - F.col("pos"), "end_left"),
+        near(F.col("pos") - F.col("end") - 1, "end_right"),
+    )
+    return F.filter(names, lambda x: x.isNotNull())
+
+
+def regional_counts(sequences: DataFrame, events: DataFrame, pairs: DataFrame, length: int, flank: int = 20) -> DataFrame:
+    """event_id, s1, s2, region, valid, differences. pairs: event_id, s1, s2, the pairs to be measured for each event."""
+    e = events.select("event_id", "dataset_id", "begin", "end").join(pairs, "event_id")
+    side = lambda n, s: sequences.select("dataset_id", F.col("seq_id").alias(n), F.col("states").alias(s))
+    rows = e.join(side("s1", "x"), ["dataset_id", "s1"]).join(side("s2", "y"), ["dataset_id", "s2"])
+    sites = rows.select("event_id", "s1", "s2", "begin", "end", F.posexplode(F.arrays_zip("x", "y")).alias("i", "p")).withColumn("pos", F.col("i") + 1)
+    sites = sites.filter("p.x > 0 AND p.y > 0").select("event_id", "s1", "s2", F.explode(_regions(length, flank)).alias("region"), (F.col("p.x") != F.col("p.y")).alias("differs"))
+    return sites.groupBy("event_id", "s1", "s2", "region").agg(F.count("*").alias("valid"), F.count_if("differs").alias("differences"))
+
+
+def triplet_pairs(events: DataFrame) -> DataFrame:
+    p = lambda x, y: F.struct(F.col(x).alias("s1"), F.col(y).alias("s2"))
+    return events.select("event_id", F.inline(F.array(p("a", "b"), p("a", "c"), p("b", "c"))))
+
+
+def phylogenetic_set(sequences: DataFrame, events: DataFrame, length: int) -> DataFrame:
+    """Rows that are closer to an event's recombinant than to both parents, inside the tract and outside."""
+    others = sequences.select("dataset_id", F.col("seq_id").alias("s1"))
+    member = events.select("dataset_id", "event_id", "recombinant", F.array("a", "b", "c").alias("t"))
+    pairs = member.join(others, "dataset_id").filter("NOT array_contains(t, s1)").select("event_id", "s1", F.explode("t").alias("s2"))
+    d = regional_counts(sequences, events, pairs, length).filter("region IN ('in', 'out')").withColumn("d", F.col("differences") / F.col("valid"))
+    own = F.col("s2") == F.col("recombinant")
+    d = d.join(member.select("event_id", "recombinant"), "event_id").groupBy("event_id", "s1", "region").agg(F.max(F.when(own, F.col("d"))).alias("own"), F.min(F.when(~own, F.col("d"))).alias("parent"), F.count("*").alias("k"))
+    return d.filter("k = 3 AND own < parent").groupBy("event_id", F.col("s1").alias("seq_id")).agg(F.count("*").alias("regions")).filter("regions = 2").drop("regions")
+
+
+def breakpoint_view(sequences: DataFrame, events: DataFrame, length: int, flank: int, rows: int) -> DataFrame:
+    """Sites around both breakpoints of each event: its triplet first, then other rows in order, ``rows`` in all."""
+    e = events.select("dataset_id", "event_id", F.array("a", "b", "c").alias("t"), F.explode(F.array(F.struct(F.lit("begin").alias("side"), F.col("begin").alias("at")), F.struct(F.lit("end").alias("side"), F.col("end").alias("at")))).alias("bp"))
+    all_ = e.join(sequences.select("dataset_id", "seq_id", "states"), "dataset_id")
+    w = Window.partitionBy("event_id", "bp.side").orderBy(~F.array_contains("t", F.col("seq_id")), "seq_id")
+    shown = all_.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= rows)
+    offsets = shown.select("event_id", "bp.side", "seq_id", "row", "states", "bp.at", F.explode(F.sequence(F.lit(-flank), F.lit(flank))).alias("offset"))
+    pos = (F.pmod(F.col("at") + F.col("offset") - 1, F.lit(length)) + 1).cast("int")
+    return offsets.withColumn("pos", pos).select("event_id", "side", "seq_id", "row", "offset", "pos", F.element_at("states", F.col("pos")).cast("int").alias("st"))
+
+
+def latest_values(edits: DataFrame, fields: list[str]) -> DataFrame:
+    """Of an append-only log of edits the last value of each field that was given one."""
+    return edits.groupBy("event_id").agg(*[F.max_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.struct("at", "edit_id"))).alias(f) for f in fields])
+
+
+def csv_lines(events: DataFrame, fields: list[str]) -> DataFrame:
+    """One line of comma-separated values for each event; text with a comma, quote or line end is quoted."""
+    cell = lambda c: F.when(F.col(c).cast("string").rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return events.select("event_id", F.concat_ws(",", *[cell(c) for c in fields]).alias("line"))
+
+
+def tract_records(sequences: DataFrame, events: DataFrame) -> DataFrame:
+    """The recombinant's own tract of each event as a sequence, in order of events; a wrapped tract goes on from the
+    last site to the first."""
+    rows = events.select("dataset_id", "event_id", F.col("recombinant").alias("seq_id"), "begin", "end").join(sequences.select("dataset_id", "seq_id", "states"), ["dataset_id", "seq_id"])
+    part = lambda a, n: F.slice("states", a, n)
+    size = F.size("states")
+    tract = F.when(F.col("begin") <= F.col("end"), part(F.col("begin"), F.col("end") - F.col("begin") + 1)).otherwise(F.concat(part(F.col("begin"), size - F.col("begin") + 1), part(F.lit(1), F.col("end"))))
+    return rows.select("event_id", "seq_id", as_text(tract).alias("sequence"))

@@ -285,6 +285,71 @@ def breakpoint_ranges(s, sf):
     return e.select("event_id", "s_a", "s_b", "s_c").mapInArrow(run, "event_id long, position int, low int, high int")
 
 
+def _measured(kernel, ddl):
+    """kernel(states, row) -> rows for the triplet of each event of the planted alignments."""
+
+    def query(s, sf):
+        ensure(s)
+        seqs = _planted(s, sf)
+        e = scan.cyclic_scan(seqs, _options(), ("RDP", "3SEQ")).filter("round = 1")
+        for n in ("recombinant", "major", "minor"):
+            e = e.join(seqs.select("dataset_id", F.col("seq_id").alias(n), F.col("states").alias(f"s_{n}")), ["dataset_id", n])
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+            fields = [x.split() for x in ddl.split(", ")]
+            for b in batches:
+                rows = [r for d in b.to_pylist() for r in kernel(np.array([d["s_recombinant"], d["s_major"], d["s_minor"]], np.int8), d)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+        return e.select("dataset_id", "begin", "end", "s_recombinant", "s_major", "s_minor").mapInArrow(run, ddl)
+
+    return query
+
+
+def _recheck(states, d):
+    from ..operators.kernels import review
+
+    return [(d["dataset_id"], m, review.recheck(m, states, d["begin"], d["end"], _options())) for m in E.METHOD_ORDER]
+
+
+def _plot(states, d):
+    from ..operators.kernels import review
+
+    for m in E.METHOD_ORDER:
+        pos, values = review.plot(m, states, _options())
+        yield from ((d["dataset_id"], m, int(p), *map(float, v)) for p, v in zip(pos, values.T))
+
+
+def _supports(s, sf):
+    return E.supports(signals(s, sf), _events(s, sf), LENGTH)
+
+
+def regional_distances(s, sf):
+    e = _events(s, sf)
+    r = E.regional_counts(_seqs(s, sf), e, E.triplet_pairs(e), LENGTH)
+    return _round(r.withColumn("distance", stats.jukes_cantor(F.col("valid"), F.col("differences"))), "distance")
+
+
+def masked_followup(s, sf):
+    return E.masked_followup(R.row_state(R.sequence_counts(_seqs(s, sf)), 61, 60), _events(s, sf))
+
+
+def review_edits(s, sf):
+    v = F.col("value").cast("int") % LENGTH + 1
+    log = _table(s, sf, "events").select((F.col("event_id") * 7 % 500).alias("event_id"), F.col("event_id").alias("edit_id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, v).alias("begin"), F.when(F.col("event_id") % 2 == 0, v).alias("end"))
+    return E.latest_values(log, ["begin", "end"])
+
+
+def siegmund(s, sf):
+    n, q = F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int")
+    p = stats.siegmund(q + 10, n + 20, n + 12)
+    return _table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 9).alias("p"))
+
+
 def readers_roundtrip(s, sf):
     """Each data set as FASTA text, parsed again."""
     row = F.struct("seq_id", F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit("\n"), E.as_text(F.col("states"))).alias("r"))
@@ -366,6 +431,18 @@ def queries():
         "enabled_fasta": enabled_fasta,
         "fragments": fragments,
         "scalar_functions": scalar_functions,
+        "chi_only_events": lambda s, sf: E.chi_only(_supports(s, sf), signals(s, sf)),
+        "role_hypotheses": lambda s, sf: E.role_hypotheses(_events(s, sf)),
+        "masked_followup": masked_followup,
+        "regional_distances": regional_distances,
+        "phylogenetic_set": lambda s, sf: E.phylogenetic_set(_seqs(s, sf), _events(s, sf), LENGTH),
+        "breakpoint_view": lambda s, sf: E.breakpoint_view(_seqs(s, sf), _events(s, sf), LENGTH, 10, 5),
+        "review_edits": review_edits,
+        "event_csv": lambda s, sf: E.csv_lines(_events(s, sf), ["event_id", "method", "recombinant", "begin", "end"]),
+        "tract_fasta": lambda s, sf: E.tract_records(_seqs(s, sf), _events(s, sf)),
+        "siegmund": siegmund,
+        "event_recheck": _measured(_recheck, "dataset_id long, method string, p double"),
+        "event_plots": _measured(_plot, "dataset_id long, method string, pos int, v1 double, v2 double, v3 double"),
         "readers_roundtrip": readers_roundtrip,
         "project_roundtrip": project_roundtrip,
         "auto_mask": auto_mask,

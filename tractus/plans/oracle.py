@@ -106,6 +106,10 @@ keyed AS (SELECT *, lower(trim(regexp_extract(name, '(?i)(?:^|[\\s|])REF(?:[-_:]
 keys AS (SELECT *, CASE WHEN lab <> '' THEN 'label:' || lab ELSE 'sequence:' || seq_id END AS key FROM keyed),
 grp AS (SELECT dataset_id, key, row_number() OVER (PARTITION BY dataset_id ORDER BY min(seq_id)) AS ref_group FROM keys GROUP BY dataset_id, key),
 groups AS (SELECT n.dataset_id, n.seq_id, coalesce(ref_group, 0) AS ref_group FROM names n LEFT JOIN keys k USING (dataset_id, seq_id) LEFT JOIN grp USING (dataset_id, key))""".replace("LEFT JOIN grp USING (dataset_id, key)", "LEFT JOIN grp ON grp.dataset_id = n.dataset_id AND grp.key = k.key")
+END = '"end"'
+REGIONS = """,
+rs0 AS (SELECT event_id, p.seq_id AS s1, q.seq_id AS s2, p.st AS x, q.st AS y, CAST(p.pos AS BIGINT) AS pos, begin AS tb, "end" AS te FROM ev JOIN cells p ON p.dataset_id = ev.dataset_id JOIN cells q ON q.dataset_id = ev.dataset_id AND q.pos = p.pos AND q.seq_id <> p.seq_id WHERE p.st > 0 AND q.st > 0),
+rs AS (SELECT *, unnest(list_filter([CASE WHEN TRACT THEN 'in' ELSE 'out' END, CASE WHEN ((tb - 1 - pos) % 64 + 64) % 64 < 20 THEN 'begin_left' END, CASE WHEN ((pos - tb) % 64 + 64) % 64 < 20 THEN 'begin_right' END, CASE WHEN ((te - pos) % 64 + 64) % 64 < 20 THEN 'end_left' END, CASE WHEN ((pos - te - 1) % 64 + 64) % 64 < 20 THEN 'end_right' END], lambda r: r IS NOT NULL)) AS region FROM rs0)""".replace("TRACT", _tract("pos", "tb", "te"))
 FASTA = "string_agg(substr('-ACGT', CAST(st + 1 AS INTEGER), 1), '' ORDER BY pos)"
 HIT = "EXISTS (SELECT 1 FROM ev WHERE ev.dataset_id = s.dataset_id{extra} AND " + _tract("s.pos", "ev.begin", 'ev."end"') + ")"
 DECISIONS = """
@@ -176,6 +180,15 @@ def sql() -> dict[str, str]:
         "enabled_fasta": w(CELLS, "SELECT dataset_id, seq_id, " + FASTA + " AS sequence FROM cells JOIN counts USING (dataset_id, seq_id) WHERE valid_sites >= 61 GROUP BY dataset_id, seq_id"),
         "fragments": w(EVENTS + ', f AS (SELECT s.dataset_id, s.seq_id AS origin, ev.event_id, ' + FASTA.replace("st + 1", f"CASE WHEN {_tract('s.pos', 'ev.begin', 'ev.' + chr(34) + 'end' + chr(34))} THEN st ELSE 0 END + 1").replace("ORDER BY pos", "ORDER BY s.pos") + ' AS sequence FROM cells s JOIN ev ON ev.dataset_id = s.dataset_id AND ev.recombinant = s.seq_id GROUP BY ALL)', "SELECT dataset_id, origin, min(event_id) AS event_id, sequence FROM f WHERE length(replace(sequence, '-', '')) >= 5 GROUP BY dataset_id, origin, sequence"),
         "flagship": w(RICH + ", n AS (SELECT dataset_id, a, b, c, count(*) AS rich_sites, count(*) FILTER (cat = 0) AS n12, count(*) FILTER (cat = 1) AS n13, count(*) FILTER (cat = 2) AS n23 FROM rich GROUP BY ALL), k AS (SELECT *, CASE WHEN n12 >= n13 AND n12 >= n23 THEN '12' WHEN n13 >= n23 THEN '13' ELSE '23' END AS top, (greatest(n12, n13, n23) - least(n12, n13, n23)) / rich_sites AS contrast FROM n)", "SELECT dataset_id, a, b, c, rich_sites, top, round(contrast, 6) AS contrast FROM k QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY contrast DESC, rich_sites DESC, a, b, c) <= 10"),
+        "chi_only_events": w(EVENTS + f', sp AS (SELECT e.event_id, s.method FROM signals s JOIN ev e ON s.dataset_id = e.dataset_id AND len(list_intersect([s.a, s.b, s.c], [e.a, e.b, e.c])) >= 2 WHERE {_overlap("s.begin", "s." + END, "e.begin", "e." + END)} > 0.3)', "SELECT event_id, bool_and(method IN ('MaxChi', 'CHIMAERA')) AS chi_only FROM sp GROUP BY event_id"),
+        "role_hypotheses": w(EVENTS, "SELECT event_id, 0 AS hypothesis, a AS recombinant, b AS parent1, c AS parent2 FROM ev UNION ALL SELECT event_id, 1, b, a, c FROM ev UNION ALL SELECT event_id, 2, c, a, b FROM ev"),
+        "masked_followup": w(EVENTS, "SELECT event_id, k.seq_id, CASE WHEN recombinant = a THEN b ELSE a END AS parent1, CASE WHEN recombinant = c THEN b ELSE c END AS parent2 FROM counts k JOIN ev USING (dataset_id) WHERE valid_sites = 60 AND k.seq_id NOT IN (a, b, c)"),
+        "regional_distances": w(EVENTS + REGIONS, "SELECT event_id, s1, s2, region, count(*) AS valid, count(*) FILTER (x <> y) AS differences, round(CASE WHEN count(*) FILTER (x <> y) = 0 THEN 0.0 WHEN count(*) FILTER (x = y) / count(*) <= 0.25 THEN 10.0 ELSE -0.75 * ln((4.0 * (count(*) FILTER (x = y) / count(*)) - 1.0) / 3.0) END, 6) AS distance FROM rs JOIN (SELECT event_id, a, b, c FROM ev) USING (event_id) WHERE s1 IN (a, b, c) AND s2 IN (a, b, c) AND s1 < s2 GROUP BY event_id, s1, s2, region"),
+        "phylogenetic_set": w(EVENTS + REGIONS + ", pd AS (SELECT event_id, s1, s2, region, count(*) FILTER (x <> y) / count(*) AS d FROM rs WHERE region IN ('in', 'out') GROUP BY ALL), pg AS (SELECT event_id, s1, region, max(d) FILTER (s2 = recombinant) AS own, min(d) FILTER (s2 <> recombinant) AS parent, count(*) AS k FROM pd JOIN (SELECT event_id, recombinant, a, b, c FROM ev) USING (event_id) WHERE s2 IN (a, b, c) AND s1 NOT IN (a, b, c) GROUP BY ALL)", "SELECT event_id, s1 AS seq_id FROM pg WHERE k = 3 AND own < parent GROUP BY ALL HAVING count(*) = 2"),
+        "breakpoint_view": w(EVENTS + ", bp AS (SELECT dataset_id, event_id, a, b, c, 'begin' AS side, begin AS site FROM ev UNION ALL SELECT dataset_id, event_id, a, b, c, 'end', " + END + " FROM ev), sh AS (SELECT event_id, side, site, dataset_id, k.seq_id, CAST(row_number() OVER (PARTITION BY event_id, side ORDER BY k.seq_id NOT IN (a, b, c), k.seq_id) AS INTEGER) AS row FROM bp JOIN counts k USING (dataset_id)), o AS (SELECT *, CAST(o AS INTEGER) AS offset_, CAST(((site + o - 1) % 64 + 64) % 64 + 1 AS INTEGER) AS pos FROM sh CROSS JOIN range(-10, 11) g(o) WHERE row <= 5)", "SELECT event_id, side, o.seq_id, row, offset_ AS \"offset\", o.pos, st FROM o JOIN cells c ON c.dataset_id = o.dataset_id AND c.seq_id = o.seq_id AND c.pos = o.pos"),
+        "review_edits": "WITH l AS (SELECT (event_id * 7) % 500 AS event_id, event_id AS edit_id, ts, CASE WHEN event_id % 3 = 0 THEN CAST(trunc(value) AS INTEGER) % 64 + 1 END AS b, CASE WHEN event_id % 2 = 0 THEN CAST(trunc(value) AS INTEGER) % 64 + 1 END AS e FROM events) SELECT event_id, arg_max(b, (ts, edit_id)) FILTER (b IS NOT NULL) AS begin, arg_max(e, (ts, edit_id)) FILTER (e IS NOT NULL) AS " + END + " FROM l GROUP BY event_id",
+        "event_csv": w(EVENTS, "SELECT event_id, event_id || ',' || method || ',' || recombinant || ',' || begin || ',' || " + END + " AS line FROM ev"),
+        "tract_fasta": w(EVENTS, "SELECT event_id, s.seq_id, string_agg(substr('-ACGT', CAST(st + 1 AS INTEGER), 1), '' ORDER BY CASE WHEN pos >= begin THEN pos ELSE pos + 64 END) AS sequence FROM ev JOIN cells s ON s.dataset_id = ev.dataset_id AND s.seq_id = ev.recombinant WHERE CASE WHEN begin <= " + END + " THEN pos BETWEEN begin AND " + END + " ELSE pos >= begin OR pos <= " + END + " END GROUP BY event_id, s.seq_id"),
         "readers_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence FROM cells GROUP BY dataset_id, seq_id"),
         "project_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence, 'enabled' AS row_state FROM cells GROUP BY dataset_id, seq_id"),
         "scalar_functions": f"SELECT l_orderkey, l_linenumber, round({_tail('z')}, 9) AS tail, round(CASE WHEN q + r > 0 AND 100 - q - r > 0 THEN pow(q * (50.0 - r) - (50.0 - q) * r, 2) * 2.0 / (50.0 * (q + r) * (100.0 - q - r)) ELSE 0.0 END, 6) AS chi, round(least(1.0, p * 120), 9) AS bonferroni, round(1 - pow(1 - p, 120), 9) AS sidak, round(round_even(h, 0), 1) AS half_even FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 6.0 AS z, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS r, CAST(l_linenumber AS DOUBLE) / 100.0 AS p, CAST(l_quantity AS DOUBLE) / 4.0 AS h FROM lineitem)",
