@@ -147,3 +147,16 @@ def test_recheck_and_plot(method):
     assert review.recheck(method, np.ones((3, 50), np.int8), 5, 20, o) == 1.0
     pos, values = review.plot(method, states, o)
     assert values.shape == (3, len(pos)) and len(pos) > 10 and np.isfinite(values).all()
+
+
+def test_rediscovery_keeps_decided_events():
+    rows = list(mosaic()) + [lineage(900, 31)]
+    o, methods = Options(), ("RDP", "3SEQ")
+    events = scan.Cycle(rows, o, methods).run()
+    first = events[0]
+    again = scan.rediscovered(rows, [first | {"state": "accepted"}], o, methods)
+    assert again[0]["begin"] == first["begin"] and [e["begin"] for e in again[1:]] == [e["begin"] for e in events[1:]]
+    edited = scan.rediscovered(rows, [first | {"begin": 1, "end": 10, "state": "accepted"}], o, methods)
+    assert any(scan.tract_overlap(e["begin"], e["end"], 300, 600, 900) > 0.8 for e in edited[1:])
+    rejected = scan.rediscovered(rows, [first | {"state": "rejected"}], o, methods)
+    assert len(rejected) > 1

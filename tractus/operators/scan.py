@@ -107,8 +107,17 @@ class Cycle:
         self.known = {k: v for k, v in self.known.items() if row not in k}
         return True
 
+    def replay(self, decided: list[dict]) -> None:
+        """Takes over earlier events as they were decided: accepted tracts are erased again, those of rejected ones are
+        not, so later rounds may find them in another way."""
+        for e in decided:
+            self.events.append(e)
+            if e.get("state") != "rejected":
+                self.erase(e["recombinant"], e["begin"], e["end"])
+
     def run(self) -> list[dict]:
-        for number in range(1, ROUNDS + 1):
+        """Adds a round for each event that is found; stops without a signal, without new erased sites, or after ROUNDS."""
+        for number in range(len(self.events) + 1, ROUNDS + 1):
             found = self.signals()
             chosen = next((t for t in found if self.erase(t[3][t[4].recombinant], t[4].begin, t[4].end)), None)
             if chosen is None:
@@ -121,6 +130,13 @@ class Cycle:
         return self.events
 
 
+def rediscovered(states: list[np.ndarray], decided: list[dict], o: Options, methods=PRIMARY) -> list[dict]:
+    """Events after the reviewed ones: decided is kept in order, everything later is looked for anew."""
+    cycle = Cycle(states, o, methods)
+    cycle.replay(decided)
+    return cycle.run()
+
+
 EVENT_SCHEMA = "dataset_id long, round int, method string, recombinant int, major int, minor int, begin int, end int, corrected_p double, supports int, methods string"
 
 
