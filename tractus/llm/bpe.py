@@ -23,9 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, batch, bounded_batches
-
-_LOADED: dict = {}
+from .common import Memo, arrow_schema, bounded_batches, resident
 
 
 def byte_symbols() -> list[str]:
@@ -125,7 +123,7 @@ class Encoder:
         # White space as the tokenizer's own pattern engine has it.
         self.words = regex.compile(pattern.replace(r"\s", r"\t-\r\x20\x85\xa0  -     　"))
         self.symbols = byte_symbols()
-        self.paths = Memo(self._path, 700_000)
+        self.paths = Memo(self._path, 400_000)
 
     def _path(self, word: str) -> tuple[int, ...]:
         return tuple(self.automaton.encode("".join([self.symbols[b] for b in word.encode()])))
@@ -151,11 +149,7 @@ class Encoder:
 
 def load(content: str) -> Encoder:
     """One compiled encoder per Python worker and vocabulary."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Encoder(json.loads(content))
-    return _LOADED[key]
+    return resident(("bpe", hash(content)), lambda: Encoder(json.loads(content)))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

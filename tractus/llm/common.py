@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +73,18 @@ def h64(data: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(data))
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What make() gives, kept in the Python worker for later tasks. A worker keeps one such thing at a time, so operators
+    that run one after the other do not add up their caches."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class Memo(dict):
     """A bounded cache of a pure function of a word; it is emptied when full, so results never depend on it."""
 
@@ -93,7 +104,3 @@ class Memo(dict):
 def arrow_schema(df: DataFrame, names: list[str]) -> list[str]:
     """DDL of those columns of df, to be carried through a mapInArrow."""
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
-
-
-def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

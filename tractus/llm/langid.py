@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches
+from .common import arrow_schema, bounded_batches, resident
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the labelled sample: rows of each language, and symbols of each language's automaton.
 SAMPLE_ROWS, SAMPLE_SYMBOLS = 60, 60_000
 UNKNOWN = "und"
-_BUILT: dict = {}
 
 
 class SuffixAutomaton:
@@ -142,11 +141,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     learned = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_SYMBOLS symbols a language at most
 
     def run(batches):
-        key = hash(tuple(sorted(learned.value.items())))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Model(learned.value)
-        model = _BUILT[key]
+        model = resident(("langid", hash(tuple(sorted(learned.value.items())))), lambda: Model(learned.value))
         for b in batches:
             found = [model.predict(t) for t in b.column(at).to_pylist()]
             cols = [b.column(i) for i in range(b.num_columns)]
