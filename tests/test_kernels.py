@@ -160,3 +160,41 @@ def test_rediscovery_keeps_decided_events():
     assert any(scan.tract_overlap(e["begin"], e["end"], 300, 600, 900) > 0.8 for e in edited[1:])
     rejected = scan.rediscovered(rows, [first | {"state": "rejected"}], o, methods)
     assert len(rejected) > 1
+
+
+def test_pearson_of_six_points():
+    from tractus.operators.kernels import consensus
+
+    assert consensus.pearson6(range(6), range(6)) == (1.0, 0.0)
+    assert consensus.pearson6([1] * 6, range(6)) == (0.0, 1.0)
+    # t = 2.776 is the two-sided 5 % point of four degrees of freedom; r follows from it.
+    r = 2.776445 / math.sqrt(4 + 2.776445**2)
+    x = np.array([1, -1, 0, 0, 1, -1.0])
+    y = np.array([1, 1, -2, 0, 0, 0.0]) / math.sqrt(6) * math.sqrt(x @ x)
+    got, p = consensus.pearson6(x, r * x + math.sqrt(1 - r * r) * y)
+    assert abs(got - r) < 1e-9 and abs(p - 0.05) < 1e-4
+    own = np.array([[1.0, 2, 3], [3, 2, 1.5]])
+    assert consensus.relabelled(own[:, [2, 0, 1]], own)[0] > 0.999
+
+
+def test_erased_data_ban_windows_and_split_tracts():
+    from tractus.operators.kernels import consensus
+
+    states = mosaic()
+    assert consensus.gaps(np.array([1, *[0] * 9, 1, *[0] * 10])).sum() == 10
+    assert consensus.pieces(8, 3, np.isin(np.arange(10), (8, 9))) == [(8, 8), (1, 3)]
+    whole = threeseq.discover(states, Options())[0]
+    assert consensus.split(whole, states, Options()) is whole
+    holed = states.copy()
+    holed[0, 399:430] = 0
+    c = min(threeseq.discover(holed, Options()), key=lambda c: c.corrected_p)
+    part = consensus.split(c, holed, Options())
+    assert part is not None and part.detail["split"] and (part.end < 400 or part.begin > 430)
+    v = Variable(holed)
+    cut = maxchi.cuts(holed, v.pos)
+    assert cut.sum() == 1
+    at = int(np.flatnonzero(cut)[0])
+    chi = maxchi.profile(v.match[0], 10, 0, True, cut)
+    assert (np.delete(chi[at - 9 : at + 10], 9) == 0).all()
+    inner, outer = consensus.support_shares(states, 300, 600)
+    assert inner > 0.9 and outer > 0.9

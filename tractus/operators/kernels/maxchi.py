@@ -26,18 +26,32 @@ def choose_window(n: int, fixed: int, p: float) -> tuple[int, int] | None:
     return (h, critical) if h >= 6 and 2 * h <= n else None
 
 
-def profile(flags: np.ndarray, h: int, critical: int, circular: bool) -> np.ndarray:
+def profile(flags: np.ndarray, h: int, critical: int, circular: bool, cuts: np.ndarray | None = None) -> np.ndarray:
     """Chi-square at boundary i, between the h sites before i and the h sites from i on; 0 where the difference is not
-    above the critical one, or, if linear, where a window would wrap."""
+    above the critical one, or, if linear, where a window would wrap. cuts[i]: erased data lie between the sites i - 1
+    and i; windows with a cut inside are banned, a cut at the boundary itself is not inside."""
     right = window_sums(flags, h)
     left = np.roll(right, h)
     chi = np.where(np.abs(left - right) > critical, chi_square(h, left, right), 0.0)
+    if cuts is not None and cuts.any():
+        ban = np.roll(window_sums(cuts.astype(np.int64), max(1, h - 1)), -1) > 0
+        chi[ban | np.roll(ban, h)] = 0
     if not circular:
         chi[:h] = 0
         chi[len(chi) - h + 1 :] = 0
     return chi
 
 
+def cuts(states: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which variable sites have erased data (a long run of missing sites in any row) between them and the one before."""
+    from .consensus import gaps
+
+    erased = np.cumsum(np.any([gaps(r) for r in states], axis=0))
+    at = erased[pos - 1]
+    before = np.concatenate([[at[-1] - erased[-1]], at[:-1]]) if len(at) else at
+    return at > before
+
+
 def smooth(chi: np.ndarray) -> np.ndarray:
     """Sum of twelve values, from five before to six after, over eleven; circular."""
     return sum(np.roll(chi, -k) for k in range(-5, 7)) / 11
@@ -88,14 +102,15 @@ def tract(flags: np.ndarray, boundary: int, w: int) -> tuple[int, int, bool]:
     return begin % n + 1, end % n + 1, bool(use_left)
 
 
-def search(method: str, flags: np.ndarray, v_pos: np.ndarray, match: np.ndarray, pairs: list[int], window: int, o: Options, fixed: int | None = None) -> list[Candidate]:
-    """flags: one row for each profile; pairs: the pair that each profile stands for; fixed: the target, for CHIMAERA."""
+def search(method: str, flags: np.ndarray, v_pos: np.ndarray, match: np.ndarray, pairs: list[int], window: int, o: Options, fixed: int | None = None, banned: np.ndarray | None = None) -> list[Candidate]:
+    """flags: one row for each profile; pairs: the pair that each profile stands for; fixed: the target, for CHIMAERA;
+    banned: cuts()."""
     n = len(v_pos)
     chosen = choose_window(n, window, o.cutoff) if n else None
     if chosen is None:
         return []
     h, critical = chosen
-    chi = np.stack([profile(f, h, critical, o.circular) for f in flags])
+    chi = np.stack([profile(f, h, critical, o.circular, banned) for f in flags])
     if chi_p(float(chi.max())) * n / h * 3 > o.cutoff:  # the largest value cannot pass, so none can
         return []
     level, out, wasted = np.stack([smooth(c) for c in chi]), [], 0
@@ -129,7 +144,7 @@ def search(method: str, flags: np.ndarray, v_pos: np.ndarray, match: np.ndarray,
 
 def discover(states: np.ndarray, o: Options, variable: Variable | None = None) -> list[Candidate]:
     v = variable or Variable(states)
-    return search("MaxChi", v.match, v.pos, v.match, [0, 1, 2], o.maxchi_window, o)
+    return search("MaxChi", v.match, v.pos, v.match, [0, 1, 2], o.maxchi_window, o, None, cuts(states, v.pos))
 
 
 def chimaera(states: np.ndarray, o: Options, variable: Variable | None = None) -> list[Candidate]:
@@ -139,5 +154,5 @@ def chimaera(states: np.ndarray, o: Options, variable: Variable | None = None) -
     for target, (one, two) in enumerate(((0, 1), (0, 2), (1, 2))):
         kept = v.match[one] != v.match[two]
         if kept.sum() >= 7:
-            out += search("CHIMAERA", v.match[one : one + 1, kept], v.pos[kept], v.match[:, kept], [one], o.chimaera_window, o, target)
+            out += search("CHIMAERA", v.match[one : one + 1, kept], v.pos[kept], v.match[:, kept], [one], o.chimaera_window, o, target, cuts(states, v.pos[kept]))
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ensure
 from .events import METHOD_ORDER
-from .kernels import geneconv, maxchi, threeseq, windows
+from .kernels import consensus, geneconv, maxchi, threeseq, windows
 from .kernels.common import Candidate, Options, Variable, inside
 from .relations import triplets
 
@@ -87,7 +87,11 @@ class Cycle:
                         continue
                     if (a, b, c) not in self.known:
                         self.ran += 1
-                        self.known[a, b, c] = detect(np.stack([self.rows[a], self.rows[b], self.rows[c]]), self.o, self.methods)
+                        states = np.stack([self.rows[a], self.rows[b], self.rows[c]])
+                        found = detect(states, self.o, self.methods)
+                        if self.events:  # after an erasure 3SEQ tracts are split at erased data
+                            found = [s for f in found if (s := consensus.split(f, states, self.o) if f.method == "3SEQ" else f)]
+                        self.known[a, b, c] = found
                     for s in self.known[a, b, c]:
                         out.append((s.corrected_p, s.local_p, METHOD_ORDER.index(s.method), (a, b, c), s))
         return sorted(out, key=lambda t: (*t[:4], t[4].begin, t[4].end))
