@@ -24,8 +24,8 @@ from .common import arrow_schema, bounded_batches, discard, signed, written
 from .suffix import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 200, 24
-#: Bytes of text that are hashed together, and bytes of segments that are sorted in one task.
-PIECE, UNIT_BYTES = 1 << 20, 4 << 20
+#: Bytes of text that are hashed together, and bytes of segments that are sorted in one task: what fits in caches.
+PIECE, UNIT_BYTES = 1 << 16, 2 << 20
 _BYTE = (np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
