@@ -5,7 +5,7 @@ The gadget of a merge (a, b) -> c splits the state reached by ``a`` (the copy lo
 arcs are redirected to it), and gives each state with an ``a`` arc into the old state a ``c`` arc to where ``b`` led.
 All arcs of one label lead to one state, so a state is named by the label that enters it, and what the gadgets leave
 behind is kept as three tables: the two halves of each label, the step that made it, and the step that cut a pair.
-``arc(x, y)`` reads off whether the finished automaton has a ``y`` arc in the state of ``x``: either the arc was cut,
+``_arc(x, y)`` reads off whether the finished automaton has a ``y`` arc in the state of ``x``: either the arc was cut,
 or the newer of both states/arcs is traced back to what its gadget copied it from. Answers are stored, so the
 transition table fills with the arcs that texts use.
 
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import Memo, arrow_schema, bounded_batches, resident
 
 
+#: Arcs that are stored; the table is emptied when it is full, and fills again from the gadgets.
+KNOWN_ARCS = 400_000
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -44,7 +48,7 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         for step, pair in enumerate(merges, 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.gadget(step, vocab[a], vocab[b], vocab[a + b])
@@ -92,8 +96,10 @@ class Automaton:
                         x = state[i]
                         if x < 0:
                             continue
-                        if (ok := arcs.get((x, y))) is None:
-                            ok = arcs[x, y] = self._arc(x, y)
+                        if (ok := arcs.get(x << 32 | y)) is None:
+                            if len(arcs) >= KNOWN_ARCS:
+                                arcs.clear()
+                            ok = arcs[x << 32 | y] = self._arc(x, y)
                         if not ok:
                             continue
                     state[j], start[j] = y, i
@@ -123,7 +129,7 @@ class Encoder:
         # White space as the tokenizer's own pattern engine has it.
         self.words = regex.compile(pattern.replace(r"\s", r"\t-\r\x20\x85\xa0  -     　"))
         self.symbols = byte_symbols()
-        self.paths = Memo(self._path, 400_000)
+        self.paths = Memo(self._path, 250_000)
 
     def _path(self, word: str) -> tuple[int, ...]:
         return tuple(self.automaton.encode("".join([self.symbols[b] for b in word.encode()])))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ensure
 
-MAX_WORDS_CACHED = 400_000
+MAX_WORDS_CACHED = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that a Python worker's memory follows one batch of texts; sends the package."""
     ensure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,11 +84,21 @@ def resident(key, make):
     """What make() gives, kept in the Python worker for later tasks. A worker keeps one such thing at a time, so operators
     that run one after the other do not add up their caches."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            released()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def released() -> None:
+    """Gives freed memory back to the system, which an allocator otherwise keeps for the worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo(dict):
     """A bounded cache of a pure function of a word; it is emptied when full, so results never depend on it."""
 

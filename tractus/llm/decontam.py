@@ -12,6 +12,8 @@ block is broadcast at a time, so a benchmark of any size is only more passes.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,7 +78,7 @@ class Block:
         get, step = self.ids.get, PIECE
         for a in range(0, max(1, len(ws)), step):
             part = ws[a : a + step + self.longest]
-            yield a, np.fromiter((get(w, 0) for w in part), np.int64, len(part))
+            yield a, np.fromiter(map(get, part, repeat(0)), np.int64, len(part))
 
     @property
     def longest(self) -> int:
@@ -102,6 +104,8 @@ class Block:
         for a, ids in self.pieces(ws):
             for k in self.sizes:
                 at, found = self.known(ids, k, self.shingles[k])
+                if not len(at):
+                    continue
                 keys, n = np.unique(found[at < PIECE], return_counts=True)
                 for key, c in zip(keys.tolist(), n.tolist()):
                     counts[k, key] = counts.get((k, key), 0) + c

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches, resident
+from .common import MAX_WORDS_CACHED, arrow_schema, bounded_batches, resident
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the labelled sample: rows of each language, and symbols of each language's automaton.
-SAMPLE_ROWS, SAMPLE_SYMBOLS = 60, 60_000
+SAMPLE_ROWS, SAMPLE_SYMBOLS = 60, 30_000
 UNKNOWN = "und"
 
 
@@ -100,7 +100,7 @@ class Model:
         total = np.zeros(len(self.langs), np.int64)
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
-            if len(self.rows) > 400_000:
+            if len(self.rows) > MAX_WORDS_CACHED:
                 self.rows.clear()
             known = self.rows.get
             rows = [i if (i := known(w)) is not None else self.row(w) for w in part]
