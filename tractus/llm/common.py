@@ -91,6 +91,13 @@ def resident(key, make):
     return _RESIDENT[key]
 
 
+def vacate() -> None:
+    """Drops what a worker keeps for another operator; for tasks that need the room."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        released()
+
+
 def released() -> None:
     """Gives freed memory back to the system, which an allocator otherwise keeps for the worker."""
     gc.collect()

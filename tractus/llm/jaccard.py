@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, discard, signed, written
+from .common import Memo, bounded_batches, discard, signed, vacate, written
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -87,6 +87,7 @@ def frequencies(docs: DataFrame, text: str, shingle: int, seed: int) -> np.ndarr
     slots, part = 1 << SLOT_BITS, 1 << 17
 
     def run(batches):
+        vacate()
         own, counts = Shingler(shingle, seed), np.zeros(slots, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -242,6 +243,7 @@ def _classes(docs: DataFrame, text: str, key: str, levels, shingle: int, percent
     known = spark.sparkContext.broadcast(levels)  # 2 ** SLOT_BITS bytes
 
     def run(batches):
+        vacate()
         own = Shingler(shingle, seed)
         for b in batches:
             n, lo, hi, prefix = [], [], [], []
@@ -323,6 +325,7 @@ def _joined(docs, classes, near, text, key, levels, shingle, percent, seed) -> D
     known = spark.sparkContext.broadcast(levels)
 
     def run(table: pa.Table) -> pa.Table:
+        vacate()
         own = Shingler(shingle, seed)
         groups: dict[int, dict[int, np.ndarray]] = {}
         for chunk in table.to_batches(1000):
