@@ -12,6 +12,7 @@ block is broadcast at a time, so a benchmark of any size is only more passes.
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -80,7 +81,7 @@ class Block:
             part = ws[a : a + step + self.longest]
             yield a, np.fromiter(map(get, part, repeat(0)), np.int64, len(part))
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.windows), default=0)
 
