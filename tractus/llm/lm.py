@@ -1,7 +1,8 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-The model is a hierarchy of Chinese restaurants. The word restaurant seats every training token; its base spells words
-byte by byte in context restaurants: the restaurant of the two preceding bytes has that of the one preceding byte as
+The model is a hierarchy of Chinese restaurants. Every training token sits in the restaurant of its preceding word (the
+end, before the first one), whose parent is the word restaurant; the base of that spells words byte by byte in context
+restaurants: the restaurant of the two preceding bytes has that of the one preceding byte as
 its parent, this the restaurant without context, and this the uniform distribution. A restaurant's customers are the
 tables of its children, so the spelling restaurants learn from tables, not from tokens. Contexts that share a suffix
 share a parent.
@@ -12,9 +13,12 @@ the restaurant's rule. Sequential seating differs from the block's conditional b
 drawn and one is kept in proportion to them. The first customers of a dish are seated singly; later ones in groups that
 grow by a tenth, in which tables open as a Poisson process at the rule's rate, so work follows the logarithm of a count.
 
+Pairs of words are hashed to 64 bits, counted before they are sent and sharded by their context. A pair that occurs once
+has one table whatever the seating, so sweeps move only pairs that repeat; the others enter as sums for each word.
 Word dishes are a table in the shared folder, sharded by word. The spelling restaurants have at most 256**2 contexts
 of 257 symbols: their counts are aggregated before they are sent, and their tables are broadcast within that bound,
-whatever the input's size. A score averages the predictive probabilities of several samples.
+whatever the input's size. Scores use the mean seating of several samples: mean tables in
+the context restaurants, and mean predictive probabilities of the word restaurant. Both sum to one over all words.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches, bucket_count, discard, text_bytes, written
+from .common import Memo, arrow_schema, bounded_batches, bucket_count, discard, h64, text_bytes, written
 from .langid import held_out
 
 #: The end of a text as a dish. No word contains a space.
@@ -37,6 +42,9 @@ DISCOUNT, STRENGTH = 0.7, 1.0
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 STOP = 256
 BUCKET_BYTES = 8 << 20
+#: Bytes of text to a shard of pairs, and tokens that are counted together.
+SHARD_BYTES, PAIR_TOKENS = 16 << 20, 2_000_000
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -178,10 +186,108 @@ class Spelling:
         return np.exp(np.maximum(np.add.reduceat(logs, starts), -650.0))
 
 
+# ---- pairs of words ---------------------------------------------------------
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash of each context and word, from those of both."""
+    x = (u.view(np.uint64) ^ (u.view(np.uint64) >> np.uint64(29))) * _A + w.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * _B
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def shards_of(u: np.ndarray, shards: int) -> np.ndarray:
+    return ((u.view(np.uint64) * _B) >> np.uint64(33)).astype(np.int64) % shards
+
+
+def hashed(words: list[bytes], memo) -> np.ndarray:
+    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+
+def followed(w: np.ndarray) -> np.ndarray:
+    """The context of each token of texts end to end: the token before it; the first one's is the end."""
+    return np.concatenate([w[-1:], w[:-1]])
+
+
+def summed(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, by context and word, and their counts."""
+    order = np.lexsort((w, u))
+    u, w, c = u[order], w[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
+    return u[first], w[first], np.add.reduceat(c, first) if len(u) else c
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
+
+def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(blob), np.int64).reshape(n, -1)
+
+
+#: Rows of the table of pairs: a pair that repeats, how many pairs with one customer a word ends and begins, and the
+#: packed keys of a shard's pairs with one customer.
+REPEATED, ENDS, BEGINS, SINGLE = range(4)
+_PAIRS = "kind int, s int, u long, w long, c long, blob binary"
+
+
+def pair_table(docs: DataFrame, text: str, train: str, shards: int) -> DataFrame:
+    """Pairs of training texts, counted in shards by context."""
+
+    def packets(w: list[np.ndarray]):
+        ws = np.concatenate(w)
+        u, w, c = summed(np.concatenate([followed(x) for x in w]), ws, np.ones(len(ws), np.int64))
+        at = shards_of(u, shards)
+        order = np.argsort(at, kind="stable")
+        u, w, c, at = u[order], w[order], c[order], at[order]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        ends = np.append(cuts[1:], len(at))
+        yield pa.RecordBatch.from_pydict({"s": pa.array(at[cuts], pa.int32()), "blob": pa.array([_packed(u[i:j], w[i:j], c[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
+
+    def run(batches):
+        memo, held, size = Memo(h64), [], 0
+        for b in batches:
+            for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if learn:
+                    held.append(hashed([*tokens(t), END_TOKEN], memo))
+                    size += len(held[-1])
+                    if size > PAIR_TOKENS:
+                        yield from packets(held)
+                        held, size = [], 0
+        if held:
+            yield from packets(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(x, 3) for x in table.column("blob").to_pylist()]
+        u, w, c = summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        one = c == 1
+        ends, begins = (np.unique(x[one], return_counts=True) for x in (w, u))
+        rest, zero = ~one, lambda n: np.zeros(n, np.int64)
+        columns = [
+            (REPEATED, u[rest], w[rest], c[rest]),
+            (ENDS, zero(len(ends[0])), ends[0], ends[1]),
+            (BEGINS, begins[0], zero(len(begins[0])), begins[1]),
+            (SINGLE, zero(1), zero(1), np.array([int(one.sum())])),
+        ]
+        kind = np.concatenate([np.full(len(x[1]), x[0]) for x in columns])
+        s = table.column("s")[0].as_py()
+        blob = pa.array([*[None] * (len(kind) - 1), _packed(np.sort(pair_keys(u[one], w[one])))], pa.binary())
+        numbers = [pa.array(np.concatenate([x[k] for x in columns]), pa.int64()) for k in (1, 2, 3)]
+        return pa.table([pa.array(kind, pa.int32()), pa.array(np.full(len(kind), s), pa.int32()), *numbers, blob], names=["kind", "s", "u", "w", "c", "blob"])
+
+    return docs.select(text, train).mapInArrow(run, "s int, blob binary").groupBy("s").applyInArrow(count, _PAIRS)
+
+
 # ---- the distributed model --------------------------------------------------
 
-_WORDS = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("t", pa.int64()), ("p", pa.float64())])
-_DDL = "word binary, c long, t long, p double"
+# word, its hash, count, pairs with one customer that it ends and begins, customers and tables of the word restaurant,
+# tables of its own restaurant, predictive probability; sums of the last two over the samples.
+_WORDS = pa.schema([("word", pa.binary()), *[(x, pa.int64()) for x in ("k", "c", "ends", "begins", "n", "t", "own")], *[(x, pa.float64()) for x in ("p", "p_sum", "own_sum")]])
+_DDL = "word binary, k long, c long, ends long, begins long, n long, t long, own long, p double, p_sum double, own_sum double"
 
 
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
@@ -219,11 +325,17 @@ def _seed(words: list[bytes], sweep: int) -> int:
 
 
 class Model:
-    """words: word, c, p (the averaged predictive probability), one row for each word of all texts; n: training tokens;
-    v: distinct training tokens."""
+    """words: word, c, p (probability in the word restaurant) and own (tables of the restaurant of which it is the context),
+    one row for each word of all texts; repeated: u, w, c, t of pairs with two customers or more; pairs: the table of
+    pairs; n: training tokens; v: distinct training tokens; discount: that of the context restaurants."""
 
-    def __init__(self, words: DataFrame, n: int, v: int):
+    def __init__(self, words: DataFrame, n: int, v: int, repeated: DataFrame, pairs: DataFrame, shards: int, discount: float):
         self.words, self.n, self.v = words, n, v
+        self.repeated, self.pairs, self.shards, self.discount = repeated, pairs, shards, discount
+
+
+def _discount(once, twice) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else DISCOUNT
 
 
 def fit(docs: DataFrame, text: str = "text", train: str = "train", burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
@@ -233,18 +345,63 @@ def fit(docs: DataFrame, text: str = "text", train: str = "train", burn_in: int
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    words = written(word_counts(docs, text, train).select("word", "c", F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("t"), F.lit(0.0).alias("p")), "lm-words")
-    seen = F.col("c") > 0
-    n, v, once, twice = words.agg(F.sum("c"), F.count_if(seen), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, discount = n or 0, min(0.95, max(0.05, once / (once + 2 * twice))) if once else DISCOUNT
-    spelling, total = _spelling(words, 0)
+    shards = bucket_count(text_bytes(docs, text), SHARD_BYTES)
+    pairs = written(pair_table(docs, text, train, shards), "lm-pairs")
+    kind = lambda k: pairs.filter(F.col("kind") == k)
+    single, two = (kind(SINGLE).agg(F.sum("c")).first()[0] or 0), kind(REPEATED).filter("c = 2").count()
+    inner = _discount(single, two)
+    repeated = written(kind(REPEATED).select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum")), "lm-repeated")
+    ends = kind(ENDS).groupBy(F.col("w").alias("k")).agg(F.sum("c").alias("ends"))
+    begins = kind(BEGINS).groupBy(F.col("u").alias("k")).agg(F.sum("c").alias("begins"))
+    zero = F.lit(0).cast("long")
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h64(w) for w in b.column(0).to_pylist()], pa.int64()), b.column(1)], names=["word", "k", "c"])
+
+    counted = word_counts(docs, text, train).mapInArrow(keyed, "word binary, k long, c long").join(ends, "k", "left").join(begins, "k", "left")
+    some = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
+    words = written(counted.select("word", "k", "c", *[F.coalesce(x, zero).alias(x) for x in ("ends", "begins")], zero.alias("n"), some.alias("t"), zero.alias("own"), *[F.lit(0.0).alias(x) for x in ("p", "p_sum", "own_sum")]), "lm-words")
+    n, v = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    outer = None
     for sweep in range(1, burn_in + samples + 1):
-        kept = sweep - 1 > burn_in
-        old, words = words, written(_swept(words, spelling, total, n, discount, sweep, kept), "lm-sweep")
+        kept = sweep > burn_in
+        seated = _customers(words, repeated)
+        total, customers, once, twice = seated.agg(F.sum("t"), F.sum("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        outer = outer or _discount(once, twice)
+        spelling, total = _spelling(seated, sweep)
+        old, words = words, written(_swept(seated, spelling, total, customers or 0, outer, sweep, kept), "lm-sweep")
         discard(old)
-        spelling, total = _spelling(words, sweep)
-    last = _swept(words, spelling, total, n, discount, 0, True)
-    return Model(last.select("word", "c", (F.col("p") / samples).alias("p")), n, v or 0)
+        old, repeated = repeated, written(_reseated(repeated, words, inner, sweep, kept), "lm-repeated")
+        discard(old)
+    mean = lambda x: (F.col(x) / samples).alias(x.removesuffix("_sum"))
+    return Model(words.select("word", "c", mean("p_sum"), mean("own_sum")), n or 0, v or 0, repeated.select("u", "w", "c", mean("t_sum")), pairs, shards, inner)
+
+
+def _customers(words: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Words with their present customers (n) and the tables of their own restaurants, which follow from the pairs'."""
+    more = repeated.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("_n"))
+    own = repeated.groupBy(F.col("u").alias("k")).agg(F.sum("t").alias("_own"))
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0).cast("long")))
+    rows = words.join(more, "k", "left").join(own, "k", "left")
+    return rows.withColumns({"n": plus("ends", "_n"), "own": plus("begins", "_own")}).select(*_WORDS.names)
+
+
+def _reseated(repeated: DataFrame, words: DataFrame, discount: float, sweep: int, kept: bool) -> DataFrame:
+    """New tables of the pairs with two customers or more; t_sum adds them up where this sweep is a sample."""
+    base = words.select(F.col("k").alias("w"), "p")
+    rows = repeated.join(base, "w").join(words.select(F.col("k").alias("u"), "own"), "u").select("u", "w", "c", "t", "t_sum", "p", "own")
+
+    def run(batches):
+        for b in batches:
+            c, t, t_sum, p, own = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5, 6))
+            rng = np.random.default_rng(abs(int(b.column(0)[0].as_py()) ^ int(b.column(1)[0].as_py())) + sweep) if b.num_rows else None
+            if b.num_rows:
+                t_sum = t_sum + t if kept else t_sum
+                t = reseat(c, t, p, own, discount, STRENGTH, rng).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(t, pa.int64()), pa.array(t_sum, pa.int64())], names=["u", "w", "c", "t", "t_sum"])
+
+    return rows.mapInArrow(run, "u long, w long, c long, t long, t_sum long")
 
 
 def _spelling(words: DataFrame, seed: int) -> tuple[Spelling, int]:
@@ -269,21 +426,22 @@ def _spelling(words: DataFrame, seed: int) -> tuple[Spelling, int]:
     return Spelling(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), seed), total
 
 
-def _swept(words: DataFrame, spelling: Spelling, total: int, n: int, discount: float, sweep: int, kept: bool) -> DataFrame:
-    """Adds the present seating's predictive probabilities to p where it is a sample (kept); seats all words again unless
-    sweep is 0."""
+def _swept(words: DataFrame, spelling: Spelling, total: int, customers: int, discount: float, sweep: int, kept: bool) -> DataFrame:
+    """The present seating's predictive probabilities (p), added to p_sum, and own to own_sum, where it is a sample (kept);
+    then all words are seated again."""
     base = words.sparkSession.sparkContext.broadcast(spelling)  # at most 65 792 rows of 257 numbers
 
     def run(batches):
         for b in batches:
             ws = b.column(0).to_pylist()
-            c, t, p = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            n, t, own = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+            p_sum, own_sum = (b.column(i).to_numpy(zero_copy_only=False) for i in (9, 10))
             h = base.value.probabilities(*spelled(ws))
+            p = (n - discount * t + (STRENGTH + discount * total) * h) / (STRENGTH + customers)
             if kept:
-                p = p + (c - discount * t + (STRENGTH + discount * total) * h) / (STRENGTH + n)
-            if sweep:
-                t = reseat(c, t, h, np.full(len(c), total), discount, STRENGTH, np.random.default_rng(_seed(ws, sweep))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.int64()), pa.array(p, pa.float64())], schema=_WORDS)
+                p_sum, own_sum = p_sum + p, own_sum + own
+            t = reseat(n, t, h, np.full(len(n), total), discount, STRENGTH, np.random.default_rng(_seed(ws, sweep))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(t, pa.int64()), b.column(7), *[pa.array(x, pa.float64()) for x in (p, p_sum, own_sum)]], schema=_WORDS)
 
     return words.mapInArrow(run, _DDL)
 
@@ -291,8 +449,8 @@ def _swept(words: DataFrame, spelling: Spelling, total: int, n: int, discount: f
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, base_score and score (log10 probabilities of the text, its end included).
 
-    Texts are dealt out in buckets by hash. A bucket asks for each of its distinct words once; the words' counts and
-    probabilities come back by a join, and the bucket's texts are then summed up. Rows are independent; columns named
+    Texts are dealt out in buckets by hash. A bucket asks for each of its distinct words and pairs once; the words' counts
+    and probabilities come back by a join, those of pairs from their shards, and the bucket's texts are then summed up. Rows are independent; columns named
     as outputs are replaced.
     """
     spark = docs.sparkSession
@@ -301,7 +459,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in added]
     buckets = bucket_count(text_bytes(docs, text), BUCKET_BYTES)
     dealt = docs.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(buckets)).cast("int").alias("_b"))
-    n, v = model.n, model.v
+    n, v, shards, discount = model.n, model.v, model.shards, model.discount
 
     def ask(table: pa.Table) -> pa.Table:
         found = {END_TOKEN}
@@ -311,20 +469,90 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         words = list(found)
         return pa.table({"_b": pa.array([table.column("_b")[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary())})
 
+    def ask_pairs(table: pa.Table) -> pa.Table:
+        memo, u, w = Memo(h64), [], []
+        for chunk in table.column(text).chunks:
+            for t in chunk.to_pylist():
+                w.append(hashed([*tokens(t), END_TOKEN], memo))
+                u.append(followed(w[-1]))
+        u, w = np.concatenate(u), np.concatenate(w)
+        keys, first = np.unique(pair_keys(u, w), return_index=True)
+        at = shards_of(u[first], shards)
+        order = np.argsort(at, kind="stable")
+        keys, at = keys[order], at[order]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        ends = np.append(cuts[1:], len(at))
+        bucket = table.column("_b")[0].as_py()
+        return pa.table({"s": pa.array(at[cuts], pa.int32()), "_b": pa.array([bucket] * len(cuts), pa.int32()), "blob": pa.array([_packed(keys[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
+
+    def packets(parts):
+        u, w, c, t = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        keys, at = pair_keys(u, w), shards_of(u, shards)
+        order = np.argsort(at, kind="stable")
+        keys, c, t, at = keys[order], c[order], t[order], at[order]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        ends = np.append(cuts[1:], len(at))
+        return pa.RecordBatch.from_pydict({"s": pa.array(at[cuts], pa.int32()), "_b": pa.array([-2] * len(cuts), pa.int32()), "blob": pa.array([_packed(keys[i:j], c[i:j], t[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
+
+    def shard(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            held[-1][3] = np.ascontiguousarray(held[-1][3], np.float64).view(np.int64)
+            size += b.num_rows
+            if size > PAIR_TOKENS:
+                yield packets(held)
+                held, size = [], 0
+        if size:
+            yield packets(held)
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("_b").to_pylist(), table.column("blob").to_pylist()))
+        many = [_unpacked(x, 3) for b, x in rows if b == -2]
+        keys = [*[m[0] for m in many], *[_unpacked(x, 1)[0] for b, x in rows if b == -1]]
+        one = sum(map(len, keys)) - sum(len(m[0]) for m in many)
+        ones, real = np.ones(one, np.int64), np.ones(one).view(np.int64)
+        c, t = np.concatenate([*[m[1] for m in many], ones]), np.concatenate([*[m[2] for m in many], real])
+        keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+        order = np.argsort(keys)
+        keys, c, t = keys[order], c[order], t[order]
+        out = []
+        for b, x in rows:
+            if b >= 0 and len(keys):
+                q = _unpacked(x, 1)[0]
+                i = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+                i = i[keys[i] == q]
+                out.append((b, _packed(keys[i], c[i], t[i])))
+        return pa.table({"_b": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+
     asked = dealt.groupBy("_b").applyInArrow(ask, "_b int, word binary")
-    told = asked.join(model.words, "word").select("_b", "word", "c", "p")
+    told = asked.join(model.words, "word").select("_b", "word", "c", "p", "own", F.lit(None).cast("binary").alias("blob"))
+    pairs = dealt.groupBy("_b").applyInArrow(ask_pairs, "s int, _b int, blob binary")
+    pairs = pairs.unionByName(model.pairs.filter(F.col("kind") == SINGLE).select("s", F.lit(-1).alias("_b"), "blob"))
+    pairs = pairs.unionByName(model.repeated.mapInArrow(shard, "s int, _b int, blob binary"))
+    told = told.unionByName(pairs.groupBy("s").applyInArrow(answer, "_b int, blob binary"), allowMissingColumns=True)
     schema = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        where = {w: i for i, w in enumerate(answers.column("word").to_pylist())}
-        c = answers.column("c").to_numpy()
+        single = answers.filter(pa.compute.is_valid(answers.column("word")))
+        parts = [_unpacked(x, 3) for x in answers.column("blob").drop_null().to_pylist()]
+        keys, many, tables = (np.concatenate([*[m[k] for m in parts], np.zeros(0, np.int64)]) for k in range(3))
+        order = np.argsort(keys)
+        keys, many, tables = np.append(keys[order], 0), np.append(many[order], 0), np.append(tables[order].view(np.float64), 0.0)
+        words = single.column("word").to_pylist()
+        where, k = {w: i for i, w in enumerate(words)}, np.fromiter(map(h64, words), np.int64, len(words))
+        c, p, own = (single.column(x).to_numpy() for x in ("c", "p", "own"))
         base = np.log10((c + 1) / (n + v + 1))
-        own = np.log10(np.maximum(answers.column("p").to_numpy(), 1e-300))
         rows = []
         for t in texts.column(text).to_pylist():
             ws = tokens(t)
             i = np.fromiter(map(where.__getitem__, [*ws, END_TOKEN]), np.int64, len(ws) + 1)
-            rows.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(own[i].sum())))
+            u = followed(i)
+            q = pair_keys(k[u], k[i])
+            at = np.searchsorted(keys[:-1], q)
+            at[keys[at] != q] = len(keys) - 1
+            inner = (many[at] - discount * tables[at] + (STRENGTH + discount * own[u]) * p[i]) / (STRENGTH + c[u])
+            rows.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(np.log10(np.maximum(inner, 1e-300)).sum())))
         out = pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
         kept = texts.select(names)
         for f in schema:
