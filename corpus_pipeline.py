@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays. Rows without an id stay; of rows that
     repeat both id and text one stays, and those with one id but other texts are told apart only by their links."""
-    gone = link(docs).filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("_gone"))
+    gone = link(docs, shingle=SHINGLE, percent=PERCENT).filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("_gone"))
     twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("_twice"))
     marks = gone.unionByName(twice, allowMissingColumns=True).groupBy("doc_id").agg(F.max("_gone").alias("_gone"), F.max("_twice").alias("_twice"))
     kept = docs.join(marks, "doc_id", "left").filter("_gone IS NULL")
@@ -49,6 +49,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9(docs, vocabulary())
 
 
+#: The near-duplicate rule of this pipeline: shingles of five words, similarity 0.8. op8 has its own.
+SHINGLE, PERCENT = 5, 80
+
 STAGES = [
     ("language_id", language),
     ("jaccard_join", near_duplicates),
