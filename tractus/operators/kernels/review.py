@@ -8,8 +8,9 @@ from . import geneconv, maxchi, threeseq, windows
 from .common import Options, Variable, chi_p, chi_square, inside, window_sums
 
 
-def recheck(method: str, states: np.ndarray, begin: int, end: int, o: Options) -> float:
-    """The method's corrected p-value of a tract whose bounds stay where they are; 1 where it has nothing to say."""
+def recheck(method: str, states: np.ndarray, begin: int, end: int, o: Options, fourth: np.ndarray | None = None) -> float:
+    """The method's corrected p-value of a tract whose bounds stay where they are; 1 where it has nothing to say.
+    fourth: SISCAN's nearest outlier."""
     v = Variable(states)
     n = len(v)
     if n < 4:
@@ -55,12 +56,12 @@ def recheck(method: str, states: np.ndarray, begin: int, end: int, o: Options) -
         if size <= 2 or size >= total:
             return 1.0
         return o.corrected(min(windows.tract_p(int(m[held & rich].sum()), size, float(m[rich].mean()), total) for m in v.match))
-    p = windows.patterns(states, np.where(states[0] > 0, states[0] % 4 + 1, 0))
+    p = windows.patterns(states, np.where(states[0] > 0, states[0] % 4 + 1, 0) if fourth is None else fourth)
     z = windows.z_scores(p[inside(states.shape[1], begin, end)], o.sis_permutations, windows.vertical_prefix(4096, o.seed))
     return o.corrected(windows.normal_tail(-float(z.max()))) if z.max() > 0 else 1.0
 
 
-def plot(method: str, states: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+def plot(method: str, states: np.ndarray, o: Options, fourth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and one value for each pair (3SEQ: for each target) at each of them."""
     v = Variable(states)
     n = len(v)
@@ -81,7 +82,7 @@ def plot(method: str, states: np.ndarray, o: Options) -> tuple[np.ndarray, np.nd
         votes, _ = windows.support(d)
         return np.arange(votes.shape[1]) * step, votes / o.boot_replicates
     if method == "SISCAN":
-        p = windows.patterns(states, np.where(states[0] > 0, states[0] % 4 + 1, 0))
+        p = windows.patterns(states, np.where(states[0] > 0, states[0] % 4 + 1, 0) if fourth is None else fourth)
         starts = np.arange(0, max(0, states.shape[1] - o.sis_window), o.sis_step)
         prefix = windows.vertical_prefix(4096, o.seed)
         return (starts + o.sis_window // 2, np.stack([windows.z_scores(p[s : s + o.sis_window], o.sis_permutations, prefix) for s in starts], 1)) if len(starts) else none

@@ -9,6 +9,7 @@ independent of each other, so each is one group.
 from __future__ import annotations
 
 from dataclasses import replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ensure
 from .events import METHOD_ORDER
-from .kernels import consensus, geneconv, maxchi, threeseq, windows
+from .kernels import consensus, geneconv, maxchi, outlier, threeseq, windows
 from .kernels.common import Candidate, Options, Variable, inside
 from .relations import triplets
 
@@ -27,15 +28,69 @@ SCHEMA = "dataset_id long, a int, b int, c int, method string, recombinant int,
 ROUNDS, FRAGMENTS, OVERLAP = 64, 256, 0.3
 
 
-def detect(states: np.ndarray, o: Options, methods=PRIMARY) -> list[Candidate]:
-    """All detectors share one pass over the triplet's variable sites; results come in the order of the methods."""
+#: Triplets of a block of one alignment, where its rows go along for SISCAN's fourth sequence.
+BLOCK = 20_000
+
+
+def detect(states: np.ndarray, o: Options, methods=PRIMARY, fourth: np.ndarray | None = None) -> list[Candidate]:
+    """All detectors share one pass over the triplet's variable sites; results come in the order of the methods. SISCAN
+    finds nothing without a fourth sequence."""
     v = Variable(states)
-    return [c for m in METHOD_ORDER if m in methods for c in METHODS[m](states, o, v)]
+    run = lambda m: METHODS[m](states, o, v) if m != "SISCAN" else windows.siscan(states, o, v, fourth) if fourth is not None else []
+    return [c for m in METHOD_ORDER if m in methods for c in run(m)]
+
+
+def _signals(rows) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 5, pa.float64(), pa.float64(), pa.int32()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+
+def _signal(dataset, members, s: Candidate) -> tuple:
+    return (dataset, *members, s.method, members[s.recombinant], members[s.major], members[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites)
+
+
+def with_similarities(sequences: DataFrame) -> DataFrame:
+    """dataset_id, seq_id, states, and each row's direct and tree similarities to all rows, by seq_id; once an alignment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(["dataset_id", "seq_id", "states"]).sort_by("seq_id")
+        direct, tree = outlier.similarities(np.array(table.column("states").to_pylist(), np.int8))
+        for name, m in (("direct", direct), ("tree", tree)):
+            table = table.append_column(name, pa.array(m.tolist(), pa.list_(pa.float32())))
+        return table
+
+    kinds = {f.name: f.dataType.simpleString() for f in sequences.schema}
+    ddl = ", ".join(f"{n} {kinds[n]}" for n in ("dataset_id", "seq_id", "states")) + ", direct array<float>, tree array<float>"
+    return sequences.select("dataset_id", "seq_id", "states").groupBy("dataset_id").applyInArrow(run, ddl)
+
+
+def scan_with_outliers(sequences: DataFrame, o: Options, methods) -> DataFrame:
+    """As scan, in blocks of an alignment's triplets: each block has all rows, for the fourth sequences."""
+    n = sequences.groupBy("dataset_id").agg(F.count("*").alias("_n"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.expr("_n * (_n - 1) / 6 * (_n - 2)") / BLOCK)).cast("int")
+    rows = with_similarities(sequences).join(n, "dataset_id").withColumn("_of", blocks).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+
+    def run(table: pa.Table) -> pa.Table:
+        d = table.sort_by("seq_id").to_pydict()
+        ids, states = d["seq_id"], np.array(d["states"], np.int8)
+        direct, tree = (np.array(d[x], np.float32) for x in ("direct", "tree"))
+        out = []
+        for number, t in enumerate(combinations(range(len(ids)), 3)):
+            if number % d["_of"][0] == d["_block"][0]:
+                k = outlier.nearest(t, states, direct, tree)
+                found = detect(states[list(t)], o, methods, None if k is None else states[k])
+                out += [_signal(d["dataset_id"][0], [ids[i] for i in t], s) for s in found]
+        return pa.Table.from_batches([_signals(out)])
+
+    return rows.groupBy("dataset_id", "_block").applyInArrow(run, SCHEMA)
 
 
 def scan(sequences: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
     """Signals of all triplets in one round."""
     ensure(sequences.sparkSession)
+    if "SISCAN" in methods:
+        return scan_with_outliers(sequences, o, methods)
     rows = triplets(sequences.select("dataset_id", "seq_id", "states"))
     # Triplets of one large alignment spread over all tasks.
     rows = rows.repartition(F.xxhash64("dataset_id", "a", "b", "c"))
@@ -47,11 +102,8 @@ def scan(sequences: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
             for k in range(b.num_rows):
                 states = np.array([d["states_a"][k], d["states_b"][k], d["states_c"][k]], np.int8)
                 members = (d["a"][k], d["b"][k], d["c"][k])
-                for s in detect(states, o, methods):
-                    out.append((d["dataset_id"][k], *members, s.method, members[s.recombinant], members[s.major], members[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites))
-            kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 5, pa.float64(), pa.float64(), pa.int32()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+                out += [_signal(d["dataset_id"][k], members, s) for s in detect(states, o, methods)]
+            yield _signals(out)
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -80,6 +132,9 @@ class Cycle:
         """(corrected p, local p, rank of the method, triplet, signal) of this round."""
         live = [i for i, r in enumerate(self.rows) if self.usable(r)]
         out = []
+        if "SISCAN" in self.methods and len(live) > 3:
+            held, origins = np.stack([self.rows[i] for i in live]), [self.origin[i] for i in live]
+            like = outlier.similarities(held)
         for x, a in enumerate(live):
             for y, b in enumerate(live[x + 1 :], x + 1):
                 for c in live[y + 1 :]:
@@ -88,7 +143,11 @@ class Cycle:
                     if (a, b, c) not in self.known:
                         self.ran += 1
                         states = np.stack([self.rows[a], self.rows[b], self.rows[c]])
-                        found = detect(states, self.o, self.methods)
+                        fourth = None
+                        if "SISCAN" in self.methods and len(live) > 3:
+                            k = outlier.nearest((x, y, live.index(c)), held, *like, origins)
+                            fourth = None if k is None else held[k]
+                        found = detect(states, self.o, self.methods, fourth)
                         if self.events:  # after an erasure 3SEQ tracts are split at erased data
                             found = [s for f in found if (s := consensus.split(f, states, self.o) if f.method == "3SEQ" else f)]
                         self.known[a, b, c] = found
@@ -108,7 +167,8 @@ class Cycle:
         if self.usable(piece) and not copies and self.length < 100_000 and fresh - len(set(self.origin)) < FRAGMENTS:
             self.rows.append(piece)
             self.origin.append(self.origin[row])
-        self.known = {k: v for k, v in self.known.items() if row not in k}
+        # Any row may be a triplet's fourth sequence.
+        self.known = {} if "SISCAN" in self.methods else {k: v for k, v in self.known.items() if row not in k}
         return True
 
     def replay(self, decided: list[dict]) -> None:

@@ -286,42 +286,51 @@ def breakpoint_ranges(s, sf):
 
 
 def _measured(kernel, ddl):
-    """kernel(states, row) -> rows for the triplet of each event of the planted alignments."""
+    """kernel(states, fourth sequence or None, row) -> rows for the triplet of each event of the planted alignments."""
 
     def query(s, sf):
         ensure(s)
         seqs = _planted(s, sf)
         e = scan.cyclic_scan(seqs, _options(), ("RDP", "3SEQ")).filter("round = 1")
-        for n in ("recombinant", "major", "minor"):
-            e = e.join(seqs.select("dataset_id", F.col("seq_id").alias(n), F.col("states").alias(f"s_{n}")), ["dataset_id", n])
 
-        def run(batches):
+        def run(events, rows):
             import numpy as np
             import pyarrow as pa
 
+            from ..operators.kernels import outlier
+
             kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
             fields = [x.split() for x in ddl.split(", ")]
-            for b in batches:
-                rows = [r for d in b.to_pylist() for r in kernel(np.array([d["s_recombinant"], d["s_major"], d["s_minor"]], np.int8), d)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
-
-        return e.select("dataset_id", "begin", "end", "s_recombinant", "s_major", "s_minor").mapInArrow(run, ddl)
+            out = []
+            if events.num_rows:
+                rows = rows.sort_by("seq_id").to_pydict()
+                at, states = {x: i for i, x in enumerate(rows["seq_id"])}, np.array(rows["states"], np.int8)
+                direct, tree = (np.array(rows[x], np.float32) for x in ("direct", "tree"))
+                for d in events.to_pylist():
+                    t = [at[d[x]] for x in ("recombinant", "major", "minor")]
+                    k = outlier.nearest(sorted(t), states, direct, tree)
+                    out += kernel(states[t], None if k is None else states[k], d)
+            return pa.table([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+        return e.groupBy("dataset_id").cogroup(scan.with_similarities(seqs).groupBy("dataset_id")).applyInArrow(run, ddl)
 
     return query
 
 
-def _recheck(states, d):
+def _recheck(states, fourth, d):
     from ..operators.kernels import review
 
-    return [(d["dataset_id"], m, review.recheck(m, states, d["begin"], d["end"], _options())) for m in E.METHOD_ORDER]
+    p = lambda m: 1.0 if m == "SISCAN" and fourth is None else review.recheck(m, states, d["begin"], d["end"], _options(), fourth)
+    return [(d["dataset_id"], m, p(m)) for m in E.METHOD_ORDER]
 
 
-def _plot(states, d):
+def _plot(states, fourth, d):
     from ..operators.kernels import review
 
     for m in E.METHOD_ORDER:
-        pos, values = review.plot(m, states, _options())
-        yield from ((d["dataset_id"], m, int(p), *map(float, v)) for p, v in zip(pos, values.T))
+        if m != "SISCAN" or fourth is not None:
+            pos, values = review.plot(m, states, _options(), fourth)
+            yield from ((d["dataset_id"], m, int(p), *map(float, v)) for p, v in zip(pos, values.T))
 
 
 def _supports(s, sf):
