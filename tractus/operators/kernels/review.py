@@ -8,6 +8,23 @@ from . import geneconv, maxchi, threeseq, windows
 from .common import Options, Variable, chi_p, chi_square, inside, window_sums
 
 
+def supported(states: np.ndarray, begin: int, end: int, o: Options) -> bool:
+    """BootScan's gate: in a window of the tract, or next to it, any pair has the wanted support of the replicates."""
+    length = states.shape[1]
+    if length < 10 or min(o.boot_window, length // 2) < 5:
+        return False
+    distances, step, _ = windows.pair_profiles(states, o)
+    votes, usable = windows.support(distances)
+    last = length // step - 1
+    if last < 1:
+        return False
+    at = lambda site: int(site / step + 0.5)
+    first, final = min(last, max(1, at(begin) - 1)), min(last, max(1, at(end) + 1))
+    w = np.arange(1, last + 1)
+    w = w[(w >= first) & (w <= final)] if begin < end else w[(w >= first) | (w <= final)]
+    return bool(usable[w].any() and (votes[:, w] >= o.boot_support * o.boot_replicates).any())
+
+
 def recheck(method: str, states: np.ndarray, begin: int, end: int, o: Options, fourth: np.ndarray | None = None) -> float:
     """The method's corrected p-value of a tract whose bounds stay where they are; 1 where it has nothing to say.
     fourth: SISCAN's nearest outlier."""
@@ -50,6 +67,8 @@ def recheck(method: str, states: np.ndarray, begin: int, end: int, o: Options, f
                     raw = threeseq.probability(p, m, drop)[0]
                     out = min(out, raw) if raw > 0 else out
         return threeseq.corrected(out, o)
+    if method == "BootScan" and not supported(states, begin, end, o):
+        return 1.0
     if method in ("RDP", "BootScan"):
         rich = v.match.sum(axis=0) == 1 if method == "RDP" else np.ones(n, bool)
         size, total = int((held & rich).sum()), int(rich.sum())

@@ -291,7 +291,7 @@ def _measured(kernel, ddl):
     def query(s, sf):
         ensure(s)
         seqs = _planted(s, sf)
-        e = scan.cyclic_scan(seqs, _options(), ("RDP", "3SEQ")).filter("round = 1")
+        e = scan.cyclic_scan(seqs, _options(), ("RDP", "3SEQ"))
 
         def run(events, rows):
             import numpy as np
@@ -321,7 +321,7 @@ def _recheck(states, fourth, d):
     from ..operators.kernels import review
 
     p = lambda m: 1.0 if m == "SISCAN" and fourth is None else review.recheck(m, states, d["begin"], d["end"], _options(), fourth)
-    return [(d["dataset_id"], m, p(m)) for m in E.METHOD_ORDER]
+    return [(d["dataset_id"], d["round"], m, p(m)) for m in E.METHOD_ORDER]
 
 
 def _plot(states, fourth, d):
@@ -330,7 +330,7 @@ def _plot(states, fourth, d):
     for m in E.METHOD_ORDER:
         if m != "SISCAN" or fourth is not None:
             pos, values = review.plot(m, states, _options(), fourth)
-            yield from ((d["dataset_id"], m, int(p), *map(float, v)) for p, v in zip(pos, values.T))
+            yield from ((d["dataset_id"], d["round"], m, int(p), *map(float, v)) for p, v in zip(pos, values.T))
 
 
 def _supports(s, sf):
@@ -450,8 +450,8 @@ def queries():
         "event_csv": lambda s, sf: E.csv_lines(_events(s, sf), ["event_id", "method", "recombinant", "begin", "end"]),
         "tract_fasta": lambda s, sf: E.tract_records(_seqs(s, sf), _events(s, sf)),
         "siegmund": siegmund,
-        "event_recheck": _measured(_recheck, "dataset_id long, method string, p double"),
-        "event_plots": _measured(_plot, "dataset_id long, method string, pos int, v1 double, v2 double, v3 double"),
+        "event_recheck": _measured(_recheck, "dataset_id long, round int, method string, p double"),
+        "event_plots": _measured(_plot, "dataset_id long, round int, method string, pos int, v1 double, v2 double, v3 double"),
         "readers_roundtrip": readers_roundtrip,
         "project_roundtrip": project_roundtrip,
         "auto_mask": auto_mask,
