@@ -1,573 +1,620 @@
-"""Language-model scores from a hierarchical Pitman-Yor model.
+"""Language-model scores from a hierarchical Pitman-Yor model of words.
 
 The model is a hierarchy of Chinese restaurants. Every training token sits in the restaurant of its preceding word (the
-end, before the first one), whose parent is the word restaurant; the base of that spells words byte by byte in context
-restaurants: the restaurant of the two preceding bytes has that of the one preceding byte as
-its parent, this the restaurant without context, and this the uniform distribution. A restaurant's customers are the
-tables of its children, so the spelling restaurants learn from tables, not from tokens. Contexts that share a suffix
-share a parent.
-
-Seating is sampled by Gibbs. Given the totals of a restaurant and its parent's predictive probabilities, the dishes of
-a restaurant are independent, so each dish is a block: all its customers are taken out and seated again one by one, by
-the restaurant's rule. Sequential seating differs from the block's conditional by its normalisers, so two seatings are
-drawn and one is kept in proportion to them. The first customers of a dish are seated singly; later ones in groups that
-grow by a tenth, in which tables open as a Poisson process at the rule's rate, so work follows the logarithm of a count.
-
-Pairs of words are hashed to 64 bits, counted before they are sent and sharded by their context. A pair that occurs once
-has one table whatever the seating, so sweeps move only pairs that repeat; the others enter as sums for each word.
-Word dishes are a table in the shared folder, sharded by word. The spelling restaurants have at most 256**2 contexts
-of 257 symbols: their counts are aggregated before they are sent, and their tables are broadcast within that bound,
-whatever the input's size. Scores use the mean seating of several samples: mean tables in
-the context restaurants, and mean predictive probabilities of the word restaurant. Both sum to one over all words.
+end of a text, before the first one). All these share one parent, the restaurant of the shortened, empty context, whose
+customers are their tables; its base spells words byte by byte.
+
+Seating is sampled by Gibbs. Two auxiliary draws make a sweep a set of independent steps: a gamma variate g of shape
+s / d + T stands for the concentration of a restaurant with T tables, and a draw of the parent's measure stands for its
+seating. Given these the dishes of all restaurants are independent: a dish has the rate d * g * (parent's probability),
+and its tables are moved by seating.moved(). Then the parent's customers follow from the tables, and it is seated alike.
+Scores average the predictive probabilities of several samples, P(w | u) = (c - d t + (s + d T) P(w)) / (s + C).
+
+Distribution. Texts are coded in buckets; a bucket has its distinct words and pairs with counts. Words are dealt to parts
+by ranges of their hash, pairs to shards by a hash of context and word, in which the word is reduced so that a context
+spreads over a number of shards that grows with all shards: a context that follows a third of all tokens fills none.
+A pair that occurs once has one table whatever the seating, so sweeps move only pairs that repeat; the others enter as
+sums for each word. In a sweep each shard sends its tables' sums for its words to their parts, and gets the words'
+draws back in the same order. All of it are packed arrays in tables of the shared folder, written once for each sweep;
+only a few sums reach the driver. Random numbers are hashes of words and pairs, so scores do not depend on partitions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, bounded_batches, bucket_count, discard, h64, text_bytes, written
+from .common import arrow_schema, bounded_batches, bucket_count, discard, h64, text_bytes, written
 from .langid import held_out
+from .seating import gamma, keyed, mixed, moved
 
 #: The end of a text as a dish. No word contains a space.
 END_TOKEN = b" "
 #: Sweeps before the first sample, and samples that are averaged.
 BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH = 0.7, 1.0
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Bytes of text to a shard of pairs, to a part of the words, and to a bucket; bytes that are split into words together.
+SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 64 << 20, 24 << 20, 4 << 20
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 STOP = 256
-BUCKET_BYTES = 8 << 20
-#: Bytes of text to a shard of pairs, and tokens that are counted together.
-SHARD_BYTES, PAIR_TOKENS = 16 << 20, 2_000_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words, A-Z in lower case, without the end; as UTF-8, where bytes.split() parts at the same six characters."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    return [w for part in pieces(text) for w in part] if text else []
 
 
-# ---- seating ----------------------------------------------------------------
+def pieces(text: str):
+    """The words of a text in lists of bounded size; a word is never cut."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+    at = 0
+    while at < len(raw):
+        stop = raw.find(b" ", at + PIECE)
+        stop = len(raw) if stop < 0 else stop
+        yield raw[at:stop].split()
+        at = stop
 
-SINGLY, GROWTH = 16, 1.1
 
+# ---- packed arrays ----------------------------------------------------------
 
-def seat(customers, base, others, discount: float, strength: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables that each dish's customers open, and the log of the product of the normalisers on the way.
 
-    base: the parent's probability of the dish; others: tables of the restaurant's other dishes. With t tables, a
-    customer who finds m others of the dish opens a table with probability a / (a + m - d t), a = (s + d (others + t)) base.
-    """
-    n = np.asarray(customers, np.float64)
-    tables, log_z = (n > 0).astype(np.float64), np.zeros(len(n))
-    live, m = np.flatnonzero(n > 1), 1.0
-    while len(live):
-        step = 1.0 if m < SINGLY else np.ceil(m * (GROWTH - 1))
-        size = np.minimum(step, n[live] - m)
-        t = tables[live]
-        a = (strength + discount * (others[live] + t)) * base[live]
-        z = a + m - discount * t
-        if step == 1:
-            opened = (rng.random(len(live)) * z < a).astype(np.float64)
-            log_z[live] += np.log(z)
-        else:
-            opened = np.minimum(rng.poisson(a * np.log1p(size / z)), size)
-            log_z[live] += size * np.log(z + size / 2)
-        tables[live] = t + opened
-        m += step
-        live = live[n[live] > m]
-    return tables, log_z
-
-
-def reseat(customers, tables, base, total, discount: float, strength: float, rng) -> np.ndarray:
-    """One Gibbs sweep: new tables of each dish, given all tables of its restaurant (total, with its own among them)."""
-    others = np.maximum(np.asarray(total, np.float64) - tables, 0)
-    one, z_one = seat(customers, base, others, discount, strength, rng)
-    two, z_two = seat(customers, base, others, discount, strength, rng)
-    return np.where(np.log(rng.random(len(one))) < z_two - np.logaddexp(z_one, z_two), two, one)
-
-
-# ---- spelling ---------------------------------------------------------------
+def packed(*arrays) -> bytes:
+    """Arrays as bytes, their bytes grouped by significance so that small numbers compress; bytes stay as they are."""
+    rows = [a if isinstance(a, bytes) else (a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) for a in arrays]
+    return zstandard.compress(pickle.dumps(rows), 1)
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (two bytes of context, symbol: context << 9 | symbol) of all words end to end, and where each word begins.
-    Contexts before a word are spaces; the end of a text spells nothing but the stop."""
-    raw = [b"" if w == END_TOKEN else w for w in words]
-    b = np.frombuffer(b"".join([b"  %s " % r for r in raw]), np.uint8).astype(np.int64)
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
-    first = np.concatenate([[0], np.cumsum(size + 3)[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    symbol = b.copy()
-    if len(raw):
-        symbol[first + size + 2] = STOP
-    keep = np.ones(len(b), bool)
-    keep[first] = keep[first + 1] = False
-    at = np.flatnonzero(keep)
-    starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if len(raw) else first
-    return (b[at - 2] << 17) | (b[at - 1] << 9) | symbol[at], starts
+def unpacked(blob: bytes) -> list:
+    out = []
+    for row in pickle.loads(zstandard.decompress(blob)):
+        if not isinstance(row, bytes):
+            kind, n, raw = row
+            kind = np.dtype(kind)
+            row = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+        out.append(row)
+    return out
 
 
-class Spelling:
-    """Context restaurants of lengths 2, 1 and 0 over bytes and a stop. codes, counts: customers of the longest ones."""
+def steps(h: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, and back by summed()."""
+    return np.diff(h, prepend=np.uint64(0))
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, seed: int, discount: float = 0.5, strength: float = 1.0, sweeps: int = 2):
-        order = np.argsort(codes)
-        self.d, self.s = discount, strength
-        codes, counts = codes[order], counts[order].astype(np.float64)
-        rng = np.random.default_rng(seed)
-        symbols = STOP + 1
-        levels = [(codes >> 9, codes & 511, counts)]
-        tables = [np.ones(len(codes))]
-        for shift in (8, 16):  # parents: the context loses its earlier byte
-            up = ((levels[0][0] & 255) if shift == 8 else np.zeros(len(codes), np.int64)) * 512 + levels[0][1]
-            keys, inv = np.unique(up, return_inverse=True)
-            levels.append((keys >> 9, keys & 511, inv))
-        one, zero = levels[1], levels[2]
-        for _ in range(sweeps):
-            # Customers of each parent are the tables of its children.
-            c1 = np.bincount(one[2], tables[0], len(one[0]))
-            up = np.searchsorted(zero[1], one[1])
-            t1 = tables[1] if len(tables) > 1 else np.ones(len(one[0]))
-            c0 = np.bincount(up, t1, len(zero[0]))
-            t0 = tables[2] if len(tables) > 2 else np.ones(len(zero[0]))
-            t0 = reseat(c0, t0, np.full(len(c0), 1 / symbols), np.full(len(c0), t0.sum()), discount, strength, rng) if len(c0) else t0
-            p0 = self._predict(c0, t0, np.full(len(c0), 1 / symbols), c0.sum(), t0.sum())
-            t1 = reseat(c1, t1, p0[up], self._totals(one[0], t1), discount, strength, rng) if len(c1) else t1
-            p1 = self._predict(c1, t1, p0[up], self._totals(one[0], c1), self._totals(one[0], t1))
-            t2 = reseat(counts, tables[0], p1[one[2]], self._totals(levels[0][0], tables[0]), discount, strength, rng) if len(counts) else tables[0]
-            tables = [t2, t1, t0]
-        self.index, self.table = self._table(levels, tables, c0, c1, counts)
-
-    @staticmethod
-    def _totals(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Of each dish's restaurant."""
-        _, inv = np.unique(group, return_inverse=True)
-        return np.bincount(inv, values)[inv] if len(group) else values
-
-    def _predict(self, c, t, base, customers, all_tables):
-        return (c - self.d * t + (self.s + self.d * all_tables) * base) / (self.s + customers)
-
-    def _table(self, levels, tables, c0, c1, c2):
-        """Predictive probabilities: a row for no context, rows of one byte, rows of two; index: context -> row."""
-        symbols, (t2, t1, t0) = STOP + 1, tables
-        root = np.full(symbols, 1 / symbols)
-        mass = (self.s + self.d * t0.sum()) / (self.s + c0.sum()) if len(c0) else 1.0
-        root *= mass
-        np.add.at(root, levels[2][1], (c0 - self.d * t0) / (self.s + c0.sum()))
-
-        def grown(parents, ctx, sym, c, t):
-            keys, inv = np.unique(ctx, return_inverse=True)
-            customers, all_tables = np.bincount(inv, c, len(keys)), np.bincount(inv, t, len(keys))
-            rows = parents(keys) * ((self.s + self.d * all_tables) / (self.s + customers))[:, None]
-            np.add.at(rows, (inv, sym), (c - self.d * t) / (self.s + customers)[inv])
-            return keys, rows
-
-        ones = np.repeat(root[None], 256, 0)
-        if len(c1):
-            keys, rows = grown(lambda k: np.repeat(root[None], len(k), 0), levels[1][0], levels[1][1], c1, t1)
-            ones[keys] = rows
-        index = np.tile(np.arange(256, dtype=np.int32), 256)
-        if not len(c2):
-            return index, ones.astype(np.float32)
-        keys, rows = grown(lambda k: ones[k & 255], levels[0][0], levels[0][1], c2, t2)
-        index[keys] = 256 + np.arange(len(keys), dtype=np.int32)
-        return index, np.concatenate([ones, rows]).astype(np.float32)
-
-    def probabilities(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of whole words."""
-        if not len(starts):
-            return np.zeros(0)
-        logs = np.log(self.table[self.index[codes >> 9], codes & 511].astype(np.float64))
-        return np.exp(np.maximum(np.add.reduceat(logs, starts), -650.0))
-
-
-# ---- pairs of words ---------------------------------------------------------
-
-
-def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One hash of each context and word, from those of both."""
-    x = (u.view(np.uint64) ^ (u.view(np.uint64) >> np.uint64(29))) * _A + w.view(np.uint64)
-    x = (x ^ (x >> np.uint64(32))) * _B
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
-
-
-def shards_of(u: np.ndarray, shards: int) -> np.ndarray:
-    return ((u.view(np.uint64) * _B) >> np.uint64(33)).astype(np.int64) % shards
-
-
-def hashed(words: list[bytes], memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-
-
-def followed(w: np.ndarray) -> np.ndarray:
-    """The context of each token of texts end to end: the token before it; the first one's is the end."""
-    return np.concatenate([w[-1:], w[:-1]])
-
-
-def summed(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, by context and word, and their counts."""
-    order = np.lexsort((w, u))
-    u, w, c = u[order], w[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
-    return u[first], w[first], np.add.reduceat(c, first) if len(u) else c
 
+def summed(h: np.ndarray) -> np.ndarray:
+    return np.cumsum(h, dtype=np.uint64)
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    import zstandard
 
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+def parts_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of the hash, so that sorted words are sorted by part."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
-    import zstandard
+def shards_of(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    spread = np.uint64(max(8, shards // 4))
+    return (mixed(u ^ mixed(w % spread)) % np.uint64(shards)).astype(np.int64)
 
-    return np.frombuffer(zstandard.decompress(blob), np.int64).reshape(n, -1)
 
+def runs(ids: np.ndarray):
+    """(id, begin, end) of sorted ids."""
+    cuts = np.flatnonzero(np.diff(ids, prepend=-1))
+    return zip(ids[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(ids)])
 
-#: Rows of the table of pairs: a pair that repeats, how many pairs with one customer a word ends and begins, and the
-#: packed keys of a shard's pairs with one customer.
-REPEATED, ENDS, BEGINS, SINGLE = range(4)
-_PAIRS = "kind int, s int, u long, w long, c long, blob binary"
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(h64, words), np.int64, len(words)).view(np.uint64)
 
-def pair_table(docs: DataFrame, text: str, train: str, shards: int) -> DataFrame:
-    """Pairs of training texts, counted in shards by context."""
 
-    def packets(w: list[np.ndarray]):
-        ws = np.concatenate(w)
-        u, w, c = summed(np.concatenate([followed(x) for x in w]), ws, np.ones(len(ws), np.int64))
-        at = shards_of(u, shards)
-        order = np.argsort(at, kind="stable")
-        u, w, c, at = u[order], w[order], c[order], at[order]
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(cuts[1:], len(at))
-        yield pa.RecordBatch.from_pydict({"s": pa.array(at[cuts], pa.int32()), "blob": pa.array([_packed(u[i:j], w[i:j], c[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
+# ---- coded texts ------------------------------------------------------------
 
-    def run(batches):
-        memo, held, size = Memo(h64), [], 0
-        for b in batches:
-            for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if learn:
-                    held.append(hashed([*tokens(t), END_TOKEN], memo))
-                    size += len(held[-1])
-                    if size > PAIR_TOKENS:
-                        yield from packets(held)
-                        held, size = [], 0
-        if held:
-            yield from packets(held)
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(x, 3) for x in table.column("blob").to_pylist()]
-        u, w, c = summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-        one = c == 1
-        ends, begins = (np.unique(x[one], return_counts=True) for x in (w, u))
-        rest, zero = ~one, lambda n: np.zeros(n, np.int64)
-        columns = [
-            (REPEATED, u[rest], w[rest], c[rest]),
-            (ENDS, zero(len(ends[0])), ends[0], ends[1]),
-            (BEGINS, begins[0], zero(len(begins[0])), begins[1]),
-            (SINGLE, zero(1), zero(1), np.array([int(one.sum())])),
-        ]
-        kind = np.concatenate([np.full(len(x[1]), x[0]) for x in columns])
-        s = table.column("s")[0].as_py()
-        blob = pa.array([*[None] * (len(kind) - 1), _packed(np.sort(pair_keys(u[one], w[one])))], pa.binary())
-        numbers = [pa.array(np.concatenate([x[k] for x in columns]), pa.int64()) for k in (1, 2, 3)]
-        return pa.table([pa.array(kind, pa.int32()), pa.array(np.full(len(kind), s), pa.int32()), *numbers, blob], names=["kind", "s", "u", "w", "c", "blob"])
-
-    return docs.select(text, train).mapInArrow(run, "s int, blob binary").groupBy("s").applyInArrow(count, _PAIRS)
-
-
-# ---- the distributed model --------------------------------------------------
-
-# word, its hash, count, pairs with one customer that it ends and begins, customers and tables of the word restaurant,
-# tables of its own restaurant, predictive probability; sums of the last two over the samples.
-_WORDS = pa.schema([("word", pa.binary()), *[(x, pa.int64()) for x in ("k", "c", "ends", "begins", "n", "t", "own")], *[(x, pa.float64()) for x in ("p", "p_sum", "own_sum")]])
-_DDL = "word binary, k long, c long, ends long, begins long, n long, t long, own long, p double, p_sum double, own_sum double"
-
-
-def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """word, c: all words of all texts and the end, with their counts in training texts (0 where only others have them)."""
+#: Kinds of rows. id: the bucket, part or shard that a row is for; src: where it comes from.
+DOCS, WORDS, PAIRS, STATE, ASK, ONCE, SUMS, CODES = range(8)
+_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("src", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("blob", pa.binary())])
+_DDL = "kind int, id long, src long, a double, b double, blob binary"
 
-    def run(batches):
-        counts: Counter = Counter()
-        for b in batches:
-            for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = tokens(t)
-                for a in range(0, len(ws), 100_000):
-                    if learn:
-                        counts.update(ws[a : a + 100_000])
-                    else:
-                        for w in ws[a : a + 100_000]:
-                            counts.setdefault(w, 0)
-                    if len(counts) > 300_000:
-                        yield _counted(counts)
-                        counts = Counter()
-                counts[END_TOKEN] += bool(learn)
-        yield _counted(counts)
 
-    return docs.select(text, train).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
-def _counted(counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())})
+def _row(kind: int, to: int, src: int, blob: bytes | None, a: float = 0.0, b: float = 0.0) -> tuple:
+    return kind, to, src, a, b, blob
 
 
-def _seed(words: list[bytes], sweep: int) -> int:
-    """A batch's draws follow from its content, so a lost task gives the same seating again."""
-    import xxhash
+class _Ids(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
-    return xxhash.xxh3_64_intdigest(b"\n".join(words[:50]), sweep)
 
+class Bucket:
+    """Texts that are coded together: word ids of all tokens end to end, ends included."""
 
-class Model:
-    """words: word, c, p (probability in the word restaurant) and own (tables of the restaurant of which it is the context),
-    one row for each word of all texts; repeated: u, w, c, t of pairs with two customers or more; pairs: the table of
-    pairs; n: training tokens; v: distinct training tokens; discount: that of the context restaurants."""
+    def __init__(self):
+        self.ids, self.tokens, self.sizes, self.learn, self.bytes, self.carried = _Ids({END_TOKEN: 0}), [], [], [], 0, []
 
-    def __init__(self, words: DataFrame, n: int, v: int, repeated: DataFrame, pairs: DataFrame, shards: int, discount: float):
-        self.words, self.n, self.v = words, n, v
-        self.repeated, self.pairs, self.shards, self.discount = repeated, pairs, shards, discount
+    def add(self, text: str | None, learn: bool) -> None:
+        n = 1
+        for words in pieces(text or ""):
+            self.tokens.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+            n += len(words)
+        self.tokens.append(np.zeros(1, np.int32))
+        self.sizes.append(n)
+        self.learn.append(bool(learn))
+        self.bytes += len(text or "")
 
+    def rows(self, b: int, shards: int, parts: int):
+        words = list(self.ids)
+        h = hashes(words)
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int32)
+        rank[order] = np.arange(len(h), dtype=np.int32)
+        h = h[order]
+        w = rank[np.concatenate(self.tokens)]
+        sizes = np.array(self.sizes, np.int64)
+        learn = np.repeat(np.array(self.learn), sizes)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.carried[0].schema) as out:
+            for x in self.carried:
+                out.write_batch(x)
+        yield _row(DOCS, b, -1, packed(w, sizes, sink.getvalue().to_pybytes()))
+        count = np.bincount(w[learn], minlength=len(h))
+        for p, i, j in runs(parts_of(h, parts)):
+            own = b"\n".join([b"" if words[k] == END_TOKEN else words[k] for k in order[i:j].tolist()])
+            yield _row(WORDS, p, b, packed(steps(h[i:j]), count[i:j], own))
+        pairs, at = _pairs(w, h, shards)
+        count = np.bincount(at[learn], minlength=len(pairs[0]))
+        u, w, shard = pairs
+        for s, i, j in runs(shard):
+            us, n = np.unique(u[i:j], return_counts=True)
+            ws, wi = np.unique(w[i:j], return_inverse=True)
+            yield _row(PAIRS, s, b, packed(steps(h[us]), n.astype(np.int32), steps(h[ws]), wi.astype(np.int32), count[i:j]))
 
-def _discount(once, twice) -> float:
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else DISCOUNT
 
+def _pairs(w: np.ndarray, h: np.ndarray, shards: int):
+    """Distinct pairs (context, word, shard) of texts end to end, by shard, and the place of each token's pair among them.
+    The context of a text's first token is the end of the text before it: all ends are one word."""
+    u = np.concatenate([w[-1:], w[:-1]]).astype(np.int64)
+    key, at = np.unique(u * len(h) + w, return_inverse=True)
+    u, w = key // len(h), key % len(h)
+    shard = shards_of(h[u], h[w], shards)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return (u[order], w[order], shard[order]), place[at]
 
-def fit(docs: DataFrame, text: str = "text", train: str = "train", burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """Learns from texts whose train is true; every word of the other texts gets a probability too.
 
-    A null or empty text has only its end. Without training texts all words have the spelling base's probabilities.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shards = bucket_count(text_bytes(docs, text), SHARD_BYTES)
-    pairs = written(pair_table(docs, text, train, shards), "lm-pairs")
-    kind = lambda k: pairs.filter(F.col("kind") == k)
-    single, two = (kind(SINGLE).agg(F.sum("c")).first()[0] or 0), kind(REPEATED).filter("c = 2").count()
-    inner = _discount(single, two)
-    repeated = written(kind(REPEATED).select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum")), "lm-repeated")
-    ends = kind(ENDS).groupBy(F.col("w").alias("k")).agg(F.sum("c").alias("ends"))
-    begins = kind(BEGINS).groupBy(F.col("u").alias("k")).agg(F.sum("c").alias("begins"))
-    zero = F.lit(0).cast("long")
-
-    def keyed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h64(w) for w in b.column(0).to_pylist()], pa.int64()), b.column(1)], names=["word", "k", "c"])
-
-    counted = word_counts(docs, text, train).mapInArrow(keyed, "word binary, k long, c long").join(ends, "k", "left").join(begins, "k", "left")
-    some = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
-    words = written(counted.select("word", "k", "c", *[F.coalesce(x, zero).alias(x) for x in ("ends", "begins")], zero.alias("n"), some.alias("t"), zero.alias("own"), *[F.lit(0.0).alias(x) for x in ("p", "p_sum", "own_sum")]), "lm-words")
-    n, v = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    outer = None
-    for sweep in range(1, burn_in + samples + 1):
-        kept = sweep > burn_in
-        seated = _customers(words, repeated)
-        total, customers, once, twice = seated.agg(F.sum("t"), F.sum("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        outer = outer or _discount(once, twice)
-        spelling, total = _spelling(seated, sweep)
-        old, words = words, written(_swept(seated, spelling, total, customers or 0, outer, sweep, kept), "lm-sweep")
-        discard(old)
-        old, repeated = repeated, written(_reseated(repeated, words, inner, sweep, kept), "lm-repeated")
-        discard(old)
-    mean = lambda x: (F.col(x) / samples).alias(x.removesuffix("_sum"))
-    return Model(words.select("word", "c", mean("p_sum"), mean("own_sum")), n or 0, v or 0, repeated.select("u", "w", "c", mean("t_sum")), pairs, shards, inner)
+class Coded:
+    """Texts in the shared folder as packed buckets."""
 
+    def __init__(self, table: DataFrame, shards: int, parts: int, names: list[str], ddl: list[str]):
+        self.table, self.shards, self.parts, self.names, self.ddl = table, shards, parts, names, ddl
 
-def _customers(words: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Words with their present customers (n) and the tables of their own restaurants, which follow from the pairs'."""
-    more = repeated.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("_n"))
-    own = repeated.groupBy(F.col("u").alias("k")).agg(F.sum("t").alias("_own"))
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0).cast("long")))
-    rows = words.join(more, "k", "left").join(own, "k", "left")
-    return rows.withColumns({"n": plus("ends", "_n"), "own": plus("begins", "_own")}).select(*_WORDS.names)
+    def of(self, kind: int) -> DataFrame:
+        return self.table.filter(F.col("kind") == kind).select(*_SCHEMA.names)
 
 
-def _reseated(repeated: DataFrame, words: DataFrame, discount: float, sweep: int, kept: bool) -> DataFrame:
-    """New tables of the pairs with two customers or more; t_sum adds them up where this sweep is a sample."""
-    base = words.select(F.col("k").alias("w"), "p")
-    rows = repeated.join(base, "w").join(words.select(F.col("k").alias("u"), "own"), "u").select("u", "w", "c", "t", "t_sum", "p", "own")
+def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: list[str] | None = None, like: Model | None = None) -> Coded:
+    """train: a boolean column, the texts to learn from (none by default); keep: columns that score() gives back, by
+    default all; like: a model whose shards and parts are to be used."""
+    bounded_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    size = text_bytes(docs, text)
+    shards, parts = (like.shards, like.parts) if like else (bucket_count(size, SHARD_BYTES), bucket_count(size, PART_BYTES))
+    n = len(keep)
 
     def run(batches):
-        for b in batches:
-            c, t, t_sum, p, own = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5, 6))
-            rng = np.random.default_rng(abs(int(b.column(0)[0].as_py()) ^ int(b.column(1)[0].as_py())) + sweep) if b.num_rows else None
-            if b.num_rows:
-                t_sum = t_sum + t if kept else t_sum
-                t = reseat(c, t, p, own, discount, STRENGTH, rng).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(t, pa.int64()), pa.array(t_sum, pa.int64())], names=["u", "w", "c", "t", "t_sum"])
+        first, made, bucket = TaskContext.get().partitionId() << 32, 0, Bucket()
+        for batch in batches:
+            left = pa.RecordBatch.from_arrays(batch.columns[:n], names=[str(i) for i in range(n)])
+            begin = 0
+            for i, (t, learn) in enumerate(zip(batch.column(n), batch.column(n + 1).to_pylist()), 1):
+                bucket.add(t.as_py(), learn)
+                if bucket.bytes > BUCKET_BYTES or i == batch.num_rows:
+                    bucket.carried.append(left.slice(begin, i - begin))
+                    begin = i
+                if bucket.bytes > BUCKET_BYTES:
+                    yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
+                    bucket, made = Bucket(), made + 1
+        if bucket.sizes:
+            yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
+
+    learn = F.coalesce(F.col(f"`{train}`"), F.lit(False)) if train else F.lit(False)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), learn.alias("_learn"))
+    renamed = rows.toDF(*[f"_{i}" for i in range(n + 2)])
+    return Coded(written(renamed.mapInArrow(run, _DDL), "lm-coded", by="kind"), shards, parts, list(keep), arrow_schema(docs, keep))
+
+
+# ---- the base: spelling -----------------------------------------------------
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (two bytes of context, symbol: context << 9 | symbol) of all words end to end, and where each word begins.
+    Contexts before a word are spaces; the end of a text spells nothing but the stop."""
+    raw = [b"" if w == END_TOKEN else w for w in words]
+    b = np.frombuffer(b"".join([b"  %s " % r for r in raw]), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    first = np.concatenate([[0], np.cumsum(size + 3)[:-1]]) if len(raw) else np.zeros(0, np.int64)
+    symbol = b.copy()
+    if len(raw):
+        symbol[first + size + 2] = STOP
+    keep = np.ones(len(b), bool)
+    keep[first] = keep[first + 1] = False
+    at = np.flatnonzero(keep)
+    starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if len(raw) else first
+    return (b[at - 2] << 17) | (b[at - 1] << 9) | symbol[at], starts
 
-    return rows.mapInArrow(run, "u long, w long, c long, t long, t_sum long")
 
+class Spelling:
+    """Probabilities of words from those of their bytes after two, one and no bytes; each backs off to the next in
+    proportion to the number of different symbols seen after the context, and the last one to all symbols alike.
+    codes, counts: how often the different words of the training texts have them."""
 
-def _spelling(words: DataFrame, seed: int) -> tuple[Spelling, int]:
-    """Gathers the tables' spellings: at most 256 * 256 * 257 sums, added up before they reach the driver."""
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        symbols = STOP + 1
+        table = np.full((1, symbols), 1 / symbols)
+        self.index = np.zeros(1 << 16, np.int32)
+        for bits in (0, 8, 16):
+            key = ((codes >> 9) & ((1 << bits) - 1)) * 512 + (codes & 511)
+            keys, inv = np.unique(key, return_inverse=True)
+            n = np.bincount(inv, counts, len(keys)) if len(keys) else np.zeros(0)
+            contexts, row = np.unique(keys >> 9, return_inverse=True)
+            total, kinds = np.bincount(row, n, len(contexts)), np.bincount(row, minlength=len(contexts))
+            above = np.zeros(len(contexts), np.int64) if bits == 0 else self.index[contexts & ((1 << (bits - 8)) - 1)]
+            rows = table[above] * (kinds / (total + kinds))[:, None]
+            np.add.at(rows, (row, keys & 511), n / (total + kinds)[row])
+            low = np.arange(1 << 16) & ((1 << bits) - 1)
+            where = np.full(1 << bits, -1)
+            where[contexts] = len(table) + np.arange(len(contexts))
+            self.index = np.where(where[low] >= 0, where[low], self.index).astype(np.int32)
+            table = np.concatenate([table, rows])
+        self.logs = np.log(table).astype(np.float32)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Of whole words, natural logarithms."""
+        out = np.zeros(len(words))
+        for a in range(0, len(words), 100_000):
+            codes, starts = spelled(words[a : a + 100_000])
+            out[a : a + len(starts)] = np.add.reduceat(self.logs[self.index[codes >> 9], codes & 511].astype(np.float64), starts)
+        return out
+
+
+def _spelling(table: DataFrame) -> Spelling:
+    """CODES rows, blocks of 2 ** 18 codes, are added up before they reach the driver: at most 256 * 256 * 257 sums."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        found = [unpacked(x) for x in rows.column("blob").to_pylist()]
+        codes, inv = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        counts = np.bincount(inv, np.concatenate([f[1] for f in found]))
+        return pa.table({"blob": pa.array([packed(codes, counts)], pa.binary())})
+
+    found = [unpacked(r.blob) for r in table.filter(F.col("kind") == CODES).groupBy("id").applyInArrow(add, "blob binary").collect()]
+    codes, counts = (np.concatenate([*[f[i] for f in found], np.zeros(0)]) for i in range(2))
+    order = np.argsort(codes)
+    return Spelling(codes[order].astype(np.int64), counts[order])
+
+
+# ---- learning ---------------------------------------------------------------
+
+
+def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    us, n, ws, wi, c = unpacked(blob)
+    return np.repeat(summed(us), n), summed(ws)[wi], c
+
+
+def counted(blobs: list[bytes]):
+    """Pairs of a shard: distinct ones of the training texts (context, word, count), and for each blob the places of its
+    pairs among them (-1: not in training texts)."""
+    found = [_decoded(x) for x in blobs]
+    u, w, c = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((w, u))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)
+    c = np.add.reduceat(c[order], np.flatnonzero(first)) if len(order) else c
+    known = np.where(c > 0, np.cumsum(c > 0) - 1, -1)
+    at = np.empty(len(order), np.int64)
+    at[order] = known[np.cumsum(first) - 1]
+    keep = order[first][c > 0]
+    return (u[keep], w[keep], c[c > 0]), np.split(at, np.cumsum([len(f[0]) for f in found])[:-1])
+
+
+def _tally(at: np.ndarray, size: int, weights=None) -> np.ndarray:
+    return np.bincount(at, weights, size).astype(np.int64)
+
+
+def _shard(parts: int):
+    """PAIRS of a shard -> its STATE, what it ASKs of the parts, and sums over pairs that occur ONCE."""
+
+    def build(table: pa.Table) -> pa.Table:
+        s = table.column("id")[0].as_py()
+        (u, w, c), _ = counted(table.column("blob").to_pylist())
+        more = c > 1
+        out = [_row(SUMS, -1, s, None, float((~more).sum()), float((c == 2).sum()))]
+        own = np.unique(np.concatenate([u[more], w[more]]))
+        ui, wi = np.searchsorted(own, u[more]).astype(np.int32), np.searchsorted(own, w[more]).astype(np.int32)
+        n = len(ui)
+        out.append(_row(STATE, s, -1, packed(steps(own), ui, wi, c[more], np.zeros(n, np.float32), np.zeros(n, np.int16), np.ones(n, np.int32))))
+        for p, i, j in runs(parts_of(own, parts)):
+            out.append(_row(ASK, p, s, packed(steps(own[i:j]), _tally(wi, len(own))[i:j], _tally(ui, len(own))[i:j])))
+        own = np.unique(np.concatenate([u[~more], w[~more]]))
+        ends, begins = _tally(np.searchsorted(own, w[~more]), len(own)), _tally(np.searchsorted(own, u[~more]), len(own))
+        for p, i, j in runs(parts_of(own, parts)):
+            out.append(_row(ONCE, p, s, packed(steps(own[i:j]), ends[i:j], begins[i:j])))
+        return _rows(out)
+
+    return build
+
+
+def _part(table: pa.Table) -> pa.Table:
+    """WORDS of a part -> its STATE before the first sweep, and CODES of the different words of training texts."""
+    p = table.column("id")[0].as_py()
+    found = [unpacked(x) for x in table.column("blob").to_pylist()]
+    h, c = np.concatenate([summed(f[0]) for f in found]), np.concatenate([f[1] for f in found])
+    words = [w for f in found for w in f[2].split(b"\n")]
+    h, first, at = np.unique(h, return_index=True, return_inverse=True)
+    c, words = _tally(at, len(h), c), [words[i] for i in first.tolist()]
+    codes, n = np.unique(spelled([w or END_TOKEN for w, k in zip(words, c.tolist()) if k])[0], return_counts=True)
+    out = [_row(STATE, p, -1, packed(steps(h), c, b"\n".join(words))), _row(SUMS, -1, p, None, float(c.sum()), float((c > 0).sum()))]
+    out += [_row(CODES, k, p, packed(codes[i:j], n[i:j])) for k, i, j in runs(codes >> 18)]
+    return _rows(out)
+
+
+class _Part:
+    """State of a part while it learns. Arrays follow the words' hashes; asked: for each shard the places of its words."""
+
+    NAMES = ("h", "c", "log_base", "ends", "begins", "x", "k", "asked", "shards", "sizes")
+
+    def __init__(self, values, samples):
+        self.__dict__.update(zip(self.NAMES, values))
+        self.h, self.samples = summed(self.h), samples
+
+    @classmethod
+    def first(cls, state: bytes, spelling: Spelling, rows) -> _Part:
+        h, c, words = unpacked(state)
+        n = len(h)
+        log_base = spelling.log_probabilities([w or END_TOKEN for w in words.split(b"\n")]).astype(np.float32)
+        own = summed(h)
+        ends, begins, asked = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+        for kind, src, blob in rows:
+            if kind == ONCE:
+                what, e, b = unpacked(blob)
+                at = np.searchsorted(own, summed(what))
+                ends[at] += e
+                begins[at] += b
+            if kind == ASK:
+                asked.append((src, np.searchsorted(own, summed(unpacked(blob)[0])).astype(np.int32)))
+        asked.sort(key=lambda r: r[0])
+        places = np.concatenate([*[a for _, a in asked], np.zeros(0, np.int32)])
+        return cls([h, c, log_base, ends, begins, np.zeros(n, np.float32), np.zeros(n, np.int16), places, np.array([s for s, _ in asked], np.int64), np.array([len(a) for _, a in asked], np.int64)], [])
+
+    def blob(self) -> bytes:
+        values = [steps(self.h) if n == "h" else getattr(self, n) for n in self.NAMES]
+        return packed(*values, *[a for s in self.samples for a in s])
+
+    @classmethod
+    def read(cls, blob: bytes) -> _Part:
+        values = unpacked(blob)
+        n = len(cls.NAMES)
+        return cls(values[:n], [tuple(values[i : i + 2]) for i in range(n, len(values), 2)])
+
+    def sweep(self, messages: dict[int, list[np.ndarray]], g: float, d: float, sweep: int, kept: bool):
+        """messages: for each shard the sums of tables by word and by context. Gives rows for the shards."""
+        n, tables = self.ends.copy(), self.begins.copy()
+        places = dict(zip(self.shards.tolist(), np.split(self.asked, np.cumsum(self.sizes)[:-1])))
+        for s, (by_word, by_context) in messages.items():
+            np.add.at(n, places[s], by_word)
+            np.add.at(tables, places[s], by_context)
+        rate = d * g * np.exp(np.maximum(self.log_base.astype(np.float64), -80.0))
+        _, t, self.x, self.k = moved(n, self.x, self.k, rate, keyed(self.h, 1), sweep, d)
+        t = np.where(n > 0, t, 0)
+        if kept:
+            self.samples.append(((n - d * t).astype(np.float32), tables))
+        return n, t, tables, places
+
+
+def _words_pass(spelling, g: float, outer: float, inner: float, sweep: int, kept: bool):
+    """A part's rows -> its next STATE, draws for the shards (ASK), and SUMS."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = table.column("id")[0].as_py()
+        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        state = next(b for k, _, b in rows if k == STATE)
+        part = _Part.first(state, spelling.value, rows) if sweep == 1 else _Part.read(state)
+        n, t, tables, places = part.sweep({s: unpacked(b)[-2:] for k, s, b in rows if k == ASK}, g, outer, sweep, kept)
+        seed = keyed(part.h, sweep + 1000)
+        draw = gamma(n - outer * t, keyed(seed, 1))
+        concentration = inner * gamma(np.where(part.c > 0, STRENGTH / inner + tables, 0), keyed(seed, 2))
+        out = [_row(STATE, p, -1, part.blob()), _row(SUMS, -1, p, None, float(draw.sum()), float(t.sum())), _row(SUMS, -2, p, None, float(n.sum()), 0.0)]
+        for s, at in places.items():
+            base = [part.log_base[at]] if sweep == 1 else []
+            out.append(_row(ASK, s, p, packed(draw[at].astype(np.float32), concentration[at].astype(np.float32), *base)))
+        return _rows(out)
+
+    return run
+
+
+def _pairs_pass(own_share: float, total: float, inner: float, sweep: int, kept: bool, parts: int):
+    """A shard's rows -> its next STATE and sums of its tables for the parts (ASK). own_share: what the draw of the
+    parent's measure leaves to the base; total: all of the draw."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table.column("id")[0].as_py()
+        rows = sorted(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()), key=lambda r: r[:2])
+        own, ui, wi, c, x, k, t, *more = unpacked(next(b for kind, _, b in rows if kind == STATE))
+        told = [unpacked(b) for kind, _, b in rows if kind == ASK]
+        draw, concentration = (np.concatenate([*[a[i] for a in told], np.zeros(0, np.float32)]).astype(np.float64) for i in range(2))
+        log_base = np.concatenate([*[a[2] for a in told], np.zeros(0, np.float32)]) if sweep == 1 else more.pop(0)
+        h = summed(own)
+        p = (draw + own_share * np.exp(np.maximum(log_base.astype(np.float64), -80.0))) / total
+        rate = np.maximum(concentration[ui] * p[wi], 1e-30)
+        before, t, x, k = moved(c, x, k, rate, mixed(h[ui] ^ mixed(h[wi])), sweep, inner)
+        if kept:
+            more.append(before.astype(np.int32))
+        t = t.astype(np.int32)
+        out = [_row(STATE, s, -1, packed(own, ui, wi, c, x, k, t, log_base, *more))]
+        by_word, by_context = _tally(wi, len(h), t), _tally(ui, len(h), t)
+        out += [_row(ASK, q, s, packed(by_word[i:j], by_context[i:j])) for q, i, j in runs(parts_of(h, parts))]
+        return _rows(out)
+
+    return run
+
+
+def _of(table: DataFrame, *kinds: int) -> DataFrame:
+    return table.filter(F.col("kind").isin(*kinds)).select(*_SCHEMA.names)
+
+
+def _sums(table: DataFrame, to: int = -1) -> tuple[float, float]:
+    """Added up as decimals, so that their order does not count."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,9)"))
+    return tuple(float(x or 0) for x in table.filter((F.col("kind") == SUMS) & (F.col("id") == to)).agg(exact("a"), exact("b")).first())
+
+
+def _discount(once: float, twice: float) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else DISCOUNT
 
-    def run(batches):
-        codes, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for b in batches:
-            t = b.column(1).to_numpy(zero_copy_only=False)
-            code, starts = spelled(b.column(0).to_pylist())
-            weight = np.repeat(t, np.diff(np.append(starts, len(code))))
-            code, weight = np.concatenate([codes, code[weight > 0]]), np.concatenate([counts, weight[weight > 0]])
-            codes, inv = np.unique(code, return_inverse=True)
-            counts = np.bincount(inv, weight, len(codes)).astype(np.int64)
-            total += int(t.sum())
-        codes, counts = np.append(codes, -1), np.append(counts, total)
-        yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    rows = words.select("word", "t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    total = int(rows.loc[rows["code"] < 0, "n"].sum())
-    rows = rows[rows["code"] >= 0]
-    return Spelling(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), seed), total
-
-
-def _swept(words: DataFrame, spelling: Spelling, total: int, customers: int, discount: float, sweep: int, kept: bool) -> DataFrame:
-    """The present seating's predictive probabilities (p), added to p_sum, and own to own_sum, where it is a sample (kept);
-    then all words are seated again."""
-    base = words.sparkSession.sparkContext.broadcast(spelling)  # at most 65 792 rows of 257 numbers
 
-    def run(batches):
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            n, t, own = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
-            p_sum, own_sum = (b.column(i).to_numpy(zero_copy_only=False) for i in (9, 10))
-            h = base.value.probabilities(*spelled(ws))
-            p = (n - discount * t + (STRENGTH + discount * total) * h) / (STRENGTH + customers)
-            if kept:
-                p_sum, own_sum = p_sum + p, own_sum + own
-            t = reseat(n, t, h, np.full(len(n), total), discount, STRENGTH, np.random.default_rng(_seed(ws, sweep))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(t, pa.int64()), b.column(7), *[pa.array(x, pa.float64()) for x in (p, p_sum, own_sum)]], schema=_WORDS)
-
-    return words.mapInArrow(run, _DDL)
-
-
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds n_tokens, n_known, base_score and score (log10 probabilities of the text, its end included).
-
-    Texts are dealt out in buckets by hash. A bucket asks for each of its distinct words and pairs once; the words' counts
-    and probabilities come back by a join, those of pairs from their shards, and the bucket's texts are then summed up. Rows are independent; columns named
-    as outputs are replaced.
+class Model:
+    """words, pairs: last states of parts and shards; coded: the coded training texts; n, v: tokens and different tokens
+    of these; inner, outer: discounts of contexts and of words; outside: for each sample what the words' restaurant gives
+    to its base and its customers, both with the strength."""
+
+    def __init__(self, coded: Coded, words: DataFrame, pairs: DataFrame, n: int, v: int, inner: float, outer: float, outside: list):
+        self.coded, self.words, self.pairs, self.n, self.v = coded, words, pairs, n, v
+        self.inner, self.outer, self.outside, self.shards, self.parts = inner, outer, outside, coded.shards, coded.parts
+
+
+def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
+    """Learns from the coded texts that are marked to learn from; every word of the others gets a probability too.
+
+    A null or empty text has only its end. Without training texts all words have the spelling base's probabilities.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    added = ["n_tokens", "n_known", "base_score", "score"]
-    names = [c for c in docs.columns if c not in added]
-    buckets = bucket_count(text_bytes(docs, text), BUCKET_BYTES)
-    dealt = docs.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(buckets)).cast("int").alias("_b"))
-    n, v, shards, discount = model.n, model.v, model.shards, model.discount
-
-    def ask(table: pa.Table) -> pa.Table:
-        found = {END_TOKEN}
-        for chunk in table.column(text).chunks:
-            for t in chunk.to_pylist():
-                found.update(tokens(t))
-        words = list(found)
-        return pa.table({"_b": pa.array([table.column("_b")[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary())})
-
-    def ask_pairs(table: pa.Table) -> pa.Table:
-        memo, u, w = Memo(h64), [], []
-        for chunk in table.column(text).chunks:
-            for t in chunk.to_pylist():
-                w.append(hashed([*tokens(t), END_TOKEN], memo))
-                u.append(followed(w[-1]))
-        u, w = np.concatenate(u), np.concatenate(w)
-        keys, first = np.unique(pair_keys(u, w), return_index=True)
-        at = shards_of(u[first], shards)
-        order = np.argsort(at, kind="stable")
-        keys, at = keys[order], at[order]
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(cuts[1:], len(at))
-        bucket = table.column("_b")[0].as_py()
-        return pa.table({"s": pa.array(at[cuts], pa.int32()), "_b": pa.array([bucket] * len(cuts), pa.int32()), "blob": pa.array([_packed(keys[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
-
-    def packets(parts):
-        u, w, c, t = (np.concatenate([x[k] for x in parts]) for k in range(4))
-        keys, at = pair_keys(u, w), shards_of(u, shards)
-        order = np.argsort(at, kind="stable")
-        keys, c, t, at = keys[order], c[order], t[order], at[order]
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(cuts[1:], len(at))
-        return pa.RecordBatch.from_pydict({"s": pa.array(at[cuts], pa.int32()), "_b": pa.array([-2] * len(cuts), pa.int32()), "blob": pa.array([_packed(keys[i:j], c[i:j], t[i:j]) for i, j in zip(cuts, ends)], pa.binary())})
-
-    def shard(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-            held[-1][3] = np.ascontiguousarray(held[-1][3], np.float64).view(np.int64)
-            size += b.num_rows
-            if size > PAIR_TOKENS:
-                yield packets(held)
-                held, size = [], 0
-        if size:
-            yield packets(held)
-
-    def answer(table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("_b").to_pylist(), table.column("blob").to_pylist()))
-        many = [_unpacked(x, 3) for b, x in rows if b == -2]
-        keys = [*[m[0] for m in many], *[_unpacked(x, 1)[0] for b, x in rows if b == -1]]
-        one = sum(map(len, keys)) - sum(len(m[0]) for m in many)
-        ones, real = np.ones(one, np.int64), np.ones(one).view(np.int64)
-        c, t = np.concatenate([*[m[1] for m in many], ones]), np.concatenate([*[m[2] for m in many], real])
-        keys = np.concatenate([*keys, np.zeros(0, np.int64)])
-        order = np.argsort(keys)
-        keys, c, t = keys[order], c[order], t[order]
+    spark = texts.table.sparkSession
+    pairs = written(texts.of(PAIRS).groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", by="kind")
+    words = written(texts.of(WORDS).groupBy("id").applyInArrow(_part, _DDL), "lm-words", by="kind")
+    n, v = _sums(words)
+    inner = outer = _discount(*_sums(pairs))
+    spelling = spark.sparkContext.broadcast(_spelling(words))  # at most 65 793 rows of 257 numbers
+    tables, outside = v, []
+    for sweep in range(1, burn_in + samples + 1):
+        kept, rng = sweep > burn_in, np.random.default_rng(sweep)
+        g = rng.gamma(STRENGTH / outer + tables)
+        rows = _of(words, STATE).unionByName(_of(pairs, ASK, ONCE))
+        old, words = words, written(rows.groupBy("id").applyInArrow(_words_pass(spelling, g, outer, inner, sweep, kept), _DDL), "lm-words", by="kind")
+        discard(old)
+        (drawn, tables), (customers, _) = _sums(words), _sums(words, -2)
+        if kept:
+            outside.append((STRENGTH + outer * tables, STRENGTH + customers))
+        if sweep < burn_in + samples:
+            share = rng.gamma(STRENGTH + outer * tables)
+            rows = _of(pairs, STATE).unionByName(_of(words, ASK))
+            old, pairs = pairs, written(rows.groupBy("id").applyInArrow(_pairs_pass(share, drawn + share, inner, sweep, kept, texts.parts), _DDL), "lm-pairs", by="kind")
+            discard(old)
+    spelling.unpersist()
+    return Model(texts, words, pairs, int(n), int(v), inner, outer, outside)
+
+
+# ---- scores -----------------------------------------------------------------
+
+
+def _word_answers(outside: list):
+    """STATE of a part and WORDS of buckets -> for each bucket count, log probability in each sample, and its
+    restaurant's tables in each sample, of its words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = table.column("id")[0].as_py()
+        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        part = _Part.read(next(b for k, _, b in rows if k == STATE))
+        base = np.exp(np.maximum(part.log_base.astype(np.float64), -650.0))
+        logs = [np.log((a.astype(np.float64) + s * base) / z).astype(np.float32) for (a, _), (s, z) in zip(part.samples, outside)]
         out = []
-        for b, x in rows:
-            if b >= 0 and len(keys):
-                q = _unpacked(x, 1)[0]
-                i = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-                i = i[keys[i] == q]
-                out.append((b, _packed(keys[i], c[i], t[i])))
-        return pa.table({"_b": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    asked = dealt.groupBy("_b").applyInArrow(ask, "_b int, word binary")
-    told = asked.join(model.words, "word").select("_b", "word", "c", "p", "own", F.lit(None).cast("binary").alias("blob"))
-    pairs = dealt.groupBy("_b").applyInArrow(ask_pairs, "s int, _b int, blob binary")
-    pairs = pairs.unionByName(model.pairs.filter(F.col("kind") == SINGLE).select("s", F.lit(-1).alias("_b"), "blob"))
-    pairs = pairs.unionByName(model.repeated.mapInArrow(shard, "s int, _b int, blob binary"))
-    told = told.unionByName(pairs.groupBy("s").applyInArrow(answer, "_b int, blob binary"), allowMissingColumns=True)
-    schema = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        single = answers.filter(pa.compute.is_valid(answers.column("word")))
-        parts = [_unpacked(x, 3) for x in answers.column("blob").drop_null().to_pylist()]
-        keys, many, tables = (np.concatenate([*[m[k] for m in parts], np.zeros(0, np.int64)]) for k in range(3))
-        order = np.argsort(keys)
-        keys, many, tables = np.append(keys[order], 0), np.append(many[order], 0), np.append(tables[order].view(np.float64), 0.0)
-        words = single.column("word").to_pylist()
-        where, k = {w: i for i, w in enumerate(words)}, np.fromiter(map(h64, words), np.int64, len(words))
-        c, p, own = (single.column(x).to_numpy() for x in ("c", "p", "own"))
-        base = np.log10((c + 1) / (n + v + 1))
-        rows = []
-        for t in texts.column(text).to_pylist():
-            ws = tokens(t)
-            i = np.fromiter(map(where.__getitem__, [*ws, END_TOKEN]), np.int64, len(ws) + 1)
-            u = followed(i)
-            q = pair_keys(k[u], k[i])
-            at = np.searchsorted(keys[:-1], q)
-            at[keys[at] != q] = len(keys) - 1
-            inner = (many[at] - discount * tables[at] + (STRENGTH + discount * own[u]) * p[i]) / (STRENGTH + c[u])
-            rows.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(np.log10(np.maximum(inner, 1e-300)).sum())))
-        out = pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-        kept = texts.select(names)
-        for f in schema:
-            kept = kept.append_column(f, out.column(f.name))
-        return kept
-
-    ddl = ", ".join([*arrow_schema(docs, names), "n_tokens long, n_known long, base_score double, score double"])
-    return dealt.groupBy("_b").cogroup(told.groupBy("_b")).applyInArrow(lambda a, b: tell(a, b) if a.num_rows else _nothing(ddl, a, names, schema), ddl)
-
-
-def _nothing(ddl, texts, names, schema):
-    out = texts.select(names)
-    for f in schema:
-        out = out.append_column(f, pa.array([], f.type))
-    return out
+        for k, b, blob in rows:
+            if k == WORDS and b >= 0:
+                at = np.searchsorted(part.h, summed(unpacked(blob)[0]))
+                out.append(_row(WORDS, b, p, packed(part.c[at], *[x[at] for x in logs], *[t[at] for _, t in part.samples])))
+        return _rows(out)
+
+    return run
+
+
+def _pair_answers(samples: int):
+    """STATE of a shard and PAIRS of buckets -> for each bucket the counts of its pairs, and the tables in each sample of
+    those that repeat."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table.column("id")[0].as_py()
+        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        asked = [(b, blob) for k, b, blob in rows if k == PAIRS]
+        (_, _, c), places = counted([blob for _, blob in asked])
+        state = [unpacked(b) for k, _, b in rows if k == STATE]
+        tables = [state[0][6]] if state else [np.zeros(0, np.int32)] * samples
+        if state and samples > 1:
+            tables = [*state[0][-(samples - 1) :], *tables]
+        c = np.append(c, 0)
+        repeated = np.cumsum(c > 1) - 1
+        out = []
+        for (b, _), at in zip(asked, places):
+            if b >= 0:
+                more = repeated[at[c[at] > 1]]
+                out.append(_row(PAIRS, b, s, packed(c[at], *[t[more] for t in tables])))
+        return _rows(out)
+
+    return run
+
+
+_ADDED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score(texts: Coded, model: Model) -> DataFrame:
+    """The kept columns with n_tokens, n_known, base_score and score (log10 probabilities of the text, its end included),
+    one row for each text; kept columns of these names are replaced. Texts may be those that the model learned from, or
+    others that were coded like it. Rows are independent of each other.
+
+    A bucket's words and pairs are answered by their parts and shards in the bucket's own order, and its texts added up.
+    """
+    shards, n, v, inner, samples = model.shards, model.n, model.v, model.inner, len(model.outside)
+    words, pairs = texts.of(WORDS), texts.of(PAIRS)
+    if texts is not model.coded:  # what was learned is counted again, without an answer
+        words, pairs = (x.unionByName(model.coded.of(k).withColumn("src", F.lit(-1).cast("long"))) for x, k in ((words, WORDS), (pairs, PAIRS)))
+    word_rows = words.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL)
+    pair_rows = pairs.unionByName(_of(model.pairs, STATE)).groupBy("id").applyInArrow(_pair_answers(samples), _DDL)
+    keep = [i for i, c in enumerate(texts.names) if c not in _ADDED.names]
+    names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
+
+    def tell(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()), key=lambda r: r[:2])
+        w, sizes, carried = unpacked(rows[0][2])
+        told = [unpacked(b) for k, _, b in rows if k == WORDS]
+        c, *rest = (np.concatenate(x) for x in zip(*told))
+        logs, tables = rest[:samples], rest[samples:]
+        told = [unpacked(b) for k, _, b in rows if k == PAIRS]
+        pair_c, *pair_t = (np.concatenate(x) for x in zip(*told))
+        h = _hashes_of(rows)
+        (u, word, _), at = _pairs(w, h, shards)
+        p, more = np.zeros(len(u)), pair_c > 1
+        for k in range(samples):
+            t = np.minimum(pair_c, 1).astype(np.float64)
+            t[more] = pair_t[k]
+            p += (pair_c - inner * t + (STRENGTH + inner * tables[k][u]) * np.exp(logs[k].astype(np.float64)[word])) / (STRENGTH + c[u])
+        starts = np.cumsum(sizes) - sizes
+        total = lambda x: np.add.reduceat(x, starts)
+        out = pa.ipc.open_stream(carried).read_all()
+        columns = [out.column(i) for i in keep]
+        columns += [pa.array(sizes, pa.int64()), pa.array(total((c[w] > 0).astype(np.int64)), pa.int64())]
+        columns += [pa.array(total(x), pa.float64()) for x in (np.log10((c + 1) / (n + v + 1))[w], np.log10(np.maximum(p / samples, 1e-300))[at])]
+        return pa.table(columns, names=[*names, *_ADDED.names])
+
+    hashed = texts.of(WORDS).select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "blob")
+    rows = texts.of(DOCS).unionByName(hashed).unionByName(word_rows).unionByName(pair_rows)
+    return rows.groupBy("id").applyInArrow(tell, ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"]))
+
+
+def _hashes_of(rows) -> np.ndarray:
+    return np.concatenate([summed(unpacked(b)[0]) for k, _, b in rows if k == ASK])
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -577,7 +624,10 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "text").withColumn("held_out", held_out(7, 2)).withColumn("train", ~F.col("held_out"))
-    model = fit(rows)
-    out = score(rows.drop("train"), model)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select("doc_id", "text").withColumn("held_out", held_out(7, 2)).withColumn("_train", ~F.col("held_out"))
+    texts = coded(rows, train="_train", keep=["doc_id", "held_out"])
+    model = fit(texts)
+    out = score(texts, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = written(out, "lm-scores")
+    discard(texts.table, model.words, model.pairs)
+    return out
