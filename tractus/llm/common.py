@@ -66,12 +66,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more; whatever store the shared folder is in."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Deletes tables of written() that nothing reads any more, or one part (a folder) of each; whatever store the shared
+    folder is in."""
     for df in tables:
-        if path := getattr(df, "_written_to", None):
+        paths = getattr(df, "_written_to", None) or []
+        for path in [paths] if isinstance(paths, str) else paths:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+            there = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
+            there.getFileSystem(conf).delete(there, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -22,6 +22,7 @@ only a few sums reach the driver. Random numbers are hashes of words and pairs,
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches, bucket_count, discard, h64, text_bytes, written
+from .common import arrow_schema, bounded_batches, bucket_count, discard, h64, released, text_bytes, written
 from .langid import held_out
 from .seating import gamma, keyed, mixed, moved
 
@@ -40,7 +41,9 @@ END_TOKEN = b" "
 BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH = 0.7, 1.0
 #: Bytes of text to a shard of pairs, to a part of the words, and to a bucket; bytes that are split into words together.
-SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 64 << 20, 24 << 20, 4 << 20
+SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 64 << 20, 16 << 20, 4 << 20
+#: Shards are taken in so many turns, so that no more than that share of the coded pairs is in shuffle files at once.
+TURNS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 STOP = 256
 
@@ -113,12 +116,13 @@ def hashes(words: list[bytes]) -> np.ndarray:
 # ---- coded texts ------------------------------------------------------------
 
 #: Kinds of rows. id: the bucket, part or shard that a row is for; src: where it comes from.
-DOCS, WORDS, PAIRS, STATE, ASK, ONCE, SUMS, CODES = range(8)
+DOCS, WORDS, PAIRS, STATE, ASK, ONCE, SUMS, CODES, SPELT = range(9)
 _SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("src", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("blob", pa.binary())])
 _DDL = "kind int, id long, src long, a double, b double, blob binary"
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
+    released()
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
@@ -166,7 +170,8 @@ class Bucket:
         count = np.bincount(w[learn], minlength=len(h))
         for p, i, j in runs(parts_of(h, parts)):
             own = b"\n".join([b"" if words[k] == END_TOKEN else words[k] for k in order[i:j].tolist()])
-            yield _row(WORDS, p, b, packed(steps(h[i:j]), count[i:j], own))
+            yield _row(WORDS, p, b, packed(steps(h[i:j])))
+            yield _row(SPELT, p, b, packed(steps(h[i:j]), count[i:j], own))
         pairs, at = _pairs(w, h, shards)
         count = np.bincount(at[learn], minlength=len(pairs[0]))
         u, w, shard = pairs
@@ -198,6 +203,10 @@ class Coded:
     def of(self, kind: int) -> DataFrame:
         return self.table.filter(F.col("kind") == kind).select(*_SCHEMA.names)
 
+    def turns(self) -> list[DataFrame]:
+        """The coded pairs, by turns of their shards."""
+        return [self.of(PAIRS).filter(F.col("id") % TURNS == i) for i in range(TURNS)]
+
 
 def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: list[str] | None = None, like: Model | None = None) -> Coded:
     """train: a boolean column, the texts to learn from (none by default); keep: columns that score() gives back, by
@@ -221,6 +230,7 @@ def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: l
                 if bucket.bytes > BUCKET_BYTES:
                     yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
                     bucket, made = Bucket(), made + 1
+                    released()
         if bucket.sizes:
             yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
 
@@ -351,7 +361,7 @@ def _shard(parts: int):
 
 
 def _part(table: pa.Table) -> pa.Table:
-    """WORDS of a part -> its STATE before the first sweep, and CODES of the different words of training texts."""
+    """SPELT words of a part -> its STATE before the first sweep, and CODES of the different words of training texts."""
     p = table.column("id")[0].as_py()
     found = [unpacked(x) for x in table.column("blob").to_pylist()]
     h, c = np.concatenate([summed(f[0]) for f in found]), np.concatenate([f[1] for f in found])
@@ -464,6 +474,13 @@ def _pairs_pass(own_share: float, total: float, inner: float, sweep: int, kept:
     return run
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    """Written tables as one."""
+    out = reduce(DataFrame.unionByName, tables)
+    out._written_to = [t._written_to for t in tables]
+    return out
+
+
 def _of(table: DataFrame, *kinds: int) -> DataFrame:
     return table.filter(F.col("kind").isin(*kinds)).select(*_SCHEMA.names)
 
@@ -489,13 +506,15 @@ class Model:
 
 
 def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """Learns from the coded texts that are marked to learn from; every word of the others gets a probability too.
+    """Learns from the coded texts that are marked to learn from; every word of the others gets a probability too. The
+    spellings of the coded words are deleted once they are known, so that coded texts are learned from once.
 
     A null or empty text has only its end. Without training texts all words have the spelling base's probabilities.
     """
     spark = texts.table.sparkSession
-    pairs = written(texts.of(PAIRS).groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", by="kind")
-    words = written(texts.of(WORDS).groupBy("id").applyInArrow(_part, _DDL), "lm-words", by="kind")
+    pairs = _all([written(x.groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", by="kind") for x in texts.turns()])
+    words = written(texts.of(SPELT).groupBy("id").applyInArrow(_part, _DDL), "lm-words", by="kind")
+    discard(texts.table, part=f"kind={SPELT}")
     n, v = _sums(words)
     inner = outer = _discount(*_sums(pairs))
     spelling = spark.sparkContext.broadcast(_spelling(words))  # at most 65 793 rows of 257 numbers
@@ -577,11 +596,12 @@ def score(texts: Coded, model: Model) -> DataFrame:
     A bucket's words and pairs are answered by their parts and shards in the bucket's own order, and its texts added up.
     """
     shards, n, v, inner, samples = model.shards, model.n, model.v, model.inner, len(model.outside)
-    words, pairs = texts.of(WORDS), texts.of(PAIRS)
+    asked, turns = texts.of(WORDS), texts.turns()
     if texts is not model.coded:  # what was learned is counted again, without an answer
-        words, pairs = (x.unionByName(model.coded.of(k).withColumn("src", F.lit(-1).cast("long"))) for x, k in ((words, WORDS), (pairs, PAIRS)))
-    word_rows = words.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL)
-    pair_rows = pairs.unionByName(_of(model.pairs, STATE)).groupBy("id").applyInArrow(_pair_answers(samples), _DDL)
+        turns = [x.unionByName(y.withColumn("src", F.lit(-1).cast("long"))) for x, y in zip(turns, model.coded.turns())]
+    words = written(asked.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL), "lm-answers")
+    states = [_of(model.pairs, STATE).filter(F.col("id") % TURNS == i) for i in range(TURNS)]
+    pairs = _all([written(x.unionByName(y).groupBy("id").applyInArrow(_pair_answers(samples), _DDL), "lm-answers") for x, y in zip(turns, states)])
     keep = [i for i, c in enumerate(texts.names) if c not in _ADDED.names]
     names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
 
@@ -608,9 +628,12 @@ def score(texts: Coded, model: Model) -> DataFrame:
         columns += [pa.array(total(x), pa.float64()) for x in (np.log10((c + 1) / (n + v + 1))[w], np.log10(np.maximum(p / samples, 1e-300))[at])]
         return pa.table(columns, names=[*names, *_ADDED.names])
 
-    hashed = texts.of(WORDS).select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "blob")
-    rows = texts.of(DOCS).unionByName(hashed).unionByName(word_rows).unionByName(pair_rows)
-    return rows.groupBy("id").applyInArrow(tell, ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"]))
+    hashed = asked.select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "blob")
+    rows = texts.of(DOCS).unionByName(hashed).unionByName(words).unionByName(pairs)
+    out = rows.groupBy("id").applyInArrow(tell, ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"]))
+    out = written(out, "lm-scores")
+    discard(words, pairs)
+    return out
 
 
 def _hashes_of(rows) -> np.ndarray:
@@ -628,6 +651,5 @@ def op4(docs: DataFrame) -> DataFrame:
     texts = coded(rows, train="_train", keep=["doc_id", "held_out"])
     model = fit(texts)
     out = score(texts, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
-    out = written(out, "lm-scores")
     discard(texts.table, model.words, model.pairs)
     return out
