@@ -41,7 +41,7 @@ END_TOKEN = b" "
 BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH = 0.7, 1.0
 #: Bytes of text to a shard of pairs, to a part of the words, and to a bucket; bytes that are split into words together.
-SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 64 << 20, 16 << 20, 4 << 20
+SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 8 << 20, 4 << 20
 #: Shards are taken in so many turns, so that no more than that share of the coded pairs is in shuffle files at once.
 TURNS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -260,6 +260,16 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (b[at - 2] << 17) | (b[at - 1] << 9) | symbol[at], starts
 
 
+def _spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of the words and their counts."""
+    codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a in range(0, len(words), 20_000):
+        more, m = np.unique(spelled(words[a : a + 20_000])[0], return_counts=True)
+        codes, inv = np.unique(np.concatenate([codes, more]), return_inverse=True)
+        n = np.bincount(inv, np.concatenate([n, m])).astype(np.int64)
+    return codes, n
+
+
 class Spelling:
     """Probabilities of words from those of their bytes after two, one and no bytes; each backs off to the next in
     proportion to the number of different symbols seen after the context, and the last one to all symbols alike.
@@ -288,8 +298,8 @@ class Spelling:
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Of whole words, natural logarithms."""
         out = np.zeros(len(words))
-        for a in range(0, len(words), 100_000):
-            codes, starts = spelled(words[a : a + 100_000])
+        for a in range(0, len(words), 20_000):
+            codes, starts = spelled(words[a : a + 20_000])
             out[a : a + len(starts)] = np.add.reduceat(self.logs[self.index[codes >> 9], codes & 511].astype(np.float64), starts)
         return out
 
@@ -368,7 +378,7 @@ def _part(table: pa.Table) -> pa.Table:
     words = [w for f in found for w in f[2].split(b"\n")]
     h, first, at = np.unique(h, return_index=True, return_inverse=True)
     c, words = _tally(at, len(h), c), [words[i] for i in first.tolist()]
-    codes, n = np.unique(spelled([w or END_TOKEN for w, k in zip(words, c.tolist()) if k])[0], return_counts=True)
+    codes, n = _spellings([w or END_TOKEN for w, k in zip(words, c.tolist()) if k])
     out = [_row(STATE, p, -1, packed(steps(h), c, b"\n".join(words))), _row(SUMS, -1, p, None, float(c.sum()), float((c > 0).sum()))]
     out += [_row(CODES, k, p, packed(codes[i:j], n[i:j])) for k, i, j in runs(codes >> 18)]
     return _rows(out)
