@@ -41,7 +41,7 @@ END_TOKEN = b" "
 BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH = 0.7, 1.0
 #: Bytes of text to a shard of pairs, to a part of the words, and to a bucket; bytes that are split into words together.
-SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 8 << 20, 4 << 20
+SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 12 << 20, 4 << 20
 #: Shards are taken in so many turns, so that no more than that share of the coded pairs is in shuffle files at once.
 TURNS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -185,7 +185,12 @@ def _pairs(w: np.ndarray, h: np.ndarray, shards: int):
     """Distinct pairs (context, word, shard) of texts end to end, by shard, and the place of each token's pair among them.
     The context of a text's first token is the end of the text before it: all ends are one word."""
     u = np.concatenate([w[-1:], w[:-1]]).astype(np.int64)
-    key, at = np.unique(u * len(h) + w, return_inverse=True)
+    key = u * len(h) + w
+    order = np.argsort(key)
+    first = np.diff(key[order], prepend=-1) != 0
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(first) - 1
+    key = key[order[first]]
     u, w = key // len(h), key % len(h)
     shard = shards_of(h[u], h[w], shards)
     order = np.argsort(shard, kind="stable")
@@ -343,6 +348,11 @@ def counted(blobs: list[bytes]):
     return (u[keep], w[keep], c[c > 0]), np.split(at, np.cumsum([len(f[0]) for f in found])[:-1])
 
 
+def _by_count(c: np.ndarray) -> np.ndarray:
+    """Order of the repeated pairs in a shard's state: the most frequent first, so that seating finds them sorted."""
+    return np.argsort(-c[c > 1], kind="stable")
+
+
 def _tally(at: np.ndarray, size: int, weights=None) -> np.ndarray:
     return np.bincount(at, weights, size).astype(np.int64)
 
@@ -357,8 +367,9 @@ def _shard(parts: int):
         out = [_row(SUMS, -1, s, None, float((~more).sum()), float((c == 2).sum()))]
         own = np.unique(np.concatenate([u[more], w[more]]))
         ui, wi = np.searchsorted(own, u[more]).astype(np.int32), np.searchsorted(own, w[more]).astype(np.int32)
-        n = len(ui)
-        out.append(_row(STATE, s, -1, packed(steps(own), ui, wi, c[more], np.zeros(n, np.float32), np.zeros(n, np.int16), np.ones(n, np.int32))))
+        n, order = len(ui), _by_count(c)
+        ui, wi = ui[order], wi[order]
+        out.append(_row(STATE, s, -1, packed(steps(own), ui, wi, c[more][order].astype(np.int32), np.zeros(n, np.float32), np.zeros(n, np.int16), np.ones(n, np.int32))))
         for p, i, j in runs(parts_of(own, parts)):
             out.append(_row(ASK, p, s, packed(steps(own[i:j]), _tally(wi, len(own))[i:j], _tally(ui, len(own))[i:j])))
         own = np.unique(np.concatenate([u[~more], w[~more]]))
@@ -583,8 +594,9 @@ def _pair_answers(samples: int):
         tables = [state[0][6]] if state else [np.zeros(0, np.int32)] * samples
         if state and samples > 1:
             tables = [*state[0][-(samples - 1) :], *tables]
+        order, repeated = _by_count(c), np.zeros(len(c) + 1, np.int64)
+        repeated[np.flatnonzero(c > 1)[order]] = np.arange(len(order))
         c = np.append(c, 0)
-        repeated = np.cumsum(c > 1) - 1
         out = []
         for (b, _), at in zip(asked, places):
             if b >= 0:
@@ -598,11 +610,13 @@ def _pair_answers(samples: int):
 _ADDED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score(texts: Coded, model: Model) -> DataFrame:
+def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
     """The kept columns with n_tokens, n_known, base_score and score (log10 probabilities of the text, its end included),
     one row for each text; kept columns of these names are replaced. Texts may be those that the model learned from, or
     others that were coded like it. Rows are independent of each other.
 
+    last: neither the texts nor the model are used again, and their tables are deleted as soon as they can be.
+
     A bucket's words and pairs are answered by their parts and shards in the bucket's own order, and its texts added up.
     """
     shards, n, v, inner, samples = model.shards, model.n, model.v, model.inner, len(model.outside)
@@ -612,6 +626,9 @@ def score(texts: Coded, model: Model) -> DataFrame:
     words = written(asked.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL), "lm-answers")
     states = [_of(model.pairs, STATE).filter(F.col("id") % TURNS == i) for i in range(TURNS)]
     pairs = _all([written(x.unionByName(y).groupBy("id").applyInArrow(_pair_answers(samples), _DDL), "lm-answers") for x, y in zip(turns, states)])
+    if last:
+        discard(model.coded.table, texts.table, part=f"kind={PAIRS}")
+        discard(model.words, model.pairs)
     keep = [i for i, c in enumerate(texts.names) if c not in _ADDED.names]
     names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
 
@@ -660,6 +677,6 @@ def op4(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(7, 2)).withColumn("_train", ~F.col("held_out"))
     texts = coded(rows, train="_train", keep=["doc_id", "held_out"])
     model = fit(texts)
-    out = score(texts, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
-    discard(texts.table, model.words, model.pairs)
+    out = score(texts, model, last=True).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    discard(texts.table)
     return out
