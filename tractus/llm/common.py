@@ -76,6 +76,18 @@ def discard(*tables: DataFrame, part: str = "") -> None:
             there.getFileSystem(conf).delete(there, True)
 
 
+#: A key with more than this share of all rows is joined apart from the others; there are at most so many of these.
+HOT_KEYS = 1000
+
+
+def split_join(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with counts (one row for each of the keys, m: its number of rows), without m. Keys with more than
+    total / HOT_KEYS rows are less than HOT_KEYS, so their part of counts is broadcast; of the others none fills a task."""
+    hot = F.broadcast(counts.filter(F.col("m") * HOT_KEYS > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counts.filter(F.col("m") * HOT_KEYS <= total), keys, how)
+    return rows.join(hot, keys).drop("m").unionByName(rest.drop("m"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,4 +36,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._written_to = now._written_to
+    return out

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, discard, signed, vacate, written
+from .common import Memo, bounded_batches, discard, signed, split_join, vacate, written
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -52,9 +52,8 @@ def long_prefix(n, percent: int = PERCENT):
 
 
 class Shingler:
-    def __init__(self, k: int = SHINGLE, seed: int = 0):
-        self.k, self.seed = k, seed
-        self.words = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed))
+    def __init__(self, k: int = SHINGLE):
+        self.k, self.words = k, Memo(xxhash.xxh3_64_intdigest)
 
     def set(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the text's shingles; with fewer words, one of the whole sequence."""
@@ -82,13 +81,13 @@ def _packed(counts: np.ndarray) -> bytes:
     return zstandard.compress(counts.tobytes(), 1)
 
 
-def frequencies(docs: DataFrame, text: str, shingle: int, seed: int) -> np.ndarray:
+def frequencies(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Magnitudes of the slots' counts over all documents: 2 ** SLOT_BITS bytes, whatever the input."""
     slots, part = 1 << SLOT_BITS, 1 << 17
 
     def run(batches):
         vacate()
-        own, counts = Shingler(shingle, seed), np.zeros(slots, np.int64)
+        own, counts = Shingler(shingle), np.zeros(slots, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 np.add.at(counts, (own.set(t) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
@@ -237,20 +236,20 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
     return out
 
 
-def _classes(docs: DataFrame, text: str, key: str, levels, shingle: int, percent: int, seed: int) -> DataFrame:
+def _classes(docs: DataFrame, text: str, key: str, levels, shingle: int, percent: int) -> DataFrame:
     """Of each row: key, th (hash of the text), n (set size), lo and hi (hash of the set), prefix."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(levels)  # 2 ** SLOT_BITS bytes
 
     def run(batches):
         vacate()
-        own = Shingler(shingle, seed)
+        own = Shingler(shingle)
         for b in batches:
             n, lo, hi, prefix = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = own.set(t)
                 keys = ordered(s, known.value)
-                d = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 lo.append(signed(d & ((1 << 64) - 1)))
                 hi.append(signed(d >> 64))
@@ -273,41 +272,52 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(key, text)
-    for seed in range(8):
-        levels = frequencies(docs, text, shingle, seed)
-        rows = _classes(docs, text, key, levels, shingle, percent, seed)
-        classes = written(rows.filter("n > 0").groupBy("lo", "hi", "n").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col("th"))).alias("first"), F.any_value("prefix").alias("prefix")).select(F.col("lo").alias("c"), "n", F.col("first.k").alias("k"), F.col("first.th").alias("th"), "prefix"), "classes")
-        # A class goes by half of its hash; another seed where two classes share it.
-        if not classes.groupBy("c").count().filter("count > 1").limit(1).count():
-            break
+    levels = frequencies(docs, text, shingle)
+    rows = _classes(docs, text, key, levels, shingle, percent)
+    # Sets are equal where 128 bits of hash and the size are. A class gets a number of its own, so no two are taken for one.
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col("th")))
+    classes = rows.filter("n > 0").groupBy("lo", "hi", "n").agg(first.alias("first"), F.any_value("prefix").alias("prefix"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "lo", "hi", "n", F.col("first.k").alias("k"), F.col("first.th").alias("th"), "prefix"), "classes")
     tokens = classes.select("c", "n", F.explode("prefix").alias("token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    shared = written(tokens.join(several, "token"), "tokens")
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+
+    def counted(of: DataFrame) -> DataFrame:
+        """Tokens of two classes or more: m, and the smallest class as their hub."""
+        return written(of.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("hub")).filter("m > 1"), "shared")
+
+    several = counted(tokens)
+    left = written(split_join(tokens, several.drop("hub"), ["token"], total), "tokens")
+    discard(several)
     # A partner has at least t n tokens, and so shares the l of that size at least.
     least = F.ceil(F.col("n") * percent / 100)
     need = F.greatest(F.lit(1), F.floor((least - F.ceil(least * percent / 100)) / 2))
-    left = shared
     for _ in range(2):  # classes that go leave fewer shared tokens to the others
         stay = left.groupBy("c", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= need).select("c")
-        kept = left.join(stay, "c")
-        old, left = left, written(kept.join(kept.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "token"), "tokens")
-        discard(old)
-    hubs = left.groupBy("token").agg(F.min("c").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    near = left.select("c", "token").join(hubs, "token").select("hub", "c").distinct()
-    links = written(_joined(docs, classes, near, text, key, levels, shingle, percent, seed), "links")
-    discard(left)
+        kept = written(left.join(stay, "c"), "tokens")
+        several = counted(kept)
+        old, left = left, written(split_join(kept, several.drop("hub"), ["token"], left.count()), "tokens")
+        discard(old, kept, several)
+    hubs = counted(left)
+    near = split_join(left.select("c", "token"), hubs, ["token"], left.count()).select("hub", "c").distinct()
+    links = written(_joined(docs, classes, near, text, key, levels, shingle, percent), "links")
+    discard(left, hubs)
     comp = components(links, "x", "y")
-    named = classes.select("c", "n", "k").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = named.groupBy("component").agg(F.min("k").alias("component_id"))
-    of = named.join(least, "component").select("c", "component_id")
-    out = rows.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lo")).alias("c"))
-    return out.join(of, "c", "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    discard(links)
+    named = classes.select("c", "lo", "hi", "n", "k").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    smallest = named.groupBy("component").agg(F.min("k").alias("component_id"))
+    sizes = rows.filter("n > 0").groupBy("lo", "hi", "n").agg(F.count("*").alias("m"))
+    of = named.join(smallest, "component").join(sizes, ["lo", "hi", "n"]).select("lo", "hi", "n", "m", "component_id")
+    linked = split_join(rows.filter("n > 0").select(key, "lo", "hi", "n"), of, ["lo", "hi", "n"], rows.count()).select(key, "n", "component_id")
+    alone = rows.filter("n = 0").select(key, "n", F.col(key).alias("component_id"))
+    out = written(linked.unionByName(alone).withColumnRenamed("n", "n_shingles"), "linked")
+    discard(rows, classes, comp)
+    return out
 
 
-def _joined(docs, classes, near, text, key, levels, shingle, percent, seed) -> DataFrame:
+def _joined(docs, classes, near, text, key, levels, shingle, percent) -> DataFrame:
     """x, y: links between classes, a spanning forest of each task."""
     spark = docs.sparkSession
-    members = written(near.withColumnRenamed("hub", "cluster").join(classes.drop("prefix"), "c"), "members")
+    members = written(near.withColumnRenamed("hub", "cluster").join(classes.drop("prefix", "lo", "hi"), "c"), "members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     units = max(1, -(-total // UNIT_SHINGLES))
@@ -326,7 +336,7 @@ def _joined(docs, classes, near, text, key, levels, shingle, percent, seed) -> D
 
     def run(table: pa.Table) -> pa.Table:
         vacate()
-        own = Shingler(shingle, seed)
+        own = Shingler(shingle)
         groups: dict[int, dict[int, np.ndarray]] = {}
         for chunk in table.to_batches(1000):
             for clusters, c, t in zip(*(chunk.column(n).to_pylist() for n in ("clusters", "c", "t"))):

@@ -1,7 +1,7 @@
 """URL filters: a sort-merge range join of canonical keys with nested prefix rules.
 
-A rule (host, path) covers the interval of keys that begin with its own key, the host's labels in reverse order and
-the path. Intervals of prefixes are nested or apart. A url has one key for each suffix of its host that is as long as
+A rule (host, path) covers the interval of keys that begin with its own key, the host's labels in reverse order, each
+closed by a dot, and the path; the dot keeps `com` from covering `community`. Intervals of prefixes are nested or apart. A url has one key for each suffix of its host that is as long as
 some rule's host. Keys and rules are sorted together; a sweep keeps the stack of active nested rules. The stack in
 force at a key is that of the rule that began last: every active rule has begun before it and still covers it.
 """
@@ -29,16 +29,20 @@ def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise("")
     before = lambda t, stops: F.regexp_extract(t, f"(?s)^([^{stops}]*)", 1)
-    host = before(F.col("_rest"), "/?#")
-    tail = F.substring(F.col("_rest"), F.length(host) + 1, F.length(F.col("_rest")))
+    host = before(rest, "/?#")
+    tail = F.substring(rest, F.length(host) + 1, F.length(rest))
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.withColumn("_rest", rest).withColumns({"host": lower, "path": before(tail, "?#")}).drop("_rest")
+    return df.withColumns({"host": lower, "path": before(tail, "?#")})
 
 
 def _labels(host: Column) -> Column:
     return F.reverse(F.split(host, "\\.", -1))
 
 
+def _key(labels: Column, path: Column) -> Column:
+    return F.concat(F.array_join(F.transform(labels, lambda x: F.concat(x, F.lit("."))), ""), path)
+
+
 def _stacks(rules: DataFrame) -> DataFrame:
     """key, stack: each rule with all rules whose intervals hold its own, outermost first. Of equal rules (same host
     and path) the one whose verdict sorts first counts."""
@@ -47,7 +51,7 @@ def _stacks(rules: DataFrame) -> DataFrame:
         .filter(F.col("host").isNotNull() & F.col("path").isNotNull())
         .groupBy("host", "path")
         .agg(F.min("verdict").alias("verdict"))
-        .select(F.concat(F.array_join(_labels(F.col("host")), "."), "path").alias("key"), F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict").alias("r"))
+        .select(_key(_labels(F.col("host")), F.col("path")).alias("key"), F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict").alias("r"))
     )
     prefixes = keyed.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("p"))
     outer = keyed.select(F.col("key").alias("p"), F.struct(F.length("key").alias("k"), F.col("key").alias("key"), F.col("r").alias("r")).alias("entry"))
@@ -71,7 +75,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     if depth == 0:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(DEFAULT)})
     labels = _labels(F.col("host"))
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.col("path")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda n: _key(F.slice(labels, F.lit(1), n), F.col("path")))
     points = keys.select("host", "path", F.explode(suffixes).alias("key"), F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
     starts = stacks.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "stack")
     sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
