@@ -66,7 +66,7 @@ def test_general_interfaces_keep_clashing_columns(spark):
         (decontam.decontaminate(df, items(spark)), {"n_words", "hits", "items"}),
         (quality.judge(df), {"n_words", "kept", "_w", "_l"}),
         (substring.repeats(df), {"removed"}),
-        (langid.identify(df, {"en": "the dog"}), {"lang_pred", "score"}),
+        (langid.identify(df, {"en": ["the dog"]}), {"lang_pred", "score"}),
         (secrets.scan(df), {"spans"}),
         (bpe.encode_decode(df, vocabulary()), {"ids", "decoded"}),
     ]:

@@ -134,6 +134,36 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_phrases_against_brute_force(monkeypatch):
+    r = random.Random(7)
+    for _ in range(30):
+        sample, text = (" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 40))) for _ in range(2))
+        text += " d ab"
+        flat = "".join(langid.parsed(sample))
+        monkeypatch.setattr(langid, "PART_WORDS", r.choice([1, 3, 1000]))
+        target, at, want = " " + " ".join(text.split()) + " ", 0, 0
+        parts = list(langid.parsed(text))
+        assert "".join(parts) == target
+        while at < len(target):
+            n = 1
+            while at + n < len(target) and target[at : at + n + 1] in flat and target[at] in flat:
+                n += 1
+            at, want = at + n, want + 1
+        automaton, count, state = langid.SuffixAutomaton(flat), 0, 0
+        for part in parts:
+            n, state = automaton.phrases(part, state)
+            count += n
+        assert count + (state != 0) == want
+
+
+def test_texts_without_letters():
+    model = langid.Model({"a": ["the dog"], "b": ["der Hund"], "c": ["123"]})
+    assert model.langs == ["a", "b"]
+    for t in (None, "", "² ½", "Ⅷ 12", "!?"):
+        assert model.predict(t) == ("und", 0.0)
+    assert model.predict("hund")[0] == "b"
+
+
 def test_language_model(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = {r.doc_id: r for r in lm.op4(df).collect()}

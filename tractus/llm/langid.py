@@ -1,12 +1,10 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built from a bounded sample of labelled texts. A text is cross-parsed
-against each automaton: from a position the longest match is one phrase, the parse goes on after it. With c phrases
-over n symbols and a sample of m symbols, c * log2(m) / n estimates the cross-entropy, so the language with the
-fewest normalised phrases wins.
-
-A phrase stays within one word and the two spaces around it. The number of phrases of a text is then a sum over its
-words, each word is parsed once per worker, and every word of the whole text counts.
+For each language a suffix automaton is built from a bounded number of labelled rows, with their whole texts. A text is
+cross-parsed against each automaton: from a position the longest match is one phrase, whatever words it spans, and the
+parse goes on after it. With c phrases over n symbols and a sample of m symbols, c * log2(m) / n estimates the
+cross-entropy, so the language with the fewest normalised phrases wins. Texts are parsed as their words in lower case
+with single spaces between, from the first to the last.
 """
 
 from __future__ import annotations
@@ -19,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS_CACHED, arrow_schema, bounded_batches, resident
+from .common import arrow_schema, bounded_batches, resident
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the labelled sample: rows of each language, and symbols of each language's automaton.
-SAMPLE_ROWS, SAMPLE_SYMBOLS = 60, 30_000
+#: The labelled sample: rows of each language, those of at most so many characters before longer ones.
+SAMPLE_ROWS, ROW_CHARS = 24, 6_000
+#: Words that are put together and parsed at a time; the parse goes on from one such part to the next.
+PART_WORDS = 50_000
 UNKNOWN = "und"
 
 
@@ -57,9 +57,10 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def phrases(self, text: str) -> int:
-        """Longest matches, end to end; a symbol that the sample lacks is a phrase of its own."""
-        step, root, count, state = self.next, self.next[0], 0, 0
+    def phrases(self, text: str, state: int = 0) -> tuple[int, int]:
+        """Longest matches that end in the text, and the state of the one that has not ended; a symbol that the sample
+        lacks is a phrase of its own."""
+        step, root, count = self.next, self.next[0], 0
         for ch in text:
             to = step[state].get(ch)
             if to is None:
@@ -69,67 +70,58 @@ class SuffixAutomaton:
                     count += 1
                     to = 0
             state = to
-        return count + (state != 0)
+        return count, state
+
+
+def parsed(text: str):
+    """The text as it is parsed, in parts that follow each other."""
+    words = WORD.findall(text.lower())
+    for a in range(0, len(words), PART_WORDS):
+        yield ("" if a else " ") + " ".join(words[a : a + PART_WORDS]) + " "
 
 
 class Model:
-    """samples: language -> text. Ties go to the language that sorts first."""
+    """samples: language -> texts. Ties go to the language that sorts first. A language whose samples have no letter is
+    not learned."""
 
-    def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        text = {k: " " + " ".join(WORD.findall(samples[k].lower())) + " " for k in self.langs}
+    def __init__(self, samples: dict[str, list[str]]):
+        text = {k: "".join(x for t in v for x in parsed(t)) for k, v in samples.items()}
+        self.langs = sorted(k for k in text if text[k].strip())
         self.automata = [SuffixAutomaton(text[k]) for k in self.langs]
         self.bits = np.array([math.log2(max(4, len(text[k]))) for k in self.langs])
-        self.rows: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.langs)), np.int64)
-
-    def row(self, word: str) -> int:
-        """The word's row in the matrix of phrase counts."""
-        n = len(self.rows)
-        if n == len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        marked = f" {word} "
-        self.counts[n] = [a.phrases(marked) for a in self.automata]
-        self.rows[word] = n
-        return n
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs), np.int64)
-        for at in range(0, len(words), 100_000):
-            part = words[at : at + 100_000]
-            if len(self.rows) > MAX_WORDS_CACHED:
-                self.rows.clear()
-            known = self.rows.get
-            rows = [i if (i := known(w)) is not None else self.row(w) for w in part]
-            total += self.counts[rows].sum(axis=0)
-        cost = total * self.bits
-        best = int(cost.argmin())
-        if len(cost) == 1:
+        if len(self.langs) == 1:
             return self.langs[0], 1.0
+        count, states = np.zeros(len(self.langs), np.int64), [0] * len(self.langs)
+        for part in parsed(text):
+            for i, a in enumerate(self.automata):
+                n, states[i] = a.phrases(part, states[i])
+                count[i] += n
+        cost = (count + [s != 0 for s in states]) * self.bits
+        best = int(cost.argmin())
         return self.langs[best], float(1 - cost[best] / np.partition(cost, 1)[1])
 
 
-def sample(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, str]:
-    """At most SAMPLE_ROWS rows of each language, those of the smallest hashes of key and text, and of these
-    SAMPLE_SYMBOLS symbols at most: what reaches the driver is bounded for each language."""
-    order = Window.partitionBy("l").orderBy("h", "k")
-    rows = (
+def sample(labelled: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
+    """Whole texts of at most rows labelled rows of each language: those of at most ROW_CHARS characters first, and of
+    these those of the smallest hashes of key and text. The languages are few, so what reaches the driver is bounded."""
+    order = Window.partitionBy("l").orderBy("long", "h", "k")
+    kept = (
         labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).cast("string").alias("l"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+        .select(F.col(lang).cast("string").alias("l"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"), (F.length(text) > ROW_CHARS).alias("long"))
         .withColumn("i", F.row_number().over(order))
-        .filter(F.col("i") <= SAMPLE_ROWS)
-        .select("l", "i", F.substring("t", 1, SAMPLE_SYMBOLS).alias("t"))
+        .filter(F.col("i") <= rows)
     )
     out: dict[str, list[str]] = {}
-    for r in sorted(rows.collect()):
+    for r in sorted(kept.select("l", "i", "t").collect()):
         out.setdefault(r.l, []).append(r.t)
-    return {k: "\n".join(v)[:SAMPLE_SYMBOLS] for k, v in out.items()}
+    return out
 
 
-def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, list[str]], text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1: how much cheaper the parse is than that of the second-best language).
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is every text where nothing was learned; with
@@ -138,10 +130,10 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = names.index(text)
-    learned = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_SYMBOLS symbols a language at most
+    learned = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_ROWS texts a language
 
     def run(batches):
-        model = resident(("langid", hash(tuple(sorted(learned.value.items())))), lambda: Model(learned.value))
+        model = resident(("langid", hash(repr(sorted(learned.value.items())))), lambda: Model(learned.value))
         for b in batches:
             found = [model.predict(t) for t in b.column(at).to_pylist()]
             cols = [b.column(i) for i in range(b.num_columns)]
