@@ -37,6 +37,41 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+# Where the tokenizers library's character tables are of other Unicode versions than Python's and regex's.
+#: Assigned later than the library's tables of letters and numbers; it counts them as neither.
+LATER = (
+    "\u0558 \u058b-\u058c \u088f \u0c5c \u0cdc \u208f \u209d-\u209f \ua7ce-\ua7cf \ua7d2 \ua7d4 \ua7dd \ua7e2 \ua7f1 \uab6c-\uab6d "
+    "\U000107bb-\U000107bf \U00010940-\U00010959 \U00010ec5-\U00010ec7 \U00010ed9-\U00010eee \U00011b0a \U00011db0-\U00011ddb "
+    "\U00011de0-\U00011de9 \U00011df1 \U0001246f \U00012475-\U0001247f \U00012550-\U00012686 \U00016ea0-\U00016eb8 \U00016ebb-\U00016ed3 "
+    "\U00016ff2-\U00016ff6 \U000187f8-\U000187ff \U00018cd6-\U00018cda \U00018d09-\U00018d20 \U00018d80-\U00018df2 \U00018e00-\U00019191 "
+    "\U000191a0-\U000191d2 \U0001b123-\U0001b128 \U0001b168 \U0001d6a6 \U0001df1f-\U0001df24 \U0001df2b-\U0001df81 \U0001df90-\U0001df96 "
+    "\U0001dfcd-\U0001dfff \U0001e6c0-\U0001e6de \U0001e6e0-\U0001e6e2 \U0001e6e4-\U0001e6e5 \U0001e6e7-\U0001e6ed \U0001e6f0-\U0001e6f4 "
+    "\U0001e6fe-\U0001e6ff \U0002b73a-\U0002b73f \U0002b81e \U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f"
+).replace(" ", "")
+#: Marks that the library's composition does not know: they end what is composed, and are not moved.
+UNKNOWN_MARKS = (
+    "\u07fd \u0898-\u089f \u08ca-\u08d3 \u09fe \u0c3c \u0d3b-\u0d3c \u0eba \u1715 \u1abf-\u1ace \u1df6-\u1dfa \ua82c \U00010d24-\U00010d27 "
+    "\U00010eab-\U00010eac \U00010efd-\U00010eff \U00010f46-\U00010f50 \U00010f82-\U00010f85 \U00011070 \U0001133b \U0001145e "
+    "\U00011839-\U0001183a \U00011930 \U0001193d-\U0001193e \U00011943 \U000119e0 \U00011a34 \U00011a47 \U00011a99 \U00011d42 \U00011d44-\U00011d45 "
+    "\U00011d97 \U00011f41-\U00011f42 \U00016ff0-\U00016ff1 \U0001e08f \U0001e130-\U0001e136 \U0001e2ae \U0001e2ec-\U0001e2ef \U0001e4ec-\U0001e4ef"
+).replace(" ", "")
+#: Lower case that only the library knows: (first, last, lower case of the first).
+LOWER_CASE = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_MARKS = regex.compile(f"([{UNKNOWN_MARKS}])")
+_LOWERED = {a + i: to + i for a, b, to in LOWER_CASE for i in range(b - a + 1)}
+
+
+def normalised(text: str) -> str:
+    """Composed and in lower case, as the library does it: character by character, without a final sigma."""
+    if text.isascii():
+        return text.lower()
+    parts = _MARKS.split(text) if _MARKS.search(text) else [text]
+    return "".join([unicodedata.normalize("NFC", x) for x in parts]).replace("Σ", "σ").translate(_LOWERED).lower()
+
+
 class Automaton:
     """vocab: label -> id; merges: pairs of labels in rank order; end: what marks a word's last symbol."""
 
@@ -123,11 +158,17 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton = Automaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.automaton.labels |= {i: t for t, i in special.items()}
-        self.special = special
+        self.special, self.opening = special, {t[0] for t in special}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # White space as the tokenizer's own pattern engine has it.
-        self.words = regex.compile(pattern.replace(r"\s", r"\t-\r\x20\x85\xa0  -     　"))
+        # White space, letters and numbers as the tokenizer's own pattern engine has them.
+        space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        later = f"[{LATER}]"
+        pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^{space}\p{{L}}\p{{N}}]|{later})")
+        pattern = pattern.replace(r"[\p{L}]", rf"(?!{later})\p{{L}}").replace(r"[\p{N}]", rf"(?!{later})\p{{N}}")
+        self.words = regex.compile(pattern.replace(r"(?!%s)\p{L}+" % later, r"(?:(?!%s)\p{L})+" % later))
+        self.fast = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", space))
+        self.later = regex.compile(later)
         self.symbols = byte_symbols()
         self.paths = Memo(self._path, 250_000)
 
@@ -135,12 +176,12 @@ class Encoder:
         return tuple(self.automaton.encode("".join([self.symbols[b] for b in word.encode()])))
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return list(chain.from_iterable(map(self.paths.__getitem__, self.words.findall(text.lower()))))
+        text = normalised(text)
+        words = self.words if not text.isascii() and self.later.search(text) else self.fast
+        return list(chain.from_iterable(map(self.paths.__getitem__, words.findall(text))))
 
     def encode(self, text: str) -> list[int]:
-        if self.cut is None or "<" not in text:
+        if self.cut is None or not any(map(text.__contains__, self.opening)):
             return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
