@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a likelihood ratio of two character Markov models.
 
-The patterns find assignments, access keys and long hexadecimal strings. Other long tokens of letters and digits are
-compared under two Markov models of characters, one of random strings and one of ordinary identifiers, both trained
-from labelled samples; a token whose mean log-likelihood ratio passes the threshold is a secret too.
+The patterns find assignments, access keys and long hexadecimal strings. What they leave of other tokens is compared
+under two Markov models of characters, one of random strings and one of ordinary identifiers and words. Both learn from
+labelled samples: what the patterns find in a bounded number of rows of the input is random, the other tokens of these
+rows are ordinary; made strings of several alphabets and identifiers of common words are added to both. Half of the
+samples are held out and give the threshold: a token whose log-likelihood ratio passes it is a secret too.
 """
 
 from __future__ import annotations
@@ -21,11 +23,17 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Tokens that the models judge, of LEAST_RANDOM characters or more.
+LEAST_RANDOM = 12
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 HINTS = ("passw", "secret", "token", "api")
 LEAST_ASSIGNED = 12
-#: Mean log-likelihood ratio, in nats a character, from which a token counts as random.
-THRESHOLD = 0.25
+#: Rows of the input that the models learn from, those of at most ROW_CHARS characters before longer ones.
+LABELLED_ROWS, ROW_CHARS = 2_000, 20_000
+#: The ratio (in nats) that a token must pass at least, for secrets are rare; and the share of held-out ordinary samples
+#: that may pass the threshold.
+LEAST_RATIO, FALSE_ALARMS = 9.2, 0.0005
+DOUBT = 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PARTS = (
     "user account profile session request response handler config default value index count total item list table column row key name type "
@@ -53,27 +61,45 @@ def labelled_samples(n: int = 4000) -> list[tuple[str, int]]:
 
 
 class Ratio:
-    """Log-likelihood ratio of two first-order chains over ALPHABET with additive smoothing."""
-
-    def __init__(self, samples: list[tuple[str, int]], smoothing: float = 0.5):
-        code = np.full(128, len(ALPHABET), np.int64)
-        code[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-        self.code, k = code, len(ALPHABET) + 1
-        counts = np.full((2, k, k), smoothing)
-        for text, label in samples:
-            c = self.codes(text)
-            np.add.at(counts[label], (c[:-1], c[1:]), 1)
-        log = np.log(counts / counts.sum(axis=2, keepdims=True))
-        self.table = log[1] - log[0]
+    """Log-likelihood ratio of two chains over ALPHABET: of the next character after two, which backs off to that after
+    one and this to that after none, each in proportion to BACK_OFF observations."""
+
+    BACK_OFF = 20.0
+
+    def __init__(self, samples: list[tuple[str, int]]):
+        self.symbols = bytes(ALPHABET.index(chr(b)) if b < 128 and chr(b) in ALPHABET else len(ALPHABET) for b in range(256))
+        k = len(ALPHABET) + 1
+        logs = []
+        for label in (0, 1):
+            three = np.zeros((k, k, k))
+            for text, y in samples:
+                if y == label:
+                    c = self.codes(text)
+                    np.add.at(three, (c[:-2], c[1:-1], c[2:]), 1)
+            p = np.full(k, 1 / k)
+            for n in (three.sum(axis=(0, 1)), three.sum(axis=0), three):
+                p = (n + self.BACK_OFF * p) / (n.sum(axis=-1, keepdims=True) + self.BACK_OFF)
+            logs.append(np.log(p))
+        self.table = (logs[1] - logs[0]).astype(np.float32)
+        self.threshold = LEAST_RATIO
 
     def codes(self, text: str) -> np.ndarray:
-        """The state before the first character is that of a character outside the alphabet."""
-        b = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-        return np.concatenate([[len(ALPHABET)], self.code[np.minimum(b, 127)]])
+        """Before the first character stand two outside the alphabet."""
+        return np.frombuffer((b"\0\0" + text.encode("ascii", "replace")).translate(self.symbols), np.uint8)
 
     def score(self, text: str) -> float:
         c = self.codes(text)
-        return float(self.table[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
+        return float(self.table[c[:-2], c[1:-1], c[2:]].sum())
+
+
+def trained(samples: list[tuple[str, int]]) -> Ratio:
+    """Both chains from one half of the samples, dealt by a hash of the text; the threshold from the other half."""
+    half = lambda t: hashlib.md5(t.encode()).digest()[0] & 1
+    ratio = Ratio([x for x in samples if half(x[0])])
+    held = np.sort([ratio.score(t) for t, y in samples if not y and not half(t)])
+    if len(held):
+        ratio.threshold = max(LEAST_RATIO, float(held[-1 - int(FALSE_ALARMS * len(held))]))
+    return ratio
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,32 +114,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan_text(text: str, ratio: Ratio, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """All spans: those of the patterns, and random tokens that touch none of these."""
-    found = base_spans(text)
-    more = []
+def uncovered(text: str, spans: list[tuple[int, int, int]]):
+    """(start, end) of what the spans (by start) leave of tokens, LEAST_RANDOM characters or more. One pass over both."""
+    i, reach = 0, 0
     for m in TOKEN.finditer(text):
-        s, a, b = m.group(), m.start(), m.end()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(x < b and a < y for x, _, y in found) and ratio.score(s) >= threshold:
-            more.append((a, 3, b))
-    return sorted(found + more)
+        at, end = m.span()
+        while True:
+            while i < len(spans) and spans[i][0] <= at:
+                reach = max(reach, spans[i][2])
+                i += 1
+            at = max(at, reach)
+            stop = min(end, spans[i][0]) if i < len(spans) else end
+            if stop - at >= LEAST_RANDOM:
+                yield at, stop
+            if stop >= end:
+                break
+            at = stop
+
+
+def scan_text(text: str, ratio: Ratio) -> list[tuple[int, int, int]]:
+    """All spans: those of the patterns, and random tokens between these."""
+    found = base_spans(text)
+    return sorted(found + [(a, 3, b) for a, b in uncovered(text, found) if ratio.score(text[a:b]) >= ratio.threshold])
+
+
+def labelled(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) -> list[tuple[str, int]]:
+    """Distinct tokens of a bounded number of rows, those of the smallest hashes: 1 where a pattern finds them, else 0."""
+    kept = docs.select(F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL").orderBy(F.length("t") > ROW_CHARS, F.xxhash64("t"), "t").limit(rows)
+
+    def run(batches):
+        for b in batches:
+            found = set()
+            for t in b.column(0).to_pylist():
+                spans = base_spans(t)
+                for a, k, e in spans:
+                    s = ASSIGN.match(t, a).group(2) if k == 0 else t[a:e]
+                    found.add((s[:200], 1))
+                found.update((t[a:e][:200], 0) for a, e in uncovered(t, spans))
+            found = sorted(found)
+            yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in found], pa.string()), "y": pa.array([y for _, y in found], pa.int32())})
+
+    return sorted({(r.s, r.y) for r in kept.mapInArrow(run, "s string, y int").collect()})
+
+
+def learn(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) -> Ratio:
+    """The chains of made samples and of the input's. Tokens of the input that no pattern finds but that the made samples
+    alone call random by DOUBT times the least ratio get no label: secrets without a pattern must not count as ordinary."""
+    bounded_batches(docs.sparkSession)
+    made = labelled_samples()
+    first = Ratio(made)
+    return trained([*made, *((t, y) for t, y in labelled(docs, text, rows) if y or first.score(t) < DOUBT * LEAST_RATIO)])
 
 
-def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ratio: Ratio | None = None, text: str = "text") -> DataFrame:
     """Adds spans: array<struct<kind, start, end>> in code points, end exclusive, by start and then kind.
 
     Null and empty texts have no spans. Rows are independent; other columns are kept, one named spans is replaced.
-    samples: labelled strings for the two chains, by default those of labelled_samples().
+    ratio: the trained chains, by default those that learn() makes of docs.
     """
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "spans"]
     at = names.index(text)
-    ratio = Ratio(samples or labelled_samples())
+    ratio = docs.sparkSession.sparkContext.broadcast(ratio or learn(docs, text))  # a table of 68 ** 3 numbers
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(t, ratio)] if t else [] for t in b.column(at).to_pylist()]
+            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(t, ratio.value)] if t else [] for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(found, kind)], names=[*names, "spans"])
 
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, ", ".join([*arrow_schema(docs, names), "spans array<struct<kind:string,start:int,end:int>>"]))
