@@ -154,8 +154,8 @@ def test_secrets_against_brute_force(spark):
 
 def test_secret_chains_tell_samples_apart(spark):
     """Keys as providers give them, and made ones of other seeds than those learned from; ordinary tokens of other rows."""
-    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    ratio = secrets.learn(small)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio = secrets.learn(docs)
     r = random.Random(9)
     wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     key = lambda n, a=wide: "".join(r.choice(a) for _ in range(n))
@@ -163,8 +163,10 @@ def test_secret_chains_tell_samples_apart(spark):
     assert sum(ratio.score(t) >= ratio.threshold for t in made) / len(made) > 0.98
     short = [key(n) for n in (14, 16) for _ in range(200)]
     assert sum(ratio.score(t) >= ratio.threshold for t in short) / len(short) > 0.8
-    ordinary = [t for t, y in secrets.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")) if not y]
-    assert len(ordinary) > 1000 and sum(ratio.score(t) >= ratio.threshold for t in ordinary) / len(ordinary) < 0.001
+    known = set(secrets.labelled(docs))
+    ordinary = [t for t, y in secrets.labelled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")) if not y and (t, y) not in known]
+    alarms = sum(ratio.score(t) >= ratio.threshold for t in ordinary)
+    assert len(ordinary) > 1000 and alarms / len(ordinary) < 0.003, (alarms, len(ordinary))
 
 
 def test_many_secrets_in_a_text():
