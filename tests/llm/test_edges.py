@@ -83,6 +83,15 @@ def test_pages(spark):
     assert warc.op10(pages).count() == len(rows)
     assert urlfilter.op2(pages.limit(0)).count() == 0
     assert warc.op10(pages.limit(0)).count() == 0
+    other = pages.selectExpr("*", *[f"'own' AS {c}" for c in ("host", "path", "rule", "verdict", "_rest", "key", "salt", "kind", "d", "n", "m", "first", "row", "stack")])
+    assert urlfilter.op2(other).count() == len(rows) and warc.op10(other).count() == len(rows)
+    kept = urlfilter.match(urlfilter.with_host_path(other), urlfilter.rule_table(spark)).collect()
+    assert len(kept) == len(rows) and all({r[c] for r in kept} == {"own"} for c in ("_rest", "key", "salt", "kind", "stack"))
+    kept = warc.with_kinds(other).collect()
+    assert len(kept) == len(rows) and all({r[c] for r in kept} == {"own"} for c in ("d", "n", "m", "first", "row", "host"))
+    near = spark.createDataFrame([(1, "http://community/x"), (2, "http://com/x"), (3, "http://a.com/x")], "page_id long, url string")
+    none = urlfilter.match(urlfilter.with_host_path(near), urlfilter.rule_table(spark, (("block", "com", ""),)))
+    assert {r.page_id: r.rule for r in none.collect()} == {1: None, 2: "com", 3: "com"}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.op2(pages).collect()}
     assert got[1] == ("a.example.org", "/en/12", "example.org/en/1", "block")
     assert got[2] == ("", "", None, "allow") and got[None] == ("x.com", "", None, "allow")

@@ -266,3 +266,24 @@ def test_warc_segments(spark, tmp_path):
             assert bytes(x.payload) == body and x.refers_to is None
         else:
             assert int(x.refers_to) == min(same)
+
+
+def test_warc_damage(spark, tmp_path):
+    """A damaged record is a row with an error, and the others are read."""
+    import shutil
+
+    rows = [(i, f"http://x/{i}", f"page {i} " * 50) for i in range(6)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, segment=300)
+    file = next((tmp_path / "w").glob("part-*"))
+    text = gzip.decompress(file.read_bytes())
+    text = text.replace(b"page 2 page 2", b"page 2 page 9", 1).replace(b"page 3 ", b"page 3", 1) + b"rubbish"
+    shutil.rmtree(tmp_path / "w")
+    (tmp_path / "w").mkdir()
+    half = text.index(b"WARC/1.1", len(text) // 2)
+    (tmp_path / "w" / "a.warc.gz").write_bytes(gzip.compress(text[:half]) + gzip.compress(text[half:]))
+    back = warc.read(spark, path).collect()
+    good = {int(r.page_id): bytes(r.payload).decode() for r in back if not r.error}
+    assert set(good) >= {0, 1, 4, 5} and 2 not in good and 3 not in good
+    assert all(good[i] == rows[i][2] for i in good)
+    assert {2} <= {int(r.page_id) for r in back if r.error and r.page_id} and any("rubbish" in (r.error or "") or "no record" in (r.error or "") for r in back)

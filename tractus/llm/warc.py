@@ -14,21 +14,23 @@ ordered by segment number, their total length is verified, and the joined block
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir
+from .common import bounded_batches, discard, shared_dir, split_join, written
 
 #: Bytes of a block in one record, bytes of a chunk, and records in one file: together they bound what a task holds.
 SEGMENT, CHUNK, RECORDS_PER_FILE = 16 << 10, 4 << 10, 500
 DATE = "2000-01-01T00:00:00Z"
 END = "\r\n\r\n"
+#: Bytes of a packed archive that are unpacked at a time.
+STEP = 256 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -45,6 +47,8 @@ def unchunked(body: bytes) -> bytes:
     while True:
         line = body.index(b"\r\n", at)
         n = int(body[at:line].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("broken chunk")
         if n == 0:
             return b"".join(out)
         out.append(body[line + 2 : line + 2 + n])
@@ -94,14 +98,16 @@ def records(page: str | None, url: str | None, payload: bytes, kind: str, refers
 def with_kinds(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
     """Adds kind (response or revisit) and refers_to. Payloads are equal where digest and length are. A group's
     smallest key is the response; a null key is larger than all others, and a group of null keys is all responses.
-    Repeated rows with the smallest key are all responses. The smallest key of each payload is aggregated before the
-    shuffle and joined back, so a payload that fills a third of the table is never gathered in one place."""
+    Repeated rows with the smallest key are all responses. Other columns are kept. The smallest key of each payload is
+    aggregated before the shuffle; it goes to the rows of frequent payloads, which are few, by a broadcast, so that none
+    of these is gathered in one place."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    df = pages.withColumns({"_d": F.unhex(F.sha1(body)), "_n": F.octet_length(body)})
-    first = df.filter(F.col("_n") >= least).groupBy("_d", "_n").agg(F.min(key).alias("_first"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    joined = df.join(first, ["_d", "_n"], "left")
-    again = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first"))
-    return joined.withColumns({"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_d", "_n", "_first")
+    names = [c for c in pages.columns if c not in ("kind", "refers_to")]
+    df = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").alias("key"), F.unhex(F.sha1(body)).alias("d"), F.octet_length(body).alias("n"))
+    groups = df.groupBy("d", "n").agg(F.min("key").alias("first"), F.count("*").alias("m"))
+    joined = split_join(df, groups, ["d", "n"], pages.count())
+    again = F.col("first").isNotNull() & (F.col("n") >= least) & ~F.col("key").eqNullSafe(F.col("first"))
+    return joined.select(*[F.col(f"row.`{c}`") for c in names], F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, segment: int = SEGMENT) -> None:
@@ -121,53 +127,124 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     out.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
-def parse(content: bytes):
-    """(fields, block) of each record of an archive, compressed or not."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while at < len(content):
-        if content[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        stop = content.index(b"\r\n\r\n", at)
-        fields = headers(content[at:stop].split(b"\r\n")[1:])
-        n = int(fields["content-length"])
-        block = content[stop + 4 : stop + 4 + n]
-        if len(block) != n or content[stop + 4 + n : stop + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        yield fields, block
-        at = stop + 8 + n
-
-
-READ = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
-_SEGMENTS = "origin string, segment int, total long, page_id string, url string, record_type string, refers_to string, payload_digest string, block binary"
-
-
-def _finished(kind: str, page, url, refers, said: str | None, block: bytes) -> tuple:
-    fields, payload = decode_response(block)
-    if kind == "revisit":
-        return page, url, kind, refers, said, int(fields["content-length"]), None
-    found = digest(payload)
-    if said and found != said:
-        raise ValueError(f"payload of page {page} does not have its digest")
-    return page, url, kind, refers, found, len(payload), payload
+class Stream:
+    """The bytes of an archive, compressed or not, unpacked as they are taken."""
+
+    def __init__(self, content):
+        self.left, self.held, self.at = memoryview(content), bytearray(), 0
+        self.packed = bytes(self.left[:2]) == b"\x1f\x8b"
+        self.member = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bool:
+        """Unpacks some more; False at the end."""
+        if self.at > 1 << 20:
+            del self.held[: self.at]
+            self.at = 0
+        if not len(self.left):
+            return False
+        if not self.packed:
+            self.held += self.left[:STEP]
+            self.left = self.left[STEP:]
+            return True
+        step = bytes(self.left[:STEP])
+        self.held += self.member.decompress(step)
+        self.left = self.left[len(step) - len(self.member.unused_data) :]
+        if self.member.eof:
+            self.member = zlib.decompressobj(31)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, and goes on after it; None where there is none."""
+        seen = self.at
+        while (found := self.held.find(mark, seen)) < 0:
+            seen = max(self.at, len(self.held) - len(mark) + 1) - self.at
+            if not self.more():
+                return None
+            seen += self.at
+        out = bytes(self.held[self.at : found])
+        self.at = found + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self.more():
+            pass
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+
+def parse(content):
+    """(fields, block, error) of each record of an archive, compressed or not. A record whose block is cut short or that
+    does not end as it says has an error, as has what stands before the next record; the records after it are read."""
+    stream = Stream(content)
+    while True:
+        try:
+            head = stream.until(b"\r\n\r\n")
+        except zlib.error as e:
+            yield {}, b"", f"archive is damaged: {e}"
+            return
+        if head is None:
+            if rest := stream.take(1 << 30).strip():
+                yield {}, b"", f"no record in the last {len(rest)} bytes"
+            return
+        begin = head.find(b"WARC/")
+        if begin < 0:
+            yield {}, b"", "no record"
+            continue
+        fields = headers(head[begin:].split(b"\r\n")[1:])
+        size = fields.get("content-length", "")
+        if not size.isdigit():
+            yield fields, b"", "no Content-Length"
+            continue
+        try:
+            block, end = stream.take(int(size)), stream.take(4)
+        except zlib.error as e:
+            yield fields, b"", f"archive is damaged: {e}"
+            return
+        yield fields, block, None if len(block) == int(size) and end == END.encode() else "record does not end as it says"
+
+
+READ = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
+_SEGMENTS = "origin string, segment int, total long, page_id string, url string, record_type string, refers_to string, payload_digest string, block binary, error string"
+
+
+def _finished(kind, page, url, refers, said: str | None, block: bytes, error: str | None) -> tuple:
+    """A row of READ. What cannot be decoded is a row with an error, without digest, length and payload."""
+    try:
+        if error:
+            raise ValueError(error)
+        fields, payload = decode_response(block)
+        if kind == "revisit":
+            return page, url, kind, refers, said, int(fields["content-length"]), None, None
+        found = digest(payload)
+        if said and found != said:
+            raise ValueError("payload does not have its digest")
+        return page, url, kind, refers, found, len(payload), payload, None
+    except (ValueError, KeyError) as e:
+        return page, url, kind, refers, None, None, None, str(e)
 
 
 def reassembled(group: pd.DataFrame) -> pd.DataFrame:
-    """One origin's segments: ordered by number, complete, and as long as the last one says."""
+    """One origin's segments: ordered by number, complete, and as long as the last one says; else a row with an error."""
     g = group.sort_values("segment")
-    if g["segment"].tolist() != list(range(1, len(g) + 1)):
-        raise ValueError(f"segments of {g['origin'].iloc[0]} are {g['segment'].tolist()}")
-    block, first = b"".join(map(bytes, g["block"])), g.iloc[0]
-    if len(block) != g["total"].iloc[-1]:
-        raise ValueError(f"segments of {first['origin']} have {len(block)} bytes instead of {g['total'].iloc[-1]}")
     null = lambda x: None if pd.isna(x) else x
-    row = _finished(first["record_type"], null(first["page_id"]), null(first["url"]), null(first["refers_to"]), null(first["payload_digest"]), block)
+    block, first, error = b"".join(map(bytes, g["block"])), g.iloc[0], next((x for x in g["error"] if not pd.isna(x)), None)
+    if g["segment"].tolist() != list(range(1, len(g) + 1)):
+        error = error or f"segments of {first['origin']} are {g['segment'].tolist()}"
+    elif len(block) != g["total"].iloc[-1]:
+        error = error or f"segments of {first['origin']} have {len(block)} bytes instead of {g['total'].iloc[-1]}"
+    row = _finished(null(first["record_type"]), null(first["page_id"]), null(first["url"]), null(first["refers_to"]), null(first["payload_digest"]), block, error)
     return pd.DataFrame([row], columns=[c.split()[0] for c in READ.split(", ")])
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdigit() else None
+
+
 def read(spark, path: str) -> DataFrame:
-    """Rows of all responses and revisits in the archives; a revisit's payload is null, its digest and length are not."""
+    """Rows of all responses and revisits in the archives; a revisit's payload is null, its digest and length are not.
+    A record that cannot be read is a row with an error; other records (requests, metadata and such) are left out.
+    A file is held packed (below 2 GB, Spark's bound for one value) and unpacked record by record."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -175,12 +252,15 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 rows, size = [], 0
-                for f, block in parse(b.column(0)[i].as_buffer().to_pybytes()):
-                    more = f["warc-type"] == "continuation"
+                for f, block, error in parse(b.column(0)[i].as_buffer()):
+                    kind = f.get("warc-type")
+                    if not error and kind not in ("response", "revisit", "continuation"):
+                        continue
+                    more = kind == "continuation"
                     said = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
-                    total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
-                    rows.append((f["warc-segment-origin-id"] if more else f["warc-record-id"], number, total, f.get("x-page-id"), f.get("warc-target-uri"), f["warc-type"], f.get("x-refers-to-page-id"), said, block))
+                    origin = f.get("warc-segment-origin-id") if more else f.get("warc-record-id")
+                    number = _number(f.get("warc-segment-number"))
+                    rows.append((origin, number if origin else None, _number(f.get("warc-segment-total-length")), f.get("x-page-id"), f.get("warc-target-uri"), kind, f.get("x-refers-to-page-id"), said, block, error))
                     size += len(block)
                     if size >= 4 << 20:
                         yield _batch(rows)
@@ -193,8 +273,8 @@ def read(spark, path: str) -> DataFrame:
     return whole.unionByName(cut)
 
 
-_ARROW = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("block", pa.binary())])
-_OUT = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW, _OUT = (pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in ddl.split(", ")]) for ddl in (_SEGMENTS, READ))
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -204,7 +284,7 @@ def _batch(rows) -> pa.RecordBatch:
 def _decode(batches):
     for b in batches:
         d = {n: b.column(i).to_pylist() for i, n in enumerate(_ARROW.names)}
-        rows = [_finished(*x) for x in zip(d["record_type"], d["page_id"], d["url"], d["refers_to"], d["payload_digest"], d["block"])]
+        rows = [_finished(*x) for x in zip(d["record_type"], d["page_id"], d["url"], d["refers_to"], d["payload_digest"], d["block"], d["error"])]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
 
 
@@ -214,7 +294,11 @@ def op10(pages: DataFrame) -> DataFrame:
     write(pages, path)
     kind = pages.schema["page_id"].dataType
     typed = lambda c: F.col(c).cast(kind).alias(c)
-    return read(spark, path).select(typed("page_id"), "payload_bytes", "payload_digest", "record_type", typed("refers_to"))
+    out = written(read(spark, path).select(typed("page_id"), "payload_bytes", "payload_digest", "record_type", typed("refers_to")), "warc-read")
+    archive = pages.limit(0)
+    archive._written_to = path
+    discard(archive)
+    return out
 
 
 def _base32() -> str:
