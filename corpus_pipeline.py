@@ -18,34 +18,58 @@ from tractus.llm.queries import vocabulary
 from tractus.llm.secrets import redact, scan
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """_row: all columns of docs as one, so that no stage's names meet the caller's; besides doc_id and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of docs again; changed: new values of some."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no learned language is found (no text, or none with a letter) go; it learns as op6 does."""
+    """Documents in which no learned language is found go: null and empty texts and those without a letter, and all where
+    nothing is learned (no row with a language). It learns as op6 does. Repeated rows are judged alike; all columns of docs
+    are kept, whatever their names; an empty table gives an empty one. The scores' ties go to the first language, which
+    does not matter here."""
     learned = sample(docs.filter(~held_out(5, 0)), "text", "lang", "doc_id")
-    return identify(docs, learned).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return _unpacked(identify(_carried(docs), learned).filter(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays. Rows without an id stay; of rows that
-    repeat both id and text one stays, and those with one id but other texts are told apart only by their links."""
-    gone = link(docs, shingle=SHINGLE, percent=PERCENT).filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("_gone"))
-    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("_twice"))
-    marks = gone.unionByName(twice, allowMissingColumns=True).groupBy("doc_id").agg(F.max("_gone").alias("_gone"), F.max("_twice").alias("_twice"))
-    kept = docs.join(marks, "doc_id", "left").filter("_gone IS NULL")
-    once = kept.filter("_twice IS NULL").unionByName(kept.filter("_twice").dropDuplicates(["doc_id", "text"]))
-    return once.select(*docs.columns)
+    """Of each group of linked documents one stays: that with the smallest doc_id, of several rows with this id one with
+    the smallest text hash. A null id counts as larger than all others. Rows without words are linked with nothing and
+    stay, repeated ones too. Rows with one id and different texts are different documents. All columns of docs are kept,
+    whatever their names; an empty table gives an empty one."""
+    keyed = written(_carried(docs).withColumn("_k", F.monotonically_increasing_id()), "pipeline-keyed")
+    # Rows are linked by numbers that follow doc_id, so that the smallest number of a group is the row that stays.
+    order = keyed.select("_k", "doc_id", F.xxhash64("text").alias("_h"), "text")
+    linked = link(order.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_h").alias("h"), F.col("_k").alias("k")).alias("_id"), "text"), key="_id", shingle=SHINGLE, percent=PERCENT)
+    kept = linked.filter("_id = component_id").select(F.col("_id.k").alias("_k"))
+    out = written(_unpacked(keyed.join(kept, "_k", "left_semi"), docs), "pipeline-unlinked")
+    discard(keyed, linked)
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("hits") == 0).select(*docs.columns)
+    """Documents with any window of a benchmark item go. Null and empty texts, which have no words, stay, as all do where
+    the benchmark is empty. Repeated rows are judged alike, all columns of docs kept, whatever their names; an empty table
+    gives an empty one."""
+    found = decontaminate(_carried(docs), table(spark, sf_dir, "benchmark"))
+    return _unpacked(found.filter(F.size("hits") == 0), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; all documents stay. n_chars follows the text."""
-    return redact(scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Secrets in the texts are replaced by a mark; all documents stay. n_chars, where docs has it, follows the text. Null
+    and empty texts have no secrets; repeated rows are treated alike, other columns of docs kept, whatever their names;
+    an empty table gives an empty one."""
+    rows = redact(scan(_carried(docs)))
+    return _unpacked(rows, docs, text=F.col("text"), n_chars=F.coalesce(F.length("text").cast("long"), F.col("_row.n_chars")) if "n_chars" in docs.columns else F.lit(None))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """op9's result for each document. Null and empty texts have no tokens; an empty table gives an empty one."""
     return op9(docs, vocabulary())
 
 
@@ -67,6 +91,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(before)
+        made = stage(spark, docs, sf_dir)
+        before, docs = docs, written(made, f"pipeline-{name}")
+        discard(before, made)
     return STAGES[-1][1](spark, docs, sf_dir)
