@@ -52,3 +52,49 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
     assert "tractus" in sys.modules
+
+
+ODD = [
+    (1, "The quick brown fox jumps over the lazy dog and then it runs away", "en", "s", 64),
+    (1, "The quick brown fox jumps over the lazy dog and then it runs away", "en", "s", 64),
+    (1, "der Hund und die Katze laufen durch den Wald und sehen das Haus am See", None, "s", 70),
+    (2, None, None, None, None),
+    (3, "", "en", "", 0),
+    (3, "", "en", "", 0),
+    (4, " ² 12 \n", "en", "", 6),
+    (None, "The quick brown fox jumps over the lazy dog and then it runs away", "en", "s", 64),
+    (5, 'password = "24be64439e3e49cf46b2d7c90f3602a3" and so on and on', None, None, 60),
+    (6, "the dog and the cat " * 5000, "en", "s", 100_000),
+]
+CLASH = ["_gone", "_twice", "spans", "lang_pred", "score", "n_words", "hits", "items", "_row", "_k", "_id", "_h", "component_id", "lo", "hi", "n", "c", "k", "th", "prefix", "token", "m", "ids", "decoded"]
+
+
+def _odd(spark, rows=ODD):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("own") for c in CLASH})
+
+
+def test_odd_rows_in_every_stage(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, kept = _odd(spark), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all({r[c] for r in rows} == {"own"} for c in CLASH)
+        kept[name] = sorted(str(r.doc_id) for r in rows)
+    everything = sorted(str(r[0]) for r in ODD)
+    assert kept["language_id"] == sorted(["1", "1", "1", "None", "5", "6"])
+    assert kept["jaccard_join"] == sorted(["1", "1", "2", "3", "3", "4", "5", "6"])
+    assert kept["decontamination"] == kept["secret_scan"] == everything
+    assert len(corpus_pipeline.encoding(spark, docs, sf).collect()) == len(ODD)
+    redacted = {r.doc_id: r for r in corpus_pipeline.secrets(spark, docs, sf).collect()}
+    assert "24be6443" not in redacted[5].text and redacted[5].n_chars == len(redacted[5].text) and redacted[2].text is None
+
+
+def test_empty_table_in_every_stage(spark):
+    docs = _odd(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.collect() == []
+        assert name == "bpe_codec" or out.columns == docs.columns
