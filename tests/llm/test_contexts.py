@@ -56,6 +56,10 @@ def test_gamma_moments():
 TEXTS = ["red house", "red house", "red house", "blue car", "blue car", "house of red", "", "Red HOUSE\tof blue"] * 3
 
 
+def _state(table):
+    return next(b for k, _, b in lm._read(lm._of(table, lm.STATE).toArrow()))
+
+
 def test_scores_are_those_of_the_seating(spark):
     rows = [(i, t, True) for i, t in enumerate(TEXTS)] + [(100, "red house", False), (101, "house red", False), (102, None, False), (103, "red zebra", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
@@ -68,8 +72,8 @@ def test_scores_are_those_of_the_seating(spark):
     again = lm.score(lm.coded(docs, keep=["doc_id", "train"], like=model), model).collect()
     assert {r.doc_id: r.score for r in again} == score
     # By hand: counts from the texts, tables and word probabilities from the model's states.
-    part = lm._Part.read(lm._of(model.words, lm.STATE).first().blob)
-    own, ui, wi, c, *rest = lm.unpacked(lm._of(model.pairs, lm.STATE).first().blob)
+    part = lm._Part.read(_state(model.words))
+    own, ui, wi, c, *rest = lm.unpacked(_state(model.pairs))
     own = lm.summed(own)
     train = [[lm.END_TOKEN, *lm.tokens(t), lm.END_TOKEN] for _, t, learn in rows if learn]
     count = Counter(p for ws in train for p in zip(ws, ws[1:]))
@@ -115,7 +119,7 @@ def test_scores_do_not_depend_on_partitions(spark):
 def test_several_shards_parts_and_buckets(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = {r.doc_id: tuple(r) for r in lm.op4(df).collect()}
-    for name, size in (("SHARD_BYTES", 30_000), ("PART_BYTES", 70_000), ("BUCKET_BYTES", 50_000), ("PIECE", 1000)):
+    for name, size in (("SHARD_BYTES", 30_000), ("PART_BYTES", 70_000), ("BUCKET_BYTES", 50_000), ("PIECE", 1000), ("BLOB", 2000)):
         monkeypatch.setattr(lm, name, size)
     got = {r.doc_id: tuple(r) for r in lm.op4(df).collect()}
     assert all(np.allclose(got[i][4:], want[i][4:], rtol=1e-9, atol=0) and got[i][:4] == want[i][:4] for i in want)

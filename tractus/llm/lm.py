@@ -41,7 +41,9 @@ END_TOKEN = b" "
 BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH = 0.7, 1.0
 #: Bytes of text to a shard of pairs, to a part of the words, and to a bucket; bytes that are split into words together.
-SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 12 << 20, 4 << 20
+SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 16 << 20, 4 << 20
+#: Packed arrays are stored in pieces of this size, so that nothing on the way holds large values.
+BLOB = 192 << 10
 #: Shards are taken in so many turns, so that no more than that share of the coded pairs is in shuffle files at once.
 TURNS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -117,13 +119,43 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 #: Kinds of rows. id: the bucket, part or shard that a row is for; src: where it comes from.
 DOCS, WORDS, PAIRS, STATE, ASK, ONCE, SUMS, CODES, SPELT = range(9)
-_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("src", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("blob", pa.binary())])
-_DDL = "kind int, id long, src long, a double, b double, blob binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("src", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("piece", pa.int32()), ("blob", pa.binary())])
+_DDL = "kind int, id long, src long, a double, b double, piece int, blob binary"
+
+
+def _batches(rows):
+    """Rows as batches of bounded size, their blobs in pieces."""
+    held, size = [], 0
+    for kind, to, src, a, b, blob in rows:
+        for i in range(0, max(1, len(blob or b"")), BLOB):
+            held.append((kind, to, src, a, b, i // BLOB, blob and blob[i : i + BLOB]))
+            size += len(held[-1][-1] or b"")
+            if size >= 4 * BLOB:
+                yield _batch(held)
+                held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
+    out = pa.Table.from_batches(list(_batches(rows)), schema=_SCHEMA)
     released()
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
+    return out
+
+
+def _read(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """(kind, src, blob) of a group's rows, in that order, with their blobs whole again."""
+    columns = (table.column(c).to_pylist() for c in ("kind", "src", "piece", "blob"))
+    out: list[tuple[int, int, list[bytes]]] = []
+    for kind, src, piece, blob in sorted(zip(*columns), key=lambda r: r[:3]):
+        if piece == 0 or not out:
+            out.append((kind, src, []))
+        out[-1][2].append(blob)
+    return [(kind, src, b"".join(x)) for kind, src, x in out]
 
 
 def _row(kind: int, to: int, src: int, blob: bytes | None, a: float = 0.0, b: float = 0.0) -> tuple:
@@ -233,11 +265,11 @@ def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: l
                     bucket.carried.append(left.slice(begin, i - begin))
                     begin = i
                 if bucket.bytes > BUCKET_BYTES:
-                    yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
+                    yield from _batches(bucket.rows(first + made, shards, parts))
                     bucket, made = Bucket(), made + 1
                     released()
         if bucket.sizes:
-            yield from _rows(list(bucket.rows(first + made, shards, parts))).to_batches()
+            yield from _batches(bucket.rows(first + made, shards, parts))
 
     learn = F.coalesce(F.col(f"`{train}`"), F.lit(False)) if train else F.lit(False)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), learn.alias("_learn"))
@@ -313,7 +345,7 @@ def _spelling(table: DataFrame) -> Spelling:
     """CODES rows, blocks of 2 ** 18 codes, are added up before they reach the driver: at most 256 * 256 * 257 sums."""
 
     def add(rows: pa.Table) -> pa.Table:
-        found = [unpacked(x) for x in rows.column("blob").to_pylist()]
+        found = [unpacked(x) for _, _, x in _read(rows)]
         codes, inv = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
         counts = np.bincount(inv, np.concatenate([f[1] for f in found]))
         return pa.table({"blob": pa.array([packed(codes, counts)], pa.binary())})
@@ -362,7 +394,7 @@ def _shard(parts: int):
 
     def build(table: pa.Table) -> pa.Table:
         s = table.column("id")[0].as_py()
-        (u, w, c), _ = counted(table.column("blob").to_pylist())
+        (u, w, c), _ = counted([blob for _, _, blob in _read(table)])
         more = c > 1
         out = [_row(SUMS, -1, s, None, float((~more).sum()), float((c == 2).sum()))]
         own = np.unique(np.concatenate([u[more], w[more]]))
@@ -384,7 +416,7 @@ def _shard(parts: int):
 def _part(table: pa.Table) -> pa.Table:
     """SPELT words of a part -> its STATE before the first sweep, and CODES of the different words of training texts."""
     p = table.column("id")[0].as_py()
-    found = [unpacked(x) for x in table.column("blob").to_pylist()]
+    found = [unpacked(x) for _, _, x in _read(table)]
     h, c = np.concatenate([summed(f[0]) for f in found]), np.concatenate([f[1] for f in found])
     words = [w for f in found for w in f[2].split(b"\n")]
     h, first, at = np.unique(h, return_index=True, return_inverse=True)
@@ -453,7 +485,7 @@ def _words_pass(spelling, g: float, outer: float, inner: float, sweep: int, kept
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("id")[0].as_py()
-        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        rows = _read(table)
         state = next(b for k, _, b in rows if k == STATE)
         part = _Part.first(state, spelling.value, rows) if sweep == 1 else _Part.read(state)
         n, t, tables, places = part.sweep({s: unpacked(b)[-2:] for k, s, b in rows if k == ASK}, g, outer, sweep, kept)
@@ -475,7 +507,7 @@ def _pairs_pass(own_share: float, total: float, inner: float, sweep: int, kept:
 
     def run(table: pa.Table) -> pa.Table:
         s = table.column("id")[0].as_py()
-        rows = sorted(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()), key=lambda r: r[:2])
+        rows = _read(table)
         own, ui, wi, c, x, k, t, *more = unpacked(next(b for kind, _, b in rows if kind == STATE))
         told = [unpacked(b) for kind, _, b in rows if kind == ASK]
         draw, concentration = (np.concatenate([*[a[i] for a in told], np.zeros(0, np.float32)]).astype(np.float64) for i in range(2))
@@ -567,7 +599,7 @@ def _word_answers(outside: list):
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("id")[0].as_py()
-        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        rows = _read(table)
         part = _Part.read(next(b for k, _, b in rows if k == STATE))
         base = np.exp(np.maximum(part.log_base.astype(np.float64), -650.0))
         logs = [np.log((a.astype(np.float64) + s * base) / z).astype(np.float32) for (a, _), (s, z) in zip(part.samples, outside)]
@@ -587,7 +619,7 @@ def _pair_answers(samples: int):
 
     def run(table: pa.Table) -> pa.Table:
         s = table.column("id")[0].as_py()
-        rows = list(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()))
+        rows = _read(table)
         asked = [(b, blob) for k, b, blob in rows if k == PAIRS]
         (_, _, c), places = counted([blob for _, blob in asked])
         state = [unpacked(b) for k, _, b in rows if k == STATE]
@@ -633,7 +665,7 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
     names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
 
     def tell(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), table.column("blob").to_pylist()), key=lambda r: r[:2])
+        rows = _read(table)
         w, sizes, carried = unpacked(rows[0][2])
         told = [unpacked(b) for k, _, b in rows if k == WORDS]
         c, *rest = (np.concatenate(x) for x in zip(*told))
@@ -655,7 +687,7 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
         columns += [pa.array(total(x), pa.float64()) for x in (np.log10((c + 1) / (n + v + 1))[w], np.log10(np.maximum(p / samples, 1e-300))[at])]
         return pa.table(columns, names=[*names, *_ADDED.names])
 
-    hashed = asked.select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "blob")
+    hashed = asked.select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "piece", "blob")
     rows = texts.of(DOCS).unionByName(hashed).unionByName(words).unionByName(pairs)
     out = rows.groupBy("id").applyInArrow(tell, ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"]))
     out = written(out, "lm-scores")

@@ -19,7 +19,7 @@ _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
 #: How customers are taken: one of every dish at a time up to this number, then the rest of each dish in blocks. Both
 #: ways evaluate the same rule with the same numbers.
-ABREAST, BLOCK = 200, 8192
+ABREAST, BLOCK = 1000, 8192
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
