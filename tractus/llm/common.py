@@ -12,7 +12,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..ship import ensure
 
@@ -42,37 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Removes a query's shuffle files when it has ended; keeps as many files open as written() has folders, without a sort.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "16"}
+#: Removes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For tables of packed arrays: small row groups, so that writers hold little and a filter on a row's kind skips the others.
+PACKED = {"parquet.block.size": 2 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4, "parquet.enable.dictionary": "false", "compression": "uncompressed"}
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and lost executors lose nothing. Shuffle
-    files of the query go at once. by: a column whose values get a folder each, so that a filter on it reads no others."""
+    files of the query go at once. options: those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tractus-{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = StructType([*[f for f in df.schema if f.name != by], *[f for f in df.schema if f.name == by]])
-    out = spark.read.schema(schema).parquet(path)
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def discard(*tables: DataFrame, part: str = "") -> None:
-    """Deletes tables of written() that nothing reads any more, or one part (a folder) of each; whatever store the shared
-    folder is in."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more; whatever store the shared folder is in."""
     for df in tables:
         paths = getattr(df, "_written_to", None) or []
         for path in [paths] if isinstance(paths, str) else paths:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            there = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
+            there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(conf).delete(there, True)
 
 

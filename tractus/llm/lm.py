@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_batches, bucket_count, discard, h64, released, text_bytes, written
+from .common import PACKED, arrow_schema, bounded_batches, bucket_count, discard, h64, released, text_bytes, written
 from .langid import held_out
 from .seating import gamma, keyed, mixed, moved
 
@@ -274,7 +274,7 @@ def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: l
     learn = F.coalesce(F.col(f"`{train}`"), F.lit(False)) if train else F.lit(False)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), learn.alias("_learn"))
     renamed = rows.toDF(*[f"_{i}" for i in range(n + 2)])
-    return Coded(written(renamed.mapInArrow(run, _DDL), "lm-coded", by="kind"), shards, parts, list(keep), arrow_schema(docs, keep))
+    return Coded(written(renamed.mapInArrow(run, _DDL), "lm-coded", **PACKED), shards, parts, list(keep), arrow_schema(docs, keep))
 
 
 # ---- the base: spelling -----------------------------------------------------
@@ -559,15 +559,13 @@ class Model:
 
 
 def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """Learns from the coded texts that are marked to learn from; every word of the others gets a probability too. The
-    spellings of the coded words are deleted once they are known, so that coded texts are learned from once.
+    """Learns from the coded texts that are marked to learn from; every word of the others gets a probability too.
 
     A null or empty text has only its end. Without training texts all words have the spelling base's probabilities.
     """
     spark = texts.table.sparkSession
-    pairs = _all([written(x.groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", by="kind") for x in texts.turns()])
-    words = written(texts.of(SPELT).groupBy("id").applyInArrow(_part, _DDL), "lm-words", by="kind")
-    discard(texts.table, part=f"kind={SPELT}")
+    pairs = _all([written(x.groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", **PACKED) for x in texts.turns()])
+    words = written(texts.of(SPELT).groupBy("id").applyInArrow(_part, _DDL), "lm-words", **PACKED)
     n, v = _sums(words)
     inner = outer = _discount(*_sums(pairs))
     spelling = spark.sparkContext.broadcast(_spelling(words))  # at most 65 793 rows of 257 numbers
@@ -576,7 +574,7 @@ def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
         kept, rng = sweep > burn_in, np.random.default_rng(sweep)
         g = rng.gamma(STRENGTH / outer + tables)
         rows = _of(words, STATE).unionByName(_of(pairs, ASK, ONCE))
-        old, words = words, written(rows.groupBy("id").applyInArrow(_words_pass(spelling, g, outer, inner, sweep, kept), _DDL), "lm-words", by="kind")
+        old, words = words, written(rows.groupBy("id").applyInArrow(_words_pass(spelling, g, outer, inner, sweep, kept), _DDL), "lm-words", **PACKED)
         discard(old)
         (drawn, tables), (customers, _) = _sums(words), _sums(words, -2)
         if kept:
@@ -584,7 +582,7 @@ def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
         if sweep < burn_in + samples:
             share = rng.gamma(STRENGTH + outer * tables)
             rows = _of(pairs, STATE).unionByName(_of(words, ASK))
-            old, pairs = pairs, written(rows.groupBy("id").applyInArrow(_pairs_pass(share, drawn + share, inner, sweep, kept, texts.parts), _DDL), "lm-pairs", by="kind")
+            old, pairs = pairs, written(rows.groupBy("id").applyInArrow(_pairs_pass(share, drawn + share, inner, sweep, kept, texts.parts), _DDL), "lm-pairs", **PACKED)
             discard(old)
     spelling.unpersist()
     return Model(texts, words, pairs, int(n), int(v), inner, outer, outside)
@@ -655,11 +653,10 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
     asked, turns = texts.of(WORDS), texts.turns()
     if texts is not model.coded:  # what was learned is counted again, without an answer
         turns = [x.unionByName(y.withColumn("src", F.lit(-1).cast("long"))) for x, y in zip(turns, model.coded.turns())]
-    words = written(asked.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL), "lm-answers")
+    words = written(asked.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL), "lm-answers", **PACKED)
     states = [_of(model.pairs, STATE).filter(F.col("id") % TURNS == i) for i in range(TURNS)]
-    pairs = _all([written(x.unionByName(y).groupBy("id").applyInArrow(_pair_answers(samples), _DDL), "lm-answers") for x, y in zip(turns, states)])
+    pairs = _all([written(x.unionByName(y).groupBy("id").applyInArrow(_pair_answers(samples), _DDL), "lm-answers", **PACKED) for x, y in zip(turns, states)])
     if last:
-        discard(model.coded.table, texts.table, part=f"kind={PAIRS}")
         discard(model.words, model.pairs)
     keep = [i for i, c in enumerate(texts.names) if c not in _ADDED.names]
     names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
