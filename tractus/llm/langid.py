@@ -57,20 +57,28 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def phrases(self, text: str, state: int = 0) -> tuple[int, int]:
-        """Longest matches that end in the text, and the state of the one that has not ended; a symbol that the sample
-        lacks is a phrase of its own."""
-        step, root, count = self.next, self.next[0], 0
+        # From here on a state is the dict of its transitions, which lead to such dicts.
+        for moves in self.next:
+            for ch, to in moves.items():
+                moves[ch] = self.next[to]
+        self.root = self.next[0]
+
+    def phrases(self, text: str, state: dict | None = None) -> tuple[int, dict]:
+        """Longest matches that end in the text, and the state of the one that has not ended (the root: none); a symbol
+        that the sample lacks is a phrase of its own."""
+        root, count = self.root, 0
+        now = root if state is None else state
         for ch in text:
-            to = step[state].get(ch)
-            if to is None:
-                count += state != 0
-                to = root.get(ch)
-                if to is None:
+            if ch in now:
+                now = now[ch]
+            else:
+                count += now is not root
+                if ch in root:
+                    now = root[ch]
+                else:
                     count += 1
-                    to = 0
-            state = to
-        return count, state
+                    now = root
+        return count, now
 
 
 def parsed(text: str):
@@ -95,12 +103,12 @@ class Model:
             return UNKNOWN, 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        count, states = np.zeros(len(self.langs), np.int64), [0] * len(self.langs)
+        count, states = np.zeros(len(self.langs), np.int64), [None] * len(self.langs)
         for part in parsed(text):
             for i, a in enumerate(self.automata):
                 n, states[i] = a.phrases(part, states[i])
                 count[i] += n
-        cost = (count + [s != 0 for s in states]) * self.bits
+        cost = (count + [s is not a.root for s, a in zip(states, self.automata)]) * self.bits
         best = int(cost.argmin())
         return self.langs[best], float(1 - cost[best] / np.partition(cost, 1)[1])
 

@@ -44,7 +44,7 @@ DISCOUNT, STRENGTH = 0.7, 1.0
 SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 16 << 20, 4 << 20
 #: Packed arrays are stored in pieces of this size, so that nothing on the way holds large values.
 BLOB = 192 << 10
-#: Shards are taken in so many turns, so that no more than that share of the coded pairs is in shuffle files at once.
+#: Shards and buckets are taken in so many turns, so that no more than that share of coded texts is in shuffle files at once.
 TURNS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 STOP = 256
@@ -686,8 +686,9 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
 
     hashed = asked.select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "piece", "blob")
     rows = texts.of(DOCS).unionByName(hashed).unionByName(words).unionByName(pairs)
-    out = rows.groupBy("id").applyInArrow(tell, ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"]))
-    out = written(out, "lm-scores")
+    ddl = ", ".join([*ddl, "n_tokens long, n_known long, base_score double, score double"])
+    turns = [rows.filter(F.pmod(F.xxhash64("id"), F.lit(TURNS)) == i) for i in range(TURNS)]
+    out = _all([written(x.groupBy("id").applyInArrow(tell, ddl), "lm-scores") for x in turns])
     discard(words, pairs)
     return out
 
