@@ -45,7 +45,7 @@ SHARD_BYTES, PART_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 32 << 20, 16 << 20, 4 <
 #: Packed arrays are stored in pieces of this size, so that nothing on the way holds large values.
 BLOB = 192 << 10
 #: Shards and buckets are taken in so many turns, so that no more than that share of coded texts is in shuffle files at once.
-TURNS = 4
+TURNS = 6
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 STOP = 256
 
@@ -203,7 +203,7 @@ class Bucket:
         for p, i, j in runs(parts_of(h, parts)):
             own = b"\n".join([b"" if words[k] == END_TOKEN else words[k] for k in order[i:j].tolist()])
             yield _row(WORDS, p, b, packed(steps(h[i:j])))
-            yield _row(SPELT, p, b, packed(steps(h[i:j]), count[i:j], own))
+            yield _row(SPELT, p, b, packed(count[i:j], own))
         pairs, at = _pairs(w, h, shards)
         count = np.bincount(at[learn], minlength=len(pairs[0]))
         u, w, shard = pairs
@@ -414,11 +414,13 @@ def _shard(parts: int):
 
 
 def _part(table: pa.Table) -> pa.Table:
-    """SPELT words of a part -> its STATE before the first sweep, and CODES of the different words of training texts."""
+    """WORDS of a part, as they are SPELT, -> its STATE before the first sweep, and CODES of the different words of training texts."""
     p = table.column("id")[0].as_py()
-    found = [unpacked(x) for _, _, x in _read(table)]
-    h, c = np.concatenate([summed(f[0]) for f in found]), np.concatenate([f[1] for f in found])
-    words = [w for f in found for w in f[2].split(b"\n")]
+    rows = _read(table)  # by kind and bucket: hashes, then counts and spellings of the same words
+    h = np.concatenate([summed(unpacked(x)[0]) for k, _, x in rows if k == WORDS])
+    found = [unpacked(x) for k, _, x in rows if k == SPELT]
+    c = np.concatenate([f[0] for f in found])
+    words = [w for f in found for w in f[1].split(b"\n")]
     h, first, at = np.unique(h, return_index=True, return_inverse=True)
     c, words = _tally(at, len(h), c), [words[i] for i in first.tolist()]
     codes, n = _spellings([w or END_TOKEN for w, k in zip(words, c.tolist()) if k])
@@ -565,7 +567,7 @@ def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """
     spark = texts.table.sparkSession
     pairs = _all([written(x.groupBy("id").applyInArrow(_shard(texts.parts), _DDL), "lm-pairs", **PACKED) for x in texts.turns()])
-    words = written(texts.of(SPELT).groupBy("id").applyInArrow(_part, _DDL), "lm-words", **PACKED)
+    words = written(_of(texts.table, WORDS, SPELT).groupBy("id").applyInArrow(_part, _DDL), "lm-words", **PACKED)
     n, v = _sums(words)
     inner = outer = _discount(*_sums(pairs))
     spelling = spark.sparkContext.broadcast(_spelling(words))  # at most 65 793 rows of 257 numbers
@@ -654,10 +656,12 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
     if texts is not model.coded:  # what was learned is counted again, without an answer
         turns = [x.unionByName(y.withColumn("src", F.lit(-1).cast("long"))) for x, y in zip(turns, model.coded.turns())]
     words = written(asked.unionByName(_of(model.words, STATE)).groupBy("id").applyInArrow(_word_answers(model.outside), _DDL), "lm-answers", **PACKED)
+    if last:
+        discard(model.words)
     states = [_of(model.pairs, STATE).filter(F.col("id") % TURNS == i) for i in range(TURNS)]
     pairs = _all([written(x.unionByName(y).groupBy("id").applyInArrow(_pair_answers(samples), _DDL), "lm-answers", **PACKED) for x, y in zip(turns, states)])
     if last:
-        discard(model.words, model.pairs)
+        discard(model.pairs)
     keep = [i for i, c in enumerate(texts.names) if c not in _ADDED.names]
     names, ddl = [texts.names[i] for i in keep], [texts.ddl[i] for i in keep]
 
