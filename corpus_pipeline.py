@@ -42,13 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest text hash. A null id counts as larger than all others. Rows without words are linked with nothing and
     stay, repeated ones too. Rows with one id and different texts are different documents. All columns of docs are kept,
     whatever their names; an empty table gives an empty one."""
-    keyed = written(_carried(docs).withColumn("_k", F.monotonically_increasing_id()), "pipeline-keyed")
-    # Rows are linked by numbers that follow doc_id, so that the smallest number of a group is the row that stays.
-    order = keyed.select("_k", "doc_id", F.xxhash64("text").alias("_h"), "text")
-    linked = link(order.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_h").alias("h"), F.col("_k").alias("k")).alias("_id"), "text"), key="_id", shingle=SHINGLE, percent=PERCENT)
-    kept = linked.filter("_id = component_id").select(F.col("_id.k").alias("_k"))
-    out = written(_unpacked(keyed.join(kept, "_k", "left_semi"), docs), "pipeline-unlinked")
-    discard(keyed, linked)
+    # Rows are linked by what orders them, so that the smallest of a group is the row that stays.
+    rows = _carried(docs).withColumn("_id", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
+    linked = link(rows.select("_id", "text"), key="_id", shingle=SHINGLE, percent=PERCENT)
+    stay = linked.filter("n_shingles = 0 OR _id = component_id").groupBy("_id").agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("_again"))
+    stay = stay.select("_again", *[F.col(f"_id.{c}").alias(f"_{c}") for c in "nih"])
+    same = (F.col("_id.h") == F.col("_h")) & (F.col("_id.n") == F.col("_n")) & F.col("_id.i").eqNullSafe(F.col("_i"))
+    once = rows.join(stay.filter("NOT _again"), same).select("_row", "_id")
+    out = _unpacked(once.unionByName(rows.join(stay.filter("_again"), same).select("_row", "_id").dropDuplicates(["_id"])), docs)
+    out._written_to = linked._written_to
     return out
 
 
