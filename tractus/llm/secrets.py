@@ -138,9 +138,26 @@ def scan_text(text: str, ratio: Ratio) -> list[tuple[int, int, int]]:
     return sorted(found + [(a, 3, b) for a, b in uncovered(text, found) if ratio.score(text[a:b]) >= ratio.threshold])
 
 
+def _smallest(texts: DataFrame, n: int, count: int) -> DataFrame:
+    """The n of count rows with the smallest h, ties by t. Rows of larger hashes go before any are sorted, so what meets in
+    one task does not grow with the table."""
+    share = 4 * n / max(count, 1)
+    while share < 1:
+        few = texts.filter(F.col("h") < int(share * 2**64) - 2**63)
+        if few.count() >= n:
+            return few.orderBy("h", "t").limit(n)
+        share *= 16  # copies have one hash, so a share may have fewer rows than expected
+    return texts.orderBy("h", "t").limit(n)
+
+
 def labelled(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) -> list[tuple[str, int]]:
     """Distinct tokens of a bounded number of rows, those of the smallest hashes: 1 where a pattern finds them, else 0."""
-    kept = docs.select(F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL").orderBy(F.length("t") > ROW_CHARS, F.xxhash64("t"), "t").limit(rows)
+    texts = docs.select(F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL").select("t", F.xxhash64("t").alias("h"), (F.length("t") > ROW_CHARS).alias("long"))
+    of = texts.agg(F.count_if("long").alias("long"), F.count_if(~F.col("long")).alias("short")).first()
+    kept = _smallest(texts.filter("NOT long"), rows, of["short"])
+    if of["short"] < rows:
+        kept = kept.unionByName(_smallest(texts.filter("long"), rows - of["short"], of["long"]))
+    kept = kept.select("t")
 
     def run(batches):
         for b in batches:
