@@ -8,6 +8,7 @@ from .decontam import OP1_SQL, op1
 from .jaccard import op8
 from .langid import op6
 from .lm import op4
+from .merkle import op13
 from .quality import OP3_SQL, op3
 from .secrets import op7
 from .substring import op5
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, sf: op8(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
     "op10_warc": lambda spark, sf: op10(table(spark, sf, "pages")),
+    "op13_merkle_manifest": lambda spark, sf: op13(table(spark, sf, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_warc": OP10_SQL}
