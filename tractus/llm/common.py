@@ -88,6 +88,25 @@ def split_join(rows: DataFrame, counts: DataFrame, keys: list[str], total: int,
     return rows.join(hot, keys).drop("m").unionByName(rest.drop("m"))
 
 
+#: Rows of one key that one task may meet, and the slots of hashed keys whose rows are counted.
+KEY_ROWS, KEY_SLOTS = 500_000, 1 << 14
+
+
+def salted_join(rows: DataFrame, counts: DataFrame, keys: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
+    """rows joined with counts (one row for each of the keys, m: its number of rows), without m. Keys are counted in a
+    bounded number of slots; those of a slot with s times key_rows rows are dealt to s salts, and counts' rows repeated so
+    often. What is broadcast is the slots' table, whatever the input; no task meets more than key_rows rows of one key, and
+    what is repeated is in proportion to the rows."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(KEY_SLOTS))
+    slots = counts.groupBy(slot.alias("_slot")).agg(F.ceil(F.sum("m") / key_rows).cast("int").alias("_salts")).filter("_salts > 1")
+    if slots.isEmpty():
+        return rows.join(counts.drop("m"), keys)
+    dealt = lambda df: df.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    left = dealt(rows).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))
+    right = dealt(counts.drop("m")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return left.drop("_slot", "_salts").join(right.drop("_slot", "_salts"), [*keys, "_salt"]).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

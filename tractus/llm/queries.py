@@ -11,6 +11,7 @@ from .lm import op4
 from .merkle import op13
 from .quality import OP3_SQL, op3
 from .secrets import op7
+from .simhash import op12
 from .substring import op5
 from .urlfilter import OP2_SQL, op2
 from .warc import OP10_SQL, op10
@@ -33,6 +34,7 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, sf: op8(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
     "op10_warc": lambda spark, sf: op10(table(spark, sf, "pages")),
+    "op12_simhash": lambda spark, sf: op12(table(spark, sf, "documents")),
     "op13_merkle_manifest": lambda spark, sf: op13(table(spark, sf, "documents")),
 }
 
