@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9
 from .common import table
 from .decontam import OP1_SQL, op1
+from .hardneg import OP11_SQL, op11
 from .jaccard import op8
 from .langid import op6
 from .lm import op4
@@ -34,8 +35,9 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, sf: op8(table(spark, sf, "documents")),
     "op9_bpe_codec": lambda spark, sf: op9(table(spark, sf, "documents"), vocabulary()),
     "op10_warc": lambda spark, sf: op10(table(spark, sf, "pages")),
+    "op11_hard_negatives": lambda spark, sf: op11(table(spark, sf, "embeddings")),
     "op12_simhash": lambda spark, sf: op12(table(spark, sf, "documents")),
     "op13_merkle_manifest": lambda spark, sf: op13(table(spark, sf, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_quality_rules": OP3_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL}
