@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
+
+#: Ranks of one task's range of combinations.
+RANKS = 20_000
 #: Frozen cap of the correction: floor(255 ** 4 / 2).
 CORRECTION_CAP = 255**4 // 2
 TRIPLET = ["dataset_id", "a", "b", "c"]
@@ -108,11 +112,23 @@ def compacted_groups(rows: DataFrame, group: str) -> DataFrame:
     return rows.join(ranked.drop("first"), ["dataset_id", group])
 
 
+def _dealt(groups: DataFrame, count: Column) -> DataFrame:
+    """_rank: a row for each rank below count, in ranges that are spread over all tasks."""
+    each = groups.withColumn("_count", count).withColumn("_block", F.explode(ranks.blocks(F.col("_count"), RANKS)))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as ranks are many where rows are few
+    return each.repartition(parts, "dataset_id", "_block").withColumn("_rank", F.explode(ranks.block_ranks(F.col("_block"), F.col("_count"), RANKS)))
+
+
 def triplets(rows: DataFrame) -> DataFrame:
-    """a < b < c of each data set's rows; other columns come along as *_a, *_b, *_c."""
+    """a < b < c of each data set's rows; other columns come along as *_a, *_b, *_c. Triplets are made from their ranks, so
+    those of one large data set are spread over all tasks. Rows with one seq_id are different rows only to themselves:
+    no triplet has two of them."""
     extra = [c for c in rows.columns if c not in ("dataset_id", "seq_id")]
-    side = lambda n: rows.select("dataset_id", F.col("seq_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in extra])
-    return side("a").join(side("b"), "dataset_id").filter("a < b").join(side("c"), "dataset_id").filter("b < c")
+    whole = rows.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("seq_id", *extra))).alias("_m"))
+    ranked = ranks.with_triplet(_dealt(whole, ranks.triplets_of(F.size("_m"))), "_rank", "_i", "_j", "_k")
+    member = [F.element_at("_m", (F.col(i) + 1).cast("int")) for i in ("_i", "_j", "_k")]
+    ids = ranked.select("dataset_id", *[c for m, n in zip(member, "abc", strict=True) for c in (m["seq_id"].alias(n), *[m[x].alias(f"{x}_{n}") for x in extra])])
+    return ids.filter("a < b AND b < c")
 
 
 def distinct_origins(candidates: DataFrame) -> DataFrame:
@@ -121,12 +137,15 @@ def distinct_origins(candidates: DataFrame) -> DataFrame:
 
 
 def query_reference_triplets(rows: DataFrame) -> DataFrame:
-    """One query (group 0) and two references of different groups, r1 before r2."""
-    refs = rows.filter("ref_group > 0")
-    r1 = refs.select("dataset_id", F.col("seq_id").alias("r1"), F.col("ref_group").alias("g1"))
-    r2 = refs.select("dataset_id", F.col("seq_id").alias("r2"), F.col("ref_group").alias("g2"))
-    q = rows.filter("ref_group = 0").select("dataset_id", F.col("seq_id").alias("q"))
-    return r1.join(r2, "dataset_id").filter("g1 <> g2 AND r1 < r2").join(q, "dataset_id").select("dataset_id", "q", "r1", "r2")
+    """One query (group 0) and two references of different groups, r1 before r2; from ranks of pairs times queries."""
+    held = lambda kept, what: F.array_sort(F.collect_list(F.when(kept, what)))
+    whole = rows.groupBy("dataset_id").agg(held(F.col("ref_group") > 0, F.struct("seq_id", "ref_group")).alias("_r"), held(F.col("ref_group") == 0, F.col("seq_id")).alias("_q"))
+    n = F.size("_q").cast("long")
+    ranked = _dealt(whole, ranks.pairs_of(F.size("_r")) * n)
+    ranked = ranks.with_pair(ranked.withColumn("_pair", F.floor(F.col("_rank") / n).cast("long")), "_pair", "_i", "_j")
+    first, second = (F.element_at("_r", (F.col(i) + 1).cast("int")) for i in ("_i", "_j"))
+    out = ranked.select("dataset_id", F.element_at("_q", (F.col("_rank") % n + 1).cast("int")).alias("q"), first.alias("x"), second.alias("y"))
+    return out.filter("x.ref_group <> y.ref_group AND x.seq_id < y.seq_id").select("dataset_id", "q", F.col("x.seq_id").alias("r1"), F.col("y.seq_id").alias("r2"))
 
 
 def query_reference_plan(rows: DataFrame) -> DataFrame:
