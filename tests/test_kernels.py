@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from tractus.operators import scan
+from tractus.operators import rounds, scan
 from tractus.operators.kernels import common, geneconv, maxchi, threeseq, windows
 from tractus.operators.kernels.common import Options, Variable
 
@@ -107,23 +107,6 @@ def test_empty_and_short_profiles():
         assert len(Variable(states)) <= 1
 
 
-def test_cycle_finds_two_events_and_reuses_triplets():
-    a, b, c, d = (lineage(900, s) for s in (21, 22, 23, 24))
-    b = mutated(a, 0.4, 25)
-    d = mutated(c, 0.4, 26)
-    one, two = a.copy(), c.copy()
-    one[299:500], two[599:800] = b[299:500], d[599:800]
-    rows = [one, two, a, b, c, d]
-    cycle = scan.Cycle(rows, Options(rdp_window=30), ("RDP", "3SEQ"))
-    events = cycle.run()
-    spans = {(e["recombinant"], round(e["begin"], -1), round(e["end"], -1)) for e in events}
-    assert {e["recombinant"] for e in events} >= {0, 1}, spans
-    whole = len(list(itertools.combinations(range(len(cycle.rows)), 3))) * (len(events) + 1)
-    assert cycle.ran < whole
-    again = scan.Cycle(rows, Options(rdp_window=30), ("RDP", "3SEQ")).run()
-    assert again == events
-
-
 def test_scan_does_not_depend_on_partitions(spark):
     rows = [(0, i, [int(x) for x in r]) for i, r in enumerate([*mosaic(300, 100, 200), lineage(300, 9)])]
     df = spark.createDataFrame(rows, "dataset_id long, seq_id int, states array<tinyint>")
@@ -133,7 +116,7 @@ def test_scan_does_not_depend_on_partitions(spark):
         got.append(sorted(map(tuple, scan.scan(df, Options(tests=4)).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got[0] == got[1] and got[0]
-    events = scan.cyclic_scan(df, Options()).collect()
+    events = rounds.cyclic_scan(df, Options()).collect()
     assert events and events[0].round == 1
 
 
@@ -149,19 +132,6 @@ def test_recheck_and_plot(method):
     assert values.shape == (3, len(pos)) and len(pos) > 10 and np.isfinite(values).all()
 
 
-def test_rediscovery_keeps_decided_events():
-    rows = list(mosaic()) + [lineage(900, 31)]
-    o, methods = Options(), ("RDP", "3SEQ")
-    events = scan.Cycle(rows, o, methods).run()
-    first = events[0]
-    again = scan.rediscovered(rows, [first | {"state": "accepted"}], o, methods)
-    assert again[0]["begin"] == first["begin"] and [e["begin"] for e in again[1:]] == [e["begin"] for e in events[1:]]
-    edited = scan.rediscovered(rows, [first | {"begin": 1, "end": 10, "state": "accepted"}], o, methods)
-    assert any(scan.tract_overlap(e["begin"], e["end"], 300, 600, 900) > 0.8 for e in edited[1:])
-    rejected = scan.rediscovered(rows, [first | {"state": "rejected"}], o, methods)
-    assert len(rejected) > 1
-
-
 def test_pearson_of_six_points():
     from tractus.operators.kernels import consensus
 

@@ -1,35 +1,30 @@
-"""Scans: detectors over all triplets of many alignments, one round or until nothing more is found.
+"""Scans: the detectors over triplets of many alignments, in one round.
 
-One round is a flat map: triplets are dealt to tasks with the states of their three rows, and each task runs the chosen
-detectors on its own triplets. The cyclic scan goes on within an alignment: the strongest signal becomes an event, its
-tract is erased from the recombinant and lives on as a fragment row, and the next round looks again; alignments are
-independent of each other, so each is one group.
+An alignment is packed into one row of members; its triplets are ranges of ranks, so blocks of triplets are made by
+column arithmetic and dealt to all tasks with the alignment beside them. A task runs the chosen detectors on its block.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..ship import ensure
 from .events import METHOD_ORDER
 from .kernels import consensus, geneconv, maxchi, outlier, threeseq, windows
 from .kernels.common import Candidate, Options, Variable, inside
-from .relations import triplets
 
 METHODS = {"RDP": windows.rdp, "GENECONV": geneconv.discover, "BootScan": windows.bootscan, "MaxChi": maxchi.discover, "CHIMAERA": maxchi.chimaera, "SISCAN": windows.siscan, "3SEQ": threeseq.discover}
 PRIMARY = ("RDP", "GENECONV", "MaxChi", "CHIMAERA", "3SEQ")
+#: A signal. a, b, c and the roles are rows of the alignment; oa, ob, oc the originals of a, b, c; erasable: the tract has
+#: a site in the recombinant that is not missing.
+SIGNAL = "dataset_id long, a int, b int, c int, oa int, ob int, oc int, method string, recombinant int, major int, minor int, begin int, end int, local_p double, corrected_p double, sites int, erasable boolean"
 SCHEMA = "dataset_id long, a int, b int, c int, method string, recombinant int, major int, minor int, begin int, end int, local_p double, corrected_p double, sites int"
-ROUNDS, FRAGMENTS, OVERLAP = 64, 256, 0.3
-
-
-#: Triplets of a block of one alignment, where its rows go along for SISCAN's fourth sequence.
-BLOCK = 20_000
+#: Triplets of a task's block.
+BLOCK = 256
 
 
 def detect(states: np.ndarray, o: Options, methods=PRIMARY, fourth: np.ndarray | None = None) -> list[Candidate]:
@@ -40,181 +35,135 @@ def detect(states: np.ndarray, o: Options, methods=PRIMARY, fourth: np.ndarray |
     return [c for m in METHOD_ORDER if m in methods for c in run(m)]
 
 
-def _signals(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 5, pa.float64(), pa.float64(), pa.int32()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-
-
-def _signal(dataset, members, s: Candidate) -> tuple:
-    return (dataset, *members, s.method, members[s.recombinant], members[s.major], members[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites)
-
-
 def with_similarities(sequences: DataFrame) -> DataFrame:
     """dataset_id, seq_id, states, and each row's direct and tree similarities to all rows, by seq_id; once an alignment."""
+    whole = packed(sequences.select("dataset_id", F.col("seq_id").alias("row"), F.col("seq_id").alias("origin"), "states"), True)
+    each = whole.select("dataset_id", F.posexplode("members").alias("i", "m"), "direct", "tree")
+    own = lambda c: F.slice(c, F.col("i") * F.sqrt(F.size(c)).cast("int") + 1, F.sqrt(F.size(c)).cast("int"))
+    return each.select("dataset_id", F.col("m.row").alias("seq_id"), "m.states", own(F.col("direct")).alias("direct"), own(F.col("tree")).alias("tree"))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.select(["dataset_id", "seq_id", "states"]).sort_by("seq_id")
-        direct, tree = outlier.similarities(np.array(table.column("states").to_pylist(), np.int8))
-        for name, m in (("direct", direct), ("tree", tree)):
-            table = table.append_column(name, pa.array(m.tolist(), pa.list_(pa.float32())))
-        return table
 
-    kinds = {f.name: f.dataType.simpleString() for f in sequences.schema}
-    ddl = ", ".join(f"{n} {kinds[n]}" for n in ("dataset_id", "seq_id", "states")) + ", direct array<float>, tree array<float>"
-    return sequences.select("dataset_id", "seq_id", "states").groupBy("dataset_id").applyInArrow(run, ddl)
+def _members(m: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, originals and states of an alignment's members."""
+    rows, origins, states = (m.field(i) for i in range(3))
+    return rows.to_numpy(), origins.to_numpy(), states.flatten().to_numpy().reshape(len(rows), -1)
 
 
-def scan_with_outliers(sequences: DataFrame, o: Options, methods) -> DataFrame:
-    """As scan, in blocks of an alignment's triplets: each block has all rows, for the fourth sequences."""
-    n = sequences.groupBy("dataset_id").agg(F.count("*").alias("_n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.expr("_n * (_n - 1) / 6 * (_n - 2)") / BLOCK)).cast("int")
-    rows = with_similarities(sequences).join(n, "dataset_id").withColumn("_of", blocks).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+def packed(rows: DataFrame, similarities: bool) -> DataFrame:
+    """dataset_id, members (row, origin, states; by row), and if wanted the similarities of all pairs, as one list each.
+    rows: dataset_id, row, origin, states. An alignment's rows all have one length."""
+    whole = rows.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("row", "origin", "states"))).alias("members"))
+    if not similarities:
+        return whole
+    kind = whole.schema["members"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            both = [outlier.similarities(_members(m.values)[2]) for m in b.column("members")]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i].ravel() for x in both], pa.list_(pa.float32())) for i in (0, 1)]], names=["dataset_id", "members", "direct", "tree"])
+
+    return whole.mapInArrow(run, f"dataset_id long, members {kind}, direct array<float>, tree array<float>")
+
+
+#: A block of triplets: ranks from low to high of all of an alignment, or of pairs beside one row, or a list of them.
+_WORK = ["dataset_id", "low", "high", "beside", "listed"]
+_LIST = "array<array<int>>"
+
+
+def _ranges(groups: DataFrame, count: Column, beside: Column) -> DataFrame:
+    each = groups.withColumn("_n", count).withColumn("_block", F.explode(ranks.blocks(F.col("_n"), BLOCK)))
+    low = F.col("_block") * BLOCK
+    return each.select("dataset_id", low.alias("low"), F.least(low + BLOCK, F.col("_n")).alias("high"), beside.cast("int").alias("beside"), F.lit(None).cast(_LIST).alias("listed"))
+
+
+def all_triplets(rows: DataFrame) -> DataFrame:
+    """Blocks of all triplets of each alignment's rows, from their number alone."""
+    n = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    return _ranges(n, ranks.triplets_of(F.col("n")), F.lit(None))
+
+
+def triplets_with(rows: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Blocks of the triplets that have a dirty row (dataset_id, row): all pairs of rows, beside each. Dirty rows of one
+    alignment share an original, so no triplet has two of them."""
+    n = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    held = dirty.select("dataset_id", "row").join(rows.select("dataset_id", "row"), ["dataset_id", "row"]).join(n, "dataset_id")
+    return _ranges(held, ranks.pairs_of(F.col("n")), F.col("row"))
+
+
+def listed_triplets(triplets: DataFrame) -> DataFrame:
+    """Blocks of given triplets (dataset_id, a, b, c), about BLOCK of them in each."""
+    n = triplets.groupBy("dataset_id").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    dealt = triplets.join(n, "dataset_id").withColumn("_block", F.pmod(F.xxhash64("a", "b", "c"), F.col("n")))
+    lists = dealt.groupBy("dataset_id", "_block").agg(F.collect_list(F.array("a", "b", "c")).alias("listed"))
+    return lists.select("dataset_id", *[F.lit(None).cast(k).alias(c) for c, k in (("low", "long"), ("high", "long"), ("beside", "int"))], "listed")
+
+
+def triplets_of_block(low, high, beside, listed, ids: np.ndarray, origins: np.ndarray) -> np.ndarray:
+    """Places of a block's triplets among an alignment's rows: ascending, of three different originals."""
+    if listed is not None:
+        t = np.searchsorted(ids, np.array(listed, np.int64).reshape(-1, 3))
+    elif beside is None:
+        t = unranked(np.arange(low, high), 3)
+    else:
+        pairs = unranked(np.arange(low, high), 2)
+        t = np.sort(np.column_stack([pairs, np.full(len(pairs), np.searchsorted(ids, beside))]), axis=1)
+    x, y, z = origins[t].T
+    return t[(x != y) & (x != z) & (y != z)]
+
+
+def unranked(rank: np.ndarray, k: int) -> np.ndarray:
+    """The combinations of k with these ranks, as functions.ranks has them."""
+    out = []
+    for size in range(k, 0, -1):
+        count = lambda n, size=size: np.prod([n - i for i in range(size)], axis=0) // (1, 1, 2, 6)[size]
+        n = np.floor((rank * (1, 1, 2, 6)[size]) ** (1 / size)).astype(np.int64) + size
+        while (over := count(n) > rank).any():
+            n -= over
+        out.append(n)
+        rank = rank - count(n)
+    return np.column_stack(out[::-1])
+
+
+def detected(work: DataFrame, whole: DataFrame, o: Options, methods, tests: Column | None = None, split: Column | None = None) -> DataFrame:
+    """Signals of the triplets in blocks of work. tests: the correction of a data set, by default that of o; split: whether
+    its 3SEQ tracts are split at erased data."""
+    like = "SISCAN" in methods
+    settled = whole.withColumns({"_tests": F.lit(o.tests) if tests is None else tests, "_split": F.lit(False) if split is None else split})
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Blocks of one large alignment are spread over all tasks, more of them than cores, as triplets differ in cost.
+    rows = work.join(settled, "dataset_id").repartition(4 * parts, "dataset_id", "low", "beside", F.col("listed")[0])
+    rows = rows.select(*_WORK, "members", "_tests", "_split", *(["direct", "tree"] if like else []))
+    names, kinds = zip(*[x.split() for x in SIGNAL.split(", ")], strict=True)
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[k] for k in kinds]
 
-    def run(table: pa.Table) -> pa.Table:
-        d = table.sort_by("seq_id").to_pydict()
-        ids, states = d["seq_id"], np.array(d["states"], np.int8)
-        direct, tree = (np.array(d[x], np.float32) for x in ("direct", "tree"))
-        out = []
-        for number, t in enumerate(combinations(range(len(ids)), 3)):
-            if number % d["_of"][0] == d["_block"][0]:
-                k = outlier.nearest(t, states, direct, tree)
-                found = detect(states[list(t)], o, methods, None if k is None else states[k])
-                out += [_signal(d["dataset_id"][0], [ids[i] for i in t], s) for s in found]
-        return pa.Table.from_batches([_signals(out)])
+    def run(batches):
+        from dataclasses import replace
 
-    return rows.groupBy("dataset_id", "_block").applyInArrow(run, SCHEMA)
+        for b in batches:
+            for r in range(b.num_rows):
+                dataset, out = b.column("dataset_id")[r].as_py(), []
+                own = replace(o, tests=b.column("_tests")[r].as_py())
+                cut = b.column("_split")[r].as_py()
+                ids, origins, states = _members(b.column("members")[r].values)
+                if like:
+                    direct, tree = (b.column(c)[r].values.to_numpy().reshape(len(ids), -1) for c in ("direct", "tree"))
+                block = [b.column(c)[r].as_py() for c in _WORK[1:]]
+                for t in triplets_of_block(*block, ids, origins):
+                    at, of, fourth = ids[t].tolist(), origins[t].tolist(), None
+                    if like and (k := outlier.nearest(t, states, direct, tree, origins)) is not None:
+                        fourth = states[k]
+                    for s in detect(states[t], own, methods, fourth):
+                        if cut and s.method == "3SEQ" and (s := consensus.split(s, states[t], own)) is None:
+                            continue
+                        held = inside(states.shape[1], s.begin, s.end)
+                        out.append((dataset, *at, *of, s.method, at[s.recombinant], at[s.major], at[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites, bool((states[t[s.recombinant]][held] > 0).any())))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=list(names))
+
+    return rows.mapInArrow(run, SIGNAL)
 
 
 def scan(sequences: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
     """Signals of all triplets in one round."""
     ensure(sequences.sparkSession)
-    if "SISCAN" in methods:
-        return scan_with_outliers(sequences, o, methods)
-    rows = triplets(sequences.select("dataset_id", "seq_id", "states"))
-    # Triplets of one large alignment spread over all tasks.
-    rows = rows.repartition(F.xxhash64("dataset_id", "a", "b", "c"))
-
-    def run(batches):
-        for b in batches:
-            d = b.to_pydict()
-            out = []
-            for k in range(b.num_rows):
-                states = np.array([d["states_a"][k], d["states_b"][k], d["states_c"][k]], np.int8)
-                members = (d["a"][k], d["b"][k], d["c"][k])
-                out += [_signal(d["dataset_id"][k], members, s) for s in detect(states, o, methods)]
-            yield _signals(out)
-
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def tract_overlap(b1: int, e1: int, b2: int, e2: int, length: int) -> float:
-    x, y = inside(length, b1, e1), inside(length, b2, e2)
-    return 2 * (x & y).sum() / (x.sum() + y.sum())
-
-
-class Cycle:
-    """The rounds of one alignment. Rows are originals and fragments; a triplet needs three different originals. Signals
-    of a triplet whose rows did not change since it was looked at are kept, so a round runs only what is new."""
-
-    def __init__(self, states: list[np.ndarray], o: Options, methods=PRIMARY):
-        n = len(states)
-        self.rows = [s.copy() for s in states]
-        self.origin = list(range(n))
-        self.length = len(states[0]) if states else 0
-        self.o = replace(o, tests=max(1, n * (n - 1) * (n - 2) // 6) if o.correction else 1)
-        self.methods, self.known, self.events, self.ran = methods, {}, [], 0
-
-    def usable(self, row: np.ndarray) -> bool:
-        return (row > 0).sum() >= max(5, self.o.rdp_window, -(-self.length // 100))
-
-    def signals(self):
-        """(corrected p, local p, rank of the method, triplet, signal) of this round."""
-        live = [i for i, r in enumerate(self.rows) if self.usable(r)]
-        out = []
-        if "SISCAN" in self.methods and len(live) > 3:
-            held, origins = np.stack([self.rows[i] for i in live]), [self.origin[i] for i in live]
-            like = outlier.similarities(held)
-        for x, a in enumerate(live):
-            for y, b in enumerate(live[x + 1 :], x + 1):
-                for c in live[y + 1 :]:
-                    if len({self.origin[a], self.origin[b], self.origin[c]}) < 3:
-                        continue
-                    if (a, b, c) not in self.known:
-                        self.ran += 1
-                        states = np.stack([self.rows[a], self.rows[b], self.rows[c]])
-                        fourth = None
-                        if "SISCAN" in self.methods and len(live) > 3:
-                            k = outlier.nearest((x, y, live.index(c)), held, *like, origins)
-                            fourth = None if k is None else held[k]
-                        found = detect(states, self.o, self.methods, fourth)
-                        if self.events:  # after an erasure 3SEQ tracts are split at erased data
-                            found = [s for f in found if (s := consensus.split(f, states, self.o) if f.method == "3SEQ" else f)]
-                        self.known[a, b, c] = found
-                    for s in self.known[a, b, c]:
-                        out.append((s.corrected_p, s.local_p, METHOD_ORDER.index(s.method), (a, b, c), s))
-        return sorted(out, key=lambda t: (*t[:4], t[4].begin, t[4].end))
-
-    def erase(self, row: int, begin: int, end: int) -> bool:
-        """Sets a tract to missing; it lives on as a row of its own if it has sites enough and is no copy."""
-        held = inside(self.length, begin, end)
-        if not (self.rows[row][held] > 0).any():
-            return False
-        piece = np.where(held, self.rows[row], 0)
-        self.rows[row] = np.where(held, 0, self.rows[row])
-        fresh = len(self.rows)
-        copies = any((r == piece).all() for r in self.rows)
-        if self.usable(piece) and not copies and self.length < 100_000 and fresh - len(set(self.origin)) < FRAGMENTS:
-            self.rows.append(piece)
-            self.origin.append(self.origin[row])
-        # Any row may be a triplet's fourth sequence.
-        self.known = {} if "SISCAN" in self.methods else {k: v for k, v in self.known.items() if row not in k}
-        return True
-
-    def replay(self, decided: list[dict]) -> None:
-        """Takes over earlier events as they were decided: accepted tracts are erased again, those of rejected ones are
-        not, so later rounds may find them in another way."""
-        for e in decided:
-            self.events.append(e)
-            if e.get("state") != "rejected":
-                self.erase(e["recombinant"], e["begin"], e["end"])
-
-    def run(self) -> list[dict]:
-        """Adds a round for each event that is found; stops without a signal, without new erased sites, or after ROUNDS."""
-        for number in range(len(self.events) + 1, ROUNDS + 1):
-            found = self.signals()
-            chosen = next((t for t in found if self.erase(t[3][t[4].recombinant], t[4].begin, t[4].end)), None)
-            if chosen is None:
-                break
-            _, _, _, triplet, s = chosen
-            own = {self.origin[i] for i in triplet}
-            backing = [t for t in found if len(own & {self.origin[i] for i in t[3]}) >= 2 and tract_overlap(t[4].begin, t[4].end, s.begin, s.end, self.length) > OVERLAP]
-            member = lambda k: self.origin[triplet[k]]  # noqa: E731, B023
-            self.events.append({"round": number, "method": s.method, "recombinant": member(s.recombinant), "major": member(s.major), "minor": member(s.minor), "begin": s.begin, "end": s.end, "corrected_p": s.corrected_p, "supports": len(backing), "methods": ",".join(m for m in METHOD_ORDER if any(t[4].method == m for t in backing))})
-        return self.events
-
-
-def rediscovered(states: list[np.ndarray], decided: list[dict], o: Options, methods=PRIMARY) -> list[dict]:
-    """Events after the reviewed ones: decided is kept in order, everything later is looked for anew."""
-    cycle = Cycle(states, o, methods)
-    cycle.replay(decided)
-    return cycle.run()
-
-
-EVENT_SCHEMA = "dataset_id long, round int, method string, recombinant int, major int, minor int, begin int, end int, corrected_p double, supports int, methods string"
-
-
-def cyclic_scan(sequences: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
-    """Events of each alignment, in the order in which they were found."""
-    ensure(sequences.sparkSession)
-
-    def run(table: pa.Table) -> pa.Table:
-        d = table.select(["dataset_id", "seq_id", "states"]).sort_by("seq_id").to_pydict()
-        ids = d["seq_id"]
-        events = Cycle([np.array(s, np.int8) for s in d["states"]], o, methods).run() if len(ids) >= 3 else []
-        kinds = {"round": pa.int32(), "method": pa.string(), "recombinant": pa.int32(), "major": pa.int32(), "minor": pa.int32(), "begin": pa.int32(), "end": pa.int32(), "corrected_p": pa.float64(), "supports": pa.int32(), "methods": pa.string()}
-        for e in events:
-            e |= {k: ids[e[k]] for k in ("recombinant", "major", "minor")}
-        return pa.table({"dataset_id": pa.array([d["dataset_id"][0]] * len(events), pa.int64())} | {k: pa.array([e[k] for e in events], t) for k, t in kinds.items()})
-
-    return sequences.select("dataset_id", "seq_id", "states").groupBy("dataset_id").applyInArrow(run, EVENT_SCHEMA)
+    rows = sequences.select("dataset_id", F.col("seq_id").alias("row"), F.col("seq_id").alias("origin"), "states")
+    return detected(all_triplets(rows), packed(rows, "SISCAN" in methods), o, methods).select(*[x.split()[0] for x in SCHEMA.split(", ")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import breakpoints, masking, scan, trees
+from ..operators import breakpoints, masking, rounds, scan, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -291,7 +291,7 @@ def _measured(kernel, ddl):
     def query(s, sf):
         ensure(s)
         seqs = _planted(s, sf)
-        e = scan.cyclic_scan(seqs, _options(), ("RDP", "3SEQ"))
+        e = rounds.cyclic_scan(seqs, _options(), ("RDP", "3SEQ"))
 
         def run(events, rows):
             import numpy as np
@@ -457,7 +457,7 @@ def queries():
         "auto_mask": auto_mask,
         "event_trees": event_trees,
         "breakpoint_ranges": breakpoint_ranges,
-        "cyclic_scan": lambda s, sf: scan.cyclic_scan(_planted(s, sf), _options(), ("RDP", "3SEQ")),
+        "cyclic_scan": lambda s, sf: rounds.cyclic_scan(_planted(s, sf), _options(), ("RDP", "3SEQ")),
     }
     out |= {f"scan_{m.lower().replace('3seq', 'threeseq')}": _scan(m) for m in E.METHOD_ORDER}
     return out
