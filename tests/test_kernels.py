@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from tests.plain_cycle import overlap
 from tractus.operators import rounds, scan
 from tractus.operators.kernels import common, geneconv, maxchi, threeseq, windows
 from tractus.operators.kernels.common import Options, Variable
@@ -87,7 +88,7 @@ def test_planted_tract_is_found(method):
         found = scan.METHODS[method](states, o)
     assert found, method
     best = min(found, key=lambda c: c.corrected_p)
-    assert scan.tract_overlap(best.begin, best.end, 300, 600, 900) > 0.5
+    assert overlap(best.begin, best.end, 300, 600, 900) > 0.5
     assert best.corrected_p < 0.05
     if method in ("3SEQ", "MaxChi", "RDP"):
         assert best.recombinant == 0

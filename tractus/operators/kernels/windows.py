@@ -72,21 +72,32 @@ def window_geometry(length: int, window: int, step: int) -> tuple[int, int, int]
     return window, step, length // step + 1
 
 
-def pair_profiles(states: np.ndarray, o: Options) -> tuple[np.ndarray, int, int]:
-    """Jukes-Cantor distances[pair, window, replicate] in single precision, saturating at 10."""
-    length = states.shape[1]
+def pair_profile(x: np.ndarray, y: np.ndarray, o: Options) -> np.ndarray:
+    """Jukes-Cantor distances[window, replicate] of two rows in single precision, saturating at 10. The sample itself is
+    the first replicate; the last one that is drawn is thrown away."""
+    length = len(x)
     window, step, last = window_geometry(length, o.boot_window, o.boot_step)
-    weights = bootstrap_weights(window, o.boot_replicates, o.seed)[:, 1:]
+    weights = bootstrap_weights(window, o.boot_replicates, o.seed)[:, :-1]
     at = (np.arange(last + 1)[:, None] * step - window // 2 + np.arange(window)) % length
-    out = np.empty((3, last + 1, o.boot_replicates), np.float32)
-    for k, (i, j) in enumerate(MEMBERS):
-        both = ((states[i] > 0) & (states[j] > 0)).astype(np.int64)
-        valid, differ = both[at] @ weights, (both * (states[i] != states[j]))[at] @ weights
-        with np.errstate(divide="ignore", invalid="ignore"):
-            same = ((valid - differ) / valid).astype(np.float32)
-            d = np.float32(-0.75) * np.log((4 * same - 1) / np.float32(3))
-        out[k] = np.where((valid > 0) & (same > 0.25) & np.isfinite(d), d, 10)
-    return out, step, window
+    both = ((x > 0) & (y > 0)).astype(np.float32)
+    # Sums of small whole numbers are exact in single precision.
+    valid, differ = both[at] @ weights.astype(np.float32), (both * (x != y))[at] @ weights.astype(np.float32)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        same = ((valid.astype(float) - differ) / valid).astype(np.float32)
+        d = np.float32(-0.75) * np.log((4 * same - 1) / np.float32(3))
+    return np.where((valid > 0) & (same > 0.25) & np.isfinite(d), d, 10)
+
+
+def pair_profiles(states: np.ndarray, o: Options, held: dict | None = None, rows=(0, 1, 2)) -> tuple[np.ndarray, int, int]:
+    """The distances of the three pairs, step and window. held: profiles of pairs of rows that were measured before."""
+    held, out = {} if held is None else held, []
+    for i, j in MEMBERS:
+        key = (rows[i], rows[j])
+        if key not in held:
+            held[key] = pair_profile(states[i], states[j], o)
+        out.append(held[key])
+    window, step, _ = window_geometry(states.shape[1], o.boot_window, o.boot_step)
+    return np.stack(out), step, window
 
 
 def support(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +109,14 @@ def support(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return votes, usable.any(axis=1)
 
 
-def bootscan(states: np.ndarray, o: Options, variable: Variable | None = None) -> list[Candidate]:
+def bootscan(states: np.ndarray, o: Options, variable: Variable | None = None, held: dict | None = None, rows=(0, 1, 2)) -> list[Candidate]:
     """Regions of windows in which one pair has the wanted support; they go on through windows in which the pair leads
     with more than 40 %, as many in a row as windows overlap."""
     v = variable or Variable(states)
     length, n = v.length, len(v)
     if length < 10 or min(o.boot_window, length // 2) < 5 or not n:
         return []
-    distances, step, window = pair_profiles(states, o)
+    distances, step, window = pair_profiles(states, o, held, rows)
     votes, usable = support(distances)
     last, gap = votes.shape[1] - 1, max(1, round(window / step))
     out = []
@@ -187,14 +198,24 @@ def _moved(p: int, draw: int) -> int:
 MOVED = np.array([[_moved(p, d) for d in range(13)] for p in range(16)], np.int8)
 
 
-def z_scores(p: np.ndarray, permutations: int, prefix: np.ndarray) -> np.ndarray:
-    """Of the support for each pair: against permutations, 0 without support or variance."""
-    count = lambda a: BACKS[:, a].sum(axis=-1)
-    n = len(p)
+#: How far a draw moves the support of each pair: of the pattern p, drawn d, BACKED[pair, p, d] tells whether it has any.
+BACKED = BACKS[:, MOVED]
+
+
+def window_scores(p: np.ndarray, permutations: int, prefix: np.ndarray) -> np.ndarray:
+    """Of the support for each pair in windows of patterns (one a row): against permutations, 0 without support or
+    variance. Each window meets the same draws."""
+    n = p.shape[1]
     draws = prefix[(np.arange(permutations)[:, None] * n + np.arange(n)) % len(prefix)]
-    seen, null = count(p), count(permuted(p[None, :], draws))
-    sd = null.std(axis=1)
-    return np.where((seen > 0) & (sd > 0), (seen - null.mean(axis=1)) / np.where(sd > 0, sd, 1), 0.0)
+    seen = BACKS[:, p].sum(axis=-1, dtype=np.int64).T
+    null = np.stack([BACKED[k][p[:, None, :], draws[None]].sum(axis=-1, dtype=np.int64) for k in range(3)], axis=1)
+    sd = null.std(axis=2)
+    return np.where((seen > 0) & (sd > 0), (seen - null.mean(axis=2)) / np.where(sd > 0, sd, 1), 0.0)
+
+
+def z_scores(p: np.ndarray, permutations: int, prefix: np.ndarray) -> np.ndarray:
+    """As window_scores, of one window."""
+    return window_scores(p[None, :], permutations, prefix)[0]
 
 
 def siscan(states: np.ndarray, o: Options, variable: Variable | None = None, outlier: np.ndarray | None = None) -> list[Candidate]:
@@ -208,11 +229,9 @@ def siscan(states: np.ndarray, o: Options, variable: Variable | None = None, out
         outlier = np.where(top > 0, top % 4 + 1, 0)
     p, prefix = patterns(states, outlier), vertical_prefix(4096, o.seed)
     overall = int(BACKS[:, p].sum(axis=-1).argmax())
-    starts = range(0, length - o.sis_window, o.sis_step)
-    best = []
-    for s in starts:
-        z = z_scores(p[s : s + o.sis_window], o.sis_permutations, prefix)
-        best.append((int(z.argmax()), float(z.max())))
+    starts = np.arange(0, length - o.sis_window, o.sis_step)
+    z = window_scores(p[starts[:, None] + np.arange(o.sis_window)], o.sis_permutations, prefix)
+    best = list(zip(z.argmax(axis=1).tolist(), z.max(axis=1).tolist(), strict=True))
     out, i = [], 0
     v = variable or Variable(states)
     while i < len(best):

@@ -6,7 +6,7 @@ repeats are dropped again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi_square, jukes_cantor
@@ -117,20 +117,25 @@ def window_geometry(length: int, window: int, step: int) -> tuple[int, int, int]
     return window, step, length // step + 1
 
 
-def bootscan_windows(spark, length: int, window: int, step: int) -> DataFrame:
-    """win, pos: the sites of each centred window, wrapped into 1 .. length."""
+def window_sites(length: int, window: int, step: int) -> Column:
+    """win, pos: the sites of each centred window, wrapped into 1 .. length; an array."""
     window, step, last = window_geometry(length, window, step)
-    wins = spark.range(last + 1).select(F.col("id").cast("int").alias("win"))
-    offsets = wins.select("win", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("k"))
-    at = F.col("win") * step - window // 2 + F.col("k")
-    return offsets.select("win", (F.pmod(at - 1, F.lit(length)) + 1).cast("int").alias("pos"))
+    at = lambda win, k: F.struct(win.alias("win"), (F.pmod(win * step - window // 2 + k - 1, F.lit(length)) + 1).cast("int").alias("pos"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda win: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: at(win, k))))
 
 
-def pair_distances(cells: DataFrame, windows: DataFrame) -> DataFrame:
+def bootscan_windows(sequences: DataFrame, length: int, window: int, step: int) -> DataFrame:
+    """dataset_id, win, pos: the windows of each alignment of that length."""
+    held = sequences.filter(F.size("states") == length).select("dataset_id").distinct()
+    return held.select("dataset_id", F.inline(window_sites(length, window, step)))
+
+
+def pair_distances(cells: DataFrame, length: int, window: int, step: int) -> DataFrame:
     """Jukes-Cantor distance of each pair in each window (replicate 0: all weights 1). Pairs, not triplets, are measured."""
     a = cells.select("dataset_id", F.col("seq_id").alias("s1"), "pos", F.col("st").alias("x"))
     b = cells.select("dataset_id", F.col("seq_id").alias("s2"), "pos", F.col("st").alias("y"))
-    both = a.join(b, ["dataset_id", "pos"]).filter("s1 < s2 AND x > 0 AND y > 0").join(windows, "pos")
+    place = F.filter(window_sites(length, window, step), lambda s: s["pos"] == F.col("pos"))
+    both = a.join(b, ["dataset_id", "pos"]).filter("s1 < s2 AND x > 0 AND y > 0").withColumn("win", F.explode(F.transform(place, lambda s: s["win"])))
     return both.groupBy("dataset_id", "win", "s1", "s2").agg(jukes_cantor(F.count("*"), F.count_if(F.col("x") != F.col("y"))).alias("d"))
 
 

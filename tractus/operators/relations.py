@@ -29,10 +29,11 @@ def site_classes(cells: DataFrame) -> DataFrame:
 
 
 def pairs(sequences: DataFrame) -> DataFrame:
-    """Rows s1 < s2 of one data set with the states of both. Two rows for a pair, no dense matrix."""
-    a = sequences.select("dataset_id", F.col("seq_id").alias("s1"), F.col("states").alias("x"))
-    b = sequences.select("dataset_id", F.col("seq_id").alias("s2"), F.col("states").alias("y"))
-    return a.join(b, "dataset_id").filter("s1 < s2")
+    """Rows s1 < s2 of one data set with the states of both, made from the pairs' ranks. No dense matrix, no self-join."""
+    whole = sequences.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("seq_id", "states"))).alias("_m"))
+    ranked = ranks.with_pair(_dealt(whole, ranks.pairs_of(F.size("_m"))), "_rank", "_i", "_j")
+    a, b = (F.element_at("_m", (F.col(i) + 1).cast("int")) for i in ("_i", "_j"))
+    return ranked.select("dataset_id", a["seq_id"].alias("s1"), b["seq_id"].alias("s2"), a["states"].alias("x"), b["states"].alias("y")).filter("s1 < s2")
 
 
 def pair_identity(sequences: DataFrame) -> DataFrame:

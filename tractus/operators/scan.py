@@ -27,11 +27,16 @@ SCHEMA = "dataset_id long, a int, b int, c int, method string, recombinant int,
 BLOCK = 256
 
 
-def detect(states: np.ndarray, o: Options, methods=PRIMARY, fourth: np.ndarray | None = None) -> list[Candidate]:
+def detect(states: np.ndarray, o: Options, methods=PRIMARY, fourth: np.ndarray | None = None, held: dict | None = None, rows=(0, 1, 2)) -> list[Candidate]:
     """All detectors share one pass over the triplet's variable sites; results come in the order of the methods. SISCAN
-    finds nothing without a fourth sequence."""
+    finds nothing without a fourth sequence. held: BootScan's profiles of pairs of rows that were measured before."""
     v = Variable(states)
-    run = lambda m: METHODS[m](states, o, v) if m != "SISCAN" else windows.siscan(states, o, v, fourth) if fourth is not None else []
+
+    def run(m):
+        if m == "SISCAN":
+            return windows.siscan(states, o, v, fourth) if fourth is not None else []
+        return windows.bootscan(states, o, v, held, rows) if m == "BootScan" else METHODS[m](states, o, v)
+
     return [c for m in METHOD_ORDER if m in methods for c in run(m)]
 
 
@@ -147,16 +152,16 @@ def detected(work: DataFrame, whole: DataFrame, o: Options, methods, tests: Colu
                 ids, origins, states = _members(b.column("members")[r].values)
                 if like:
                     direct, tree = (b.column(c)[r].values.to_numpy().reshape(len(ids), -1) for c in ("direct", "tree"))
-                block = [b.column(c)[r].as_py() for c in _WORK[1:]]
+                block, held = [b.column(c)[r].as_py() for c in _WORK[1:]], {}
                 for t in triplets_of_block(*block, ids, origins):
                     at, of, fourth = ids[t].tolist(), origins[t].tolist(), None
                     if like and (k := outlier.nearest(t, states, direct, tree, origins)) is not None:
                         fourth = states[k]
-                    for s in detect(states[t], own, methods, fourth):
+                    for s in detect(states[t], own, methods, fourth, held, tuple(at)):
                         if cut and s.method == "3SEQ" and (s := consensus.split(s, states[t], own)) is None:
                             continue
-                        held = inside(states.shape[1], s.begin, s.end)
-                        out.append((dataset, *at, *of, s.method, at[s.recombinant], at[s.major], at[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites, bool((states[t[s.recombinant]][held] > 0).any())))
+                        tract = inside(states.shape[1], s.begin, s.end)
+                        out.append((dataset, *at, *of, s.method, at[s.recombinant], at[s.major], at[s.minor], s.begin, s.end, s.local_p, s.corrected_p, s.sites, bool((states[t[s.recombinant]][tract] > 0).any())))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=list(names))
 
     return rows.mapInArrow(run, SIGNAL)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import breakpoints, masking, rounds, scan, trees
+from ..operators import bootstrap, breakpoints, masking, rounds, scan, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -409,8 +409,10 @@ def queries():
         "geneconv_counts": geneconv_counts,
         "threeseq_walk": threeseq_walk,
         "threeseq_excursion": lambda s, sf: P.excursions(P.walk(P.targets(_variable(s, sf)))),
-        "bootscan_windows": lambda s, sf: P.bootscan_windows(s, 500, 80, 20),
-        "bootscan_votes": lambda s, sf: P.closest_pair_votes(P.pair_distances(_cells(s, sf), P.bootscan_windows(s, LENGTH, 16, 8))),
+        "bootscan_windows": lambda s, sf: P.bootscan_windows(_seqs(s, sf), LENGTH, 32, 16),
+        "bootscan_votes": lambda s, sf: P.closest_pair_votes(P.pair_distances(_cells(s, sf), LENGTH, 16, 8)),
+        "bootstrap_votes": lambda s, sf: bootstrap.bootstrap_votes(_seqs(s, sf), LENGTH, 16, 4, 100),
+        "bootstrap_regions": lambda s, sf: _round(bootstrap.support_regions(bootstrap.bootstrap_votes(_seqs(s, sf), LENGTH, 16, 4, 100), 100), "mean_votes"),
         "siscan_patterns": lambda s, sf: _relations(s, sf).groupBy(*T).agg(*[F.count_if(F.col("relation") == k).alias(f"r{k}") for k in range(6)]),
         "siscan_tallies": _tallies,
         "siscan_switches": lambda s, sf: P.pair_switches(_tallies(s, sf)),

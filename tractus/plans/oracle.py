@@ -96,6 +96,19 @@ BOOT = CELLS + """,
 wins AS (SELECT CAST(w AS INTEGER) AS win, CAST(((w * 8 - 8 + k - 1) % 64 + 64) % 64 + 1 AS INTEGER) AS pos FROM range(0, 10) g(w) CROSS JOIN range(1, 17) h(k)),
 dist0 AS (SELECT p.dataset_id, win, p.seq_id AS s1, q.seq_id AS s2, count(*) AS v, count(*) FILTER (p.st <> q.st) AS d FROM cells p JOIN cells q ON p.dataset_id = q.dataset_id AND p.pos = q.pos AND p.seq_id < q.seq_id JOIN wins ON wins.pos = p.pos WHERE p.st > 0 AND q.st > 0 GROUP BY ALL),
 dist AS (SELECT dataset_id, win, s1, s2, CASE WHEN d = 0 THEN 0.0 WHEN (v - d) / v <= 0.25 THEN 10.0 ELSE -0.75 * ln((4.0 * ((v - d) / v) - 1.0) / 3.0) END AS d FROM dist0)"""
+#: 100 replicates of windows of 16 sites: draws of the congruential generator from seed 3, two thrown away first and each site's last one.
+PROFILES = CELLS.replace("cells AS", "RECURSIVE lcg(i, s) AS (SELECT 0, CAST(3 AS UBIGINT) UNION ALL SELECT i + 1, (s * 214013 + 2531011) & 4294967295 FROM lcg WHERE i < 2 + 16 * 100),\ncells AS", 1) + """,
+drawn AS (SELECT (i - 3) % 100 + 1 AS rep, least(15, floor(((s >> 16) & 32767) / 32767.0 * 15)) AS site FROM lcg WHERE i >= 3),
+weights AS (SELECT rep, site, count(*) AS n FROM drawn WHERE rep < 100 GROUP BY ALL UNION ALL SELECT 0, k, 1 FROM range(0, 16) g(k)),
+placed AS (SELECT w AS win, k AS site, (w * 4 - 8 + k + 64) % 64 + 1 AS pos FROM range(0, 18) g(w) CROSS JOIN range(0, 16) h(k)),
+met AS (SELECT p.dataset_id, p.seq_id AS s1, q.seq_id AS s2, p.pos, CAST(p.st <> q.st AS INTEGER) AS differ FROM cells p JOIN cells q ON p.dataset_id = q.dataset_id AND p.pos = q.pos AND p.seq_id < q.seq_id WHERE p.st > 0 AND q.st > 0),
+sums AS (SELECT dataset_id, s1, s2, win, rep, sum(n) AS v, sum(n * differ) AS d FROM met JOIN placed USING (pos) JOIN weights USING (site) GROUP BY ALL),
+prof AS (SELECT dataset_id, s1, s2, CAST(win AS INTEGER) AS win, rep, CASE WHEN d = 0 THEN 0.0 WHEN (v - d) / v <= 0.25 THEN 10.0 ELSE -0.75 * ln((4.0 * ((v - d) / v) - 1.0) / 3.0) END AS d FROM sums),
+three AS (SELECT x.dataset_id, x.s1 AS a, x.s2 AS b, y.s2 AS c, x.win, x.d AS d12, y.d AS d13, z.d AS d23 FROM prof x JOIN prof y ON x.dataset_id = y.dataset_id AND x.win = y.win AND x.rep = y.rep AND x.s1 = y.s1 AND x.s2 < y.s2
+  JOIN prof z ON z.dataset_id = x.dataset_id AND z.win = x.win AND z.rep = x.rep AND z.s1 = x.s2 AND z.s2 = y.s2 WHERE x.d < 2 AND y.d < 2 AND z.d < 2),
+tri AS (SELECT p.dataset_id, p.seq_id AS a, q.seq_id AS b, r.seq_id AS c FROM counts p JOIN counts q ON p.dataset_id = q.dataset_id AND p.seq_id < q.seq_id JOIN counts r ON r.dataset_id = p.dataset_id AND q.seq_id < r.seq_id),
+voted AS (SELECT tri.*, CAST(g.w AS INTEGER) AS win, count(d12) AS usable, count(*) FILTER (d12 < d13 AND d12 < d23) AS v12, count(*) FILTER (d13 < d12 AND d13 < d23) AS v13, count(*) FILTER (d23 < d12 AND d23 < d13) AS v23
+  FROM tri CROSS JOIN range(0, 18) g(w) LEFT JOIN three t ON t.dataset_id = tri.dataset_id AND t.a = tri.a AND t.b = tri.b AND t.c = tri.c AND t.win = g.w GROUP BY ALL)"""
 REL = SITES + """,
 rel AS (SELECT *, CASE WHEN x = 0 OR y = 0 OR z = 0 THEN 0 WHEN x = y AND x = z THEN 5 WHEN x = y THEN 2 WHEN x = z THEN 3 WHEN y = z THEN 4 ELSE 1 END AS relation FROM ts),
 tal AS (SELECT dataset_id, a, b, c, CAST(w AS INTEGER) AS win, """ + ", ".join(f"count(*) FILTER (relation = {k}) AS r{k}" for k in range(6)) + """
@@ -149,7 +162,9 @@ def sql() -> dict[str, str]:
         "geneconv_counts": w(SITES, f"SELECT {T}, count(*) AS variable_sites, count(*) FILTER (m12 = 0) AS d12, count(*) FILTER (m13 = 0) AS d13, count(*) FILTER (m23 = 0) AS d23, count(*) FILTER (m12 + m13 + m23 = 0) AS all_differ FROM vs GROUP BY ALL"),
         "threeseq_walk": w(WALK, "SELECT dataset_id, a, b, c, target, count(*) AS sites, CAST(max(height) AS BIGINT) AS top, CAST(min(height) AS BIGINT) AS low, CAST(arg_max(height, pos) AS BIGINT) AS final FROM walk GROUP BY ALL"),
         "threeseq_excursion": w(WALK, "SELECT dataset_id, a, b, c, target, n_sites, plus, CAST(max_height AS BIGINT) AS max_height, CAST(min_height AS BIGINT) AS min_height, CAST(descent AS BIGINT) AS descent, begin_after, end_pos FROM exc"),
-        "bootscan_windows": "SELECT CAST(w AS INTEGER) AS win, CAST(((w * 20 - 40 + k - 1) % 500 + 500) % 500 + 1 AS INTEGER) AS pos FROM range(0, 27) g(w) CROSS JOIN range(1, 81) h(k)",
+        "bootscan_windows": "SELECT d.dataset_id, CAST(w AS INTEGER) AS win, CAST(((w * 16 - 16 + k - 1) % n + n) % n + 1 AS INTEGER) AS pos FROM (SELECT vec_id // 10 AS dataset_id, max(len(embedding)) AS n FROM embeddings GROUP BY ALL) d CROSS JOIN range(0, 6) g(w) CROSS JOIN range(1, 33) h(k)",
+        "bootstrap_votes": w(PROFILES, f"SELECT {T}, win, usable, v12, v13, v23 FROM voted"),
+        "bootstrap_regions": w(PROFILES + f", pv AS (SELECT {T}, win, 0 AS pair, v12 AS votes FROM voted UNION ALL SELECT {T}, win, 1, v13 FROM voted UNION ALL SELECT {T}, win, 2, v23 FROM voted), fl AS (SELECT *, win - row_number() OVER (PARTITION BY {T}, pair ORDER BY win) AS g FROM pv WHERE votes >= 70)", f"SELECT {T}, pair, min(win) AS first, max(win) AS last, count(*) AS windows, round(avg(votes), 6) AS mean_votes FROM fl GROUP BY {T}, pair, g"),
         "bootscan_votes": w(BOOT, f"SELECT x.dataset_id, x.s1 AS a, x.s2 AS b, y.s2 AS c, count(*) AS usable, count(*) FILTER (x.d < y.d AND x.d < z.d) AS v12, count(*) FILTER (y.d < x.d AND y.d < z.d) AS v13, count(*) FILTER (z.d < x.d AND z.d < y.d) AS v23 FROM dist x JOIN dist y ON x.dataset_id = y.dataset_id AND x.win = y.win AND x.s1 = y.s1 AND x.s2 < y.s2 JOIN dist z ON z.dataset_id = x.dataset_id AND z.win = x.win AND z.s1 = x.s2 AND z.s2 = y.s2 WHERE x.d < 2 AND y.d < 2 AND z.d < 2 GROUP BY ALL"),
         "siscan_patterns": w(REL, f"SELECT {T}, {', '.join(f'count(*) FILTER (relation = {k}) AS r{k}' for k in range(6))} FROM rel GROUP BY ALL"),
         "siscan_tallies": w(REL, f"SELECT {T}, win, r0, r1, r2, r3, r4, r5 FROM tal"),
