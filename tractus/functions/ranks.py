@@ -8,6 +8,7 @@ group is dealt as ranges of ranks; no join carries it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +30,45 @@ def triplets_of(n: Column) -> Column:
     return _whole(pairs_of(n) * (n - 2), 3)
 
 
-def _largest(rows: DataFrame, name: str, rank: Column, root: Column, count: Callable[[Column], Column]) -> DataFrame:
-    """rows with name, the largest number whose count is not above the rank; its root is off by one or two. Columns are
-    added one by one, so that no expression holds another several times."""
-    near = rows.withColumn("_near", root.cast("long"))
-    guess = F.col("_near")
-    return near.withColumn(name, F.coalesce(*[F.when(count(guess + d) <= rank, guess + d) for d in (3, 2, 1, 0)])).drop("_near")
+def _largest(rank: Column, root: Column, count: Callable[[Column], Column]) -> Column:
+    """The largest number whose count is not above the rank; its root is off by one or two."""
+    near = root.cast("long")
+    return F.coalesce(*[F.when(count(near + d) <= rank, near + d) for d in (3, 2, 1, 0)])
 
 
-def with_pair(rows: DataFrame, rank: str, a: str, b: str) -> DataFrame:
-    """rows with a and b of a pair."""
-    r = F.col(rank)
-    return _largest(rows, b, r, F.greatest(F.floor(F.sqrt(2.0 * r.cast("double"))) - 1, F.lit(0)), pairs_of).withColumn(a, r - pairs_of(F.col(b)))
+def _last_of_pair(r: Column) -> Column:
+    return _largest(r, F.greatest(F.floor(F.sqrt(2.0 * r.cast("double"))) - 1, F.lit(0)), pairs_of)
 
 
-def with_triplet(rows: DataFrame, rank: str, a: str, b: str, c: str) -> DataFrame:
-    """rows with a, b and c of a triplet."""
-    last = _largest(rows, c, F.col(rank), F.floor(F.cbrt(6.0 * F.col(rank).cast("double"))), triplets_of)
-    return with_pair(last.withColumn("_rest", F.col(rank) - triplets_of(F.col(c))), "_rest", a, b).drop("_rest")
+def _last_of_triplet(r: Column) -> Column:
+    return _largest(r, F.floor(F.cbrt(6.0 * r.cast("double"))), triplets_of)
+
+
+def _less(count: Callable[[Column], Column], rank: Column, member: Column) -> Column:
+    return rank - count(member)
+
+
+def _staged(rows: DataFrame, rank: str, k: int) -> tuple[DataFrame, list[str]]:
+    """rows with an array for each member, beside the array of ranks. Each array is a column of its own, so that no
+    expression holds another several times, and nothing above the generator can be pushed into them."""
+    stage, left, out = rows, rank, []
+    for size, last, count in ((3, _last_of_triplet, triplets_of), (2, _last_of_pair, pairs_of))[3 - k :]:
+        stage = stage.withColumn(f"_m{size}", F.transform(left, last))
+        stage = stage.withColumn(f"_left{size}", F.zip_with(left, f"_m{size}", partial(_less, count)))
+        left, out = f"_left{size}", [f"_m{size}", *out]
+    return stage, [left, *out]
+
+
+def with_pairs(rows: DataFrame, ranks: Column, a: str, b: str) -> DataFrame:
+    """A row for each of the ranks (an array): a and b of its pair, besides the columns of rows."""
+    stage, parts = _staged(rows.withColumn("_ranks", ranks), "_ranks", 2)
+    return stage.select(*rows.columns, F.inline(F.arrays_zip(*[F.col(p).alias(n) for p, n in zip(parts, (a, b), strict=True)])))
+
+
+def with_triplets(rows: DataFrame, ranks: Column, a: str, b: str, c: str) -> DataFrame:
+    """A row for each of the ranks (an array): a, b and c of its triplet, besides the columns of rows."""
+    stage, parts = _staged(rows.withColumn("_ranks", ranks), "_ranks", 3)
+    return stage.select(*rows.columns, F.inline(F.arrays_zip(*[F.col(p).alias(n) for p, n in zip(parts, (a, b, c), strict=True)])))
 
 
 def blocks(count: Column, size: int) -> Column:

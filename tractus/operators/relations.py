@@ -31,9 +31,9 @@ def site_classes(cells: DataFrame) -> DataFrame:
 def pairs(sequences: DataFrame) -> DataFrame:
     """Rows s1 < s2 of one data set with the states of both, made from the pairs' ranks. No dense matrix, no self-join."""
     whole = sequences.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("seq_id", "states"))).alias("_m"))
-    ranked = ranks.with_pair(_dealt(whole, ranks.pairs_of(F.size("_m"))), "_rank", "_i", "_j")
+    ranked = ranks.with_pairs(_dealt(whole, ranks.pairs_of(F.size("_m"))), F.col("_ranks"), "_i", "_j")
     a, b = (F.element_at("_m", (F.col(i) + 1).cast("int")) for i in ("_i", "_j"))
-    return ranked.select("dataset_id", a["seq_id"].alias("s1"), b["seq_id"].alias("s2"), a["states"].alias("x"), b["states"].alias("y")).filter("s1 < s2")
+    return ranked.select("dataset_id", a["seq_id"].alias("s1"), b["seq_id"].alias("s2"), a["states"].alias("x"), b["states"].alias("y"))
 
 
 def pair_identity(sequences: DataFrame) -> DataFrame:
@@ -114,22 +114,20 @@ def compacted_groups(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _dealt(groups: DataFrame, count: Column) -> DataFrame:
-    """_rank: a row for each rank below count, in ranges that are spread over all tasks."""
+    """groups with _ranks, a range of the ranks below count; ranges are spread over all tasks."""
     each = groups.withColumn("_count", count).withColumn("_block", F.explode(ranks.blocks(F.col("_count"), RANKS)))
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as ranks are many where rows are few
-    return each.repartition(parts, "dataset_id", "_block").withColumn("_rank", F.explode(ranks.block_ranks(F.col("_block"), F.col("_count"), RANKS)))
+    return each.repartition(parts, "dataset_id", "_block").withColumn("_ranks", ranks.block_ranks(F.col("_block"), F.col("_count"), RANKS))
 
 
 def triplets(rows: DataFrame) -> DataFrame:
     """a < b < c of each data set's rows; other columns come along as *_a, *_b, *_c. Triplets are made from their ranks, so
-    those of one large data set are spread over all tasks. Rows with one seq_id are different rows only to themselves:
-    no triplet has two of them."""
+    those of one large data set are spread over all tasks. A data set's seq_ids are all different."""
     extra = [c for c in rows.columns if c not in ("dataset_id", "seq_id")]
     whole = rows.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("seq_id", *extra))).alias("_m"))
-    ranked = ranks.with_triplet(_dealt(whole, ranks.triplets_of(F.size("_m"))), "_rank", "_i", "_j", "_k")
+    ranked = ranks.with_triplets(_dealt(whole, ranks.triplets_of(F.size("_m"))), F.col("_ranks"), "_i", "_j", "_k")
     member = [F.element_at("_m", (F.col(i) + 1).cast("int")) for i in ("_i", "_j", "_k")]
-    ids = ranked.select("dataset_id", *[c for m, n in zip(member, "abc", strict=True) for c in (m["seq_id"].alias(n), *[m[x].alias(f"{x}_{n}") for x in extra])])
-    return ids.filter("a < b AND b < c")
+    return ranked.select("dataset_id", *[c for m, n in zip(member, "abc", strict=True) for c in (m["seq_id"].alias(n), *[m[x].alias(f"{x}_{n}") for x in extra])])
 
 
 def distinct_origins(candidates: DataFrame) -> DataFrame:
@@ -138,14 +136,13 @@ def distinct_origins(candidates: DataFrame) -> DataFrame:
 
 
 def query_reference_triplets(rows: DataFrame) -> DataFrame:
-    """One query (group 0) and two references of different groups, r1 before r2; from ranks of pairs times queries."""
+    """One query (group 0) and two references of different groups, r1 before r2; the pairs beside each query come from their ranks."""
     held = lambda kept, what: F.array_sort(F.collect_list(F.when(kept, what)))
     whole = rows.groupBy("dataset_id").agg(held(F.col("ref_group") > 0, F.struct("seq_id", "ref_group")).alias("_r"), held(F.col("ref_group") == 0, F.col("seq_id")).alias("_q"))
-    n = F.size("_q").cast("long")
-    ranked = _dealt(whole, ranks.pairs_of(F.size("_r")) * n)
-    ranked = ranks.with_pair(ranked.withColumn("_pair", F.floor(F.col("_rank") / n).cast("long")), "_pair", "_i", "_j")
+    each = whole.withColumn("_q", F.explode("_q"))
+    ranked = ranks.with_pairs(_dealt(each, ranks.pairs_of(F.size("_r"))), F.col("_ranks"), "_i", "_j")
     first, second = (F.element_at("_r", (F.col(i) + 1).cast("int")) for i in ("_i", "_j"))
-    out = ranked.select("dataset_id", F.element_at("_q", (F.col("_rank") % n + 1).cast("int")).alias("q"), first.alias("x"), second.alias("y"))
+    out = ranked.select("dataset_id", F.col("_q").alias("q"), first.alias("x"), second.alias("y"))
     return out.filter("x.ref_group <> y.ref_group AND x.seq_id < y.seq_id").select("dataset_id", "q", F.col("x.seq_id").alias("r1"), F.col("y.seq_id").alias("r2"))
 
 
