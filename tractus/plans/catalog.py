@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import bootstrap, breakpoints, masking, rounds, scan, trees
+from ..operators import bootstrap, breakpoints, masking, rounds, scan, splits, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -265,6 +265,12 @@ def event_trees(s, sf):
     return trees.trees(_identity(s, sf).select("dataset_id", "s1", "s2", stats.jukes_cantor(F.col("valid"), F.col("valid") - F.col("same")).alias("distance")))
 
 
+def split_support(s, sf):
+    """Support of each split of each alignment's tree among 20 replicates; members: the split's leaves as hexadecimal bits."""
+    edges = splits.joined_trees(splits.replicate_distances(_planted(s, sf), LENGTH, 20))
+    return splits.split_support(splits.bipartitions(edges), 20).select("dataset_id", F.hex("split").alias("members"), "leaves", "seen", "percent", "collapsed")
+
+
 def breakpoint_ranges(s, sf):
     """The model of each event's triplet."""
     ensure(s)
@@ -458,6 +464,7 @@ def queries():
         "project_roundtrip": project_roundtrip,
         "auto_mask": auto_mask,
         "event_trees": event_trees,
+        "split_support": split_support,
         "breakpoint_ranges": breakpoint_ranges,
         "cyclic_scan": lambda s, sf: rounds.cyclic_scan(_planted(s, sf), _options(), ("RDP", "3SEQ")),
     }
