@@ -64,7 +64,7 @@ def test_general_interfaces_keep_clashing_columns(spark):
     df = clashing(docs(spark))
     for out, added in [
         (decontam.decontaminate(df, items(spark)), {"n_words", "hits", "items"}),
-        (quality.judge(df), {"n_words", "kept", "_w", "_l"}),
+        (quality.judge(df), {"n_words", "kept"}),
         (substring.repeats(df), {"removed"}),
         (langid.identify(df, {"en": ["the dog"]}), {"lang_pred", "score"}),
         (secrets.scan(df), {"spans"}),
@@ -95,3 +95,44 @@ def test_pages(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.op2(pages).collect()}
     assert got[1] == ("a.example.org", "/en/12", "example.org/en/1", "block")
     assert got[2] == ("", "", None, "allow") and got[None] == ("x.com", "", None, "allow")
+
+
+def test_hostile_page_ids_come_back(spark, tmp_path):
+    ids = ["a\r\nWARC-Type: request", " lead", "trail ", "", "x\r\n\r\ny", "100%25", "é \x85", "plain", None]
+    rows = [(i, "http://a.org/", f"<p>{k % 4}</p>") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = warc.op10(pages).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(map(str, ids))
+    first = {p: min(i for i, _, q in rows if q == p and i is not None) for _, _, p in rows}
+    want = {i: None if i in (None, first[p]) else first[p] for i, _, p in rows}
+    assert all(r.refers_to == want[r.page_id] for r in got if r.page_id is not None)
+
+
+def test_items_without_an_id_are_hit(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "five six"), (3, "other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "two three"), ("k", "five six"), (None, "five"), (None, None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.op1(d, b).collect()}
+    assert got == {1: (2, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
+
+
+def test_longer_unknown_words_are_less_likely(spark):
+    rows = [(i, "the old house stands by the river and the old mill " * 3) for i in range(30)]
+    import zlib
+
+    free = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows += [(i, "the " + "q" * n) for i, n in zip(free, (100, 300, 3000, 30000), strict=True)]
+    scores = {r.doc_id: r.score for r in lm.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b, c, d = (scores[i] for i in free)
+    assert a > b > c > d and d < 5 * c < -100 and d > float("-inf")
+
+
+def test_long_tokens_are_learned_whole(spark):
+    token = "ab/" * 150 + "Zz9=" * 60
+    got = secrets.labelled(spark.createDataFrame([(1, f"so {token} it is")], "doc_id long, text string"))
+    assert (token, 0) in got
+
+
+def test_judge_keeps_all_other_columns(spark):
+    d = clashing(docs(spark))
+    out = quality.judge(d).collect()
+    assert all(r["_w"] == "own" and r["_l"] == "own" for r in out) and len(out) == len(ROWS)

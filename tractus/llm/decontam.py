@@ -59,7 +59,7 @@ class Block:
             for i in range(max(1, len(ids) - window + 1)):
                 windows.setdefault(tuple(ids[i : i + window]), set()).add(item)
         self.windows = sorted(windows)
-        self.items = [sorted(windows[w]) for w in self.windows]
+        self.items = [sorted(windows[w] - {None}) for w in self.windows]
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.windows})
         self.shingles = {k: np.unique(np.concatenate([shingle_keys(np.array(w), k) for w in self.windows if min(SHINGLE, len(w)) == k])) for k in self.sizes}
         self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
@@ -138,10 +138,10 @@ def merge(spans) -> list[tuple[int, int]]:
 
 
 def blocks(items: DataFrame, window: int, item: str, text: str):
-    """Items come to the driver one partition at a time; a block ends at BLOCK_WORDS words. Null ids are dropped, items
-    without words have no windows. Rows with one id are windows of one item."""
+    """Items come to the driver one partition at a time; a block ends at BLOCK_WORDS words. Items without words
+    have no windows; those with a null id have, but no id to be listed by. Rows with one id are windows of one item."""
     held, size = [], 0
-    for r in items.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL").toLocalIterator():
+    for r in items.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         if ws := words(r.t):
             held.append((r.i, ws))
             size += len(ws)
@@ -170,6 +170,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
 
     A null or empty text has no words and no hits. Repeated rows are judged alike. Other columns are kept, whatever
     their names but those of the outputs. Without items, or with items that have no words, nothing is hit.
+    The windows of an item with a null id are hit like others; it is not in the list of items.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -225,13 +226,13 @@ def op1(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN lens WHERE len(w) >= n)),
 hit AS (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 pos AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
-its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+its AS (SELECT r, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)

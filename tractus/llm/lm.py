@@ -590,6 +590,10 @@ def fit(texts: Coded, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     return Model(texts, words, pairs, int(n), int(v), inner, outer, outside)
 
 
+#: Logarithms of probabilities below which sums are taken in logarithms.
+DEEP = -600.0
+
+
 # ---- scores -----------------------------------------------------------------
 
 
@@ -601,8 +605,12 @@ def _word_answers(outside: list):
         p = table.column("id")[0].as_py()
         rows = _read(table)
         part = _Part.read(next(b for k, _, b in rows if k == STATE))
-        base = np.exp(np.maximum(part.log_base.astype(np.float64), -650.0))
-        logs = [np.log((a.astype(np.float64) + s * base) / z).astype(np.float32) for (a, _), (s, z) in zip(part.samples, outside)]
+        far, logs = part.log_base.astype(np.float64), []
+        for (a, _), (s, z) in zip(part.samples, outside):
+            with np.errstate(divide="ignore"):
+                log = np.log((a.astype(np.float64) + s * np.exp(far)) / z)
+            # Without customers only the base is left; its logarithm stands where the number itself is too small.
+            logs.append(np.where((a == 0) & (far < DEEP), np.log(s / z) + far, log).astype(np.float32))
         out = []
         for k, b, blob in rows:
             if k == WORDS and b >= 0:
@@ -685,7 +693,14 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
         out = pa.ipc.open_stream(carried).read_all()
         columns = [out.column(i) for i in keep]
         columns += [pa.array(sizes, pa.int64()), pa.array(total((c[w] > 0).astype(np.int64)), pa.int64())]
-        columns += [pa.array(total(x), pa.float64()) for x in (np.log10((c + 1) / (n + v + 1))[w], np.log10(np.maximum(p / samples, 1e-300))[at])]
+        with np.errstate(divide="ignore"):
+            log_p = np.log10(p / samples)
+        # Pairs without customers whose word is too unlikely for a number: the same sum in logarithms.
+        deep = np.flatnonzero((pair_c == 0) & (np.max([x[word] for x in logs], axis=0) < DEEP))
+        if len(deep):
+            each = [np.log(STRENGTH + inner * tables[k][u[deep]]) + logs[k].astype(np.float64)[word[deep]] for k in range(samples)]
+            log_p[deep] = (np.logaddexp.reduce(each, axis=0) - np.log(samples) - np.log(STRENGTH + c[u[deep]])) / np.log(10)
+        columns += [pa.array(total(x), pa.float64()) for x in (np.log10((c + 1) / (n + v + 1))[w], log_p[at])]
         return pa.table(columns, names=[*names, *_ADDED.names])
 
     hashed = asked.select(F.lit(ASK).alias("kind"), F.col("src").alias("id"), F.col("id").alias("src"), "a", "b", "piece", "blob")

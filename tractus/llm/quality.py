@@ -93,15 +93,16 @@ def _of_lines(lines: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures that rules may use; a null text counts as empty. An existing column of such a name is replaced."""
+    """Adds the measures that rules may use; a null text counts as empty. An existing column of such a name is replaced, others stay."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    both = docs.withColumn("_w", let(_words(t), _of_words)).withColumn("_l", let(lines, _of_lines))
+    ws, ls = ((f"{x}_" * (1 + max(map(len, docs.columns)))) for x in "wl")  # longer than any name of docs
+    both = docs.withColumn(ws, let(_words(t), _of_words)).withColumn(ls, let(lines, _of_lines))
     return both.withColumns(
-        {n: F.col(f"_w.{n}") for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
-        | {n: F.col(f"_l.{n}") for n in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
+        {n: F.col(f"{ws}.{n}") for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
+        | {n: F.col(f"{ls}.{n}") for n in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
         | {"n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")}
-    ).drop("_w", "_l")
+    ).drop(ws, ls)
 
 
 def compiled(rules=RULES) -> Column:

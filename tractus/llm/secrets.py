@@ -166,8 +166,8 @@ def labelled(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) ->
                 spans = base_spans(t)
                 for a, k, e in spans:
                     s = ASSIGN.match(t, a).group(2) if k == 0 else t[a:e]
-                    found.add((s[:200], 1))
-                found.update((t[a:e][:200], 0) for a, e in uncovered(t, spans))
+                    found.add((s, 1))
+                found.update((t[a:e], 0) for a, e in uncovered(t, spans))
             found = sorted(found)
             yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in found], pa.string()), "y": pa.array([y for _, y in found], pa.int32())})
 

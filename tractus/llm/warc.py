@@ -18,6 +18,8 @@ import hashlib
 import uuid
 import zlib
 
+from urllib.parse import quote, unquote
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +71,19 @@ def headers(lines) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+#: What a header field may hold as it is: printable ASCII but the percent sign.
+_PLAIN = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def escaped(x: str | None) -> str | None:
+    """x as one field without blanks or line ends; unquote() gives it back."""
+    return None if x is None else quote(x, safe=_PLAIN, errors="surrogatepass")
+
+
+def unescaped(x: str | None) -> str | None:
+    return None if x is None else unquote(x, errors="surrogatepass")
+
+
 def _record(kind: str, rid: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{rid}>"), ("WARC-Date", DATE), *fields, ("Content-Length", len(block))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + block
@@ -78,13 +93,13 @@ def records(page: str | None, url: str | None, payload: bytes, kind: str, refers
     """The records of one page, without the line ends that close them."""
     # Header fields are lines: line ends in a url would begin another field.
     target = "".join(c if c > " " else "%%%02X" % ord(c) for c in url) if url else None
-    about = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-Id", page)]
+    about = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-Id", escaped(page))]
     rid = str(uuid.uuid4())
     http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"]
     if kind == "revisit":
         block = b"\r\n".join([*http, b"Content-Length: %d" % len(payload), b"", b""])
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield _record(kind, rid, [*about, profile, ("X-Refers-To-Page-Id", refers_to), ("Content-Type", "application/http; msgtype=response")], block)
+        yield _record(kind, rid, [*about, profile, ("X-Refers-To-Page-Id", escaped(refers_to)), ("Content-Type", "application/http; msgtype=response")], block)
         return
     block = b"\r\n".join([*http, b"Transfer-Encoding: chunked", b"", chunked(payload)])
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -111,7 +126,8 @@ def with_kinds(pages: DataFrame, key: str = "page_id", payload: str = "html", le
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, segment: int = SEGMENT) -> None:
-    """One record, or one and its continuations, for each row. A null payload is empty."""
+    """One record, or one and its continuations, for each row. A null payload is empty. Keys may hold any characters, line
+    ends and outer blanks too: fields have them percent-encoded, and read() gives them back."""
     bounded_batches(pages.sparkSession)
     rows = with_kinds(pages.select(key, url, payload), key, payload, least).select(F.col(key).cast("string"), url, F.col(payload).cast("binary"), "kind", F.col("refers_to").cast("string"))
     schema = pa.schema([("value", pa.binary())])
@@ -260,7 +276,7 @@ def read(spark, path: str) -> DataFrame:
                     said = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     origin = f.get("warc-segment-origin-id") if more else f.get("warc-record-id")
                     number = _number(f.get("warc-segment-number"))
-                    rows.append((origin, number if origin else None, _number(f.get("warc-segment-total-length")), f.get("x-page-id"), f.get("warc-target-uri"), kind, f.get("x-refers-to-page-id"), said, block, error))
+                    rows.append((origin, number if origin else None, _number(f.get("warc-segment-total-length")), unescaped(f.get("x-page-id")), f.get("warc-target-uri"), kind, unescaped(f.get("x-refers-to-page-id")), said, block, error))
                     size += len(block)
                     if size >= 4 << 20:
                         yield _batch(rows)
