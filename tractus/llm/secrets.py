@@ -26,6 +26,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Tokens that the models judge, of LEAST_RANDOM characters or more.
 LEAST_RANDOM = 12
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Words from which ordinary text is learned besides: letters alone, shorter than what is judged.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,11}(?![A-Za-z0-9+/_=-])")
 HINTS = ("passw", "secret", "token", "api")
 LEAST_ASSIGNED = 12
 #: Rows of the input that the models learn from, those of at most ROW_CHARS characters before longer ones.
@@ -93,9 +95,11 @@ class Ratio:
 
 
 def trained(samples: list[tuple[str, int]]) -> Ratio:
-    """Both chains from one half of the samples, dealt by a hash of the text; the threshold from the other half."""
+    """Both chains from one half of the samples, dealt by a hash of the text; the threshold from the other half. Ordinary
+    text is learned in capitals too."""
     half = lambda t: hashlib.md5(t.encode()).digest()[0] & 1
-    ratio = Ratio([x for x in samples if half(x[0])])
+    own = [x for x in samples if half(x[0])]
+    ratio = Ratio([*own, *((t.upper(), 0) for t, y in own if not y)])
     held = np.sort([ratio.score(t) for t, y in samples if not y and not half(t)])
     if len(held):
         ratio.threshold = max(LEAST_RATIO, float(held[-1 - int(FALSE_ALARMS * len(held))]))
@@ -151,7 +155,8 @@ def _smallest(texts: DataFrame, n: int, count: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) -> list[tuple[str, int]]:
-    """Distinct tokens of a bounded number of rows, those of the smallest hashes: 1 where a pattern finds them, else 0."""
+    """Distinct tokens of a bounded number of rows: 1 where a pattern finds them, else 0, as have all their words. Rows of at
+    most ROW_CHARS characters come before longer ones, and among these those of the smallest hashes."""
     texts = docs.select(F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL").select("t", F.xxhash64("t").alias("h"), (F.length("t") > ROW_CHARS).alias("long"))
     of = texts.agg(F.count_if("long").alias("long"), F.count_if(~F.col("long")).alias("short")).first()
     kept = _smallest(texts.filter("NOT long"), rows, of["short"])
@@ -168,6 +173,7 @@ def labelled(docs: DataFrame, text: str = "text", rows: int = LABELLED_ROWS) ->
                     s = ASSIGN.match(t, a).group(2) if k == 0 else t[a:e]
                     found.add((s, 1))
                 found.update((t[a:e], 0) for a, e in uncovered(t, spans))
+                found.update((w, 0) for w in WORD.findall(t))
             found = sorted(found)
             yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in found], pa.string()), "y": pa.array([y for _, y in found], pa.int32())})
 
