@@ -606,11 +606,13 @@ def _word_answers(outside: list):
         rows = _read(table)
         part = _Part.read(next(b for k, _, b in rows if k == STATE))
         far, logs = part.log_base.astype(np.float64), []
+        base, deep = np.exp(far), np.flatnonzero(far < DEEP)
         for (a, _), (s, z) in zip(part.samples, outside):
             with np.errstate(divide="ignore"):
-                log = np.log((a.astype(np.float64) + s * np.exp(far)) / z)
+                logs.append(np.log((a.astype(np.float64) + s * base) / z).astype(np.float32))
             # Without customers only the base is left; its logarithm stands where the number itself is too small.
-            logs.append(np.where((a == 0) & (far < DEEP), np.log(s / z) + far, log).astype(np.float32))
+            alone = deep[a[deep] == 0]
+            logs[-1][alone] = np.log(s / z) + far[alone]
         out = []
         for k, b, blob in rows:
             if k == WORDS and b >= 0:
@@ -696,7 +698,8 @@ def score(texts: Coded, model: Model, last: bool = False) -> DataFrame:
         with np.errstate(divide="ignore"):
             log_p = np.log10(p / samples)
         # Pairs without customers whose word is too unlikely for a number: the same sum in logarithms.
-        deep = np.flatnonzero((pair_c == 0) & (np.max([x[word] for x in logs], axis=0) < DEEP))
+        low = np.max(logs, axis=0) < DEEP
+        deep = np.flatnonzero((pair_c == 0) & low[word]) if low.any() else ()
         if len(deep):
             each = [np.log(STRENGTH + inner * tables[k][u[deep]]) + logs[k].astype(np.float64)[word[deep]] for k in range(samples)]
             log_p[deep] = (np.logaddexp.reduce(each, axis=0) - np.log(samples) - np.log(STRENGTH + c[u[deep]])) / np.log(10)
