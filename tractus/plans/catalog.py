@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import bootstrap, breakpoints, masking, rounds, scan, splits, trees
+from ..operators import bootstrap, breakpoints, late, masking, rounds, scan, splits, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -453,6 +453,7 @@ def queries():
         "masked_followup": masked_followup,
         "regional_distances": regional_distances,
         "phylogenetic_set": lambda s, sf: E.phylogenetic_set(_seqs(s, sf), _events(s, sf), LENGTH),
+        "distance_correlation_set": lambda s, sf: late.distance_correlation_set(_seqs(s, sf), _events(s, sf)),
         "breakpoint_view": lambda s, sf: E.breakpoint_view(_seqs(s, sf), _events(s, sf), LENGTH, 10, 5),
         "review_edits": review_edits,
         "event_csv": lambda s, sf: E.csv_lines(_events(s, sf), ["event_id", "method", "recombinant", "begin", "end"]),

@@ -113,6 +113,40 @@ REL = SITES + """,
 rel AS (SELECT *, CASE WHEN x = 0 OR y = 0 OR z = 0 THEN 0 WHEN x = y AND x = z THEN 5 WHEN x = y THEN 2 WHEN x = z THEN 3 WHEN y = z THEN 4 ELSE 1 END AS relation FROM ts),
 tal AS (SELECT dataset_id, a, b, c, CAST(w AS INTEGER) AS win, """ + ", ".join(f"count(*) FILTER (relation = {k}) AS r{k}" for k in range(6)) + """
   FROM rel JOIN range(0, 10) g(w) ON pos > w * 5 AND pos <= w * 5 + 16 GROUP BY ALL)"""
+def _corr(x: list[str], y: list[str]) -> str:
+    """Correlation of two lists of six, to nine digits; 0 where one does not vary."""
+    add = lambda v: "(" + " + ".join(v) + ")"
+    part = lambda a, b: f"(6 * {add([f'{p} * {q}' for p, q in zip(a, b, strict=True)])} - {add(a)} * {add(b)})"
+    return f"CASE WHEN {add([*x, *y])} IS NOT NULL THEN CASE WHEN {part(x, x)} > 1e-12 AND {part(y, y)} > 1e-12 THEN round({part(x, y)} / sqrt({part(x, x)} * {part(y, y)}), 9) ELSE 0.0 END END"
+
+
+def _late() -> str:
+    orders = (((0, 1, 2),), ((1, 0, 2),), ((2, 1, 0),), ((0, 2, 1),), ((1, 2, 0), (2, 0, 1)))
+    sums = ", ".join([f"count(*) FILTER (h{i}) AS v{i}" for i in range(6)] + [f"count(*) FILTER (h{i} AND x{k} <> own) AS d{i}{k}" for i in range(6) for k in range(3)])
+    apart = ", ".join(f"CASE WHEN v{i} > 0 THEN d{i}{k} / v{i} END AS a{i}{k}" for i in range(6) for k in range(3))
+    best = []
+    for c, (i, j) in enumerate(((0, 1), (2, 3), (4, 5))):
+        mine = lambda o: [f"m.a{g}{k}" for g in (i, j) for k in o]  # noqa: B023, E731
+        each = [f"greatest({', '.join(_corr([f's.a{g}{k}' for g in (i, j) for k in range(3)], mine(o)) for o in kinds)})" for kinds in orders]
+        best.append(f"[{', '.join(each)}] AS c{c}")
+    closest = lambda g: f"list_value(s.a{g}0, s.a{g}1, s.a{g}2)[m.role + 1] <= least(s.a{g}0, s.a{g}1, s.a{g}2)"
+    return EVENTS + f""",
+rep AS (SELECT event_id, dataset_id, "begin", "end", [recombinant] || list_filter([a, b, c], lambda x: x <> recombinant) AS reps FROM ev),
+rv AS (SELECT r.event_id, r.dataset_id, r.reps, r."begin", r."end", p.pos, p.st AS x0, q.st AS x1, t.st AS x2 FROM rep r JOIN cells p ON p.dataset_id = r.dataset_id AND p.seq_id = r.reps[1]
+  JOIN cells q ON q.dataset_id = r.dataset_id AND q.seq_id = r.reps[2] AND q.pos = p.pos JOIN cells t ON t.dataset_id = r.dataset_id AND t.seq_id = r.reps[3] AND t.pos = p.pos
+  WHERE p.st > 0 AND q.st > 0 AND t.st > 0 AND NOT (p.st = q.st AND p.st = t.st)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1 AS j, count(*) OVER e AS n, count(*) FILTER (pos < "begin") OVER e AS ib, count(*) FILTER (pos <= "end") OVER e AS ie FROM rv WINDOW e AS (PARTITION BY event_id)),
+rw AS (SELECT *, least(60, n // 2) AS w, {_in('pos', '"begin"', '"end"')} AS h5 FROM rn),
+rg AS (SELECT *, ((ib - 1 - j) % n + n) % n < w AS h0, ((j - ib) % n + n) % n < w AS h1, ((ie - 1 - j) % n + n) % n < w AS h2, ((j - ie) % n + n) % n < w AS h3, NOT h5 AS h4 FROM rw),
+rs AS (SELECT event_id, reps, seq_id, {sums} FROM (SELECT g.*, s.seq_id, s.st AS own FROM rg g JOIN cells s ON s.dataset_id = g.dataset_id AND s.pos = g.pos WHERE s.st > 0) GROUP BY event_id, reps, seq_id),
+ra AS (SELECT *, {apart} FROM rs),
+me AS (SELECT *, list_position(reps, seq_id) - 1 AS role FROM ra WHERE list_contains(reps, seq_id)),
+co AS (SELECT s.event_id, s.seq_id, CAST(m.role AS INTEGER) AS role, {', '.join(best)}, s.v0 + s.v1 > 10 OR s.v2 + s.v3 > 10 AS overlap, coalesce({closest(4)} AND {closest(5)}, false) AS affinity
+  FROM ra s JOIN me m ON m.event_id = s.event_id WHERE NOT list_contains(s.reps, s.seq_id)),
+ck AS (SELECT event_id, seq_id, role, overlap, affinity, {', '.join(f"c{c}[1] AS r{c}, list_max(c{c}) AS m{c}, CASE WHEN list_max(c{c}) IS NOT NULL THEN CAST(list_position(c{c}, list_max(c{c})) - 1 AS INTEGER) END AS k{c}" for c in range(3))} FROM co),
+cd AS (SELECT *, {', '.join(f"coalesce(k{c} = 0 AND r{c} > 0.83, false) AS t{c}, coalesce(k{c} BETWEEN 1 AND 3 AND m{c} > 0.83, false) AS u{c}" for c in range(3))} FROM ck)"""
+
+
 NAMES = """
 names AS (SELECT vec_id // 10 AS dataset_id, CAST(vec_id % 10 AS INTEGER) AS seq_id, CASE WHEN vec_id % 3 = 0 THEN 'REF-' || label || ':' || vec_id WHEN vec_id % 7 = 0 THEN 'x|REF' ELSE 'seq ' || vec_id END AS name FROM embeddings),
 keyed AS (SELECT *, lower(trim(regexp_extract(name, '(?i)(?:^|[\\s|])REF(?:[-_:]?)([^<\\s|:]*)', 1))) AS lab FROM names WHERE regexp_matches(name, '(?i)(?:^|[\\s|])REF')),
@@ -163,6 +197,7 @@ def sql() -> dict[str, str]:
         "threeseq_walk": w(WALK, "SELECT dataset_id, a, b, c, target, count(*) AS sites, CAST(max(height) AS BIGINT) AS top, CAST(min(height) AS BIGINT) AS low, CAST(arg_max(height, pos) AS BIGINT) AS final FROM walk GROUP BY ALL"),
         "threeseq_excursion": w(WALK, "SELECT dataset_id, a, b, c, target, n_sites, plus, CAST(max_height AS BIGINT) AS max_height, CAST(min_height AS BIGINT) AS min_height, CAST(descent AS BIGINT) AS descent, begin_after, end_pos FROM exc"),
         "bootscan_windows": "SELECT d.dataset_id, CAST(w AS INTEGER) AS win, CAST(((w * 16 - 16 + k - 1) % n + n) % n + 1 AS INTEGER) AS pos FROM (SELECT vec_id // 10 AS dataset_id, max(len(embedding)) AS n FROM embeddings GROUP BY ALL) d CROSS JOIN range(0, 6) g(w) CROSS JOIN range(1, 33) h(k)",
+        "distance_correlation_set": w(_late(), f"SELECT event_id, seq_id, role, {', '.join(f'r{c}, k{c}, m{c}' for c in range(3))}, overlap, affinity, t0 OR t1 OR t2 AS direct, t0 AND t1 AS strong, u0 OR u1 OR u2 AS inverse, overlap AND (t0 OR t1 OR t2) AND (affinity OR (t0 AND t1)) AS member FROM cd"),
         "bootstrap_votes": w(PROFILES, f"SELECT {T}, win, usable, v12, v13, v23 FROM voted"),
         "bootstrap_regions": w(PROFILES + f", pv AS (SELECT {T}, win, 0 AS pair, v12 AS votes FROM voted UNION ALL SELECT {T}, win, 1, v13 FROM voted UNION ALL SELECT {T}, win, 2, v23 FROM voted), fl AS (SELECT *, win - row_number() OVER (PARTITION BY {T}, pair ORDER BY win) AS g FROM pv WHERE votes >= 70)", f"SELECT {T}, pair, min(win) AS first, max(win) AS last, count(*) AS windows, round(avg(votes), 6) AS mean_votes FROM fl GROUP BY {T}, pair, g"),
         "bootscan_votes": w(BOOT, f"SELECT x.dataset_id, x.s1 AS a, x.s2 AS b, y.s2 AS c, count(*) AS usable, count(*) FILTER (x.d < y.d AND x.d < z.d) AS v12, count(*) FILTER (y.d < x.d AND y.d < z.d) AS v13, count(*) FILTER (z.d < x.d AND z.d < y.d) AS v23 FROM dist x JOIN dist y ON x.dataset_id = y.dataset_id AND x.win = y.win AND x.s1 = y.s1 AND x.s2 < y.s2 JOIN dist z ON z.dataset_id = x.dataset_id AND z.win = x.win AND z.s1 = x.s2 AND z.s2 = y.s2 WHERE x.d < 2 AND y.d < 2 AND z.d < 2 GROUP BY ALL"),
