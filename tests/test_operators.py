@@ -89,11 +89,58 @@ def test_role_votes(spark):
     assert (r.role, r.points) == (2, 20.0) and r.confidence == pytest.approx((20 - 17) / 46)
 
 
-def test_siegmund_column_is_near_the_kernel(spark):
+def test_siegmund_against_the_published_formula(spark):
+    """Columns and kernel against the formula with the normal distribution of the standard library, and against the exact
+    chance, of which it is an approximation."""
+    import math
+
     from pyspark.sql import functions as F
 
     from tractus.operators.kernels import threeseq
 
-    df = spark.createDataFrame([(60, 80, 40), (100, 90, 35), (30, 30, 12)], "p int, m int, d int")
+    def plain(up, down, drop):
+        n, x, b = up + down, down - up, drop - 0.5
+        cdf = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+        arg = 2 * (2 * b - x) / n
+        nu = (2 / arg) * (cdf(arg / 2) - 0.5) / ((arg / 2) * cdf(arg / 2) + math.exp(-arg * arg / 8) / math.sqrt(2 * math.pi))
+        return 1 - math.exp(-nu * nu * (2 * (2 * b - x) * (b - x) / n + 1) * math.exp(-2 * b * (b - x) / n))
+
+    cases = [(60, 80, 40), (100, 90, 35), (30, 30, 12), (200, 200, 45), (40, 60, 20), (5, 40, 36)]
+    df = spark.createDataFrame(cases, "p int, m int, d int")
     for r in df.select("*", stats.siegmund(F.col("p"), F.col("m"), F.col("d")).alias("v")).collect():
-        assert r.v == pytest.approx(threeseq.siegmund(r.p, r.m, r.d), rel=1e-3, abs=1e-9)
+        want = 1.0 if r.d <= r.m - r.p else plain(r.p, r.m, r.d)
+        assert r.v == pytest.approx(want, rel=1e-3, abs=1e-9) and threeseq.siegmund(r.p, r.m, r.d) == pytest.approx(want, rel=1e-3, abs=1e-9)
+        if want < 1 and r.p + r.m < 300:
+            assert want == pytest.approx(threeseq.exact_p(r.p, r.m, r.d), rel=0.35, abs=0.01)
+    assert spark.range(1).select(stats.siegmund(F.lit(0), F.lit(0), F.lit(1))).first()[0] == 0.0
+
+
+def test_excursion_goes_round():
+    """The two laps against a walk of explicit steps."""
+    import numpy as np
+
+    from tractus.operators.kernels import threeseq
+    from tractus.operators.kernels.common import Options
+
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(4, 30))
+        pos, steps = np.sort(rng.choice(np.arange(1, 101), n, replace=False)), rng.choice([-1, 1], n)
+        height, top, peak, size, end = 0, 0, 0, 0, 0
+        for i, s in enumerate(steps):
+            height += s
+            if height > top:
+                top, peak = height, i
+            if top - height > size:
+                size, end = top - height, i
+        plain, total, walk = size, height, np.cumsum(steps)
+        top = walk[peak]
+        for i in range((peak if pos[peak] < pos[end] else end) + 1):
+            now = total + walk[i]
+            if now > top:
+                top, peak = now, i
+            if top - now > size:
+                size, end = top - now, i
+        want = (plain, size, int(pos[(peak + 1) % n]), int(pos[end]))
+        assert threeseq.excursion(pos, steps, Options(), 100) == want
+        assert threeseq.excursion(pos, steps, Options(circular=False), 100)[:2] == want[:2]

@@ -70,22 +70,24 @@ def jukes_cantor(valid: Column, differences: Column) -> Column:
     return F.when(valid == 0, 10.0).when(differences == 0, 0.0).when(identity <= 0.25, 10.0).otherwise(F.lit(-0.75) * F.ln((F.lit(4.0) * identity - 1.0) / 3.0))
 
 
-def siegmund(plus: Column, minus: Column, excursion: Column) -> Column:
-    """Discrete approximation of an excursion's probability."""
-    total, bound, end = (plus + minus).cast("double"), excursion - 0.5, (minus - plus).cast("double")
-    first = F.least(F.exp(F.least(F.lit(-2.0) * bound * (bound - end) / total, F.lit(700.0))), F.lit(1e200))
-    second = first * (F.lit(2.0) * (F.lit(2.0) * bound - end) * (bound - end) / total + 1.0)
-    v = F.lit(2.0) * (F.lit(2.0) * bound - end) / total
-    half = v / 2.0
-    # Coefficients of the approximation of the cumulative normal distribution.
-    b1, b2, b3, b4, b5, p, c = 0.31938153, -0.356563782, 1.781477937, -1.821255978, 1.330274429, 0.2316419, 0.39894228
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * F.abs(half))
-    tail = F.lit(c) * F.exp(-half * half / 2.0) * t * (t * (t * (t * (t * b5 + b4) + b3) + b2) + b1)
-    cdf = F.when(half > 6, 1.0).when(half < -6, 0.0).when(half >= 0, F.lit(1.0) - tail).otherwise(tail)
-    pdf = F.exp(F.lit(-0.5) * half * half) / F.sqrt(F.lit(2.0 * 3.14159265359))
-    nu = F.when(v > 0, (cdf - 0.5) * 2.0 / (v * (pdf + v * cdf / 2.0))).otherwise(0.0)
-    third = F.greatest(nu * nu * second, F.lit(-1.0))
-    return F.when(total > 0, F.lit(1.0) - F.exp(-third)).otherwise(-1.0)
+def pinned_descent(plus, minus, drop, exp, tail):
+    """Siegmund's approximation of the chance that a walk of so many ups and downs in random order falls by drop at least
+    from a maximum: one minus the chance of no event at the mean rate nu ** 2 (1 + 2 (2 b - x) (b - x) / n) exp(-2 b (b - x) /
+    n), with n steps, x = minus - plus and b = drop less half a step. nu is the correction for overshooting, by its usual
+    rational form in the normal distribution and density. Numbers or columns, as exp and tail (of both sides) are."""
+    n, x, b = plus + minus, minus - plus, drop - 0.5
+    h = (2 * b - x) / n
+    beyond = tail(h)
+    density = exp(h * h / -2.0) * 0.3989422804014327  # 1 / sqrt(2 pi)
+    nu = (1 - beyond) / (2 * h * (h * (1 - beyond / 2) + density))
+    rate = nu * nu * (1 + 2 * h * (b - x)) * exp(-2 * b * (b - x) / n)
+    return 1 - exp(rate * -1.0)
+
+
+def siegmund(plus: Column, minus: Column, drop: Column) -> Column:
+    """pinned_descent of columns; 1 where the walk falls by drop in any case, 0 without steps."""
+    p, m, d = (c.cast("double") for c in (plus, minus, drop))
+    return F.when(p + m <= 0, 0.0).when(d <= m - p, 1.0).otherwise(pinned_descent(p, m, d, F.exp, normal_tail))
 
 
 def half_even(x: Column) -> Column:

@@ -241,6 +241,7 @@ def sql() -> dict[str, str]:
         "tract_fasta": w(EVENTS, "SELECT event_id, s.seq_id, string_agg(substr('-ACGT', CAST(st + 1 AS INTEGER), 1), '' ORDER BY CASE WHEN pos >= begin THEN pos ELSE pos + 64 END) AS sequence FROM ev JOIN cells s ON s.dataset_id = ev.dataset_id AND s.seq_id = ev.recombinant WHERE CASE WHEN begin <= " + END + " THEN pos BETWEEN begin AND " + END + " ELSE pos >= begin OR pos <= " + END + " END GROUP BY event_id, s.seq_id"),
         "readers_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence FROM cells GROUP BY dataset_id, seq_id"),
         "project_roundtrip": w(CELLS, "SELECT dataset_id, seq_id, 's' || seq_id AS name, " + FASTA + " AS sequence, 'enabled' AS row_state FROM cells GROUP BY dataset_id, seq_id"),
+        "siegmund": f"WITH q AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) + 10.0 AS u, l_linenumber + 20.0 AS m, l_linenumber + 12.0 AS d FROM lineitem), x AS (SELECT *, u + m AS n, m - u AS x, d - 0.5 AS b FROM q), h AS (SELECT *, (2 * b - x) / n AS h FROM x), t AS (SELECT *, {_tail('h')} AS t FROM h), v AS (SELECT *, (1 - t) / (2 * h * (h * (1 - t / 2) + exp(-h * h / 2) * 0.3989422804014327)) AS nu FROM t) SELECT l_orderkey, l_linenumber, round(CASE WHEN d <= x THEN 1.0 ELSE 1 - exp(-nu * nu * (1 + 2 * h * (b - x)) * exp(-2 * b * (b - x) / n)) END, 9) AS p FROM v",
         "scalar_functions": f"SELECT l_orderkey, l_linenumber, round({_tail('z')}, 9) AS tail, round(CASE WHEN q + r > 0 AND 100 - q - r > 0 THEN pow(q * (50.0 - r) - (50.0 - q) * r, 2) * 2.0 / (50.0 * (q + r) * (100.0 - q - r)) ELSE 0.0 END, 6) AS chi, round(least(1.0, p * 120), 9) AS bonferroni, round(1 - pow(1 - p, 120), 9) AS sidak, round(round_even(h, 0), 1) AS half_even FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 6.0 AS z, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS r, CAST(l_linenumber AS DOUBLE) / 100.0 AS p, CAST(l_quantity AS DOUBLE) / 4.0 AS h FROM lineitem)",
     }
     return out
