@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks
+from ..functions.stats import overlap
 from ..ship import ensure
 from .events import METHOD_ORDER
 from .kernels import consensus, geneconv, maxchi, outlier, threeseq, windows
@@ -172,3 +173,19 @@ def scan(sequences: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
     ensure(sequences.sparkSession)
     rows = sequences.select("dataset_id", F.col("seq_id").alias("row"), F.col("seq_id").alias("origin"), "states")
     return detected(all_triplets(rows), packed(rows, "SISCAN" in methods), o, methods).select(*[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def followed_up(sequences: DataFrame, candidates: DataFrame, o: Options, methods=PRIMARY) -> DataFrame:
+    """event_id, seq_id, method, major, minor, begin, end, local_p, corrected_p, overlap: signals in which a masked row is a
+    recombinant of an event's parents. Masked rows take no part in a scan, so this is a scan of its own, of one triplet
+    for each of them and event. candidates: event_id, dataset_id, seq_id, parent1, parent2, begin, end (the event's
+    tract); triplets of several events run once. overlap: of the signal's tract with the event's."""
+    ensure(sequences.sparkSession)
+    three = F.array_sort(F.array("seq_id", "parent1", "parent2"))
+    wanted = candidates.withColumn("_t", three).select("*", *[F.col("_t")[i].alias(x) for i, x in enumerate("abc")]).drop("_t").filter("a < b AND b < c")
+    rows = sequences.select("dataset_id", F.col("seq_id").alias("row"), F.col("seq_id").alias("origin"), "states")
+    found = detected(listed_triplets(wanted.select("dataset_id", "a", "b", "c").distinct()), packed(rows, "SISCAN" in methods), o, methods)
+    length = sequences.groupBy("dataset_id").agg(F.max(F.size("states")).alias("_n"))
+    both = wanted.withColumnsRenamed({"begin": "_b", "end": "_e"}).join(found, ["dataset_id", "a", "b", "c"]).filter("recombinant = seq_id").join(length, "dataset_id")
+    share = overlap(F.col("begin"), F.col("end"), F.col("_b"), F.col("_e"), F.col("_n"))
+    return both.select("event_id", "seq_id", "method", "major", "minor", "begin", "end", "local_p", "corrected_p", share.alias("overlap"))

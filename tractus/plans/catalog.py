@@ -353,6 +353,15 @@ def masked_followup(s, sf):
     return E.masked_followup(R.row_state(R.sequence_counts(_seqs(s, sf)), 61, 60), _events(s, sf))
 
 
+def masked_scan(s, sf):
+    """The masked rows of the planted alignments beside the parents of the events that the cyclic scan finds there."""
+    seqs = _planted(s, sf)
+    e = rounds.cyclic_scan(seqs, _options(), ("RDP", "3SEQ"))
+    e = e.select("dataset_id", (F.col("dataset_id") * 100 + F.col("round")).alias("event_id"), F.col("recombinant").alias("a"), F.col("major").alias("b"), F.col("minor").alias("c"), "recombinant", "begin", "end")
+    masked = E.masked_followup(R.row_state(R.sequence_counts(seqs), 61, 0), e).join(e.select("event_id", "dataset_id", "begin", "end"), "event_id")
+    return scan.followed_up(seqs, masked, _options(), ("RDP", "MaxChi", "3SEQ"))
+
+
 def review_edits(s, sf):
     v = F.col("value").cast("int") % LENGTH + 1
     log = _table(s, sf, "events").select((F.col("event_id") * 7 % 500).alias("event_id"), F.col("event_id").alias("edit_id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, v).alias("begin"), F.when(F.col("event_id") % 2 == 0, v).alias("end"))
@@ -451,6 +460,7 @@ def queries():
         "chi_only_events": lambda s, sf: E.chi_only(_supports(s, sf), signals(s, sf)),
         "role_hypotheses": lambda s, sf: E.role_hypotheses(_events(s, sf)),
         "masked_followup": masked_followup,
+        "masked_scan": masked_scan,
         "regional_distances": regional_distances,
         "phylogenetic_set": lambda s, sf: E.phylogenetic_set(_seqs(s, sf), _events(s, sf), LENGTH),
         "distance_correlation_set": lambda s, sf: late.distance_correlation_set(_seqs(s, sf), _events(s, sf)),
