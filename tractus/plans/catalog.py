@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import bootstrap, breakpoints, late, masking, rounds, scan, splits, trees
+from ..operators import bootstrap, breakpoints, exact, late, masking, rounds, scan, splits, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -424,6 +424,7 @@ def queries():
         "geneconv_counts": geneconv_counts,
         "threeseq_walk": threeseq_walk,
         "threeseq_excursion": lambda s, sf: P.excursions(P.walk(P.targets(_variable(s, sf)))),
+        "threeseq_p": lambda s, sf: _round(exact.with_probability(P.excursions(P.walk(P.targets(_variable(s, sf))))).select(*T, "target", "plus", "minus", F.col("descent").cast("long").alias("descent"), "p", "exact"), "p", digits=9),
         "bootscan_windows": lambda s, sf: P.bootscan_windows(_seqs(s, sf), LENGTH, 32, 16),
         "bootscan_votes": lambda s, sf: P.closest_pair_votes(P.pair_distances(_cells(s, sf), LENGTH, 16, 8)),
         "bootstrap_votes": lambda s, sf: bootstrap.bootstrap_votes(_seqs(s, sf), LENGTH, 16, 4, 100),

@@ -196,6 +196,12 @@ def sql() -> dict[str, str]:
         "geneconv_counts": w(SITES, f"SELECT {T}, count(*) AS variable_sites, count(*) FILTER (m12 = 0) AS d12, count(*) FILTER (m13 = 0) AS d13, count(*) FILTER (m23 = 0) AS d23, count(*) FILTER (m12 + m13 + m23 = 0) AS all_differ FROM vs GROUP BY ALL"),
         "threeseq_walk": w(WALK, "SELECT dataset_id, a, b, c, target, count(*) AS sites, CAST(max(height) AS BIGINT) AS top, CAST(min(height) AS BIGINT) AS low, CAST(arg_max(height, pos) AS BIGINT) AS final FROM walk GROUP BY ALL"),
         "threeseq_excursion": w(WALK, "SELECT dataset_id, a, b, c, target, n_sites, plus, CAST(max_height AS BIGINT) AS max_height, CAST(min_height AS BIGINT) AS min_height, CAST(descent AS BIGINT) AS descent, begin_after, end_pos FROM exc"),
+        "threeseq_p": w(WALK.replace("cells AS", "RECURSIVE cells AS", 1) + f""",
+keys AS (SELECT DISTINCT plus, n_sites - plus AS minus, descent AS fall FROM exc),
+dp(plus, minus, fall, used, u, d, p) AS (SELECT plus, minus, fall, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM keys WHERE plus > 0 AND minus > 0 AND fall > 0
+  UNION ALL SELECT plus, minus, fall, used + 1, u + CAST(s = 1 AS BIGINT), CAST(CASE WHEN s = 1 THEN greatest(d - 1, 0) ELSE d + 1 END AS BIGINT) AS d1, sum(p * (CASE WHEN s = 1 THEN plus - u ELSE minus - (used - u) END) / (plus + minus - used))
+  FROM dp CROSS JOIN (VALUES (1), (-1)) g(s) WHERE used < plus + minus AND d < fall AND (CASE WHEN s = 1 THEN plus - u ELSE minus - (used - u) END) > 0 GROUP BY plus, minus, fall, used, u + CAST(s = 1 AS BIGINT), d1),
+told AS (SELECT plus, minus, fall, least(1.0, sum(p)) AS p FROM dp WHERE d = fall GROUP BY ALL)""", f"SELECT {T}, target, CAST(e.plus AS BIGINT) AS plus, CAST(n_sites - e.plus AS BIGINT) AS minus, CAST(descent AS BIGINT) AS descent, round(coalesce(t.p, 1.0), 9) AS p, true AS exact FROM exc e LEFT JOIN told t ON t.plus = e.plus AND t.minus = e.n_sites - e.plus AND t.fall = e.descent"),
         "bootscan_windows": "SELECT d.dataset_id, CAST(w AS INTEGER) AS win, CAST(((w * 16 - 16 + k - 1) % n + n) % n + 1 AS INTEGER) AS pos FROM (SELECT vec_id // 10 AS dataset_id, max(len(embedding)) AS n FROM embeddings GROUP BY ALL) d CROSS JOIN range(0, 6) g(w) CROSS JOIN range(1, 33) h(k)",
         "distance_correlation_set": w(_late(), f"SELECT event_id, seq_id, role, {', '.join(f'r{c}, k{c}, m{c}' for c in range(3))}, overlap, affinity, t0 OR t1 OR t2 AS direct, t0 AND t1 AS strong, u0 OR u1 OR u2 AS inverse, overlap AND (t0 OR t1 OR t2) AND (affinity OR (t0 AND t1)) AS member FROM cd"),
         "bootstrap_votes": w(PROFILES, f"SELECT {T}, win, usable, v12, v13, v23 FROM voted"),
