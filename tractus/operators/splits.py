@@ -83,7 +83,7 @@ def as_bytes(words: Column) -> Column:
 
 
 def bipartitions(edges: DataFrame) -> DataFrame:
-    """dataset_id, replicate, split (BINARY), leaves: the inner splits of each tree, each once."""
+    """dataset_id, replicate, split (BINARY), leaves, words (its bits, WORD in each): inner splits of each tree, each once."""
     c = clades(edges)
     # All leaves of word i: WORD bits, fewer in the last one.
     left = lambda i: F.least(F.lit(WORD), F.col("n") - i * WORD)
@@ -91,7 +91,7 @@ def bipartitions(edges: DataFrame) -> DataFrame:
     side = F.when(F.element_at("leaves", 1).bitwiseAND(1) == 1, turned).otherwise(F.col("leaves"))
     sized = c.withColumn("_side", side).withColumn("leaves", F.aggregate("_side", F.lit(0), lambda a, w: a + F.bit_count(w)))
     inner = sized.filter((F.col("leaves") > 1) & (F.col("leaves") < F.col("n") - 1))
-    return inner.select(*_TREE, as_bytes(F.col("_side")).alias("split"), "leaves").distinct()
+    return inner.select(*_TREE, as_bytes(F.col("_side")).alias("split"), "leaves", F.col("_side").alias("words")).distinct()
 
 
 def split_support(splits: DataFrame, replicates: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import bootstrap, breakpoints, exact, late, masking, rounds, scan, splits, trees
+from ..operators import bootstrap, breakpoints, exact, late, masking, roles, rounds, scan, splits, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -353,11 +353,16 @@ def masked_followup(s, sf):
     return E.masked_followup(R.row_state(R.sequence_counts(_seqs(s, sf)), 61, 60), _events(s, sf))
 
 
+def _found(s, sf):
+    """Events of the cyclic scan on the planted alignments."""
+    e = rounds.cyclic_scan(_planted(s, sf), _options(), ("RDP", "3SEQ"))
+    return e.select("dataset_id", (F.col("dataset_id") * 100 + F.col("round")).alias("event_id"), F.col("recombinant").alias("a"), F.col("major").alias("b"), F.col("minor").alias("c"), "recombinant", "begin", "end")
+
+
 def masked_scan(s, sf):
     """The masked rows of the planted alignments beside the parents of the events that the cyclic scan finds there."""
     seqs = _planted(s, sf)
-    e = rounds.cyclic_scan(seqs, _options(), ("RDP", "3SEQ"))
-    e = e.select("dataset_id", (F.col("dataset_id") * 100 + F.col("round")).alias("event_id"), F.col("recombinant").alias("a"), F.col("major").alias("b"), F.col("minor").alias("c"), "recombinant", "begin", "end")
+    e = _found(s, sf)
     masked = E.masked_followup(R.row_state(R.sequence_counts(seqs), 61, 0), e).join(e.select("event_id", "dataset_id", "begin", "end"), "event_id")
     return scan.followed_up(seqs, masked, _options(), ("RDP", "MaxChi", "3SEQ"))
 
@@ -447,6 +452,8 @@ def queries():
         "erased_union": lambda s, sf: E.merged_tracts(signals(s, sf), "recombinant", LENGTH),
         "inside_outside_rates": lambda s, sf: _round(E.inside_outside(_variable(s, sf), _events(s, sf).select("signal_id", *T, "begin", "end")), *[f"{m}_{w}" for m in P.PAIRS for w in ("in", "out")]),
         "role_vote": role_vote,
+        "role_metrics": lambda s, sf: roles.direct_metrics(_seqs(s, sf), _events(s, sf)),
+        "role_recommendation": lambda s, sf: _round(roles.recommendation(roles.role_metrics(_planted(s, sf), _found(s, sf))), "confidence"),
         "review_latest": lambda s, sf: E.latest_decisions(_decisions(s, sf)),
         "next_undecided": lambda s, sf: E.next_undecided(_events(s, sf), _decisions(s, sf)),
         "plot_thinning": plot_thinning,

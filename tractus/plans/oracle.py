@@ -120,6 +120,12 @@ def _corr(x: list[str], y: list[str]) -> str:
     return f"CASE WHEN {add([*x, *y])} IS NOT NULL THEN CASE WHEN {part(x, x)} > 1e-12 AND {part(y, y)} > 1e-12 THEN round({part(x, y)} / sqrt({part(x, x)} * {part(y, y)}), 9) ELSE 0.0 END END"
 
 
+def _group_corr() -> str:
+    """Correlation of i and o over a group; 0 where one does not vary."""
+    part = lambda a, b: f"(count(*) * sum({a} * {b}) - sum({a}) * sum({b}))"
+    return f"CASE WHEN {part('i', 'i')} > 1e-9 AND {part('o', 'o')} > 1e-9 THEN {part('i', 'o')} / sqrt({part('i', 'i')} * {part('o', 'o')}) ELSE 0.0 END"
+
+
 def _late() -> str:
     orders = (((0, 1, 2),), ((1, 0, 2),), ((2, 1, 0),), ((0, 2, 1),), ((1, 2, 0), (2, 0, 1)))
     sums = ", ".join([f"count(*) FILTER (h{i}) AS v{i}" for i in range(6)] + [f"count(*) FILTER (h{i} AND x{k} <> own) AS d{i}{k}" for i in range(6) for k in range(3)])
@@ -203,6 +209,16 @@ dp(plus, minus, fall, used, u, d, p) AS (SELECT plus, minus, fall, CAST(0 AS BIG
   FROM dp CROSS JOIN (VALUES (1), (-1)) g(s) WHERE used < plus + minus AND d < fall AND (CASE WHEN s = 1 THEN plus - u ELSE minus - (used - u) END) > 0 GROUP BY plus, minus, fall, used, u + CAST(s = 1 AS BIGINT), d1),
 told AS (SELECT plus, minus, fall, least(1.0, sum(p)) AS p FROM dp WHERE d = fall GROUP BY ALL)""", f"SELECT {T}, target, CAST(e.plus AS BIGINT) AS plus, CAST(n_sites - e.plus AS BIGINT) AS minus, CAST(descent AS BIGINT) AS descent, round(coalesce(t.p, 1.0), 9) AS p, true AS exact FROM exc e LEFT JOIN told t ON t.plus = e.plus AND t.minus = e.n_sites - e.plus AND t.fall = e.descent"),
         "bootscan_windows": "SELECT d.dataset_id, CAST(w AS INTEGER) AS win, CAST(((w * 16 - 16 + k - 1) % n + n) % n + 1 AS INTEGER) AS pos FROM (SELECT vec_id // 10 AS dataset_id, max(len(embedding)) AS n FROM embeddings GROUP BY ALL) d CROSS JOIN range(0, 6) g(w) CROSS JOIN range(1, 33) h(k)",
+        "role_metrics": w(EVENTS + f""",
+rep AS (SELECT event_id, dataset_id, "begin", "end", [recombinant] || list_filter([a, b, c], lambda x: x <> recombinant) AS reps FROM ev),
+rd0 AS (SELECT r.event_id, p.seq_id AS s1, q.seq_id AS s2, {_in('p.pos', '"begin"', '"end"')} AS inner_, count(*) FILTER (p.st > 0 AND q.st > 0) AS v, count(*) FILTER (p.st > 0 AND q.st > 0 AND p.st <> q.st) AS d
+  FROM rep r JOIN cells p ON p.dataset_id = r.dataset_id JOIN cells q ON q.dataset_id = p.dataset_id AND q.pos = p.pos AND q.seq_id <> p.seq_id GROUP BY ALL),
+rd AS (SELECT *, CASE WHEN v = 0 THEN 10.0 WHEN d = 0 THEN 0.0 WHEN (v - d) / v <= 0.25 THEN 10.0 ELSE -0.75 * ln((4.0 * ((v - d) / v) - 1.0) / 3.0) END AS x FROM rd0),
+who AS (SELECT event_id, unnest(reps) AS row_, CAST(unnest(range(0, 3)) AS INTEGER) AS role FROM rep),
+pf AS (SELECT w.event_id, w.role, w.row_, rd.s2 AS other, coalesce(max(x) FILTER (inner_), 10.0) AS i, coalesce(max(x) FILTER (NOT inner_), 10.0) AS o FROM who w JOIN rd ON rd.event_id = w.event_id AND rd.s1 = w.row_ GROUP BY ALL),
+own AS (SELECT event_id, role, {_group_corr()} AS r, avg(abs(i - o)) AS moved FROM pf GROUP BY ALL),
+lo AS (SELECT event_id, role, avg(r) AS r FROM (SELECT p.event_id, w.role, p.role AS of_, {_group_corr()} AS r FROM pf p JOIN who w ON w.event_id = p.event_id AND w.role <> p.role AND w.row_ <> p.other GROUP BY ALL) GROUP BY ALL),
+tu AS (SELECT a.event_id, a.role, avg(CAST((a.i - b.i) * (a.o - b.o) < 0 AS INTEGER)) AS t FROM pf a JOIN pf b ON a.event_id = b.event_id AND a.role = b.role AND a.other <> b.other GROUP BY ALL)""", "SELECT event_id, role, 0 AS metric, round(1 - r, 6) AS score FROM own UNION ALL SELECT event_id, role, 3, round(r, 6) FROM lo UNION ALL SELECT event_id, role, 5, round(moved, 6) FROM own UNION ALL SELECT event_id, role, 7, round(t, 6) FROM tu"),
         "distance_correlation_set": w(_late(), f"SELECT event_id, seq_id, role, {', '.join(f'r{c}, k{c}, m{c}' for c in range(3))}, overlap, affinity, t0 OR t1 OR t2 AS direct, t0 AND t1 AS strong, u0 OR u1 OR u2 AS inverse, overlap AND (t0 OR t1 OR t2) AND (affinity OR (t0 AND t1)) AS member FROM cd"),
         "bootstrap_votes": w(PROFILES, f"SELECT {T}, win, usable, v12, v13, v23 FROM voted"),
         "bootstrap_regions": w(PROFILES + f", pv AS (SELECT {T}, win, 0 AS pair, v12 AS votes FROM voted UNION ALL SELECT {T}, win, 1, v13 FROM voted UNION ALL SELECT {T}, win, 2, v23 FROM voted), fl AS (SELECT *, win - row_number() OVER (PARTITION BY {T}, pair ORDER BY win) AS g FROM pv WHERE votes >= 70)", f"SELECT {T}, pair, min(win) AS first, max(win) AS last, count(*) AS windows, round(avg(votes), 6) AS mean_votes FROM fl GROUP BY {T}, pair, g"),
