@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import bootstrap, breakpoints, exact, late, masking, roles, rounds, scan, splits, trees
+from ..operators import bootstrap, breakpoints, consensus, exact, late, masking, matching, roles, rounds, scan, splits, trees
 from ..operators import events as E
 from ..operators import profiles as P
 from ..operators import relations as R
@@ -359,6 +359,23 @@ def _found(s, sf):
     return e.select("dataset_id", (F.col("dataset_id") * 100 + F.col("round")).alias("event_id"), F.col("recombinant").alias("a"), F.col("major").alias("b"), F.col("minor").alias("c"), "recombinant", "begin", "end")
 
 
+def late_lists(s, sf):
+    """Trimmed, widened and pruned lists of the events of the cyclic scan on the planted alignments."""
+    return consensus.late_lists(_planted(s, sf), _found(s, sf))
+
+
+def late_consensus(s, sf):
+    """Rows of each role of these events after the three passes."""
+    return _round(consensus.late_consensus(_planted(s, sf), _found(s, sf)), "score")
+
+
+def breakpoint_match(s, sf):
+    """The breakpoints of all events with the nearest change of the closest pair, and where that puts them."""
+    e, seqs = _events(s, sf), _seqs(s, sf)
+    found = matching.matched(e, matching.transitions(_rich(s, sf), e), LENGTH)
+    return matching.repositioned(found, e, seqs, LENGTH)
+
+
 def masked_scan(s, sf):
     """The masked rows of the planted alignments beside the parents of the events that the cyclic scan finds there."""
     seqs = _planted(s, sf)
@@ -472,6 +489,9 @@ def queries():
         "regional_distances": regional_distances,
         "phylogenetic_set": lambda s, sf: E.phylogenetic_set(_seqs(s, sf), _events(s, sf), LENGTH),
         "distance_correlation_set": lambda s, sf: late.distance_correlation_set(_seqs(s, sf), _events(s, sf)),
+        "late_lists": late_lists,
+        "late_consensus": late_consensus,
+        "breakpoint_match": breakpoint_match,
         "breakpoint_view": lambda s, sf: E.breakpoint_view(_seqs(s, sf), _events(s, sf), LENGTH, 10, 5),
         "review_edits": review_edits,
         "event_csv": lambda s, sf: E.csv_lines(_events(s, sf), ["event_id", "method", "recombinant", "begin", "end"]),

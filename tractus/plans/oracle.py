@@ -232,6 +232,15 @@ tu AS (SELECT a.event_id, a.role, avg(CAST((a.i - b.i) * (a.o - b.o) < 0 AS INTE
         "signals": w(SIGNALS, 'SELECT signal_id, dataset_id, a, b, c, recombinant, method, begin, "end", round(local_p, 9) AS local_p, round(corrected_p, 9) AS corrected_p FROM signals'),
         "strongest_signal": w(SIGNALS + f", r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY corrected_p, local_p, {_rank()}, signal_id) AS k FROM signals)", 'SELECT dataset_id, signal_id, method, begin, "end", round(corrected_p, 9) AS corrected_p FROM r WHERE k = 1'),
         "signal_dedupe": w(SIGNALS + f', r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, a, b, c, recombinant, begin, "end" ORDER BY corrected_p, local_p, {_rank()}, signal_id) AS k FROM signals)', "SELECT signal_id, method FROM r WHERE k = 1"),
+        "breakpoint_match": w(EVENTS + f""",
+            rich AS (SELECT *, CASE WHEN m12 = 1 THEN 0 WHEN m13 = 1 THEN 1 ELSE 2 END AS cat FROM vs WHERE m12 + m13 + m23 = 1),
+            nb AS (SELECT event_id, pos AS low, cat, coalesce(lead(pos) OVER o, first_value(pos) OVER o) AS high, coalesce(lead(cat) OVER o, first_value(cat) OVER o) AS nc FROM ev JOIN rich USING ({T}) WINDOW o AS (PARTITION BY event_id ORDER BY pos)),
+            bp AS (SELECT event_id, 'begin' AS side, begin AS site FROM ev UNION ALL SELECT event_id, 'end', "end" FROM ev),
+            ds AS (SELECT bp.*, low, high, CASE WHEN {_in("site", "low", "high")} THEN 0 ELSE least((low - site + 64) % 64, (site - high + 64) % 64) END AS distance FROM bp JOIN nb USING (event_id) WHERE cat <> nc),
+            near AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY event_id, side ORDER BY distance, low, high) = 1),
+            st AS (SELECT near.*, (pos - low + 64) % 64 AS k, (high - low + 64) % 64 AS n, x > 0 AND y > 0 AND z > 0 AS has FROM near JOIN ev USING (event_id) JOIN ts USING ({T})),
+            ok AS (SELECT event_id, side, k FROM st WHERE k <= n AND has QUALIFY row_number() OVER (PARTITION BY event_id, side ORDER BY abs(k - n // 2), k) = 1)""",
+            "SELECT near.*, CAST((low - 1 + k) % 64 + 1 AS INTEGER) AS moved_to, (SELECT NOT has FROM st WHERE st.event_id = near.event_id AND st.side = near.side AND st.k = st.n // 2) AS gap FROM near JOIN ok USING (event_id, side)"),
         "tract_overlap": w(EVENTS, f'SELECT x.dataset_id, x.event_id AS i, y.event_id AS j, round({_overlap("x.begin", "x.\"end\"", "y.begin", "y.\"end\"")}, 6) AS overlap FROM ev x JOIN ev y ON x.dataset_id = y.dataset_id AND x.event_id < y.event_id WHERE {_overlap("x.begin", "x.\"end\"", "y.begin", "y.\"end\"")} > 0.3'),
         "support_pairs": w(EVENTS, f'SELECT e.dataset_id, e.event_id, s.signal_id FROM signals s JOIN ev e ON s.dataset_id = e.dataset_id AND len(list_intersect([s.a, s.b, s.c], [e.a, e.b, e.c])) >= 2 WHERE {_overlap("s.begin", "s.\"end\"", "e.begin", "e.\"end\"")} > 0.3'),
         "uncommitted_signals": w(EVENTS, f'SELECT s.signal_id FROM signals s WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE s.dataset_id = e.dataset_id AND s.a = e.a AND s.b = e.b AND s.c = e.c AND {_overlap("s.begin", "s.\"end\"", "e.begin", "e.\"end\"")} > 0.8)'),
