@@ -13,7 +13,7 @@ from ..operators import relations as R
 from ..operators.kernels.common import Options
 from ..ship import ensure
 from ..sources import alignments as A
-from ..sources import project, readers
+from ..sources import imports, project, readers
 from . import oracle
 
 T = R.TRIPLET
@@ -405,12 +405,22 @@ def readers_roundtrip(s, sf):
 
 
 def project_roundtrip(s, sf):
-    """Rows of each data set as a JSON document and back."""
-    rows = _seqs(s, sf).select("dataset_id", "seq_id", F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("name"), E.as_text(F.col("states")).alias("seq"))
-    docs = rows.groupBy("dataset_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq_id", "name", "seq")))).alias("json"))
-    parsed = F.from_json("json", "array<struct<seq_id:int,name:string,seq:string,row_state:string>>")
-    back = docs.select("dataset_id", F.inline(parsed))
-    return back.select("dataset_id", "seq_id", "name", F.col("seq").alias("sequence"), F.coalesce("row_state", F.lit(project.ADDED[2]["row_state"])).alias("row_state"))
+    """Rows of each data set as a JSON document without row states and back."""
+    rows = _seqs(s, sf).select("dataset_id", "seq_id", F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("name"), E.as_text(F.col("states")).alias("seq"), F.lit(None).cast("string").alias("row_state"), F.lit(None).cast("int").alias("ref_group"))
+    return project.parsed(project.documents(rows)).select("dataset_id", "seq_id", "name", F.col("seq").alias("sequence"), "row_state")
+
+
+def project_import(s, sf):
+    """Each data set as a document of some version, a few of them of unknown versions or methods, and what its import gives."""
+    row = F.struct("seq_id", F.col("seq_id").cast("string").alias("name"), E.as_text(F.col("states")).alias("sequence"))
+    d = _seqs(s, sf).groupBy("dataset_id").agg(F.array_sort(F.collect_list(row)).alias("sequences"))
+    method = F.when(F.col("dataset_id") % 11 == 5, "none").otherwise("rdp")
+    analysis = F.struct(F.array(F.struct(method.alias("method"))).alias("signals"), F.array((F.col("dataset_id") % 10).cast("int")).alias("maskedSequenceIndices"), F.when(F.col("dataset_id") % 2 == 0, True).alias("bootscanPrimaryEnabled"), F.when(F.col("dataset_id") % 3 == 0, False).alias("threeSeqEnabled"))
+    schema = F.concat(F.lit("project/v1alpha"), (F.col("dataset_id") % 21 + 1).cast("string")).alias("schema")
+    out = imports.imported(d.select("dataset_id", F.to_json(F.struct(schema, F.struct("sequences").alias("dataset"), analysis.alias("analysis"))).alias("text")), "dataset_id", "text")
+    rows = out.sequences.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.sum("seq_id").alias("seq_ids"), F.count_if(F.col("row_state") == "masked").alias("n_masked"))
+    read = out.projects.join(rows, "dataset_id").select("dataset_id", F.lit(None).cast("string").alias("reason"), F.array_join("methods", ",").alias("methods"), "n_rows", "seq_ids", "n_masked")
+    return read.unionByName(out.rejects, allowMissingColumns=True)
 
 
 def queries():
@@ -501,6 +511,7 @@ def queries():
         "event_plots": _measured(_plot, "dataset_id long, round int, method string, pos int, v1 double, v2 double, v3 double"),
         "readers_roundtrip": readers_roundtrip,
         "project_roundtrip": project_roundtrip,
+        "project_import": project_import,
         "auto_mask": auto_mask,
         "event_trees": event_trees,
         "split_support": split_support,

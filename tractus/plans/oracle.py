@@ -241,6 +241,12 @@ tu AS (SELECT a.event_id, a.role, avg(CAST((a.i - b.i) * (a.o - b.o) < 0 AS INTE
             st AS (SELECT near.*, (pos - low + 64) % 64 AS k, (high - low + 64) % 64 AS n, x > 0 AND y > 0 AND z > 0 AS has FROM near JOIN ev USING (event_id) JOIN ts USING ({T})),
             ok AS (SELECT event_id, side, k FROM st WHERE k <= n AND has QUALIFY row_number() OVER (PARTITION BY event_id, side ORDER BY abs(k - n // 2), k) = 1)""",
             "SELECT near.*, CAST((low - 1 + k) % 64 + 1 AS INTEGER) AS moved_to, (SELECT NOT has FROM st WHERE st.event_id = near.event_id AND st.side = near.side AND st.k = st.n // 2) AS gap FROM near JOIN ok USING (event_id, side)"),
+        "project_import": w(CELLS + """,
+            n AS (SELECT dataset_id, dataset_id % 21 + 1 AS v, count(*) AS n, sum(seq_id) AS ids, count(*) FILTER (seq_id = dataset_id % 10) AS masked FROM counts GROUP BY dataset_id),
+            r AS (SELECT *, CASE WHEN v > 19 THEN 'unknown version' WHEN n < 3 THEN 'fewer than three sequences' WHEN dataset_id % 11 = 5 THEN 'unknown method' END AS reason FROM n)""",
+            """SELECT dataset_id, reason, CASE WHEN reason IS NULL THEN concat_ws(',', 'RDP', CASE WHEN v >= 10 THEN 'MaxChi' END, CASE WHEN v >= 12 THEN 'CHIMAERA' END, CASE WHEN v >= 13 THEN 'GENECONV' END,
+              CASE WHEN v >= 14 AND dataset_id % 3 <> 0 THEN '3SEQ' END, CASE WHEN v >= 17 AND dataset_id % 2 = 0 THEN 'BootScan' END) END AS methods,
+            CASE WHEN reason IS NULL THEN n END AS n_rows, CASE WHEN reason IS NULL THEN CAST(ids AS BIGINT) END AS seq_ids, CASE WHEN reason IS NULL THEN masked END AS n_masked FROM r"""),
         "tract_overlap": w(EVENTS, f'SELECT x.dataset_id, x.event_id AS i, y.event_id AS j, round({_overlap("x.begin", "x.\"end\"", "y.begin", "y.\"end\"")}, 6) AS overlap FROM ev x JOIN ev y ON x.dataset_id = y.dataset_id AND x.event_id < y.event_id WHERE {_overlap("x.begin", "x.\"end\"", "y.begin", "y.\"end\"")} > 0.3'),
         "support_pairs": w(EVENTS, f'SELECT e.dataset_id, e.event_id, s.signal_id FROM signals s JOIN ev e ON s.dataset_id = e.dataset_id AND len(list_intersect([s.a, s.b, s.c], [e.a, e.b, e.c])) >= 2 WHERE {_overlap("s.begin", "s.\"end\"", "e.begin", "e.\"end\"")} > 0.3'),
         "uncommitted_signals": w(EVENTS, f'SELECT s.signal_id FROM signals s WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE s.dataset_id = e.dataset_id AND s.a = e.a AND s.b = e.b AND s.c = e.c AND {_overlap("s.begin", "s.\"end\"", "e.begin", "e.\"end\"")} > 0.8)'),

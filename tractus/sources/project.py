@@ -36,15 +36,25 @@ def migrated(doc: dict) -> dict:
     return doc | {"version": VERSION, "sequences": rows, "events": doc.get("events", []), "options": doc.get("options", {})}
 
 
-def save(sequences: DataFrame, path: str) -> None:
-    """One document a line for each data set: dataset_id, version and its rows, written in parallel."""
+def documents(sequences: DataFrame) -> DataFrame:
+    """value: one document for each data set, dataset_id, version and its rows."""
     row = F.struct("seq_id", "name", "seq", "row_state", "ref_group")
     docs = sequences.groupBy("dataset_id").agg(F.array_sort(F.collect_list(row)).alias("sequences")).withColumn("version", F.lit(VERSION))
-    docs.select(F.to_json(F.struct("version", "dataset_id", "sequences")).alias("value")).write.text(path)
+    return docs.select(F.to_json(F.struct("version", "dataset_id", "sequences")).alias("value"))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all documents; fields that an older version lacks get their defaults."""
+def parsed(texts: DataFrame) -> DataFrame:
+    """Rows of all documents in column value; fields that an older version lacks get their defaults."""
     schema = "version int, dataset_id long, sequences array<struct<seq_id:int,name:string,seq:string,row_state:string,ref_group:int>>"
-    rows = spark.read.schema(schema).json(path).filter(F.col("version").between(1, VERSION)).select("dataset_id", F.inline("sequences"))
+    d = texts.select(F.from_json("value", schema).alias("d")).filter(F.col("d.version").between(1, VERSION))
+    rows = d.select("d.dataset_id", F.inline("d.sequences"))
     return rows.withColumns({"row_state": F.coalesce("row_state", F.lit(ADDED[2]["row_state"])), "ref_group": F.coalesce("ref_group", F.lit(ADDED[3]["ref_group"]))})
+
+
+def save(sequences: DataFrame, path: str) -> None:
+    """The documents, one a line, written in parallel."""
+    documents(sequences).write.text(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark.read.text(path))
