@@ -31,8 +31,9 @@ from .common import Memo, bounded_batches, discard, signed, split_join, vacate,
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
-#: Slots of the sketch of shingle frequencies (2 ** SLOT_BITS), shingles of sets that meet in one task.
-SLOT_BITS, UNIT_SHINGLES = 22, 1_000_000
+#: Slots of the sketch of shingle frequencies (2 ** SLOT_BITS), shingles of sets that meet in one task, and bits by which
+#: texts that no task wants are told (2 ** WANTED_BITS).
+SLOT_BITS, UNIT_SHINGLES, WANTED_BITS = 22, 1_000_000, 24
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -299,7 +300,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
         discard(old, kept, several)
     hubs = counted(left)
     near = split_join(left.select("c", "token"), hubs, ["token"], left.count()).select("hub", "c").distinct()
-    links = written(_joined(docs, classes, near, text, key, levels, shingle, percent), "links")
+    links = _joined(docs, classes, near, text, key, levels, shingle, percent)
     discard(left, hubs)
     comp = components(links, "x", "y")
     discard(links)
@@ -314,8 +315,17 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     return out
 
 
+def wanted(texts: DataFrame, want: DataFrame, key: str, bits: int = WANTED_BITS) -> DataFrame:
+    """texts (key, th and others) without rows that no row of want (wk, wth) asks for. Bits of hashes are told to all
+    tasks, 64 to a number and at most 2 ** bits: a row whose bit is not set stays where it is, and some others go along."""
+    slot = lambda *columns: F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits)
+    asked = want.select(slot("wk", "wth").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("set"))
+    told = texts.withColumn("slot", slot(key, "th")).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(asked), "word")
+    return told.filter(F.expr("getbit(set, cast(slot & 63 AS int)) = 1")).select(*texts.columns)
+
+
 def _joined(docs, classes, near, text, key, levels, shingle, percent) -> DataFrame:
-    """x, y: links between classes, a spanning forest of each task."""
+    """x, y: links between classes, a spanning forest of each task; a written table."""
     spark = docs.sparkSession
     members = written(near.withColumnRenamed("hub", "cluster").join(classes.drop("prefix", "lo", "hi"), "c"), "members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("size"))
@@ -329,8 +339,11 @@ def _joined(docs, classes, near, text, key, levels, shingle, percent) -> DataFra
     placed = placed.withColumn("block", block).withColumn("units", F.when(F.col("nb") > 1, several).otherwise(one))
     # A text goes to a task once, whatever the number of its hubs there.
     each = placed.select("c", "cluster", F.col("k").alias("wk"), F.col("th").alias("wth"), F.explode("units").alias("unit"))
-    want = each.groupBy("c", "wk", "wth", "unit").agg(F.collect_set("cluster").alias("clusters"))
-    texts = docs.withColumn("th", F.xxhash64(text)).join(want, (F.col("th") == F.col("wth")) & F.col(key).eqNullSafe(F.col("wk")))
+    want = written(each.groupBy("c", "wk", "wth", "unit").agg(F.collect_set("cluster").alias("clusters")), "wanted")
+    discard(members)
+    # Texts are shuffled at any size, but only those that are asked for.
+    asked = wanted(docs.withColumn("th", F.xxhash64(text)), want, key)
+    texts = asked.join(want.hint("merge"), (F.col("th") == F.col("wth")) & F.col(key).eqNullSafe(F.col("wk")))
     rows = texts.select("unit", "clusters", "c", F.col(text).alias("t"))
     known = spark.sparkContext.broadcast(levels)
 
@@ -351,7 +364,9 @@ def _joined(docs, classes, near, text, key, levels, shingle, percent) -> DataFra
                 y.append(ids[j])
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return rows.groupBy("unit").applyInArrow(run, "x long, y long")
+    links = written(rows.groupBy("unit").applyInArrow(run, "x long, y long"), "links")
+    discard(want)
+    return links
 
 
 def op8(docs: DataFrame) -> DataFrame:
