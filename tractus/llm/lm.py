@@ -26,12 +26,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, arrow_schema, bounded_batches, bucket_count, discard, h64, released, text_bytes, written
+from .common import PACKED, arrow_schema, bounded_batches, bucket_count, discard, released, text_bytes, written
 from .langid import held_out
 from .seating import gamma, keyed, mixed, moved
 
@@ -52,36 +53,55 @@ STOP = 256
 
 def tokens(text: str | None) -> list[bytes]:
     """Words, A-Z in lower case, without the end; as UTF-8, where bytes.split() parts at the same six characters."""
-    return [w for part in pieces(text) for w in part] if text else []
+    return [w for part in pieces(text) for w in part.split()] if text else []
 
 
 def pieces(text: str):
-    """The words of a text in lists of bounded size; a word is never cut."""
+    """A text as bytes whose words are parted by spaces, in pieces of bounded size; a word is never cut."""
     raw = text.encode("utf-8", "surrogatepass").translate(_LOWER)
     at = 0
     while at < len(raw):
         stop = raw.find(b" ", at + PIECE)
         stop = len(raw) if stop < 0 else stop
-        yield raw[at:stop].split()
+        yield raw[at:stop]
         at = stop
 
 
+def worded(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words parted by spaces: their bytes end to end, their lengths, and where they begin in raw."""
+    a = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], a != 0x20, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return a[inside[1:-1]], (edges[1::2] - edges[::2]).astype(np.int32), edges[::2]
+
+
 # ---- packed arrays ----------------------------------------------------------
 
 
 def packed(*arrays) -> bytes:
     """Arrays as bytes, their bytes grouped by significance so that small numbers compress; bytes stay as they are."""
-    rows = [a if isinstance(a, bytes) else (a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) for a in arrays]
+    rows = [a if isinstance(a, bytes) else (a.dtype.str, len(a), _planes(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)) for a in arrays]
     return zstandard.compress(pickle.dumps(rows), 1)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """x.tobytes(), row by row."""
+    out = np.empty(x.shape, np.uint8)
+    for i in range(len(x)):
+        out[i] = x[i]
+    return out.tobytes()
+
+
 def unpacked(blob: bytes) -> list:
     out = []
     for row in pickle.loads(zstandard.decompress(blob)):
         if not isinstance(row, bytes):
             kind, n, raw = row
             kind = np.dtype(kind)
-            row = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+            row = np.empty((n, kind.itemsize), np.uint8)
+            for i, plane in enumerate(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n)):
+                row[:, i] = plane
+            row = row.view(kind).reshape(n)
         out.append(row)
     return out
 
@@ -112,7 +132,7 @@ def runs(ids: np.ndarray):
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(h64, words), np.int64, len(words)).view(np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 # ---- coded texts ------------------------------------------------------------
@@ -162,37 +182,52 @@ def _row(kind: int, to: int, src: int, blob: bytes | None, a: float = 0.0, b: fl
     return kind, to, src, a, b, blob
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 class Bucket:
     """Texts that are coded together: word ids of all tokens end to end, ends included."""
 
     def __init__(self):
-        self.ids, self.tokens, self.sizes, self.learn, self.bytes, self.carried = _Ids({END_TOKEN: 0}), [], [], [], 0, []
+        self.raw, self.learn, self.bytes, self.carried = [], [], 0, []
+        self.held, self.begins, self.room = [], [], 0
 
     def add(self, text: str | None, learn: bool) -> None:
-        n = 1
-        for words in pieces(text or ""):
-            self.tokens.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
-            n += len(words)
-        self.tokens.append(np.zeros(1, np.int32))
-        self.sizes.append(n)
+        for k, raw in enumerate(pieces(text) if text else [b""]):
+            if self.held and self.room + len(raw) > PIECE:
+                self._flush()
+            if k == 0:
+                self.begins.append(self.room)
+            self.held.append(raw)
+            self.room += len(raw) + 1
         self.learn.append(bool(learn))
         self.bytes += len(text or "")
 
+    def _flush(self) -> None:
+        """What is held goes to raw: bytes of words, their lengths, and how many words of it come before each text that begins here."""
+        what, sizes, at = worded(b" ".join(self.held))
+        self.raw.append((what, sizes, np.searchsorted(at, np.array(self.begins, np.int64))))
+        self.held, self.begins, self.room = [], [], 0
+
+    def _words(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Different words (the end first), their ids in all texts, ends included, and the number of tokens of each text."""
+        self._flush()
+        lengths = np.concatenate([r[1] for r in self.raw])
+        before = np.cumsum([0, *[len(r[1]) for r in self.raw]])
+        first = np.concatenate([r[2] + n for r, n in zip(self.raw, before)])
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        whole = np.concatenate([r[0] for r in self.raw])
+        self.raw = []
+        found = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).dictionary_encode()
+        del offsets, whole
+        w = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1), np.append(first[1:], len(lengths)), 0)
+        return [END_TOKEN, *found.dictionary.to_pylist()], w, np.diff(np.append(first, len(lengths))) + 1
+
     def rows(self, b: int, shards: int, parts: int):
-        words = list(self.ids)
+        words, w, sizes = self._words()
         h = hashes(words)
         order = np.argsort(h)
         rank = np.empty(len(h), np.int32)
         rank[order] = np.arange(len(h), dtype=np.int32)
         h = h[order]
-        w = rank[np.concatenate(self.tokens)]
-        sizes = np.array(self.sizes, np.int64)
+        w = rank[w]
         learn = np.repeat(np.array(self.learn), sizes)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.carried[0].schema) as out:
@@ -218,14 +253,20 @@ def _pairs(w: np.ndarray, h: np.ndarray, shards: int):
     The context of a text's first token is the end of the text before it: all ends are one word."""
     u = np.concatenate([w[-1:], w[:-1]]).astype(np.int64)
     key = u * len(h) + w
-    order = np.argsort(key)
-    first = np.diff(key[order], prepend=-1) != 0
+    bits = len(key).bit_length()
+    if 2 * len(h).bit_length() + bits < 64:  # places sorted with their keys are an order
+        key = np.sort((key << bits) | np.arange(len(key)))
+        order, key = key & ((1 << bits) - 1), key >> bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    first = np.diff(key, prepend=-1) != 0
     at = np.empty(len(key), np.int64)
     at[order] = np.cumsum(first) - 1
-    key = key[order[first]]
+    key = key[first]
     u, w = key // len(h), key % len(h)
     shard = shards_of(h[u], h[w], shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return (u[order], w[order], shard[order]), place[at]
@@ -268,7 +309,7 @@ def coded(docs: DataFrame, text: str = "text", train: str | None = None, keep: l
                     yield from _batches(bucket.rows(first + made, shards, parts))
                     bucket, made = Bucket(), made + 1
                     released()
-        if bucket.sizes:
+        if bucket.learn:
             yield from _batches(bucket.rows(first + made, shards, parts))
 
     learn = F.coalesce(F.col(f"`{train}`"), F.lit(False)) if train else F.lit(False)
