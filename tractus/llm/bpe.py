@@ -6,15 +6,17 @@ arcs are redirected to it), and gives each state with an ``a`` arc into the old
 All arcs of one label lead to one state, so a state is named by the label that enters it, and what the gadgets leave
 behind is kept as three tables: the two halves of each label, the step that made it, and the step that cut a pair.
 ``_arc(x, y)`` reads off whether the finished automaton has a ``y`` arc in the state of ``x``: either the arc was cut,
-or the newer of both states/arcs is traced back to what its gadget copied it from. Answers are stored, so the
-transition table fills with the arcs that texts use.
+or the newer of both states/arcs is traced back to what its gadget copied it from. Answers are stored.
 
-A word has exactly one path through the automaton; it is found from left to right, one label per position.
+A word has exactly one path through the automaton. It is read symbol by symbol, all arcs that are partly read at once:
+a ``Place`` holds the label that ends there and those arcs. Places are made and linked when a word first needs them, so
+the table of moves fills with what texts use, and most words are read by look-ups alone.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -28,6 +30,8 @@ from .common import Memo, arrow_schema, bounded_batches, resident
 
 #: Arcs that are stored; the table is emptied when it is full, and fills again from the gadgets.
 KNOWN_ARCS = 400_000
+#: Places that are stored, likewise.
+KNOWN_PLACES = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -60,8 +64,10 @@ LOWER_CASE = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
-_MARKS = regex.compile(f"([{UNKNOWN_MARKS}])")
+_MARKS = re.compile(f"([{UNKNOWN_MARKS}])")
 _LOWERED = {a + i: to + i for a, b, to in LOWER_CASE for i in range(b - a + 1)}
+#: Lower case of the first 256 characters, which stay among them; composition changes none of these.
+_LATIN = bytes(ord(chr(i).lower()) for i in range(256))
 
 
 def normalised(text: str) -> str:
@@ -72,6 +78,19 @@ def normalised(text: str) -> str:
     return "".join([unicodedata.normalize("NFC", x) for x in parts]).replace("Σ", "σ").translate(_LOWERED).lower()
 
 
+class Place(dict):
+    """Where a reader is after a symbol: moves by next symbol; open: pairs of (trie node, state that the arc left), flat."""
+
+    __slots__ = ("automaton", "open", "label", "length")
+
+    def __init__(self, automaton: Automaton, open: tuple, label: int = -1, length: int = 0):
+        self.automaton, self.open, self.label, self.length = automaton, open, label, length
+
+    def __missing__(self, symbol: str) -> Place:
+        to = self[symbol] = self.automaton.move(self.open, symbol)
+        return to
+
+
 class Automaton:
     """vocab: label -> id; merges: pairs of labels in rank order; end: what marks a word's last symbol."""
 
@@ -88,12 +107,22 @@ class Automaton:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.gadget(step, vocab[a], vocab[b], vocab[a + b])
         symbols = {t: i for t, i in vocab.items() if i in self.made or len(t.removesuffix(end) if end else t) == 1}
-        if end:
-            self.inner = {t: i for t, i in symbols.items() if not t.endswith(end)}
-            self.last = {t.removesuffix(end): i for t, i in symbols.items() if t.endswith(end)}
-        else:
-            self.inner = self.last = symbols
-        self.longest = max(map(len, [*self.inner, *self.last]), default=1)
+        # Trie of all labels by symbol; a word's last symbol has the end mark.
+        self.trie: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, int]] = [(-1, 0)]
+        for t, i in symbols.items():
+            marked = end and t.endswith(end)
+            t = t.removesuffix(end) if marked else t
+            at = 0
+            for s in (*t[:-1], t[-1] + end if marked else t[-1]):
+                if s not in self.trie[at]:
+                    self.trie[at][s] = len(self.trie)
+                    self.trie.append({})
+                    self.ends.append((-1, 0))
+                at = self.trie[at][s]
+            self.ends[at] = (i, len(t))
+        self.places: dict[tuple, Place] = {}
+        self.start = Place(self, (0, -1))
 
     def gadget(self, step: int, a: int, b: int, c: int) -> None:
         """Nothing happens where no b arc is left in the state of a, or where c is there already."""
@@ -114,35 +143,49 @@ class Automaton:
             else:  # the arc y came to every state with an arc of its left half
                 now, y = ty, self.left[y]
 
+    def move(self, open: tuple, symbol: str) -> Place:
+        """The place after one more symbol. Of the arcs that are whole then, the automaton has one; shorter ones come first."""
+        trie, ends, arcs = self.trie, self.ends, self.arcs
+        label, length, to = -1, 0, []
+        pairs = iter(open)
+        for at, x in zip(pairs, pairs, strict=True):
+            if (at := trie[at].get(symbol)) is None:
+                continue
+            if label < 0 and (y := ends[at][0]) >= 0:
+                ok = True
+                if x >= 0 and (ok := arcs.get(x << 32 | y)) is None:
+                    if len(arcs) >= KNOWN_ARCS:
+                        arcs.clear()
+                    ok = arcs[x << 32 | y] = self._arc(x, y)
+                if ok:
+                    label, length = ends[at]
+            if trie[at]:
+                to += (at, x)
+        to = (*((0, label) if label >= 0 else ()), *to)
+        if (place := self.places.get(to)) is None:
+            if len(self.places) >= KNOWN_PLACES:
+                for p in (self.start, *self.places.values()):
+                    p.clear()
+                self.places.clear()
+            place = self.places[to] = Place(self, to, label, length)
+        return place
+
     def encode(self, word: str) -> list[int]:
-        """word: byte symbols. The labels of its path; state[j] is the state after j symbols, by the label that enters it."""
-        n, arcs, longest = len(word), self.arcs, self.longest
-        if (y := self.last.get(word)) is not None:
-            return [y]
-        state = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        labels = self.inner
-        for j in range(1, n + 1):
-            if j == n:
-                labels = self.last
-            for i in range(j - 1, -1 if j <= longest else j - longest - 1, -1):
-                if (y := labels.get(word[i:j])) is not None:
-                    if i:
-                        x = state[i]
-                        if x < 0:
-                            continue
-                        if (ok := arcs.get(x << 32 | y)) is None:
-                            if len(arcs) >= KNOWN_ARCS:
-                                arcs.clear()
-                            ok = arcs[x << 32 | y] = self._arc(x, y)
-                        if not ok:
-                            continue
-                    state[j], start[j] = y, i
-                    break
-        out, j = [], n
+        """word: byte symbols. The labels of its path, read off from the end."""
+        if not word:
+            return []
+        place, path = self.start, []
+        for s in word[:-1]:
+            place = place[s]
+            path.append(place)
+        path.append(place[word[-1] + self.end])
+        out, j = [], len(word)
         while j:
-            out.append(state[j])
-            j = start[j]
+            place = path[j - 1]
+            if place.label < 0:
+                raise ValueError(f"not in the vocabulary: {word!r}")
+            out.append(place.label)
+            j -= place.length
         return out[::-1]
 
     def decode(self, path) -> str:
@@ -158,30 +201,40 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton = Automaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.automaton.labels |= {i: t for t, i in special.items()}
-        self.special, self.opening = special, {t[0] for t in special}
+        self.special = special
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # White space, letters and numbers as the tokenizer's own pattern engine has them.
         space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         later = f"[{LATER}]"
         pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^{space}\p{{L}}\p{{N}}]|{later})")
         pattern = pattern.replace(r"[\p{L}]", rf"(?!{later})\p{{L}}").replace(r"[\p{N}]", rf"(?!{later})\p{{N}}")
         self.words = regex.compile(pattern.replace(r"(?!%s)\p{L}+" % later, r"(?:(?!%s)\p{L})+" % later))
-        self.fast = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", space))
-        self.later = regex.compile(later)
+        self.fast = regex.compile(split.replace(r"\s", space))
+        self.later = re.compile(later)
+        # The same for the first 256 characters, whose classes are short enough to be spelled out.
+        for name, members in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", f"[{space}]")):
+            split = split.replace(name, "".join([rf"\x{i:02x}" for i in range(256) if regex.match(members, chr(i))]))
+        self.latin = re.compile(split)
         self.symbols = byte_symbols()
         self.paths = Memo(self._path, 250_000)
 
     def _path(self, word: str) -> tuple[int, ...]:
-        return tuple(self.automaton.encode("".join([self.symbols[b] for b in word.encode()])))
+        plain = word.isascii() and word.isalnum()  # such bytes stand for themselves
+        return tuple(self.automaton.encode(word if plain else "".join([self.symbols[b] for b in word.encode()])))
+
+    def _words(self, text: str) -> list[str]:
+        try:
+            return self.latin.findall(text.encode("latin-1").translate(_LATIN).decode("latin-1"))
+        except UnicodeEncodeError:
+            text = normalised(text)
+            return (self.words if self.later.search(text) else self.fast).findall(text)
 
     def _plain(self, text: str) -> list[int]:
-        text = normalised(text)
-        words = self.words if not text.isascii() and self.later.search(text) else self.fast
-        return list(chain.from_iterable(map(self.paths.__getitem__, words.findall(text))))
+        return list(chain.from_iterable(map(self.paths.__getitem__, self._words(text))))
 
     def encode(self, text: str) -> list[int]:
-        if self.cut is None or not any(map(text.__contains__, self.opening)):
+        if self.cut is None or not any(map(text.__contains__, self.special)):
             return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
