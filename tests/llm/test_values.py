@@ -139,6 +139,18 @@ def test_bpe_of_latin_text_and_full_tables(monkeypatch):
     assert [full.encode(t) for t in texts] == want
 
 
+def test_bpe_of_few_characters_beyond_latin():
+    """Long texts with a few marks, capitals and letters that need care, anywhere in them."""
+    library, own = coders()
+    r = random.Random(14)
+    rare = [*"’Σ中", "\u0308", bpe.UNKNOWN_MARKS[0], bpe.LATER[0], *map(chr, bpe._LOWERED)]
+    for _ in range(400):
+        t = [r.choice(["the ", "E", "é", "Größe ", "on", "!!", " "]) for _ in range(60)]
+        for c in r.sample(rare, 3):
+            t.insert(r.randrange(len(t)), c)
+        assert own.encode("".join(t)) == library.encode("".join(t), add_special_tokens=False).ids, t
+
+
 def test_bpe_reads_new_words_by_look_ups():
     """Lines of the module that a symbol of a new word takes, when other words of the same parts were read before."""
     import sys

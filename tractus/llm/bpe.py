@@ -65,17 +65,24 @@ LOWER_CASE = (
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
 _MARKS = re.compile(f"([{UNKNOWN_MARKS}])")
+_BEYOND = re.compile("[^\0-\xff]+")
 _LOWERED = {a + i: to + i for a, b, to in LOWER_CASE for i in range(b - a + 1)}
 #: Lower case of the first 256 characters, which stay among them; composition changes none of these.
 _LATIN = bytes(ord(chr(i).lower()) for i in range(256))
 
 
+def beyond(text: str) -> str:
+    """The characters after the first 256; all that is special above is among them, so a search need not read the others."""
+    return "".join(_BEYOND.findall(text))
+
+
 def normalised(text: str) -> str:
     """Composed and in lower case, as the library does it: character by character, without a final sigma."""
     if text.isascii():
         return text.lower()
-    parts = _MARKS.split(text) if _MARKS.search(text) else [text]
-    return "".join([unicodedata.normalize("NFC", x) for x in parts]).replace("Σ", "σ").translate(_LOWERED).lower()
+    parts = _MARKS.split(text) if _MARKS.search(beyond(text)) else [text]
+    text = "".join([unicodedata.normalize("NFC", x) for x in parts]).replace("Σ", "σ")
+    return (text if _LOWERED.keys().isdisjoint(map(ord, set(beyond(text)))) else text.translate(_LOWERED)).lower()
 
 
 class Place(dict):
@@ -228,7 +235,7 @@ class Encoder:
             return self.latin.findall(text.encode("latin-1").translate(_LATIN).decode("latin-1"))
         except UnicodeEncodeError:
             text = normalised(text)
-            return (self.words if self.later.search(text) else self.fast).findall(text)
+            return (self.words if self.later.search(beyond(text)) else self.fast).findall(text)
 
     def _plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.paths.__getitem__, self._words(text))))
