@@ -71,6 +71,25 @@ def test_regions(spark):
     assert got == {(0, 0, 1, 2, 9.0), (0, 3, 4, 2, 7.5), (0, 6, 6, 1, 9.0), (2, 2, 2, 1, 8.0)}
 
 
+def test_votes_in_tiles_are_those_of_each_triplet(spark, monkeypatch):
+    """Two blocks and a bit more, windows a few at a time; profiles are not joined to triplets."""
+    monkeypatch.setattr(bootstrap, "HELD", 40_000)
+    rows = [mutated(lineage(60, 3), 0.02 + 0.01 * i, i) for i in range(2 * bootstrap.BLOCK + 3)]
+    rows[17][10:40] = 0
+    o = Options(boot_window=20, boot_step=10, boot_replicates=5)
+    voted = bootstrap.bootstrap_votes(table(spark, {2: rows, 3: rows[:2], 5: rows[4:7]}), 60, 20, 10, 5)
+    assert "Join" not in voted._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.dataset_id, r.a, r.b, r.c, r.win): (r.usable, r.v12, r.v13, r.v23) for r in voted.collect()}
+    n, held = len(rows), {}
+    assert len(got) == (n * (n - 1) * (n - 2) // 6 + 1) * 8
+    for i, j in combinations(range(n), 2):
+        held[i, j] = windows.pair_profile(rows[i], rows[j], o)
+    for t in combinations(range(n), 3):
+        d = np.stack([held[p] for p in combinations(t, 2)])
+        usable, votes = (d < 2).all(axis=0).sum(axis=1), windows.support(d)[0]
+        assert [got[2, *t, w] for w in range(8)] == list(zip(usable.tolist(), *votes.tolist(), strict=True))
+
+
 def test_window_scores_are_those_of_each_window():
     p = np.random.default_rng(1).integers(0, 16, 120)
     prefix = windows.vertical_prefix(64, 3)
