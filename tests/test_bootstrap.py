@@ -71,6 +71,14 @@ def test_regions(spark):
     assert got == {(0, 0, 1, 2, 9.0), (0, 3, 4, 2, 7.5), (0, 6, 6, 1, 9.0), (2, 2, 2, 1, 8.0)}
 
 
+def test_regions_end_where_a_window_is_not_there(spark):
+    rows = [(1, 0, 1, 2, w, 10, 9, 0, 1) for w in (0, 1, 3)]
+    voted = spark.createDataFrame(rows, "dataset_id long, a int, b int, c int, win int, usable long, v12 long, v13 long, v23 long")
+    found = bootstrap.support_regions(voted, 10)
+    assert {(r.pair, r.first, r["last"], r.windows) for r in found.collect()} == {(0, 0, 1, 2), (0, 3, 3, 1)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_votes_in_tiles_are_those_of_each_triplet(spark, monkeypatch):
     """Two blocks and a bit more, windows a few at a time; profiles are not joined to triplets."""
     monkeypatch.setattr(bootstrap, "HELD", 40_000)

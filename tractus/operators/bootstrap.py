@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks
@@ -150,13 +150,10 @@ def bootstrap_votes(sequences: DataFrame, length: int, window: int, step: int, r
 
 def support_regions(voted: DataFrame, replicates: int, support: float = 0.7) -> DataFrame:
     """dataset_id, a, b, c, pair, first, last, windows, mean_votes: maximal linear runs of windows in which a pair has the
-    wanted support."""
-    from .profiles import runs
-
-    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(v).alias("votes")) for i, v in enumerate(("v12", "v13", "v23"))]))
-    each = voted.select(*TRIPLET, "win", pair.alias("p")).select(*TRIPLET, F.col("win").alias("pos"), "p.pair", "p.votes")
-    full = each.withColumn("full", (F.col("votes") >= support * replicates).cast("int"))
-    held = runs(full, "full", [*TRIPLET, "pair"]).filter("full = 1").drop("full", "run")
-    sums = full.filter("full = 1").select(*TRIPLET, "pair", "pos", "votes")
-    both = held.join(sums, [*TRIPLET, "pair"]).filter("pos BETWEEN first AND last")
-    return both.groupBy(*TRIPLET, "pair", "first", "last").agg(F.count("*").alias("windows"), F.avg("votes").alias("mean_votes"))
+    wanted support. Only such windows are shuffled."""
+    each = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(v).alias("votes")) for i, v in enumerate(("v12", "v13", "v23"))])
+    full = voted.select(*TRIPLET, "win", F.inline(F.filter(each, lambda p: p["votes"] >= support * replicates)))
+    # Windows that follow each other are as far from their places as each other.
+    run = F.col("win") - F.row_number().over(Window.partitionBy(*TRIPLET, "pair").orderBy("win"))
+    both = full.withColumn("_run", run).groupBy(*TRIPLET, "pair", "_run")
+    return both.agg(F.min("win").alias("first"), F.max("win").alias("last"), F.count("*").alias("windows"), F.avg("votes").alias("mean_votes")).drop("_run")
