@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import settled, written
-from .late import SUPPORT, correlation_set, correlations, representatives, variable_walks
-from .late import region_distances as walk_distances
+from .late import SUPPORT, correlation_set, correlations, representatives
 from .roles import profiles, region_distances, tree_distances
 
 #: Correlation that a listed row needs if it is no farther from the representative than the nearest unlisted row in both
@@ -57,15 +56,12 @@ def evidence(sequences: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFr
     turned: whether the closest pair of representatives differs between the regions.
     """
     reps = representatives(events)
-    apart = written(walk_distances(variable_walks(reps, sequences), sequences), "apart")
-    found = written(correlation_set(correlations(apart)), "correlations").join(apart.select("event_id", "seq_id", "apart"), ["event_id", "seq_id"])
+    found = written(correlation_set(correlations(reps, sequences)), "correlations")
     row = Window.partitionBy("event_id", "seq_id")
     clean = [F.col(f"_d{c}") & (F.count_if(F.col(f"_d{c}")).over(row) == 1) for c in range(3)]
     found = found.withColumns({f"_d{c}": F.coalesce((F.col(f"k{c}") == 0) & (F.col(f"r{c}") > SUPPORT), F.lit(False)) for c in range(3)}).withColumns({f"_c{c}": clean[c] for c in range(3)})
-    own = lambda g: F.col("apart")[g][F.col("role")] > F.array_min(F.col("apart")[g])
     best = F.greatest(*[F.when(F.col(f"_c{c}"), F.col(f"r{c}")).otherwise(0.0) for c in range(3)])
-    veto = F.coalesce(own(0) & own(1) & own(2) & own(3), F.lit(False))
-    found = found.select("event_id", "role", "seq_id", F.coalesce(F.greatest("r0", "r1", "r2"), F.lit(0.0)).alias("top"), best.alias("best"), veto.alias("vetoed"), "affinity", "member")
+    found = found.select("event_id", "role", "seq_id", F.coalesce(F.greatest("r0", "r1", "r2"), F.lit(0.0)).alias("top"), best.alias("best"), "vetoed", "affinity", "member")
     distances = written(region_distances(sequences, reps), "distances")
     trees = profiles(tree_distances(distances), reps).withColumnsRenamed({"inside": "tree_inside", "outside": "tree_outside"})
     both = written(profiles(distances, reps).join(trees, ["event_id", "role", "row", "other"]).join(reps.select("event_id", "reps"), "event_id"), "profiles")
