@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import in_tract, jukes_cantor
 from ..tables import written
 from .events import ROLE_WEIGHTS
-from .late import distance_correlation_set, representatives
+from .late import correlation_set, correlations, representatives
 from .relations import pairs
 from .splits import WORD, bipartitions, joined_trees
 
@@ -96,14 +96,15 @@ def direct_metrics(sequences: DataFrame, events: DataFrame) -> DataFrame:
 def role_metrics(sequences: DataFrame, events: DataFrame) -> DataFrame:
     """event_id, role (0 the recombinant as found, 1 and 2 the parents), metric, score: all of METRICS. The collapsed tree is
     the tree itself, as there are no replicates."""
-    reps = representatives(events)
-    # Each metric reads the profiles again, so these are written once; they are what the events' alignments have pairs.
+    # All metrics read the events, and each the profiles again, so these are written once; profiles are what the events'
+    # alignments have pairs.
+    reps = written(representatives(events), "representatives")
     distances = written(region_distances(sequences, reps), "distances")
     direct, tree = written(profiles(distances, reps), "profiles"), written(profiles(tree_distances(distances), reps), "profiles")
     out = metrics(direct, (0, 3, 5)).unionByName(order_changes(direct))
     by_tree = metrics(tree, (1, 4, 6))
     out = out.unionByName(by_tree).unionByName(by_tree.filter("metric = 1").withColumn("metric", F.lit(2)))
-    sets = distance_correlation_set(sequences, events).filter("member").groupBy("event_id", "role").agg(F.count("*").cast("double").alias("n"))
+    sets = correlation_set(correlations(reps, sequences)).filter("member").groupBy("event_id", "role").agg(F.count("*").cast("double").alias("n"))
     size = reps.select("event_id", F.explode(F.array(*map(F.lit, range(3)))).alias("role")).join(sets, ["event_id", "role"], "left")
     return out.unionByName(_scores(size, 8, F.coalesce("n", F.lit(0.0))))
 
